@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,43 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Scratch:
+    """Intermediate tables as compressed Parquet in the shared folder: they cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._loom_path = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that keep() returned and that nothing reads any more."""
+        for t in tables:
+            if t is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(t._loom_path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset
     (local tests) a folder of our own is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
