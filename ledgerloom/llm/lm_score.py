@@ -1,2 +1,225 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 10: language-model scoring by a weighted backoff automaton.
+
+States are the contexts seen in training; a state has an arc for every token
+seen after it, weighted by the smoothed log-probability, and a failure arc to
+the next shorter context.  With MU pseudo-counts and a share KAPPA of every count
+given to the shorter context h',
+p(w|h) = ((1 - KAPPA) c(hw) + (MU + KAPPA c(h)) p(w|h')) / (c(h) + MU), so the
+failure arc weighs log10((MU + KAPPA c(h)) / (c(h) + MU)); the root has the base
+probability.
+
+The whole automaton of a corpus fits nowhere.  Documents are dealt into blocks of
+bounded size.  A block sends its distinct n-grams with their counts, packed by
+hash range; each range is summed up over the blocks, and a block gets back the
+totals of those n-grams that others hold as well.  With these it builds the part
+of the automaton that its texts run through, and traverses it.
+"""
+
+from __future__ import annotations
+
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch, table, text_or_empty
+
+ORDER = 2
+MU = 10.0
+KAPPA = 0.6
+#: Bytes of text in a block, and of text per hash range of n-grams.
+BLOCK_BYTES = 12_000_000
+RANGE_BYTES = 12_000_000
+VOCABULARY = 500_000
+
+_U = np.uint64
+_END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= VOCABULARY:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(27))
+
+
+def token_hashes(texts: list[str | None], seen: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, first position of each text); every text ends with the end token.
+
+    Only A-Z are lowered and only ASCII white space splits, which is what bytes do.
+    """
+    out: list[int] = []
+    starts = np.zeros(len(texts), np.int64)
+    get = seen.__getitem__
+    for i, t in enumerate(texts):
+        starts[i] = len(out)
+        if t:
+            out.extend(map(get, t.encode("utf-8", "surrogatepass").lower().split()))
+        out.append(_END)
+    return np.array(out, np.uint64), starts
+
+
+def grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the k-grams that end at each position of their text's k-th token or later."""
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    at = np.flatnonzero(place >= k - 1)
+    x = h[at - (k - 1)]
+    for j in range(k - 2, -1, -1):
+        x = _mix(x * _U(0x9E3779B97F4A7C15) + h[at - j])
+    return at, x
+
+
+def _pack(kind: int, keys: np.ndarray, values: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(range, keys, values) for every range with sorted keys in it; a range is a span of the hash space."""
+    if not len(keys):
+        return
+    which = (keys >> _U(33)).astype(np.int64) * ranges >> 31
+    cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True):
+        yield int(which[a]), keys[a:b].tobytes(), values[a:b].tobytes()
+
+
+def _counted(h: np.ndarray, starts: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-grams, sorted, and how often the training texts hold them (int64)."""
+    at, x = grams(h, starts, k)
+    u, inverse = np.unique(x, return_inverse=True)
+    own = np.repeat(train, np.diff(np.r_[starts, len(h)]))[at]
+    return u, np.bincount(inverse, weights=own, minlength=len(u)).astype(np.int64)
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, train) -> tuple[DataFrame, int]:
+    t = text_or_empty(text_col)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(t) + 16), F.lit(1))).first()[0]
+    n = max(1, -(-int(size) // BLOCK_BYTES))
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("text"), train.alias("train"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), max(1, -(-int(size) // RANGE_BYTES))
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train=None, order: int = ORDER, mu: float = MU, kappa: float = KAPPA) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
+
+    train is a Boolean column that marks the rows to learn from (null: not).
+    A null text is empty and has the end token only.  Repeated rows are counted
+    and scored each; extra columns are not read.  Without training rows every
+    token has the base probability of an empty vocabulary, which is 1.
+    """
+    train = F.coalesce(train if train is not None else F.lit(True), F.lit(False))
+    scratch = Scratch(docs.sparkSession)
+    rows, ranges = _blocks(docs, id_col, text_col, train)
+
+    def count(tab: pa.Table) -> pa.Table:
+        h, starts = token_hashes(tab.column("text").to_pylist(), _Hashes())
+        own, block = tab.column("train").to_numpy(), tab.column("block")[0].as_py()
+        packed = [(k, r, x, c) for k in range(1, order + 1) for r, x, c in _pack(k, *_counted(h, starts, own, k), ranges)]
+        k, r, x, c = (list(v) for v in zip(*packed, strict=True))
+        return pa.table({"k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "block": pa.array([block] * len(k), pa.int32()), "keys": pa.array(x, pa.binary()), "counts": pa.array([np.frombuffer(v, np.int64).astype(np.int32).tobytes() for v in c], pa.binary())})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
+        counts = [np.frombuffer(c, np.int32) for c in pdf["counts"]]
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+        blocks, out_k, out_s, at = [], [], [], 0
+        for block, x, c in zip(pdf["block"], keys, counts, strict=True):
+            mine = sums[inverse[at : at + len(x)]]
+            at += len(x)
+            other = mine != c
+            blocks.append(block)
+            out_k.append(x[other].tobytes())
+            out_s.append(mine[other].tobytes())
+        first = np.arange(len(blocks)) == 0  # the range's sums, told once
+        return pd.DataFrame({"k": int(pdf["k"].iloc[0]), "block": blocks, "keys": out_k, "totals": out_s, "n": first * int(sums.sum()), "v": first * int((sums > 0).sum())})
+
+    counted = rows.groupBy("block").applyInArrow(count, "k int, r int, block int, keys binary, counts binary")
+    totals = scratch.keep(counted.groupBy("k", "r").applyInPandas(total, "k int, block int, keys binary, totals binary, n long, v long"))
+    _free_shuffles(docs.sparkSession)
+    n, v = (int(x) for x in totals.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+    return _scored(rows, totals.where("length(keys) > 0").select("k", "block", "keys", "totals"), n, v, order, mu, kappa)
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _looked_up(u: np.ndarray, own: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The block's counts, replaced by the totals of the n-grams that other blocks hold too."""
+    c = own.copy()
+    c[np.searchsorted(u, keys)] = totals
+    return c
+
+
+def _scored(rows: DataFrame, totals: DataFrame, n: int, v: int, order: int, mu: float, kappa: float) -> DataFrame:
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column("text").to_pylist()
+        h, starts = token_hashes(texts, _Hashes())
+        train = left.column("train").to_numpy()
+        sent: dict[int, tuple[list, list]] = {}
+        for k, x, s in zip(right.column("k").to_pylist(), right.column("keys").to_pylist(), right.column("totals").to_pylist(), strict=True):
+            a = sent.setdefault(k, ([], []))
+            a[0].append(np.frombuffer(x, np.uint64))
+            a[1].append(np.frombuffer(s, np.int64))
+        denominator = n + 0.5 * (v + 1)
+        p = base = known = context = None
+        for k in range(1, order + 1):
+            at, x = grams(h, starts, k)
+            u, inverse = np.unique(x, return_inverse=True)
+            own = np.bincount(inverse, weights=np.repeat(train, np.diff(np.r_[starts, len(h)]))[at], minlength=len(u)).astype(np.int64)
+            if k in sent:
+                own = _looked_up(u, own, np.concatenate(sent[k][0]), np.concatenate(sent[k][1]))
+            c = own[inverse]
+            here = np.zeros(len(h), np.int64)
+            here[at] = c
+            if k == 1:
+                base = p = (here + 0.5) / denominator
+                known = here > 0
+            else:
+                # The state before a token is its context; where the state or its arc wasn't seen, the failure arc is taken.
+                before = context[at - 1]
+                p = p.copy()
+                p[at] = np.where(before > 0, ((1 - kappa) * c + (mu + kappa * before) * p[at]) / (before + mu), p[at])
+            context = here
+        sums = lambda a: np.add.reduceat(a, starts)
+        m = len(texts)
+        return pa.table({
+            "id": left.column("id"), "n_tokens": pa.array(np.diff(np.r_[starts, len(h)]), pa.int64()), "n_known": pa.array(sums(known.astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": pa.array(sums(np.log10(base)), pa.float64()), "score": pa.array(sums(np.log10(p)), pa.float64()),
+        })
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return traverse(left, right) if left.num_rows else pa.schema(_fields(left)).empty_table()
+
+    schema = f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)
+
+
+def _fields(left: pa.Table) -> list:
+    return [("id", left.schema.field("id").type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+
+def held_out(id_col: str):
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "utf-8")), F.lit(5)) == 1
+
+
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the model of those that aren't held out."""
+    s = score_texts(table(spark, sf_dir, "documents"), train=~held_out("doc_id"))
+    return s.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op10_backoff_lm": op10_backoff_lm}
+ORACLE_SQL: dict[str, str] = {}
