@@ -1,2 +1,516 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 8: layout-aware text of HTML pages.
+
+A tokenizer and a tree builder with implied tags make an element tree; rules of
+visibility (elements, attributes, inline styles and simple style-sheet rules)
+decide what is shown; a renderer lays blocks, lists and tables out as text.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import small_batches, table
+
+# Element classes of HTML.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
+HIDDEN = frozenset("head title script style template iframe noembed noframes object embed video audio canvas datalist meta link base area map param source track rp".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
+)
+BLOCK = CLOSES_P | frozenset("html body tr caption legend option optgroup select textarea".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu dir hr".split())
+SCOPE = frozenset("html table td th caption button template".split())
+#: A start tag closes these open elements, up to one of the second set.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"} | SCOPE),
+    "dt": ({"dt", "dd"}, {"dl"} | SCOPE),
+    "dd": ({"dt", "dd"}, {"dl"} | SCOPE),
+    "option": ({"option"}, {"select", "datalist", "optgroup"} | SCOPE),
+    "optgroup": ({"option", "optgroup"}, {"select"} | SCOPE),
+    "rt": ({"rt", "rp"}, {"ruby"} | SCOPE),
+    "rp": ({"rt", "rp"}, {"ruby"} | SCOPE),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table", "html"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table", "html"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table", "html"}),
+    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table", "html"}),
+    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table", "html"}),
+    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table", "html"}),
+    "caption": ({"caption", "colgroup"}, {"table", "html"}),
+    "colgroup": ({"caption", "colgroup"}, {"table", "html"}),
+}
+SECTIONS = frozenset({"tbody", "thead", "tfoot"})
+INLINE_CLOSE = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
+
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
+)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_SPACE = re.compile(r"[ \t\n\r\f]+")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse)", re.I)
+_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
+_SELECTOR = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "kids")
+
+    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
+        self.tag, self.attrs, self.kids = tag, attrs, []
+
+
+def _attributes(s: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(s):
+        v = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
+        out.setdefault(m[1].lower(), entities.unescape(v) if v and "&" in v else v or "")
+    return out
+
+
+class Builder:
+    """The tree of a page; `styles` gathers its style sheets."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", {})
+        self.open = [self.root]
+        self.styles: list[str] = []
+
+    def in_scope(self, tag: str, stops: frozenset | set = SCOPE) -> int:
+        """Index of the open element of that name, 0 if a stop comes first."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                return i
+            if self.open[i].tag in stops:
+                return 0
+        return 0
+
+    def close_to(self, i: int) -> None:
+        if i > 0:
+            del self.open[i:]
+
+    def text(self, s: str) -> None:
+        here = self.open[-1]
+        if here.tag in ("table", "tr") or here.tag in SECTIONS:
+            if s.strip():
+                self.before_table(s)
+        else:
+            if here.tag == "head" and s.strip():
+                self.open.pop()
+                here = self.open[-1]
+            here.kids.append(s)
+
+    def before_table(self, item: str | Node) -> None:
+        """Put what may not stand in a table in front of it."""
+        i = max(k for k, n in enumerate(self.open) if n.tag == "table") if any(n.tag == "table" for n in self.open) else 0
+        if not i:
+            self.open[-1].kids.append(item)
+            return
+        kids = self.open[i - 1].kids
+        kids.insert(len(kids) - 1, item)
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag in ("html", "body"):
+            if tag == "body" and self.open[-1].tag == "head":
+                self.open.pop()
+            (self.root.attrs if tag == "html" else self._body().attrs).update({k: v for k, v in attrs.items()})
+            return
+        if tag == "head":
+            if len(self.open) == 1 and not self.root.kids:
+                self._push(Node("head", attrs))
+            return
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.open.pop()
+        if tag in CLOSES_P:
+            self.close_to(self.in_scope("p"))
+        if tag in IMPLIED:
+            names, stops = IMPLIED[tag]
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in stops:
+                    break
+                if self.open[i].tag in names:
+                    least = i
+                    while least > 1 and self.open[least - 1].tag in names:
+                        least -= 1
+                    self.close_to(least)
+                    break
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:] in {"1", "2", "3", "4", "5", "6"}:
+            self.open.pop()
+        if tag in ("a", "button", "nobr"):
+            self.close_to(self.in_scope(tag))
+        here = self.open[-1].tag
+        inside = here == "table" or here in SECTIONS or here == "tr"
+        if tag in ("td", "th"):
+            if not any(n.tag == "table" for n in self.open):
+                return
+            if here == "table":
+                self._push(Node("tbody", {}))
+            if self.open[-1].tag != "tr":
+                self._push(Node("tr", {}))
+        elif tag == "tr":
+            if not any(n.tag == "table" for n in self.open):
+                return
+            if here == "table":
+                self._push(Node("tbody", {}))
+        elif tag in SECTIONS or tag in ("caption", "colgroup", "col"):
+            if not any(n.tag == "table" for n in self.open):
+                return
+        elif inside and tag not in ("script", "style", "template", "form"):
+            node = Node(tag, attrs)
+            self.before_table(node)
+            if tag not in VOID:
+                self.open.append(node)
+            return
+        node = Node(tag, attrs)
+        if tag in VOID:
+            self.open[-1].kids.append(node)
+        else:
+            self._push(node)
+
+    def _push(self, node: Node) -> None:
+        self.open[-1].kids.append(node)
+        self.open.append(node)
+
+    def _body(self) -> Node:
+        return self.root
+
+    def end(self, tag: str) -> None:
+        if tag in ("html", "body"):
+            return
+        if tag == "br":
+            self.start("br", {})
+            return
+        if tag == "p" and not self.in_scope("p"):
+            self.start("p", {})
+            self.open.pop()
+            return
+        if tag == "table":
+            self.close_to(self.in_scope("table", {"html"}))
+        elif tag in ("tr", "td", "th", "caption") or tag in SECTIONS:
+            self.close_to(self.in_scope(tag, {"table", "html"}))
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            at = [self.in_scope(f"h{k}") for k in range(1, 7)]
+            self.close_to(max(at))
+        elif tag in INLINE_CLOSE:
+            i = self.in_scope(tag)
+            if i and all(n.tag not in BLOCK for n in self.open[i + 1 :]):
+                self.close_to(i)
+            elif i:
+                del self.open[i]  # formatting that blocks were opened in: the blocks stay open
+        else:
+            self.close_to(self.in_scope(tag))
+
+
+def parse(source: str) -> Builder:
+    b, pos, n = Builder(), 0, len(source)
+    while pos < n:
+        m = _TAG.search(source, pos)
+        stop = m.start() if m else n
+        if stop > pos:
+            s = source[pos:stop]
+            b.text(entities.unescape(s) if "&" in s else s)
+        if not m:
+            break
+        pos = m.end()
+        if m[1] is not None:
+            b.end(m[1].lower())
+            continue
+        name = m[2] if m[2] is not None else m[4]
+        if name is None:
+            continue
+        tag, attrs = name.lower(), _attributes(m[3] if m[2] is not None else m[5])
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, pos) if tag != "plaintext" else None
+            end, after = (close.start(), close.end()) if close else (n, n)
+            raw = source[pos:end]
+            if tag == "style":
+                b.styles.append(raw)
+            elif tag in ("textarea", "plaintext", "xmp"):
+                b.start(tag, attrs)
+                b.open[-1].kids.append(entities.unescape(raw) if tag == "textarea" else raw)
+                b.open.pop()
+            pos = after
+            continue
+        b.start(tag, attrs)
+    return b
+
+
+class Styles:
+    """Rules of style sheets with a simple selector (tag, .class, #id and their combinations)."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.rules: list[tuple[str, set[str], str, str]] = []
+        for sheet in sheets:
+            for m in _RULE.finditer(_COMMENT.sub(" ", sheet)):
+                hides = "gone" if _GONE.search(m[2]) else "unseen" if _UNSEEN.search(m[2]) else ""
+                for selector in m[1].split(",") if hides else ():
+                    s = _SELECTOR.match(selector.strip())
+                    if s and (s[1] or s[2]):
+                        parts = re.findall(r"[.#][\w-]+", s[2])
+                        ids = [p[1:] for p in parts if p[0] == "#"]
+                        self.rules.append(((s[1] or "*").lower(), {p[1:] for p in parts if p[0] == "."}, ids[0] if ids else "", hides))
+
+    def of(self, node: Node) -> str:
+        if not self.rules:
+            return ""
+        classes, ident = set(node.attrs.get("class", "").split()), node.attrs.get("id", "")
+        found = {h for tag, cls, i, h in self.rules if tag in ("*", node.tag) and cls <= classes and (not i or i == ident)}
+        return "gone" if "gone" in found else "unseen" if found else ""
+
+
+def visibility(node: Node, styles: Styles, parent_seen: bool) -> tuple[bool, bool]:
+    """(rendered at all, its own text seen)."""
+    a, style = node.attrs, node.attrs.get("style", "")
+    if node.tag in HIDDEN or "hidden" in a or _GONE.search(style) or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
+        return False, False
+    rule = styles.of(node)
+    if rule == "gone":
+        return False, False
+    if _SEEN.search(style):
+        return True, True
+    return True, parent_seen and rule != "unseen" and not _UNSEEN.search(style)
+
+
+class Lines:
+    """Text being laid out: collapses white space, keeps at most one blank line between blocks."""
+
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.line: list[str] = []
+        self.space = self.blank = False
+        self.indent = ""
+        self.mark = ""
+
+    def write(self, s: str) -> None:
+        parts = _SPACE.split(s)
+        if len(parts) > 1 and not parts[0]:
+            self.space = True
+        words = [p for p in parts if p]
+        if not words:
+            return
+        if self.line and self.space:
+            self.line.append(" ")
+        self.line.append(" ".join(words))
+        self.space = len(parts) > 1 and not parts[-1]
+
+    def raw(self, s: str) -> None:
+        first, *rest = s.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        self.line.append(first)
+        for x in rest:
+            self.flush(keep=True)
+            self.line.append(x)
+
+    def flush(self, keep: bool = False) -> None:
+        """End the line if it holds anything."""
+        s = "".join(self.line)
+        s = s if keep else s.rstrip()
+        if s or (keep and self.line):
+            if self.blank and self.out:
+                self.out.append("")
+            self.blank = False
+            pre = self.indent
+            if self.mark:
+                pre, self.mark = pre[: -len(self.mark)] + self.mark if pre.endswith(" " * len(self.mark)) else pre + self.mark, ""
+            self.out.append((pre + s).rstrip())
+        self.line, self.space = [], False
+
+    def block(self, spaced: bool) -> None:
+        self.flush()
+        self.blank = self.blank or spaced
+
+    def text(self) -> str:
+        self.flush()
+        return "\n".join(self.out)
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table: cells (text, colspan, rowspan) padded to common column widths."""
+    place: list[dict[int, tuple[list[str], int]]] = []
+    taken: dict[tuple[int, int], bool] = {}
+    for r, row in enumerate(rows):
+        c, here = 0, {}
+        for text, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            here[c] = (text.split("\n"), across)
+            for i in range(1, down):
+                for j in range(across):
+                    taken[r + i, c + j] = True
+            c += across
+        place.append(here)
+    width: dict[int, int] = {}
+    for here in place:
+        for c, (lines, across) in here.items():
+            if across == 1:
+                width[c] = max(width.get(c, 0), *map(len, lines))
+    for here in place:
+        for c, (lines, across) in here.items():
+            if across > 1:
+                have = sum(width.get(c + j, 0) for j in range(across)) + 2 * (across - 1)
+                width[c + across - 1] = width.get(c + across - 1, 0) + max(0, max(map(len, lines)) - have)
+    columns = range(max(width, default=-1) + 1)
+    at, pos = {}, 0
+    for c in columns:
+        at[c] = pos
+        pos += width.get(c, 0) + (2 if width.get(c, 0) else 0)
+    out = []
+    for here in place:
+        for i in range(max((len(lines) for lines, _ in here.values()), default=0)):
+            line = ""
+            for c in sorted(here):
+                lines = here[c][0]
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(at.get(c, len(line))) + lines[i]
+            out.append(line.rstrip())
+    return out
+
+
+def _span(node: Node, name: str) -> int:
+    try:
+        return min(max(int(node.attrs.get(name, "1")), 1), 1000)
+    except ValueError:
+        return 1
+
+
+def render(source: str | None) -> str:
+    """The visible text of a page."""
+    b = parse(source or "")
+    styles = Styles(b.styles)
+    lines = Lines()
+    tables: list[dict] = []
+    lists: list[list] = []
+    # (node or text or closing function, seen, preformatted)
+    stack: list[tuple] = [(b.root, True, False)]
+    while stack:
+        item, seen, pre = stack.pop()
+        if isinstance(item, str):
+            if seen:
+                lines.raw(item) if pre else lines.write(item)
+            continue
+        if callable(item):
+            item()
+            continue
+        shown, seen = visibility(item, styles, seen)
+        if not shown:
+            continue
+        tag = item.tag
+        if tag == "br":
+            lines.line = lines.line or [""]
+            s = "".join(lines.line)
+            lines.flush() if s else None
+            continue
+        if tag == "hr":
+            lines.block(True)
+            continue
+        kids = item.kids
+        if tag == "details" and "open" not in item.attrs:
+            kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+        done = None
+        spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists)
+        if tag in ("ul", "ol", "menu", "dir"):
+            lines.block(spaced)
+            start = item.attrs.get("start", "1")
+            lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+
+            def done(spaced=spaced):
+                lists.pop()
+                lines.block(spaced)
+        elif tag == "li":
+            lines.block(False)
+            ordered, number = lists[-1] if lists else (False, 1)
+            if lists:
+                value = item.attrs.get("value", "")
+                number = lists[-1][1] = int(value) if ordered and re.fullmatch(r"-?\d{1,9}", value) else number
+                lists[-1][1] += 1
+            mark = f"{number}. " if ordered else "- "
+            before = lines.indent
+            lines.indent, lines.mark = before + " " * len(mark), mark
+
+            def done(before=before):
+                lines.block(False)
+                lines.indent, lines.mark = before, ""
+        elif tag == "dd" or tag == "blockquote":
+            lines.block(spaced)
+            before = lines.indent
+            lines.indent = before + "    "
+
+            def done(before=before, spaced=spaced):
+                lines.block(spaced)
+                lines.indent = before
+        elif tag == "table":
+            lines.block(True)
+            tables.append({"rows": [], "outer": None, "lists": lists})
+            lists = []
+
+            def done():
+                nonlocal lists
+                t = tables.pop()
+                lists = t["lists"]
+                for line in _grid(t["rows"]):
+                    lines.line = [line]
+                    lines.flush(keep=True)
+                lines.block(True)
+        elif tag == "tr" and tables:
+            tables[-1]["rows"].append([])
+        elif tag in ("td", "th") and tables:
+            outer, lines, outer_lists, lists = lines, Lines(), lists, []
+
+            def done(outer=outer, node=item, outer_lists=outer_lists):
+                nonlocal lines, lists
+                text = lines.text()
+                lines, lists = outer, outer_lists
+                if not tables[-1]["rows"]:
+                    tables[-1]["rows"].append([])
+                tables[-1]["rows"][-1].append((text, _span(node, "colspan"), _span(node, "rowspan")))
+        elif tag in BLOCK:
+            lines.block(spaced)
+
+            def done(spaced=spaced):
+                lines.block(spaced)
+        if done:
+            stack.append((done, seen, pre))
+        pre = pre or tag in ("pre", "textarea", "xmp", "plaintext")
+        if tag == "pre" and kids and isinstance(kids[0], str) and kids[0].startswith("\n"):
+            kids = [kids[0][1:], *kids[1:]]
+        stack.extend((k, seen, pre) for k in reversed(kids))
+    return lines.text()
+
+
+def html_to_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, text, n_chars, n_lines, n_blocks) of every row of pages, by layout-aware rendering.
+
+    Null and empty pages have an empty text; so has a page that shows nothing.
+    Blocks are runs of lines between blank lines.  Malformed markup never fails:
+    unclosed elements end with the page, stray end tags are ignored.  Extra
+    columns are not read; repeated rows stay.
+    """
+    small_batches(pages.sparkSession)
+    src = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [render(h) for h in pdf["html"]]
+            yield pd.DataFrame({
+                "id": pdf["id"].array, "text": texts, "n_chars": [len(t) for t in texts], "n_lines": [t.count("\n") + 1 if t else 0 for t in texts],
+                "n_blocks": [len([x for x in re.split(r"\n{2,}", t) if x.strip()]) for t in texts],
+            })
+
+    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, text string, n_chars long, n_lines long, n_blocks long")
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    return html_to_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"op8_html_layout": op8_html_layout}
+ORACLE_SQL: dict[str, str] = {}

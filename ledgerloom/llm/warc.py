@@ -1,2 +1,171 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Operator 3: not-modified revisits resolved by an as-of join.
+
+A revisit of a URL stands for the latest full response of the same canonical URL
+before it.  Its validators are checked against that response's, and the headers
+that a 304 may change are merged into the stored ones.
+
+Time is cut into slices: the join looks inside a (URL, slice) by a window, and
+earlier slices hand over one row each, so that even one URL with a third of all
+captures is spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .common import table
+
+SLICES = 128
+# Query parameters that don't name a resource, and header fields that a 304 must not change.
+TRACKING = r"^(utm_[^=]*|gclid|fbclid|msclkid|ref|sessionid|phpsessid)(=|$)"
+FORBIDDEN = (
+    "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
+    "content-encoding", "content-length", "content-range", "content-type",
+)
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
+def canonical_url(url: Column) -> Column:
+    """Host, path and sorted query, without scheme, user, www., default port, fragment and tracking parameters.
+
+    What has no scheme is only trimmed and freed of its fragment; null stays null.
+    """
+    u = F.regexp_replace(F.trim(url), "#.*$", "")
+    host = F.lower(F.regexp_extract(u, _SCHEME + r"([^/?]*)", 1))
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":(80|443)$", ""), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, _SCHEME + r"[^/?]*([^?]*)", 1), r"/index\.html?$", "/"), r"/+$", "")
+    params = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)))
+    query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
+    return F.when(u.rlike(_SCHEME), F.concat(host, F.when(path == "", "/").otherwise(path), query)).otherwise(u)
+
+
+def lowered(headers: Column) -> Column:
+    """A header map with lower-case names; of equal names the last value counts. Null is empty."""
+    h = F.coalesce(headers, F.create_map().cast("map<string,string>"))
+    entries = F.map_entries(h)
+    names = F.array_distinct(F.transform(F.map_keys(h), lambda k: F.lower(F.trim(k))))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), -1)["value"]))
+
+
+def merged_headers(stored: Column, update: Column) -> Column:
+    """Stored headers with those of a 304 in place of its own, but for the forbidden ones; names in lower case."""
+    permitted = F.map_filter(update, lambda k, v: ~k.isin(*FORBIDDEN) & v.isNotNull())
+    return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(permitted), k)), permitted)
+
+
+def _check(rev: Column, res: Column) -> Column:
+    """The verdict on two lower-case header maps."""
+    tag = lambda h: F.regexp_replace(F.trim(F.try_element_at(h, F.lit("etag"))), "^W/", "")
+    date = lambda h: F.trim(F.try_element_at(h, F.lit("last-modified")))
+    return (
+        F.when(tag(rev).isNotNull() & tag(res).isNotNull(), F.when(tag(rev) == tag(res), "resolved").otherwise("etag-mismatch"))
+        .when(date(rev).isNotNull() & date(res).isNotNull(), F.when(date(rev) == date(res), "resolved").otherwise("date-mismatch"))
+        .otherwise("unverified")
+    )
+
+
+def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
+    """One row per revisit: record_id, url, canonical_url, ts, refers_to, verdict, digest, headers.
+
+    captures needs record_id, url, ts (timestamp), kind ('response' is a full
+    one, 'revisit' a 304; others are ignored), headers map<string,string> and
+    digest; further columns are not read.  refers_to is the response of the
+    greatest ts strictly before the revisit, of equal ones that of the greatest
+    record_id.  The verdict is resolved, etag-mismatch, date-mismatch, unverified
+    (no validator in common) or unresolved (no earlier response, or a null URL or
+    ts).  Entity tags are compared weakly and go before dates.  digest and merged
+    headers come from the response if resolved or unverified; else digest is null
+    and headers are the revisit's own.  Repeated rows stay.
+    """
+    c = captures.where(F.col("kind").isin("response", "revisit")).select(
+        "record_id", "url", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind", lowered(F.col("headers")).alias("headers"), "digest"
+    )
+    lo, hi = c.agg(F.min("us"), F.max("us")).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // slices + 1)
+    usable = F.col("canonical_url").isNotNull() & F.col("us").isNotNull()
+    c = c.withColumn("slice", F.floor((F.col("us") - F.lit(lo or 0)) / F.lit(width)).cast("int"))
+    stored = F.struct("us", "record_id", "headers_text", "digest")
+    # Maps can't be compared, so the response's headers travel as text behind the columns that decide.
+    c = c.withColumn("headers_text", F.to_json("headers"))
+    full = F.when(F.col("kind") == "response", stored)
+    known = c.where(usable)
+    inside = Window.partitionBy("canonical_url", "slice").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    seen = known.withColumn("near", F.max(full).over(inside)).where("kind = 'revisit'")
+    last = known.where("kind = 'response'").groupBy("canonical_url", "slice").agg(F.max(stored).alias("last"))
+    # A revisit's slice may hold no response: slices of revisits take part in the handing over.
+    asked = known.where("kind = 'revisit'").select("canonical_url", "slice").distinct()
+    steps = last.unionByName(asked.withColumn("last", F.lit(None).cast(last.schema["last"].dataType))).groupBy("canonical_url", "slice").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = steps.withColumn("far", F.max("last").over(before)).where("far is not null").select("canonical_url", "slice", "far")
+    found = seen.join(handed, ["canonical_url", "slice"], "left").withColumn("res", F.coalesce("near", "far")).drop("near", "far")
+    lost = c.where((F.col("kind") == "revisit") & ~F.coalesce(usable, F.lit(False))).withColumn("res", F.lit(None).cast(found.schema["res"].dataType))
+    rows = found.unionByName(lost.select(*found.columns))
+    theirs = F.from_json("res.headers_text", "map<string,string>")
+    rows = rows.withColumn("verdict", F.when(F.col("res").isNull(), "unresolved").otherwise(_check(F.col("headers"), theirs)))
+    good = F.col("verdict").isin("resolved", "unverified")
+    return rows.select(
+        "record_id", "url", "canonical_url", "ts", F.col("res.record_id").alias("refers_to"), "verdict",
+        F.when(good, F.col("res.digest")).alias("digest"), F.when(good, merged_headers(theirs, F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+    )
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """A capture log of pages: each one's full response, and a revisit of it a week later under another form of its URL.
+
+    What the revisit carries as validators follows from the URL's hash: the same
+    entity tag, a weak one, only the date, nothing, or a stale tag.
+    """
+    html = F.coalesce("html", F.lit(""))
+    h, case = F.md5(html), F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1)
+    tag = F.concat(F.lit('"'), F.substring(h, 1, 16), F.lit('"'))
+    date = F.concat(F.lit("version "), F.substring(h, 17, 4))
+    at = F.col("page_id") * 60
+    response = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(html).cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Date"), at.cast("string"))
+    week = at + 7 * 86400
+    revisit = F.map_filter(F.create_map(
+        F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), week.cast("string"),
+        F.lit("ETag"), F.when(case < "8", tag).when(case < "c", F.concat(F.lit("W/"), tag)).when(case == "f", F.lit('"stale"')),
+        F.lit("Last-Modified"), F.when(case < "e", date),
+    ), lambda _, v: v.isNotNull())
+    first = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.timestamp_seconds(at).alias("ts"), F.lit("response").alias("kind"), response.alias("headers"), h.alias("digest"))
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.timestamp_seconds(week).alias("ts"), F.lit("revisit").alias("kind"), revisit.alias("headers"), F.lit(None).cast("string").alias("digest"))
+    return first.unionByName(again)
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of all pages resolved; headers as sorted lines."""
+    r = resolve_revisits(captures_of(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    return r.select("record_id", "canonical_url", "refers_to", "verdict", "digest", lines.alias("headers"))
+
+
+QUERIES = {"op3_warc_revisits": op3_warc_revisits}
+
+ORACLE_SQL = {
+    "op3_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n, substr(md5(coalesce(url, '')), 1, 1) AS k, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid|ref|sessionid|phpsessid)(=|$)'))) AS q FROM p),
+r AS (
+  SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END AS canonical_url,
+    '"' || substr(h, 1, 16) || '"' AS tag, 'version ' || substr(h, 17, 4) AS date FROM c),
+v AS (
+  SELECT page_id, canonical_url, page_id * 60 + 604800 AS ts, CASE WHEN k < '8' THEN tag WHEN k < 'c' THEN 'W/' || tag WHEN k = 'f' THEN '"stale"' END AS vtag, CASE WHEN k < 'e' THEN date END AS vdate FROM r),
+j AS (
+  SELECT v.page_id * 2 + 1 AS record_id, v.canonical_url, v.ts, vtag, vdate, r.page_id AS found, r.n, r.h, r.tag, r.date,
+    row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
+  FROM v LEFT JOIN r ON v.canonical_url = r.canonical_url AND r.page_id * 60 < v.ts),
+w AS (
+  SELECT *, CASE WHEN found IS NULL THEN 'unresolved' WHEN vtag IS NOT NULL THEN CASE WHEN regexp_replace(vtag, '^W/', '') = tag THEN 'resolved' ELSE 'etag-mismatch' END
+    WHEN vdate IS NOT NULL THEN CASE WHEN vdate = date THEN 'resolved' ELSE 'date-mismatch' END ELSE 'unverified' END AS verdict FROM j WHERE k = 1)
+SELECT record_id, canonical_url, found * 2 AS refers_to, verdict, CASE WHEN verdict IN ('resolved', 'unverified') THEN h END AS digest,
+  'cache-control: max-age=60' || chr(10) || CASE WHEN verdict IN ('resolved', 'unverified')
+    THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(vtag, tag) || chr(10) || 'last-modified: ' || coalesce(vdate, date)
+    ELSE 'content-length: 0' || chr(10) || 'date: ' || ts || CASE WHEN vtag IS NOT NULL THEN chr(10) || 'etag: ' || vtag ELSE '' END || CASE WHEN vdate IS NOT NULL THEN chr(10) || 'last-modified: ' || vdate ELSE '' END END AS headers
+FROM w
+""",
+}
