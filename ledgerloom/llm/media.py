@@ -88,13 +88,15 @@ def _gif(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+    while pos + 2 <= len(b) and b[pos] == 0xFF:
         mark = b[pos + 1]
         if mark == 0xD9:
             return pos + 2 - at
         if mark == 0xFF:
             pos += 1
             continue
+        if pos + 4 > len(b):
+            return 0
         size = struct.unpack_from(">H", b, pos + 2)[0]
         if size < 2:
             return 0
