@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,11 @@ class Scratch:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(t._loom_path)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs that nothing refers to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.

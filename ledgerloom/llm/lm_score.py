@@ -17,7 +17,6 @@ of the automaton that its texts run through, and traverses it.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,17 +142,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted = rows.groupBy("block").applyInArrow(count, "k int, r int, block int, keys binary, counts binary")
     totals = scratch.keep(counted.groupBy("k", "r").applyInPandas(total, "k int, block int, keys binary, totals binary, n long, v long"))
-    _free_shuffles(docs.sparkSession)
+    scratch.free()
     n, v = (int(x) for x in totals.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
     return _scored(rows, totals.where("length(keys) > 0").select("k", "block", "keys", "totals"), n, v, order, mu, kappa)
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _looked_up(u: np.ndarray, own: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The block's counts, replaced by the totals of the n-grams that other blocks hold too."""
     c = own.copy()
