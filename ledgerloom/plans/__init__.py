@@ -1,17 +1,23 @@
-"""Registered queries of the library."""
+"""Registered queries of the library: each with the DuckDB SQL of its result where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from importlib import import_module
 
+MODULES = ["retrieval"]
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+
+def _all():
+    return {name: pair for m in MODULES for name, pair in import_module(f".{m}", __name__).QUERIES.items()}
+
+
+def flagship(spark, sf_dir):
+    return import_module(".retrieval", __name__).bm25_topk(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
