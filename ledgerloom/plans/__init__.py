@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["retrieval"]
+MODULES = ["retrieval", "extraction", "relations"]
 
 
 def _all():
