@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["retrieval", "extraction", "relations", "graph", "rules"]
+MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources"]
 
 
 def _all():
