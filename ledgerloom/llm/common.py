@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,10 @@ class Scratch:
 
     def free(self) -> None:
         """Let Spark delete the shuffle files of finished jobs that nothing refers to."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python's references go first, then those of the JVM's plans
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

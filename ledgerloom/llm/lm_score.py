@@ -86,7 +86,17 @@ def _pack(kind: int, keys: np.ndarray, values: np.ndarray, ranges: int) -> Itera
     which = (keys >> _U(33)).astype(np.int64) * ranges >> 31
     cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True):
-        yield int(which[a]), keys[a:b].tobytes(), values[a:b].tobytes()
+        yield int(which[a]), _planes(keys[a:b]), _planes(values[a:b].astype(np.int32))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes, highest first: those of sorted hashes that hardly change compress away in the shuffle."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T[::-1].tobytes()
+
+
+def _unplaned(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1)[::-1].T).view(kind).ravel()
 
 
 def _counted(h: np.ndarray, starts: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +132,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own, block = tab.column("train").to_numpy(), tab.column("block")[0].as_py()
         packed = [(k, r, x, c) for k in range(1, order + 1) for r, x, c in _pack(k, *_counted(h, starts, own, k), ranges)]
         k, r, x, c = (list(v) for v in zip(*packed, strict=True))
-        return pa.table({"k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "block": pa.array([block] * len(k), pa.int32()), "keys": pa.array(x, pa.binary()), "counts": pa.array([np.frombuffer(v, np.int64).astype(np.int32).tobytes() for v in c], pa.binary())})
+        return pa.table({"k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "block": pa.array([block] * len(k), pa.int32()), "keys": pa.array(x, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
-        counts = [np.frombuffer(c, np.int32) for c in pdf["counts"]]
+        keys = [_unplaned(x, np.uint64) for x in pdf["keys"]]
+        counts = [_unplaned(c, np.int32) for c in pdf["counts"]]
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
         blocks, out_k, out_s, at = [], [], [], 0
@@ -135,8 +145,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at += len(x)
             other = mine != c
             blocks.append(block)
-            out_k.append(x[other].tobytes())
-            out_s.append(mine[other].tobytes())
+            out_k.append(_planes(x[other]))
+            out_s.append(_planes(mine[other]))
         first = np.arange(len(blocks)) == 0  # the range's sums, told once
         return pd.DataFrame({"k": int(pdf["k"].iloc[0]), "block": blocks, "keys": out_k, "totals": out_s, "n": first * int(sums.sum()), "v": first * int((sums > 0).sum())})
 
@@ -164,8 +174,8 @@ def _scored(rows: DataFrame, totals: DataFrame, n: int, v: int, order: int, mu:
         sent: dict[int, tuple[list, list]] = {}
         for k, x, s in zip(right.column("k").to_pylist(), right.column("keys").to_pylist(), right.column("totals").to_pylist(), strict=True):
             a = sent.setdefault(k, ([], []))
-            a[0].append(np.frombuffer(x, np.uint64))
-            a[1].append(np.frombuffer(s, np.int64))
+            a[0].append(_unplaned(x, np.uint64))
+            a[1].append(_unplaned(s, np.int64))
         denominator = n + 0.5 * (v + 1)
         p = base = known = context = None
         for k in range(1, order + 1):
