@@ -151,4 +151,27 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_secret_ownership": op5_secret_ownership}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """Positions from the pieces between matches, verdicts from counts over all documents."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    found = []
+    for rank, k in enumerate((*BASE, EXTRA)):
+        value = f"regexp_extract_all(t, {q(k.pattern)}, {k.group})" if k.group else "w"
+        found.append(f"SELECT r, '{k.name}' AS kind, {rank} AS rank, unnest(range(1, len(w) + 1)) AS i, w, {value} AS v, p FROM (SELECT r, t, regexp_extract_all(t, {q(k.pattern)}) AS w, string_split_regex(t, {q(k.pattern)}) AS p FROM d)")
+    placed = "SELECT r, kind, rank, list_sum(list_transform(p[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: len(x))), 0)::BIGINT AS a, len(w[i]) AS n, v[i] AS v FROM f"
+    least = " ".join(f"WHEN '{k.name}' THEN {k.least}" for k in (*BASE, EXTRA))
+    spans = lambda cond, src: f"coalesce((SELECT string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FROM {src} x WHERE x.r = d.r AND {cond}), '')"
+    count = lambda k, src: f"(SELECT count(*) FROM {src} x WHERE x.r = d.r AND kind = '{k}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(found)}), g AS ({placed}),
+s AS (SELECT r, kind, rank, a, a + n AS b, v FROM g WHERE len(v) >= CASE kind {least} END AND (kind <> 'opaque' OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')))),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM s JOIN d USING (r) GROUP BY v),
+j AS (SELECT DISTINCT r, CASE WHEN owners >= 3 THEN 'copied' ELSE 'live' END AS kind, CASE WHEN owners >= 3 THEN 5 ELSE 4 END AS rank, a, b FROM s JOIN o USING (v)
+  WHERE owners >= 3 OR (len(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(regexp_extract_all(v, '.'))) >= 8 AND NOT regexp_matches(v, '(?i)example|changeme|placeholder|x{{6}}|0123456|abcdef0'))),
+e AS (SELECT r, kind, rank, a, b FROM s UNION ALL SELECT * FROM j)
+SELECT doc_id, {', '.join(f"{count(k.name, 's')} AS n_{k.name}" for k in BASE)}, sha256({spans("kind IN ('assign', 'access', 'hex')", 's')}) AS base_sha256, {spans('true', 'e')} AS spans, {count('live', 'j')} AS n_live, {count('copied', 'j')} AS n_copied FROM d"""
+
+
+ORACLE_SQL = {"op5_secret_ownership": _oracle()}

@@ -86,4 +86,16 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_rendezvous_sharding": op2_rendezvous_sharding}
-ORACLE_SQL: dict[str, str] = {}
+
+CRC32 = """
+WITH crc AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(n))),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+b AS (SELECT doc_id, k, size, xor(list_reduce(list_prepend(4294967295, list_transform(h, lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc)"""
+
+ORACLE_SQL = {
+    "op2_rendezvous_sharding": CRC32 + """,
+u AS (SELECT k, s, 1.0 / -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS bid FROM (SELECT DISTINCT k FROM b), range(17) r(s)),
+w AS (SELECT k, arg_max(s, (bid, -s)) FILTER (s < 16)::INTEGER AS shard, arg_max(s, (bid, -s))::INTEGER AS grown_shard FROM u GROUP BY k)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 3), doc_id) - 1 AS slot, grown_shard FROM b JOIN w USING (k)
+""",
+}
