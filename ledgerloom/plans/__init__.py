@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources", "drawings", "project", "analysis"]
+MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources", "drawings", "project", "analysis", "services"]
 
 
 def _all():
