@@ -8,16 +8,16 @@ SECTION_SCHEMA = (
     "id string, document_id string, parent_id string, heading string, path array<string>, section_number string, level int, ord int, page_start int, page_end int, text string, cross_references array<string>"
 )
 SECTIONS = [
-    ("s1", "d1", None, "Quality Control", ["Quality Control"], "01 45 00", 1, 1, 10, 12, "The Contractor shall maintain quality control. Testing is required before acceptance.", ["01 91 00"]),
-    ("s2", "d1", "s1", "1.1 Owner QC", ["Quality Control", "Owner QC"], "01 45 00", 2, 2, 10, 10, "Owner shall inspect the Work and document deficiencies. See 01 91 00. The Owner may not waive inspection.", ["01 91 00"]),
-    ("s3", "d1", "s1", "1.2 Contractor QC", ["Quality Control", "Contractor QC"], "01 45 00", 2, 3, 10, 11, "Contractor shall perform testing before acceptance. The Contractor shall submit the test report within 14 days after testing unless the owner directs otherwise.", []),
-    ("s4", "d1", "s3", "1.2.1 Reports", ["Quality Control", "Contractor QC", "Reports"], "01 45 00", 3, 4, 11, 12, "Inspection report and certificate must be provided prior to final acceptance. Work means the construction required by the contract.", ["02 10 00"]),
-    ("s5", "d2", None, "General Commissioning Requirements", ["General Commissioning Requirements"], "01 91 00", 1, 1, 11, 13, "Commissioning records are required. Per Section 01.45.00. The commissioning agent shall verify startup during testing.", ["01 45 00", "09 99 99"]),
-    ("s6", "d2", "s5", "1.1 Records", ["General Commissioning Requirements", "Records"], "01 91 00", 2, 2, 12, 12, "Contractor shall not energize equipment before the commissioning report is approved by the engineer. Training should be scheduled.", []),
-    ("s7", "d2", "s5", "1.2 Closeout", ["General Commissioning Requirements", "Closeout"], "01 91 00", 2, 3, 13, 13, "The warranty and record drawing shall be delivered upon completion. Final acceptance requires a punch list.", ["01 45 00"]),
-    ("s8", "d3", None, "Site Work", ["Site Work"], "02 10 00", 1, 1, 20, 25, "Contractor shall perform testing before acceptance of site work. The contractor may start when the schedule is approved.", []),
-    ("s9", "d3", "s8", "1.1 Safety", ["Site Work", "Safety"], "02 10 00", 2, 2, 21, 21, "", []),
-    ("s10", "d3", "s8", "1.2 Permits", ["Site Work", "Permits"], "02 10 00", 2, 3, None, None, None, ["s1"]),
+    ("s1", "d1", None, "01 45 00 Quality Control", ["01 45 00 Quality Control"], "01 45 00", 1, 1, 10, 12, "The Contractor shall maintain quality control. Testing is required before acceptance.", ["01 91 00"]),
+    ("s2", "d1", "s1", "1.1 Owner QC", ["01 45 00 Quality Control", "Owner QC"], "01 45 00", 2, 2, 10, 10, "Owner shall inspect the Work and document deficiencies. See 01 91 00. The Owner may not waive inspection.", ["01 91 00"]),
+    ("s3", "d1", "s1", "1.2 Contractor QC", ["01 45 00 Quality Control", "Contractor QC"], "01 45 00", 2, 3, 10, 11, "Contractor shall perform testing before acceptance. The Contractor shall submit the test report within 14 days after testing unless the owner directs otherwise.", []),
+    ("s4", "d1", "s3", "1.2.1 Reports", ["01 45 00 Quality Control", "Contractor QC", "Reports"], "01 45 00", 3, 4, 11, 12, "Inspection report and certificate must be provided prior to final acceptance. Work means the construction required by the contract.", ["02 10 00"]),
+    ("s5", "d2", None, "01 91 00 General Commissioning Requirements", ["01 91 00 General Commissioning Requirements"], "01 91 00", 1, 1, 11, 13, "Commissioning records are required. Per Section 01.45.00. The commissioning agent shall verify startup during testing.", ["01 45 00", "09 99 99"]),
+    ("s6", "d2", "s5", "1.1 Records", ["01 91 00 General Commissioning Requirements", "Records"], "01 91 00", 2, 2, 12, 12, "Contractor shall not energize equipment before the commissioning report is approved by the engineer. Training should be scheduled.", []),
+    ("s7", "d2", "s5", "1.2 Closeout", ["01 91 00 General Commissioning Requirements", "Closeout"], "01 91 00", 2, 3, 13, 13, "The warranty and record drawing shall be delivered upon completion. Final acceptance requires a punch list.", ["01 45 00"]),
+    ("s8", "d3", None, "02 10 00 Site Work", ["02 10 00 Site Work"], "02 10 00", 1, 1, 20, 25, "Contractor shall perform testing before acceptance of site work. The contractor may start when the schedule is approved.", []),
+    ("s9", "d3", "s8", "1.1 Safety", ["02 10 00 Site Work", "Safety"], "02 10 00", 2, 2, 21, 21, "", []),
+    ("s10", "d3", "s8", "1.2 Permits", ["02 10 00 Site Work", "Permits"], "02 10 00", 2, 3, None, None, None, ["s1"]),
 ]
 
 
