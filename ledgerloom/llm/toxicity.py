@@ -53,49 +53,67 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def _insert(root: dict, letters: str, term: str) -> None:
+    for c in letters:
+        root = root.setdefault(c, {})
+    root[""] = term
+
+
+def _along(root: dict, token: str, fixed: int) -> list[str]:
+    """Terms of a trie within one edit of a token and with its first `fixed` letters.
+
+    The token's automaton steps along the branches.  Bit i of a state set: the
+    first i letters of the token are read; one set per number of edits so far.
+    """
+    masks: dict[str, int] = {}
+    for i, c in enumerate(token):
+        masks[c] = masks.get(c, 0) | 2 << i
+    end, out, stack = 1 << len(token), [], [(root, 1, 3, 0)]
+    while stack:
+        node, r0, r1, depth = stack.pop()
+        branches = node.items() if depth >= fixed else ((token[depth], node[token[depth]]),) if token[depth] in node else ()
+        for c, child in branches:
+            if not c:
+                if (r0 | r1) & end:
+                    out.append(child)
+                continue
+            m = masks.get(c, 0)
+            n0 = (r0 << 1) & m
+            n1 = ((r1 << 1) & m) | r0 | (r0 << 1) | (n0 << 1)
+            if n0 | n1:
+                stack.append((child, n0, n1, depth + 1))
+    return out
+
+
 class Trie:
-    """Terms by their letters; a node is a dict, its term under the key ''."""
+    """Terms by length, each length as a trie of its terms and one of them reversed; a node is a dict, its term under the key ''.
+
+    A term within one edit of a token has its first half as the token's
+    beginning, or its second half as the token's end, and about its length: only
+    the branches below such a half are walked.
+    """
 
     def __init__(self, terms: list[str]) -> None:
-        self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.sizes: dict[int, tuple[dict, dict, set, set]] = {}
         for t in terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-            self.heads.add(t[: len(t) // 2])
-            self.tails.add(t[len(t) // 2 :])
-
-    def may_match(self, token: str) -> bool:
-        """A token within one edit of a term has the term's first half in front or its second half at the end."""
-        n = len(token)
-        return any(token[:k] in self.heads or token[n - k :] in self.tails for k in range(max(1, n // 2 - 1), min(n, n // 2 + 2) + 1))
+            front, back, heads, tails = self.sizes.setdefault(len(t), ({}, {}, set(), set()))
+            _insert(front, t, t)
+            _insert(back, t[::-1], t)
+            heads.add(t[: len(t) // 2])
+            tails.add(t[len(t) // 2 :])
 
     def within_one(self, token: str) -> list[str]:
-        """All terms at edit distance 0 or 1: the token's automaton steps along the trie.
-
-        Bit i of a state set: the first i letters of the token are read; one set
-        per number of edits so far.
-        """
-        masks: dict[str, int] = {}
-        for i, c in enumerate(token):
-            masks[c] = masks.get(c, 0) | 2 << i
-        end, out = 1 << len(token), []
-        stack = [(self.root, 1, 3)]
-        while stack:
-            node, r0, r1 = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    if (r0 | r1) & end:
-                        out.append(child)
-                    continue
-                m = masks.get(c, 0)
-                n0 = (r0 << 1) & m
-                n1 = ((r1 << 1) & m) | r0 | (r0 << 1) | (n0 << 1)
-                if n0 | n1:
-                    stack.append((child, n0, n1))
-        return out
+        """All terms at edit distance 0 or 1."""
+        n, out = len(token), []
+        for size in (n - 1, n, n + 1):
+            if size in self.sizes:
+                front, back, heads, tails = self.sizes[size]
+                half = size // 2
+                if token[:half] in heads:
+                    out += _along(front, token, half)
+                if token[n - (size - half) :] in tails:
+                    out += _along(back, token[::-1], size - half)
+        return list(dict.fromkeys(out))
 
 
 FEATURES = ("hits", "rate", "strongest", "fuzzy", "length")
@@ -133,7 +151,7 @@ class Matcher(dict):
         weights += [m.stems[token[:k]] for k in STEM_LENGTHS if token[:k] in m.stems]
         if weights:
             got = (max(weights), False)
-        elif len(token) >= FUZZY_LENGTH - 1 and token not in m.known and self.trie.may_match(token):
+        elif len(token) >= FUZZY_LENGTH - 1 and token not in m.known:
             near = self.trie.within_one(token)
             if near:
                 got = (max(m.terms[t] for t in near), True)
@@ -198,7 +216,7 @@ def _lexicon(sample: DataFrame) -> tuple[dict, dict, frozenset]:
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[len(x) >= FUZZY_LENGTH - 1 and x not in every and trie.may_match(x) and bool(trie.within_one(x)) for x in pdf["w"]]]
+            yield pdf[[len(x) >= FUZZY_LENGTH - 1 and x not in every and bool(trie.within_one(x)) for x in pdf["w"]]]
 
     common = w.where((F.col("c") > 0) & (F.col("c") >= F.col("t"))).select("w", "c").mapInPandas(near, "w string, c long")
     known = frozenset(r["w"] for r in common.orderBy(F.desc("c"), "w").limit(10 * ENTRIES).collect())
