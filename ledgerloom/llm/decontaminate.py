@@ -69,11 +69,12 @@ def _ranks(x: np.ndarray) -> np.ndarray:
 
 
 def _folded(mins: np.ndarray, by: int) -> np.ndarray:
-    """Minima of runs of `by` columns."""
-    short = -mins.shape[1] % by
-    if short:
-        mins = np.concatenate([mins, np.full((len(mins), short), _MAX)], axis=1)
-    return mins.reshape(len(mins), -1, by).min(axis=2)
+    """Minima of runs of `by` columns, a power of two."""
+    while by > 1:
+        if mins.shape[1] % 2:
+            mins = np.concatenate([mins, np.full((len(mins), 1), _MAX)], axis=1)
+        mins, by = np.minimum(mins[:, ::2], mins[:, 1::2]), by // 2
+    return mins
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
