@@ -17,27 +17,28 @@ of the automaton that its texts run through, and traverses it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, small_batches, table, text_or_empty
 
 ORDER = 2
 MU = 10.0
 KAPPA = 0.6
 #: Bytes of text in a block, and of text per hash range of n-grams.
-BLOCK_BYTES = 12_000_000
-RANGE_BYTES = 12_000_000
-VOCABULARY = 500_000
+BLOCK_BYTES = 7_000_000
+RANGE_BYTES = 7_000_000
+#: Words whose hashes a worker remembers.
+VOCABULARY = 150_000
 
 _U = np.uint64
-_END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 
 
 class _Hashes(dict):
@@ -53,20 +54,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(27))
 
 
-def token_hashes(texts: list[str | None], seen: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, first position of each text); every text ends with the end token.
+def token_hashes(texts: Iterable[bytes], seen: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, first position of each text); every text ends with the end token, a space: no word holds one.
 
     Only A-Z are lowered and only ASCII white space splits, which is what bytes do.
     """
-    out: list[int] = []
-    starts = np.zeros(len(texts), np.int64)
+    out: list[np.ndarray] = []
+    lengths = [0]
     get = seen.__getitem__
-    for i, t in enumerate(texts):
-        starts[i] = len(out)
-        if t:
-            out.extend(map(get, t.encode("utf-8", "surrogatepass").lower().split()))
-        out.append(_END)
-    return np.array(out, np.uint64), starts
+    for t in texts:
+        words = t.lower().split()
+        words.append(b" ")
+        out.append(np.fromiter(map(get, words), np.uint64, len(words)))
+        lengths.append(len(words))
+    return np.concatenate(out), np.cumsum(lengths)[:-1]
 
 
 def grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +112,21 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, train) -> tuple[DataFra
     t = text_or_empty(text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(t) + 16), F.lit(1))).first()[0]
     n = max(1, -(-int(size) // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("id"), t.alias("text"), train.alias("train"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), max(1, -(-int(size) // RANGE_BYTES))
+    rows = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.pmod(F.xxhash64(F.col(id_col), t), F.lit(n)).cast("int").alias("block"), F.encode(t, "utf-8").alias("text"))
+    small_batches(docs.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield b.set_column(3, "text", pa.array([z.compress(x) for x in b.column(3).to_pylist()], pa.binary()))
+
+    return rows.mapInArrow(pack, rows.schema), max(1, -(-int(size) // RANGE_BYTES))
+
+
+def _unpacked(column: pa.ChunkedArray) -> Iterator[bytes]:
+    z = zstandard.ZstdDecompressor()
+    for x in column:
+        yield z.decompress(x.as_py())
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train=None, order: int = ORDER, mu: float = MU, kappa: float = KAPPA) -> DataFrame:
@@ -128,7 +142,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, ranges = _blocks(docs, id_col, text_col, train)
 
     def count(tab: pa.Table) -> pa.Table:
-        h, starts = token_hashes(tab.column("text").to_pylist(), _Hashes())
+        h, starts = token_hashes(_unpacked(tab.column("text")), _Hashes())
         own, block = tab.column("train").to_numpy(), tab.column("block")[0].as_py()
         packed = [(k, r, x, c) for k in range(1, order + 1) for r, x, c in _pack(k, *_counted(h, starts, own, k), ranges)]
         k, r, x, c = (list(v) for v in zip(*packed, strict=True))
@@ -168,8 +182,7 @@ def _scored(rows: DataFrame, totals: DataFrame, n: int, v: int, order: int, mu:
     id_type = rows.schema["id"].dataType.simpleString()
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        h, starts = token_hashes(texts, _Hashes())
+        h, starts = token_hashes(_unpacked(left.column("text")), _Hashes())
         train = left.column("train").to_numpy()
         sent: dict[int, tuple[list, list]] = {}
         for k, x, s in zip(right.column("k").to_pylist(), right.column("keys").to_pylist(), right.column("totals").to_pylist(), strict=True):
@@ -197,7 +210,7 @@ def _scored(rows: DataFrame, totals: DataFrame, n: int, v: int, order: int, mu:
                 p[at] = np.where(before > 0, ((1 - kappa) * c + (mu + kappa * before) * p[at]) / (before + mu), p[at])
             context = here
         sums = lambda a: np.add.reduceat(a, starts)
-        m = len(texts)
+        m = left.num_rows
         return pa.table({
             "id": left.column("id"), "n_tokens": pa.array(np.diff(np.r_[starts, len(h)]), pa.int64()), "n_known": pa.array(sums(known.astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": pa.array(sums(np.log10(base)), pa.float64()), "score": pa.array(sums(np.log10(p)), pa.float64()),
