@@ -1,29 +1,24 @@
 """Training-data operators: ten corpus operators and their registered queries.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage.  Its modules are imported
+when their queries are asked for, so that a Python worker loads only what its
+function needs.
 """
 
-from . import (
-    decontaminate,
-    lm_score,
-    media,
-    mixing,
-    near_dedup,
-    pages_text,
-    secrets,
-    sharding,
-    toxicity,
-    warc,
-)
+from importlib import import_module
 
-_MODULES = (near_dedup, sharding, warc, decontaminate, secrets, media, toxicity, pages_text, mixing, lm_score)
+_MODULES = ("near_dedup", "sharding", "warc", "decontaminate", "secrets", "media", "toxicity", "pages_text", "mixing", "lm_score")
+
+
+def _each():
+    return [import_module(f".{m}", __name__) for m in _MODULES]
 
 
 def queries():
     """All registered queries of the subpackage, by name."""
-    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+    return {name: fn for m in _each() for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql():
     """DuckDB SQL for the queries that SQL can express."""
-    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in _each() for name, sql in m.ORACLE_SQL.items()}

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -148,24 +147,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         k, r, x, c = (list(v) for v in zip(*packed, strict=True))
         return pa.table({"k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "block": pa.array([block] * len(k), pa.int32()), "keys": pa.array(x, pa.binary()), "counts": pa.array(c, pa.binary())})
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unplaned(x, np.uint64) for x in pdf["keys"]]
-        counts = [_unplaned(c, np.int32) for c in pdf["counts"]]
+    def total(tab: pa.Table) -> pa.Table:
+        keys = [_unplaned(x.as_py(), np.uint64) for x in tab.column("keys")]
+        counts = [_unplaned(x.as_py(), np.int32) for x in tab.column("counts")]
         u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-        blocks, out_k, out_s, at = [], [], [], 0
-        for block, x, c in zip(pdf["block"], keys, counts, strict=True):
+        out_k, out_s, at = [], [], 0
+        for x, c in zip(keys, counts, strict=True):
             mine = sums[inverse[at : at + len(x)]]
             at += len(x)
             other = mine != c
-            blocks.append(block)
             out_k.append(_planes(x[other]))
             out_s.append(_planes(mine[other]))
-        first = np.arange(len(blocks)) == 0  # the range's sums, told once
-        return pd.DataFrame({"k": int(pdf["k"].iloc[0]), "block": blocks, "keys": out_k, "totals": out_s, "n": first * int(sums.sum()), "v": first * int((sums > 0).sum())})
+        first = np.arange(len(keys)) == 0  # the range's sums, told once
+        return pa.table({
+            "k": tab.column("k"), "block": tab.column("block"), "keys": pa.array(out_k, pa.binary()), "totals": pa.array(out_s, pa.binary()),
+            "n": pa.array(first * int(sums.sum()), pa.int64()), "v": pa.array(first * int((sums > 0).sum()), pa.int64()),
+        })
 
     counted = rows.groupBy("block").applyInArrow(count, "k int, r int, block int, keys binary, counts binary")
-    totals = scratch.keep(counted.groupBy("k", "r").applyInPandas(total, "k int, block int, keys binary, totals binary, n long, v long"))
+    totals = scratch.keep(counted.groupBy("k", "r").applyInArrow(total, "k int, block int, keys binary, totals binary, n long, v long"))
     scratch.free()
     n, v = (int(x) for x in totals.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
     return _scored(rows, totals.where("length(keys) > 0").select("k", "block", "keys", "totals"), n, v, order, mu, kappa)
