@@ -147,6 +147,13 @@ class Builder:
             self.open.pop()
         if tag in ("a", "button", "nobr"):
             self.close_to(self.in_scope(tag))
+        if tag in ("td", "th", "tr", "caption", "colgroup", "col") or tag in SECTIONS:
+            # What stands in front of the table is over: back to the table's own elements.
+            at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ("table", "tr", "td", "th", "caption") or self.open[i].tag in SECTIONS), 0)
+            if at and self.open[at].tag not in ("td", "th", "caption"):
+                self.close_to(at + 1)
+        elif tag == "table" and (self.open[-1].tag in ("table", "tr") or self.open[-1].tag in SECTIONS):
+            self.close_to(self.in_scope("table", {"html"}))  # a table can't stand between cells: the open one ends
         here = self.open[-1].tag
         inside = here == "table" or here in SECTIONS or here == "tr"
         if tag in ("td", "th"):

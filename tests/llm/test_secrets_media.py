@@ -58,7 +58,7 @@ def png():
 def samples():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
-        f.writestr("a", "b" * 50)
+        f.writestr(zipfile.ZipInfo("a", (2020, 1, 1, 0, 0, 0)), "b" * 50)
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xda" + struct.pack(">H", 3) + b"c" + b"zz\xff\x00q" + b"\xff\xd9"
     bmp = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + struct.pack("<iiHH", 1, 1, 1, 24) + b"\0" * 24 + b"\1\2\3\0"
