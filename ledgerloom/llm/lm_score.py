@@ -26,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table, text_or_empty
+from .common import Scratch, give_back, small_batches, table, text_or_empty
 
 ORDER = 2
 MU = 10.0
 KAPPA = 0.6
-#: Bytes of text in a block, and of text per hash range of n-grams.
+#: Bytes of text in a block, and of text per hash range of n-grams: small ranges keep the rows between JVM and Python small.
 BLOCK_BYTES = 7_000_000
-RANGE_BYTES = 7_000_000
+RANGE_BYTES = 2_000_000
 #: Words whose hashes a worker remembers.
 VOCABULARY = 150_000
 
@@ -145,6 +145,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own, block = tab.column("train").to_numpy(), tab.column("block")[0].as_py()
         packed = [(k, r, x, c) for k in range(1, order + 1) for r, x, c in _pack(k, *_counted(h, starts, own, k), ranges)]
         k, r, x, c = (list(v) for v in zip(*packed, strict=True))
+        give_back()
         return pa.table({"k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "block": pa.array([block] * len(k), pa.int32()), "keys": pa.array(x, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     def total(tab: pa.Table) -> pa.Table:
@@ -159,6 +160,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             other = mine != c
             out_k.append(_planes(x[other]))
             out_s.append(_planes(mine[other]))
+        give_back()
         first = np.arange(len(keys)) == 0  # the range's sums, told once
         return pa.table({
             "k": tab.column("k"), "block": tab.column("block"), "keys": pa.array(out_k, pa.binary()), "totals": pa.array(out_s, pa.binary()),
@@ -212,6 +214,7 @@ def _scored(rows: DataFrame, totals: DataFrame, n: int, v: int, order: int, mu:
             context = here
         sums = lambda a: np.add.reduceat(a, starts)
         m = left.num_rows
+        give_back()
         return pa.table({
             "id": left.column("id"), "n_tokens": pa.array(np.diff(np.r_[starts, len(h)]), pa.int64()), "n_known": pa.array(sums(known.astype(np.int64)), pa.int64()),
             "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": pa.array(sums(np.log10(base)), pa.float64()), "score": pa.array(sums(np.log10(p)), pa.float64()),
