@@ -1,8 +1,8 @@
 """Operator 8: layout-aware text of HTML pages.
 
 A tokenizer and a tree builder with implied tags make an element tree; rules of
-visibility (elements, attributes, inline styles and simple style-sheet rules)
-decide what is shown; a renderer lays blocks, lists and tables out as text.
+visibility (elements, attributes, and the cascade of inline styles and simple
+style-sheet rules on a screen) decide what is shown; a renderer lays blocks, lists and tables out as text.
 """
 
 from __future__ import annotations
@@ -54,11 +54,23 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-_UNSEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse)", re.I)
-_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
+_CSS = re.compile(r""""(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|url\(\s*[^"')\s][^)]*\)?|[{};]""", re.S | re.I)
+_COMMA = re.compile(r",(?![^(\[]*[)\]])")
+_LENGTH = re.compile(r"^([\d.]+)(px|em|rem|in|cm|mm|pt)?$")
+_RANGE = re.compile(r"^(?:([\d.]+\w*)\s*(<=?|>=?|=)\s*)?(width|height)(?:\s*(<=?|>=?|=)\s*([\d.]+\w*))?$")
+#: The screen that pages are read on, for media queries: pixels of a length's unit, and what it answers to features.
+UNITS = {"": 1, "px": 1, "em": 16, "rem": 16, "in": 96, "cm": 96 / 2.54, "mm": 9.6 / 2.54, "pt": 4 / 3}
+SCREEN = {"width": 1280, "height": 800}
+FEATURES = {
+    "orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference",
+    "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled", "update": "fast", "grid": "0",
+}
+DISPLAYS = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group table-footer-group table-column "
+    "table-column-group table-caption list-item contents flow flow-root run-in ruby math inherit initial unset revert revert-layer -webkit-box -webkit-flex -webkit-inline-box -ms-flexbox".split()
+)
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert revert-layer".split())
 _SELECTOR = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 
 
@@ -240,7 +252,8 @@ def parse(source: str) -> Builder:
             end, after = (close.start(), close.end()) if close else (n, n)
             raw = source[pos:end]
             if tag == "style":
-                b.styles.append(raw)
+                if on_screen(attrs.get("media", "")):
+                    b.styles.append(raw)
             elif tag in ("textarea", "plaintext", "xmp"):
                 b.start(tag, attrs)
                 b.open[-1].kids.append(entities.unescape(raw) if tag == "textarea" else raw)
@@ -251,40 +264,186 @@ def parse(source: str) -> Builder:
     return b
 
 
+def _compare(x: float, sign: str, y: float) -> bool:
+    return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y, "=": x == y}[sign]
+
+
+def _pixels(s: str) -> float | None:
+    m = _LENGTH.match(s)
+    try:
+        return float(m[1]) * UNITS[m[2] or ""] if m else None
+    except ValueError:
+        return None
+
+
+def _feature(s: str) -> bool | None:
+    """Whether the screen has a media feature; None if that is not known."""
+    name, colon, value = (x.strip() for x in s.partition(":"))
+    if not colon:
+        m = _RANGE.match(name)
+        if not m:
+            return FEATURES[name] not in ("no-preference", "0") if name in FEATURES else None
+        at, ok = SCREEN[m[3]], True
+        for length, sign, left in ((m[1], m[2], True), (m[5], m[4], False)):
+            if length:
+                px = _pixels(length)
+                if px is None:
+                    return None
+                ok = ok and (_compare(px, sign, at) if left else _compare(at, sign, px))
+        return ok
+    side, _, base = name.partition("-")
+    if name in SCREEN or (side in ("min", "max") and base in SCREEN):
+        px = _pixels(value)
+        return None if px is None else _compare(SCREEN[base or name], {"min": ">=", "max": "<="}.get(side, "="), px)
+    return FEATURES[name] == value if name in FEATURES else None
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on SCREEN; a query that isn't understood doesn't."""
+    media = media.strip().lower()
+    if not media:
+        return True
+    for query in media.split(","):
+        query = _SPACE.sub(" ", query).strip()
+        negated = query.startswith("not ")
+        query = query[4:] if negated else query.removeprefix("only ")
+        answer: bool | None = False
+        for choice in re.split(r"(?<=\)) or (?=\()", query):
+            held: bool | None = True
+            for i, part in enumerate(choice.split(" and ")):
+                part = part.strip()
+                if part.startswith("(") and part.endswith(")") and "(" not in part[1:]:
+                    one = _feature(part[1:-1].strip())
+                else:
+                    one = part in ("all", "screen") if not i and re.fullmatch(r"[a-z-]+", part) else None
+                held = False if held is False or one is False else None if held is None or one is None else True
+            answer = True if answer or held else None if answer is None or held is None else False
+        if answer is not None and answer != negated:
+            return True
+    return False
+
+
+def _declared(body: str) -> dict[str, tuple[str, bool]]:
+    """The valid display and visibility of a list of declarations, each with whether it is important; the last one of the most important counts."""
+    out: dict[str, tuple[str, bool]] = {}
+    low, start = body.lower(), 0
+    if "display" not in low and "visibility" not in low:
+        return out
+    for end in [m.start() for m in _CSS.finditer(low) if m[0] == ";"] + [len(low)]:
+        name, _, value = low[start:end].partition(":")
+        name, start = name.strip(), end + 1
+        if name not in ("display", "visibility"):
+            continue
+        value, bang, word = value.partition("!")
+        words = value.split()
+        important = bool(bang) and word.strip() == "important"
+        known = DISPLAYS if name == "display" else VISIBILITIES
+        if not words or (bang and not important) or not set(words) <= known or (len(words) > 1 and name == "visibility"):
+            continue
+        if important or not out.get(name, ("", False))[1]:
+            out[name] = (words[0], important)
+    return out
+
+
 class Styles:
-    """Rules of style sheets with a simple selector (tag, .class, #id and their combinations)."""
+    """Display and visibility by rules of style sheets with a simple selector (tag, .class, #id and their combinations).
+
+    Of the rules that apply to a screen the cascade decides: importance, layers,
+    specificity, then order.  At-rules whose condition doesn't hold or isn't
+    understood are skipped with all they hold.
+    """
 
     def __init__(self, sheets: list[str]) -> None:
-        self.rules: list[tuple[str, set[str], str, str]] = []
+        #: (tag, classes, ids, specificity, layered, property -> (value, important)), in order
+        self.rules: list[tuple[str, set[str], set[str], tuple[int, int, int], bool, dict[str, tuple[str, bool]]]] = []
         for sheet in sheets:
-            for m in _RULE.finditer(_COMMENT.sub(" ", sheet)):
-                hides = "gone" if _GONE.search(m[2]) else "unseen" if _UNSEEN.search(m[2]) else ""
-                for selector in m[1].split(",") if hides else ():
-                    s = _SELECTOR.match(selector.strip())
-                    if s and (s[1] or s[2]):
-                        parts = re.findall(r"[.#][\w-]+", s[2])
-                        ids = [p[1:] for p in parts if p[0] == "#"]
-                        self.rules.append(((s[1] or "*").lower(), {p[1:] for p in parts if p[0] == "."}, ids[0] if ids else "", hides))
-
-    def of(self, node: Node) -> str:
+            self._read(_COMMENT.sub(" ", sheet).replace("<!--", " ").replace("-->", " "))
+
+    def _read(self, sheet: str) -> None:
+        work = [(sheet, False)]  # the rest of a block, whether it lies in a layer
+        while work:
+            css, layered = work.pop()
+            start = depth = body = 0
+            for m in _CSS.finditer(css):
+                sign = m[0]
+                if sign == "{":
+                    depth += 1
+                    body = m.end() if depth == 1 else body
+                elif sign == "}" and depth:
+                    depth -= 1
+                    if not depth:
+                        inner = self._rule(css[start : body - 1].strip(), css[body : m.start()], layered)
+                        start = m.end()
+                        if inner:  # its rules come before those that follow
+                            work += [(css[start:], layered), inner]
+                            break
+                elif not depth and (sign == "}" or (sign == ";" and css[start : m.start()].lstrip().startswith("@"))):
+                    start = m.end()
+            else:
+                if depth and (inner := self._rule(css[start : body - 1].strip(), css[body:] + "}" * (depth - 1), layered)):
+                    work.append(inner)
+
+    def _rule(self, head: str, body: str, layered: bool) -> tuple[str, bool] | None:
+        """Take a rule; of an at-rule that applies, return what is to be read."""
+        if head.startswith("@"):
+            name, _, rest = head[1:].replace("(", " (", 1).partition(" ")
+            name, rest = name.lower(), rest.strip()
+            if (name == "media" and on_screen(rest)) or (name == "supports" and not rest.lower().startswith("not")):
+                return body, layered
+            return (body, True) if name == "layer" else None
+        if "{" in body:  # nested rules are not read, the declarations around them are
+            parts, depth, start = [], 0, 0
+            for m in _CSS.finditer(body):
+                if m[0] == ";" and not depth:
+                    parts.append(body[start : m.end()])
+                    start = m.end()
+                elif m[0] in "{}":
+                    depth = max(depth + (1 if m[0] == "{" else -1), 0)
+                    start = m.end() if not depth else start
+            body = "".join(parts) + (body[start:] if not depth else "")
+        found = _declared(body)
+        for selector in _COMMA.split(head) if found else ():
+            s = _SELECTOR.match(selector.strip())
+            if s and (s[1] or s[2]):
+                parts = re.findall(r"[.#][\w-]+", s[2])
+                classes, ids = ({p[1:] for p in parts if p[0] == sign} for sign in ".#")
+                tag = (s[1] or "*").lower()
+                n = sum(p[0] == "#" for p in parts)
+                self.rules.append((tag, classes, ids, (n, len(parts) - n, int(tag != "*")), layered, found))
+        return None
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The display and visibility that style sheets and the style attribute give an element."""
+        inline = _declared(node.attrs["style"]) if node.attrs.get("style") else {}
         if not self.rules:
-            return ""
-        classes, ident = set(node.attrs.get("class", "").split()), node.attrs.get("id", "")
-        found = {h for tag, cls, i, h in self.rules if tag in ("*", node.tag) and cls <= classes and (not i or i == ident)}
-        return "gone" if "gone" in found else "unseen" if found else ""
+            return {k: v for k, (v, _) in inline.items()}
+        classes, ident = set(node.attrs.get("class", "").split()), {node.attrs.get("id", "")}
+        best: dict[str, tuple] = {}
+        for order, (tag, cls, ids, weight, layered, found) in enumerate(self.rules):
+            if tag in ("*", node.tag) and cls <= classes and ids <= ident:
+                for k, (v, important) in found.items():
+                    key = (important, False, layered == important, weight, order, v)
+                    best[k] = max(best.get(k, key), key)
+        for k, (v, important) in inline.items():
+            key = (important, True, True, (0, 0, 0), 0, v)
+            best[k] = max(best.get(k, key), key)
+        return {k: key[-1] for k, key in best.items()}
 
 
 def visibility(node: Node, styles: Styles, parent_seen: bool) -> tuple[bool, bool]:
     """(rendered at all, its own text seen)."""
-    a, style = node.attrs, node.attrs.get("style", "")
-    if node.tag in HIDDEN or "hidden" in a or _GONE.search(style) or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
+    a = node.attrs
+    if node.tag in HIDDEN or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False, False
-    rule = styles.of(node)
-    if rule == "gone":
+    style = styles.of(node)
+    # A rule of the page goes before the browser's own for the attribute and for closed dialogs.
+    display = style.get("display", "")
+    if display in ("", "revert", "revert-layer"):
+        display = "none" if "hidden" in a or (node.tag == "dialog" and "open" not in a) else ""
+    if display == "none":
         return False, False
-    if _SEEN.search(style):
-        return True, True
-    return True, parent_seen and rule != "unseen" and not _UNSEEN.search(style)
+    seen = style.get("visibility", "")
+    return True, True if seen in ("visible", "initial") else False if seen in ("hidden", "collapse") else parent_seen
 
 
 class Lines:

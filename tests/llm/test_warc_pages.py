@@ -121,3 +121,39 @@ def test_table_of_pages(spark):
     got = sorted(tuple(r) for r in pt.html_to_text(df).collect())
     assert got == [(1, "a\n\nb", 4, 3, 2)] * 2 + [(2, "", 0, 0, 0)]
     assert pt.html_to_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sheet, want", [
+    ("<style>@media print { .n { display:none } }</style>", "text"),
+    ("<style media=print>.n{display:none}</style>", "text"),
+    ("<style media='screen and (min-width: 40em)'>.n{display:none}</style>", ""),
+    ("<style>@media (max-width:600px){.n{display:none}} @media only screen and (width <= 500px){p{display:none}}</style>", "text"),
+    ("<style>@media print, screen{.n{display:none}}</style>", ""),
+    ("<style>@media not print{.n{display:none}}</style>", ""),
+    ("<style>@media not screen{.n{display:none}}</style>", "text"),
+    ("<style>@media (unheard-of){.n{display:none}}</style>", "text"),
+    ("<style>@media screen{@media print{.n{display:none}} p{color:red}}</style>", "text"),
+    ("<style>@media screen{.n{display:none}} .n{display:block}</style>", "text"),
+    ("<style>@import 'x';.n{display:none}</style>", ""),
+    ("<style>.n{display:none} .n{display:block}</style>", "text"),
+    ("<style>p.n{display:none} .n{display:block}</style>", ""),
+    ("<style>#i{display:block} p.n{display:none}</style>", "text"),
+    ("<style>.n{display:none !important} #i{display:block}</style>", ""),
+    ("<style>.n{display:none;display:block}</style>", "text"),
+    ("<style>.n{display:none;display:nonsense}</style>", ""),
+    ("<style>.n{content:'}';display:none}</style>", ""),
+    ("<style>.n{visibility:hidden} p{visibility:visible}</style>", ""),
+    ("<style>p{visibility:hidden} .n{visibility:visible}</style>", "text"),
+    ("<style>@layer a{#i{display:none}} p{display:block}</style>", "text"),
+    ("<style>div:not(.a, p, .b){display:none}</style>", "text"),
+    ("<style>@font-face{src:url(a;b)} @keyframes k{from{display:none}} .n{display:none", ""),
+])
+def test_style_rules_on_a_screen(sheet, want):
+    page = sheet + ("</style>" if sheet.count("<style") > sheet.count("</style") else "")
+    assert pt.render(page + "<p class=n id=i>text</p>") == want
+
+
+def test_inline_style_and_attribute_in_the_cascade():
+    assert pt.render("<style>.n{display:none}</style><p class=n style='display:block'>a</p>") == "a"
+    assert pt.render("<style>.n{display:none!important}</style><p class=n style='display:block'>a</p>") == ""
+    assert pt.render("<style>.n{display:block}</style><p class=n hidden>a</p><p hidden>b</p>") == "a"
