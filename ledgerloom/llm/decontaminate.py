@@ -6,7 +6,8 @@ of two blocks of u shingles, so that an item inside it lies inside one window of
 bounded size and their Jaccard similarity has a lower bound that doesn't depend
 on the document's length.  A window that shares one of HASHES min-hashes with an
 item of its level makes a candidate; exact containment of the item's shingles in
-the whole document decides.
+the whole document decides.  Items of up to BLOCK shingles, of which a document
+must hold all, are sought by one of their shingles itself, which misses none.
 """
 
 from __future__ import annotations
@@ -81,51 +82,69 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(*(words[j:] for j in range(K)), strict=False))
 
 
+def _probes(found: list[tuple]) -> tuple:
+    """(bitmap, sorted keys, their items) of (item, keys) pairs."""
+    keys = np.concatenate([m for _, m in found])
+    at = np.repeat([i for i, _ in found], [len(m) for _, m in found])
+    order = np.argsort(keys, kind="stable")
+    bitmap = np.zeros(1 << _BITS, bool)
+    bitmap[keys & _U((1 << _BITS) - 1)] = True
+    return bitmap, keys[order], at[order]
+
+
+def _probe(x: np.ndarray, probes: tuple, out: set[int]) -> None:
+    """Add the items that have one of the values among their keys."""
+    bitmap, keys, at = probes
+    hit = x[bitmap[x & _U((1 << _BITS) - 1)]]
+    if len(hit):
+        lo, hi = np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")
+        for a, b in zip(lo[lo < hi], hi[lo < hi], strict=True):
+            out.update(at[a:b].tolist())
+
+
 @dataclass
 class Index:
     """Items with their min-hashes by level."""
 
     items: list[tuple]  # (id, set of shingles)
     levels: dict  # u -> (bitmap, sorted min-hashes, item positions)
+    short: tuple | None  # the same of the least shingles of items of up to BLOCK shingles
 
     @staticmethod
     def of(rows: list[tuple]) -> Index:
         """rows: (id, text). Items of fewer than five words have no shingle and are left out."""
-        items, by_level, seen = [], {}, _Hashes()
+        items, by_level, short, seen = [], {}, [], _Hashes()
         for ident, text in rows:
             w = words_of(text)
             x = np.unique(_shingle_hashes(w, seen))
             if not len(x):
                 continue
+            own = shingles(w)
+            if len(own) <= BLOCK:
+                short.append((len(items), x[:1]))
+                items.append((ident, own))
+                continue
             u = BLOCK
             while u < len(w) - K + 1:
                 u *= 2
             by_level.setdefault(u, []).append((len(items), _ranks(x).min(axis=1)))
-            items.append((ident, shingles(w)))
-        levels = {}
-        for u, found in sorted(by_level.items()):
-            keys = np.concatenate([m for _, m in found])
-            at = np.repeat([i for i, _ in found], HASHES)
-            order = np.argsort(keys, kind="stable")
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[keys & _U((1 << _BITS) - 1)] = True
-            levels[u] = (bitmap, keys[order], at[order])
-        return Index(items, levels)
+            items.append((ident, own))
+        return Index(items, {u: _probes(found) for u, found in sorted(by_level.items())}, _probes(short) if short else None)
 
     def candidates(self, x: np.ndarray) -> set[int]:
-        """Positions of items that share a min-hash with a window of their level."""
+        """Positions of items that share a min-hash with a window of their level, and of short ones whose least shingle is there."""
         out: set[int] = set()
-        if not len(x) or not self.levels:
+        if not len(x):
+            return out
+        if self.short is not None:
+            _probe(x, self.short, out)
+        if not self.levels:
             return out
         mins, size = _folded(_ranks(x), BLOCK), BLOCK
-        for u, (bitmap, keys, at) in self.levels.items():
+        for u, level in self.levels.items():
             mins, size = (_folded(mins, u // size), u) if u > size else (mins, size)
             w = np.minimum(mins[:, :-1], mins[:, 1:]) if mins.shape[1] > 1 else mins
-            hit = w[bitmap[w & _U((1 << _BITS) - 1)]]
-            if len(hit):
-                lo, hi = np.searchsorted(keys, hit, "left"), np.searchsorted(keys, hit, "right")
-                for a, b in zip(lo[lo < hi], hi[lo < hi], strict=True):
-                    out.update(at[a:b].tolist())
+            _probe(w, level, out)
         return out
 
     def hits(self, text: str | None, seen: _Hashes) -> list[tuple]:

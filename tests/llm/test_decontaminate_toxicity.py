@@ -130,3 +130,14 @@ def test_few_labels_fall_back_to_the_seed(spark):
     rows = spark.createDataFrame([(1, "you idiot, you pathetic moron"), (2, "good morning to all of you")], "doc_id long, text string")
     assert {r["doc_id"]: r["score"] >= 0.3 for r in tx.score_toxicity(rows, model, keep=("doc_id",)).collect()} == {1: True, 2: False}
     assert tx.score_toxicity(rows.limit(0), model).count() == 0
+
+
+def test_short_items_are_never_missed():
+    r = random.Random(7)
+    seen = dc._Hashes()
+    for k in range(2000):
+        item = " ".join(f"i{k}x{j}" for j in range(5 + k % 4 * (k % 3 == 0)))
+        text = " ".join([f"a{r.randrange(9999)}" for _ in range(30)] + [item] + [f"b{r.randrange(9999)}" for _ in range(30)])
+        index = dc.Index.of([(k, item)])
+        assert [h[0] for h in index.hits(text, seen)] == [k]
+        assert not index.hits(text.replace(f"i{k}x4", "other"), seen)
