@@ -8,6 +8,7 @@ declared type can be corrected and embedded media carved out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,9 @@ SIGNATURES = (
     (b"\x1f\x8b\x08", 0, "application/gzip"),
 )
 
+_STARTXREF = re.compile(rb"startxref\s+(\d{1,18})")
+_XREF = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)")
+
 
 def _wav(b: bytes, at: int) -> int:
     """Length of the WAV medium at an offset, 0 if its chunks don't hold together."""
@@ -153,8 +157,29 @@ def _mp4(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    """To the last %%EOF that follows its own startxref: linearized files and saved revisions have several.
+
+    Behind the header of another PDF, only a section counts whose startxref leads to a place of this one behind that header.
+    """
+    length, pos, other = 0, at, -1
+    while (end := b.find(b"%%EOF", pos)) >= 0:
+        mark = b.rfind(b"startxref", pos, end)
+        head = b.find(b"%PDF-", max(pos, at + 5), mark) if mark > 0 else -1
+        if other < 0 and head >= 0:
+            if length and not b[at + length : head].strip():
+                break
+            other = head
+        if mark > 0 and (other < 0 or not length or _xref_behind(b, at, mark, other)):
+            length = end + 5 - at
+        pos = end + 5
+    return length
+
+
+def _xref_behind(b: bytes, at: int, mark: int, other: int) -> bool:
+    """Whether a startxref, read from the PDF's start, leads to a cross-reference behind `other`."""
+    m = _STARTXREF.match(b, mark)
+    place = at + int(m[1]) if m else -1
+    return other < place < mark and bool(_XREF.match(b, place))
 
 
 def _zip(b: bytes, at: int) -> int:

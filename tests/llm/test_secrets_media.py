@@ -98,3 +98,16 @@ def test_payload_round_trip(spark):
         stored = md.to_wav(p)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert got[0]["feature"] == got[1]["feature"]
+
+
+def test_pdf_ends_at_its_last_section():
+    first = b"%PDF-1.4 1 0 obj x endobj xref 0 startxref 25 %%EOF\n"
+    saved = first + b"2 0 obj y endobj xref 1 startxref 69 %%EOF"
+    a = md.automaton()
+    assert [x for x in md.sniff(b"--" + saved + b"\n--", a)] == [(2, len(saved), "application/pdf")]
+    assert md.sniff(saved + b"\n" + first, a) == [(0, len(saved), "application/pdf"), (len(saved) + 1, len(first) - 1, "application/pdf")]
+    assert md.sniff(saved + b" -- " + saved, a) == [(0, len(saved), "application/pdf"), (len(saved) + 4, len(saved), "application/pdf")]
+    body = b"%PDF-1.4 stream " + first + b"endstream "
+    outer = body + b"xref 2 startxref %d %%%%EOF" % len(body)
+    assert md.sniff(outer, a)[0] == (0, len(outer), "application/pdf")
+    assert md.sniff(b"%PDF-1.4 no end startxref", a) == [] and md.sniff(b"%PDF-1.4 %%EOF", a) == []
