@@ -1,6 +1,6 @@
-"""Operator 10: language-model scoring by a weighted backoff automaton.
+"""Operator 10: language-model scoring with the probabilities of a weighted backoff automaton.
 
-States are the contexts seen in training; a state has an arc for every token
+Its states are the contexts seen in training; a state has an arc for every token
 seen after it, weighted by the smoothed log-probability, and a failure arc to
 the next shorter context.  With MU pseudo-counts and a share KAPPA of every count
 given to the shorter context h',
@@ -11,8 +11,9 @@ probability.
 The whole automaton of a corpus fits nowhere.  Documents are dealt into blocks of
 bounded size.  A block sends its distinct n-grams with their counts, packed by
 hash range; each range is summed up over the blocks, and a block gets back the
-totals of those n-grams that others hold as well.  With these it builds the part
-of the automaton that its texts run through, and traverses it.
+totals of those n-grams that others hold as well.  With these it computes what the
+automaton gives its texts; states and arcs are not built: for one order after the
+other, the counts of all positions are looked up in arrays and interpolated at once.
 """
 
 from __future__ import annotations
