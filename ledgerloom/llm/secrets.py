@@ -8,12 +8,13 @@ one that a single owner holds and that looks random is taken for live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_or_empty
+from .common import Scratch, fresh, table, text_or_empty
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,26 +42,52 @@ BASE = (
 EXTRA = Kind("opaque", OPAQUE, 0, 24, OPAQUE)
 
 
+#: Matches whose positions are summed up at once; the sums of the runs are added up after that.
+RUN = 128
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: inside a lambda, what doesn't depend on its argument is computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(parts: Column, kind: Kind) -> Column:
+    """Positions of matches given as (gap before, length, value): running sums, run by run, so that no long array is copied for each match."""
+    spans_t = "array<struct<start:int,end:int,kind:string,value:string>>"
+    runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(parts) / F.lit(RUN)).cast("int") - 1, F.lit(0)))
+    run = lambda c: F.slice(parts, c * RUN + 1, F.lit(RUN))
+    sums = F.transform(runs, lambda c: F.aggregate(run(c), F.lit(0), lambda s, m: s + m["gap"] + m["len"]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    firsts = F.aggregate(sums, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def inside(first: Column, c: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast(spans_t).alias("out"))
+        return F.aggregate(run(c), state, lambda s, m: F.struct(
+            (s["at"] + m["gap"] + m["len"]).alias("at"),
+            F.concat(s["out"], F.array(F.struct(
+                (s["at"] + m["gap"]).alias("start"), (s["at"] + m["gap"] + m["len"]).alias("end"), F.lit(kind.name).alias("kind"), m["value"].alias("value"),
+            ))).alias("out"),
+        ), lambda s: s["out"])
+
+    return F.flatten(F.zip_with(firsts, runs, inside))
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """array<struct<start, end, kind, value>>: leftmost non-overlapping matches, failing ones dropped.
 
     The pieces between the matches and the matches themselves give every
-    position, in code points, end exclusive.
+    position, in code points, end exclusive; time is linear in the text but for
+    the runs of RUN matches.
     """
     p = F.lit(kind.pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     value = F.regexp_extract_all(text, p, F.lit(kind.group)) if kind.group else whole
-    parts = F.zip_with(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")),
+    parts = F.zip_with(F.split(text, kind.pattern, -1), F.arrays_zip(whole.alias("w"), value.alias("v")),
                        lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b["w"]).alias("len"), b["v"].alias("value")))
-    kind_t = "array<struct<start:int,end:int,kind:string,value:string>>"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind_t).alias("out"))
-    found = F.aggregate(parts, state, lambda s, m: F.struct(
-        (s["at"] + m["gap"] + m["len"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct(
-            (s["at"] + m["gap"]).alias("start"), (s["at"] + m["gap"] + m["len"]).alias("end"), F.lit(kind.name).alias("kind"), m["value"].alias("value"),
-        ))).alias("out"),
-    ), lambda s: F.filter(s["out"], lambda x: F.length(x["value"]) >= kind.least))
-    return F.when(text.rlike(kind.guard), found).otherwise(F.array().cast(kind_t))
+    # The piece behind the last match has no partner: its length is null.
+    found = _let(F.filter(parts, lambda m: m["len"].isNotNull()), lambda x: _placed(x, kind))
+    kept = F.filter(found, lambda x: F.length(x["value"]) >= kind.least)
+    return F.when(text.rlike(kind.guard), kept).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
 
 
 def random_looking(v: Column) -> Column:
@@ -88,33 +115,36 @@ def ownership(found: DataFrame, value: str, repo: str, owner: str) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", copied_owners: int = 3,
+    docs: DataFrame, text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", copied_owners: int = 3, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """docs and the column secrets: array<struct<start, end, kind, value_sha256, n_repos, n_owners, verdict>>.
+    """The keep columns of docs (all if None) and secrets: array<struct<start, end, kind, value_sha256, n_repos, n_owners, verdict>>.
 
     verdict is `copied` if at least copied_owners owners hold the value, `live`
     if fewer do and it looks random, else `plain`.  Counts cover all rows of
     docs.  Null and empty texts have an empty array; repeated rows count once
-    per owner.  A column of docs named secrets is replaced.
+    per owner; texts of any length are read whole.  A column of docs named
+    secrets is replaced.  The patterns run once: the candidates of each row are
+    written to the shared folder, and rows without any meet no other row.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "secrets"])
-    digest, arr = fresh(docs, "_digest"), fresh(docs, "_found")
+    kept = list(docs.columns if keep is None else keep)
+    row, cands, repo, owner, arr = (fresh(docs, n) for n in ("_row", "_found", "_repo", "_owner", "_secrets"))
     text = text_or_empty(text_col)
-    key = F.sha2(text, 256)
-    texts = docs.select(text.alias("t"), F.struct(*repo_cols).alias("repo"), F.col(owner_col).alias("owner"))
-    texts = texts.where(F.col("t").rlike(f"{HEX}|AKIA|[:=]|{OPAQUE}"))
-    # A struct column can't be re-evaluated per field: explode makes the array once a row.
-    found = texts.select(F.sha2("t", 256).alias("d"), "repo", "owner", F.explode(candidates(F.col("t"))).alias("x"))
-    found = found.select("d", "repo", "owner", F.col("x.start"), F.col("x.end"), F.col("x.kind"), F.sha2("x.value", 256).alias("v"), random_looking(F.col("x.value")).alias("random"))
-    counts = ownership(found, "v", "repo", "owner")
+    slim = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.sha2(x["value"], 256).alias("v"), random_looking(x["value"]).alias("random"))
+    array_t = "array<struct<start:int,end:int,kind:string,v:string,random:boolean>>"
+    some = F.when(text.rlike(f"{HEX}|AKIA|[:=]|{OPAQUE}"), F.transform(candidates(text), slim)).otherwise(F.array().cast(array_t))
+    scanned = Scratch(docs.sparkSession).keep(docs.select(
+        *kept, F.monotonically_increasing_id().alias(row), F.struct(*repo_cols).alias(repo), F.col(owner_col).alias(owner), some.alias(cands)
+    ))
+    hit = scanned.where(F.size(cands) > 0)
+    found = hit.select(row, repo, owner, F.inline(cands))
+    counts = ownership(found, "v", repo, owner)
     verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when(F.col("random"), "live").otherwise("plain")
-    marked = (
-        found.groupBy("d", "start", "end", "kind", "v").agg(F.first("random").alias("random")).join(counts, "v")
-        .select("d", F.struct("start", "end", "kind", F.col("v").alias("value_sha256"), "n_repos", "n_owners", verdict.alias("verdict")).alias("s"))
-        .groupBy(F.col("d").alias(digest)).agg(F.sort_array(F.collect_list("s")).alias(arr))
-    )
+    one = F.struct("start", "end", "kind", F.col("v").alias("value_sha256"), "n_repos", "n_owners", verdict.alias("verdict"))
+    marked = found.select(row, "start", "end", "kind", "v", "random").join(counts, "v").groupBy(row).agg(F.sort_array(F.collect_list(one)).alias(arr))
     none = F.array().cast(marked.schema[arr].dataType)
-    return docs.withColumn(digest, key).join(marked, digest, "left").select(*docs.columns, F.coalesce(arr, none).alias("secrets"))
+    without = scanned.where(F.size(cands) == 0).select(*kept, none.alias("secrets"))
+    return hit.select(*kept, row).join(marked, row).select(*kept, F.col(arr).alias("secrets")).unionByName(without)
 
 
 def _line(x: Column) -> Column:
@@ -132,7 +162,7 @@ def _joined(arr: Column) -> Column:
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents; owners are sources, repositories are (source, lang)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    s = scan_secrets(docs).select("doc_id", "secrets")
+    s = scan_secrets(docs, keep=("doc_id",))
     one = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind"))
     plain = lambda x, kind=None: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["kind"] if kind is None else kind).alias("kind"))
     s = s.select(

@@ -3,6 +3,7 @@ import hashlib
 import io
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -50,6 +51,25 @@ def test_ownership_separates_copied_from_live(spark):
     assert sc.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_linear_time(spark):
+    """1 MB with 50,000 matches, beyond many runs of summed positions, and every position right."""
+    text = "".join(f"é token=abcdefghij{i:05d}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, "s", "en"), (2, text[: 24 * 300 + 7], "s", "en")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "assign"] for r in sc.scan_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1] == [(a, b) for a, _, b, _ in base(text)] and len(got[1]) == 50_000
+    assert got[2] == [(a, b) for a, _, b, _ in base(text[: 24 * 300 + 7])]
+
+
+def test_secrets_column_is_replaced_and_others_stay(spark):
+    docs = spark.createDataFrame([(1, f"token={KEY}", "a", "en", "old", 5, 7), (2, "", None, None, None, None, None)], "doc_id long, text string, source string, lang string, secrets string, _row long, _found long")
+    got = sc.scan_secrets(docs)
+    assert got.columns == ["doc_id", "text", "source", "lang", "_row", "_found", "secrets"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert (rows[1]["_row"], rows[1]["_found"], [x["kind"] for x in rows[1]["secrets"]]) == (5, 7, ["assign", "opaque"]) and rows[2]["secrets"] == []
+
+
 def png():
     chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
