@@ -7,6 +7,7 @@ declared type can be corrected and embedded media carved out.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -36,6 +37,7 @@ SIGNATURES = (
     (b"\x1f\x8b\x08", 0, "application/gzip"),
 )
 
+_PDF_MARK = re.compile(rb"%PDF-|startxref|%%EOF")
 _STARTXREF = re.compile(rb"startxref\s+(\d{1,18})")
 _XREF = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)")
 
@@ -132,82 +134,136 @@ def _flac(b: bytes, at: int) -> int:
     return len(b) - at if last and pos + 2 <= len(b) and b[pos] == 0xFF and b[pos + 1] >> 2 == 0x3E else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
-    while pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS" and b[pos + 4] == 0:
+def _ogg(b: bytes, at: int, memo: dict) -> int:
+    """To the page that ends the stream. Pages lead to the same end wherever the walk began, so ends are kept by place."""
+    pos, walked, end = at, [], -1
+    while ("ogg", pos) not in memo:
+        walked.append(pos)
+        if pos + 27 > len(b) or b[pos : pos + 4] != b"OggS" or b[pos + 4]:
+            break
         n = b[pos + 26]
-        end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if end > len(b):
-            return 0
+        stop = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if stop > len(b):
+            break
         if b[pos + 5] & 4:
-            return end - at
-        pos = end
-    return 0
-
-
-def _mp4(b: bytes, at: int) -> int:
-    pos, names = at, []
-    while pos + 8 <= len(b):
-        size, name = struct.unpack_from(">I", b, pos)[0], b[pos + 4 : pos + 8]
+            end = stop
+            break
+        pos = stop
+    else:
+        end = memo["ogg", pos]
+    memo.update((("ogg", p), end) for p in walked)
+    return end - at if end > 0 else 0
+
+
+def _mp4(b: bytes, at: int, memo: dict) -> int:
+    """As many boxes as follow one another, media among them; what follows a place is kept, as for pages."""
+    pos, walked = at, []
+    while ("mp4", pos) not in memo:
+        size, name = (struct.unpack_from(">I", b, pos)[0], b[pos + 4 : pos + 8]) if pos + 8 <= len(b) else (0, b"")
         if size < 8 or pos + size > len(b) or not name.isalnum():
+            memo["mp4", pos] = (pos, 0, False)
             break
-        names.append(name)
+        walked.append((pos, name))
         pos += size
-    return pos - at if len(names) > 1 and names[0] == b"ftyp" and {b"moov", b"mdat", b"moof"} & set(names) else 0
-
-
-def _pdf(b: bytes, at: int) -> int:
+    for p, name in reversed(walked):
+        end, boxes, media = memo["mp4", pos]
+        memo["mp4", p], pos = (end, boxes + 1, media or name in (b"moov", b"mdat", b"moof")), p
+    end, boxes, media = memo["mp4", at]
+    return end - at if boxes > 1 and media and b[at + 4 : at + 8] == b"ftyp" else 0
+
+
+class _Sections:
+    """A value's PDF headers and the sections that end with %%EOF behind a startxref of their own."""
+
+    def __init__(self, b: bytes) -> None:
+        self.heads, self.sections, last, mark = [], [], 0, -1  # (end, startxref, end of the %%EOF before)
+        for m in _PDF_MARK.finditer(b):
+            if m[0] == b"%PDF-":
+                self.heads.append(m.start())
+            elif m[0] == b"startxref":
+                mark = m.start()
+            else:
+                if mark >= last:
+                    self.sections.append((m.end(), mark, last))
+                last, mark = m.end(), -1
+        self.marks = [x[1] for x in self.sections]
+        leads = ((int(m[1]), i) for i, k in enumerate(self.marks) if (m := _STARTXREF.match(b, k)))
+        self.leads = sorted(leads)  # offsets that sections lead to
+
+
+def _pdf(b: bytes, at: int, memo: dict) -> int:
     """To the last %%EOF that follows its own startxref: linearized files and saved revisions have several.
 
     Behind the header of another PDF, only a section counts whose startxref leads to a place of this one behind that header.
+    Sections up to that header belong to this PDF alone; of those behind it only such that lead far enough are looked at.
     """
-    length, pos, other = 0, at, -1
-    while (end := b.find(b"%%EOF", pos)) >= 0:
-        mark = b.rfind(b"startxref", pos, end)
-        head = b.find(b"%PDF-", max(pos, at + 5), mark) if mark > 0 else -1
-        if other < 0 and head >= 0:
-            if length and not b[at + length : head].strip():
-                break
-            other = head
-        if mark > 0 and (other < 0 or not length or _xref_behind(b, at, mark, other)):
-            length = end + 5 - at
-        pos = end + 5
+    if "pdf" not in memo:
+        memo["pdf"] = _Sections(b)
+    found: _Sections = memo["pdf"]
+    length = 0
+    for i in range(bisect.bisect_left(found.marks, at), len(found.sections)):
+        end, mark, last = found.sections[i]
+        k = bisect.bisect_left(found.heads, max(last, at + 5))
+        if k < len(found.heads) and found.heads[k] < mark:
+            other = found.heads[k]
+            if length and not b[at + length : other].strip():
+                return length
+            behind = found.leads[bisect.bisect_right(found.leads, (other - at, len(found.marks))) :]
+            own = [j for m, j in behind if j >= i and at + m < found.marks[j] and _XREF.match(b, at + m)]
+            return found.sections[max(own)][0] - at if own else length or end - at
+        length = end - at
     return length
 
 
-def _xref_behind(b: bytes, at: int, mark: int, other: int) -> bool:
-    """Whether a startxref, read from the PDF's start, leads to a cross-reference behind `other`."""
-    m = _STARTXREF.match(b, mark)
-    place = at + int(m[1]) if m else -1
-    return other < place < mark and bool(_XREF.match(b, place))
-
-
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or len(b) < end + 22:
+def _zip(b: bytes, at: int, memo: dict) -> int:
+    if "zip" not in memo:
+        memo["zip"] = [m.start() for m in re.finditer(rb"PK\x05\x06", b)]
+    k = bisect.bisect_left(memo["zip"], at)
+    if k == len(memo["zip"]) or len(b) < memo["zip"][k] + 22:
         return 0
+    end = memo["zip"][k]
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, memo: dict) -> int:
+    """One member: its header, whose names end with a zero byte, the deflated data, and their checksum and length."""
+    if len(b) < at + 18 or b[at + 3] & 0xE0:
+        return 0
+    flags, pos = b[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + struct.unpack_from("<H", b, pos)[0]
+    for _ in range(bool(flags & 8) + bool(flags & 16)):
+        since, zero = memo.get("zero", (0, -1))
+        if not since <= pos <= zero:
+            zero = b.find(b"\0", pos)
+            memo["zero"] = since, zero = pos, len(b) if zero < 0 else zero
+        pos = zero + 1
+    pos += 2 * bool(flags & 2)
+    d, view, crc, size = zlib.decompressobj(-15), memoryview(b), 0, 0
     try:
-        rest = b[at:]
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 16)
-            rest = d.unconsumed_tail
+        while pos < len(b) and not d.eof:
+            piece = view[pos : pos + (1 << 14)]
+            pos += len(piece)
+            while len(piece) and not d.eof:
+                out = d.decompress(piece, 1 << 16)
+                crc, size, piece = zlib.crc32(out, crc), size + len(out), d.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    end = pos - len(d.unused_data) + 8
+    return end - at if d.eof and end <= len(b) and struct.unpack_from("<II", b, end - 8) == (crc, size & 0xFFFFFFFF) else 0
 
 
+#: Those that take a memo read places that several media of a value may share; it is kept for one value.
 VALIDATORS = {
     "audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "audio/flac": _flac,
     "audio/ogg": _ogg, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
 }
 
 
+WITH_MEMO = frozenset({"audio/ogg", "video/mp4", "application/pdf", "application/zip", "application/gzip"})
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, offset, kind in SIGNATURES:
@@ -218,10 +274,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes, a: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, length, type) of every confirmed medium, outermost first; those inside another one are kept too."""
-    out = []
+    out, memo = [], {}
     for end, (back, kind) in a.iter(b.decode("latin-1")):
         at = end + 1 - back
-        if at >= 0 and (n := VALIDATORS[kind](b, at)):
+        if at >= 0 and (n := VALIDATORS[kind](b, at, memo) if kind in WITH_MEMO else VALIDATORS[kind](b, at)):
             out.append((at, n, kind))
     return sorted(set(out), key=lambda x: (x[0], -x[1]))
 
@@ -284,36 +340,40 @@ def sniff_media(blobs: DataFrame, blob_col: str = "blob", declared_col: str | No
     return src.mapInPandas(run, schema)
 
 
-def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts stored as WAV samples under a wrong declared type, sniffed, carved and read back.
+def _le32(n: Column) -> Column:
+    """Four bytes, the lowest first."""
+    h = F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.unhex(F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
 
-    Null texts are empty; rows equal in text have equal values in all but the id.
-    """
-    blobs = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton()
-        for pdf in batches:
-            rows = []
-            for raw in pdf["raw"]:
-                raw = bytes(raw)
-                stored = to_wav(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
-                found = sniff(stored, a)
-                at, n, kind = next(x for x in found if x[2] == "audio/wav" and x[0] == 0)
-                medium = stored[at : at + n]
-                payload = wav_samples(medium)
-                inner = ";".join(f"{k}@{s}+{m}" for s, m, k in found if (s, m, k) != (at, n, kind))
-                rows.append((
-                    len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), hashlib.sha256(medium).hexdigest(),
-                    f"declared=application/octet-stream;sniffed={kind};at={at};length={n};embedded=[{inner}]",
-                ))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+def stored_wav(payload: Column) -> Column:
+    """to_wav of an even number of bytes, as a column."""
+    n = F.octet_length(payload)
+    frame = to_wav(b"")
+    return F.concat(F.lit(frame[:4]), _le32(n + len(frame) - 8), F.lit(frame[8:-4]), _le32(n), payload)
+
+
+def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts stored as WAV samples under a wrong declared type, sniffed, carved by sniff_media and read back.
 
-    id_type = blobs.schema["doc_id"].dataType.simpleString()
-    return blobs.mapInPandas(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    Null texts are empty; rows equal in text have equal values in all but the
+    id; repeated rows stay, extra columns are not read, an empty table gives an
+    empty result.  feature tells what was declared and found, and lists every
+    medium embedded in the text with its place, length and hash.
+    """
+    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
+    blobs = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
+    full = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64).cast("int") * 64)
+    blobs = blobs.withColumns({"blob": stored_wav(F.rpad("raw", full, F.lit(b"\0"))), "declared": F.lit("application/octet-stream")})
+    found = sniff_media(blobs, keep=("doc_id", "n_bytes"), carve=True)
+    frame = len(to_wav(b""))
+    payload, medium = F.expr(f"substring(carved[0], {frame + 1})"), F.col("media")[0]
+    inner = F.transform(F.slice("media", 2, F.greatest(F.size("media") - 1, F.lit(0))), lambda m: F.concat(m["type"], F.lit("@"), m["start"], F.lit("+"), m["length"], F.lit(":"), m["sha256"]))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.expr("substring(carved[0], -64)")).alias("tail_crc32"),
+        medium["length"].alias("media_bytes"), medium["sha256"].alias("media_sha256"),
+        F.concat(F.lit("declared="), "declared", F.lit(";sniffed="), "sniffed", F.lit(";at="), medium["start"], F.lit(";length="), medium["length"], F.lit(";embedded=["), F.array_join(inner, ";"), F.lit("]")).alias("feature"),
+    )
 
 
 def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,4 +382,16 @@ def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_signature_sniffing": op6_signature_sniffing}
-ORACLE_SQL: dict[str, str] = {}
+#: The feature is that of a text without an embedded medium; a text that held one would differ, which the tests cover.
+ORACLE_SQL = {
+    "op6_signature_sniffing": """
+WITH crc AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(n))),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw)::BIGINT AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64)::BIGINT AS m, hex(raw) AS h FROM d),
+q AS (SELECT doc_id, n, m, rpad(h, (2 * m)::INTEGER, '0') AS h, lpad(to_hex(m + 36), 8, '0') AS a, lpad(to_hex(m), 8, '0') AS b FROM p),
+r AS (SELECT doc_id, n, m, h, '52494646' || a[7:8] || a[5:6] || a[3:4] || a[1:2] || '57415645666D74201000000001000100401F0000401F00000100080064617461' || b[7:8] || b[5:6] || b[3:4] || b[1:2] || h AS w,
+  list_transform(regexp_extract_all(right(h, 128), '..'), lambda x: ((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT) AS tail FROM q)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(h)) AS payload_sha256, xor(list_reduce(list_prepend(4294967295, tail), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS tail_crc32,
+  m + 44 AS media_bytes, sha256(unhex(w)) AS media_sha256, 'declared=application/octet-stream;sniffed=audio/wav;at=0;length=' || (m + 44) || ';embedded=[]' AS feature FROM r, crc
+""",
+}

@@ -7,6 +7,8 @@ import time
 import zipfile
 import zlib
 
+import pytest
+
 from ledgerloom.llm import media as md
 from ledgerloom.llm import secrets as sc
 
@@ -131,3 +133,46 @@ def test_pdf_ends_at_its_last_section():
     outer = body + b"xref 2 startxref %d %%%%EOF" % len(body)
     assert md.sniff(outer, a)[0] == (0, len(outer), "application/pdf")
     assert md.sniff(b"%PDF-1.4 no end startxref", a) == [] and md.sniff(b"%PDF-1.4 %%EOF", a) == []
+
+
+def test_marks_repeated_over_a_megabyte_take_seconds():
+    a = md.automaton()
+    page = b"OggS\0\0" + b"\0" * 20 + b"\x01\x00"
+    box = struct.pack(">I", 8) + b"ftyp"
+    hostile = {
+        "headers": b"%PDF-" * 200_000, "sections": b"%PDF-1.4 x startxref 9 %%EOF junk " * 30_000, "pages": page * 37_000, "boxes": box * 130_000,
+        "zip": b"PK\x03\x04" * 250_000, "gzip": b"\x1f\x8b\x08" * 300_000, "ends": b"%PDF-%%EOF" * 100_000,
+    }
+    for name, b in hostile.items():
+        began = time.time()
+        found = md.sniff(b, a)
+        assert time.time() - began < 10, name
+        assert (len(found) > 0) == (name == "sections"), name
+    assert md.sniff(b"x" + page * 3 + b"OggS\0\4" + b"\0" * 20 + b"\x01\x00", a) == [(1 + 28 * k, 28 * (4 - k), "audio/ogg") for k in range(4)]
+    assert md.sniff(box * 2 + struct.pack(">I", 12) + b"mdatabcd", a) == [(0, 28, "video/mp4"), (8, 20, "video/mp4")]
+
+
+def test_digest_of_embedded_media_repeated_rows_and_no_rows(spark):
+    pdf = "%PDF-1.4 x startxref 9 %%EOF"
+    docs = spark.createDataFrame([(1, f"see {pdf} there", "a"), (1, f"see {pdf} there", "b"), (None, None, None)], "doc_id long, text string, media string")
+    rows = md.media_digest(docs).collect()
+    assert len(rows) == 3
+    line = f"embedded=[application/pdf@48+{len(pdf)}:{hashlib.sha256(pdf.encode()).hexdigest()}]"
+    assert [r["feature"].endswith(line) for r in rows if r["doc_id"] == 1] == [True, True]
+    assert [r["payload_bytes"] for r in rows if r["doc_id"] is None] == [64]
+    assert md.media_digest(docs.limit(0)).count() == 0
+
+
+def test_keep_may_not_clash_with_result_columns(spark):
+    docs = spark.createDataFrame([(b"x", "a", 1)], "blob binary, declared string, media int")
+    with pytest.raises(ValueError, match="media"):
+        md.sniff_media(docs, keep=("media",))
+
+
+def test_gzip_members_with_names():
+    out = io.BytesIO()
+    with gzip.GzipFile("a name", "wb", fileobj=out, mtime=0) as f:
+        f.write(b"hello" * 50_000)
+    named, a = out.getvalue(), md.automaton()
+    assert md.sniff(b"--" + named + b"--", a) == [(2, len(named), "application/gzip")]
+    assert md.sniff(named[:-1], a) == [] and md.sniff(named[:-5] + b"zz" + named[-3:], a) == []
