@@ -7,9 +7,11 @@ style-sheet rules on a screen) decide what is shown; a renderer lays blocks, lis
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +49,12 @@ IMPLIED = {
     "colgroup": ({"caption", "colgroup"}, {"table", "html"}),
 }
 SECTIONS = frozenset({"tbody", "thead", "tfoot"})
+TABLE_PARTS = SECTIONS | {"table", "tr", "td", "th", "caption"}
 INLINE_CLOSE = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
 
-_TAG = re.compile(
-    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_COMMENT_END = re.compile(r"--!?>")
+_SIGN = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
@@ -90,25 +93,54 @@ def _attributes(s: str) -> dict[str, str]:
 
 
 class Builder:
-    """The tree of a page; `styles` gathers its style sheets."""
+    """The tree of a page; `styles` gathers its style sheets.
+
+    Open elements have rising numbers; for each name, the numbers of those that
+    are open are kept, so that no step walks the stack.
+    """
 
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
+        self.number = [0]
+        self.count = 0
+        self.named: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = []
         self.styles: list[str] = []
 
+    def last(self, tags: Iterable[str]) -> int:
+        """Number of the innermost open element of these names, 0 if there is none."""
+        return max((self.named[t][-1] for t in tags if self.named.get(t)), default=0)
+
     def in_scope(self, tag: str, stops: frozenset | set = SCOPE) -> int:
-        """Index of the open element of that name, 0 if a stop comes first."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                return i
-            if self.open[i].tag in stops:
-                return 0
-        return 0
-
-    def close_to(self, i: int) -> None:
-        if i > 0:
-            del self.open[i:]
+        """Number of the innermost open element of that name, 0 if a stop comes first."""
+        own = self.last((tag,))
+        return own if own and own >= self.last(stops) else 0
+
+    def opened(self, node: Node) -> None:
+        self.count += 1
+        self.open.append(node)
+        self.number.append(self.count)
+        self.named.setdefault(node.tag, []).append(self.count)
+        if node.tag in BLOCK:
+            self.blocks.append(self.count)
+
+    def pop(self) -> None:
+        tag, _ = self.open.pop().tag, self.number.pop()
+        self.named[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+
+    def close_to(self, number: int) -> None:
+        """Close the element of that number and all inside it; 0 closes nothing."""
+        while number and self.number[-1] >= number:
+            self.pop()
+
+    def forget(self, number: int) -> None:
+        """Take one element off the stack, which stays open for those inside it."""
+        i = bisect.bisect_left(self.number, number)
+        self.named[self.open[i].tag].remove(number)
+        del self.open[i], self.number[i]
 
     def text(self, s: str) -> None:
         here = self.open[-1]
@@ -117,23 +149,23 @@ class Builder:
                 self.before_table(s)
         else:
             if here.tag == "head" and s.strip():
-                self.open.pop()
+                self.pop()
                 here = self.open[-1]
             here.kids.append(s)
 
     def before_table(self, item: str | Node) -> None:
         """Put what may not stand in a table in front of it."""
-        i = max(k for k, n in enumerate(self.open) if n.tag == "table") if any(n.tag == "table" for n in self.open) else 0
-        if not i:
+        table = self.last(("table",))
+        if not table:
             self.open[-1].kids.append(item)
             return
-        kids = self.open[i - 1].kids
+        kids = self.open[bisect.bisect_left(self.number, table) - 1].kids
         kids.insert(len(kids) - 1, item)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("html", "body"):
             if tag == "body" and self.open[-1].tag == "head":
-                self.open.pop()
+                self.pop()
             (self.root.attrs if tag == "html" else self._body().attrs).update({k: v for k, v in attrs.items()})
             return
         if tag == "head":
@@ -141,53 +173,52 @@ class Builder:
                 self._push(Node("head", attrs))
             return
         if self.open[-1].tag == "head" and tag not in HEAD:
-            self.open.pop()
+            self.pop()
         if tag in CLOSES_P:
             self.close_to(self.in_scope("p"))
         if tag in IMPLIED:
             names, stops = IMPLIED[tag]
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in stops:
-                    break
-                if self.open[i].tag in names:
-                    least = i
-                    while least > 1 and self.open[least - 1].tag in names:
-                        least -= 1
-                    self.close_to(least)
-                    break
+            own = self.last(names)
+            if own > self.last(stops - names):
+                i = bisect.bisect_left(self.number, own)
+                while i > 1 and self.open[i - 1].tag in names:
+                    i -= 1
+                self.close_to(self.number[i])
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:] in {"1", "2", "3", "4", "5", "6"}:
-            self.open.pop()
+            self.pop()
         if tag in ("a", "button", "nobr"):
             self.close_to(self.in_scope(tag))
         if tag in ("td", "th", "tr", "caption", "colgroup", "col") or tag in SECTIONS:
             # What stands in front of the table is over: back to the table's own elements.
-            at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in ("table", "tr", "td", "th", "caption") or self.open[i].tag in SECTIONS), 0)
-            if at and self.open[at].tag not in ("td", "th", "caption"):
-                self.close_to(at + 1)
+            at = self.last(TABLE_PARTS)
+            cell = self.last(("td", "th", "caption"))
+            if at and at != cell:
+                i = bisect.bisect_left(self.number, at) + 1
+                self.close_to(self.number[i] if i < len(self.number) else 0)
         elif tag == "table" and (self.open[-1].tag in ("table", "tr") or self.open[-1].tag in SECTIONS):
             self.close_to(self.in_scope("table", {"html"}))  # a table can't stand between cells: the open one ends
         here = self.open[-1].tag
         inside = here == "table" or here in SECTIONS or here == "tr"
         if tag in ("td", "th"):
-            if not any(n.tag == "table" for n in self.open):
+            if not self.last(("table",)):
                 return
             if here == "table":
                 self._push(Node("tbody", {}))
             if self.open[-1].tag != "tr":
                 self._push(Node("tr", {}))
         elif tag == "tr":
-            if not any(n.tag == "table" for n in self.open):
+            if not self.last(("table",)):
                 return
             if here == "table":
                 self._push(Node("tbody", {}))
         elif tag in SECTIONS or tag in ("caption", "colgroup", "col"):
-            if not any(n.tag == "table" for n in self.open):
+            if not self.last(("table",)):
                 return
         elif inside and tag not in ("script", "style", "template", "form"):
             node = Node(tag, attrs)
             self.before_table(node)
             if tag not in VOID:
-                self.open.append(node)
+                self.opened(node)
             return
         node = Node(tag, attrs)
         if tag in VOID:
@@ -197,7 +228,7 @@ class Builder:
 
     def _push(self, node: Node) -> None:
         self.open[-1].kids.append(node)
-        self.open.append(node)
+        self.opened(node)
 
     def _body(self) -> Node:
         return self.root
@@ -210,7 +241,7 @@ class Builder:
             return
         if tag == "p" and not self.in_scope("p"):
             self.start("p", {})
-            self.open.pop()
+            self.pop()
             return
         if tag == "table":
             self.close_to(self.in_scope("table", {"html"}))
@@ -221,32 +252,78 @@ class Builder:
             self.close_to(max(at))
         elif tag in INLINE_CLOSE:
             i = self.in_scope(tag)
-            if i and all(n.tag not in BLOCK for n in self.open[i + 1 :]):
+            if i and (not self.blocks or self.blocks[-1] < i):
                 self.close_to(i)
             elif i:
-                del self.open[i]  # formatting that blocks were opened in: the blocks stay open
+                self.forget(i)  # formatting that blocks were opened in: the blocks stay open
         else:
             self.close_to(self.in_scope(tag))
 
 
+class Tokens:
+    """Finds where markup ends, in one pass over the source whatever is left open."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.n = source, len(source)
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.failed: set[int] = set()  # places outside quotes from which no > outside quotes follows
+
+    def after(self, pos: int) -> int:
+        """Behind the next >, or the end."""
+        return self.source.find(">", pos) + 1 if pos <= self.last[">"] else self.n
+
+    def tag_end(self, pos: int) -> int:
+        """The place of the > that ends a start tag, quoted values skipped; if a quote stays open, of the next >; -1 if there is none."""
+        if pos > self.last[">"]:
+            return -1
+        near = self.source.find(">", pos)
+        at, walked = pos, []
+        while at not in self.failed:
+            walked.append(at)
+            m = _SIGN.search(self.source, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last[m[0]]:
+                break
+            at = self.source.find(m[0], m.end()) + 1
+        self.failed.update(walked)
+        return near
+
+
 def parse(source: str) -> Builder:
-    b, pos, n = Builder(), 0, len(source)
+    b, t, pos, look, n = Builder(), Tokens(source), 0, 0, len(source)
     while pos < n:
-        m = _TAG.search(source, pos)
-        stop = m.start() if m else n
+        stop = source.find("<", look)
+        stop = n if stop < 0 else stop
+        m, end = _NAME.match(source, stop), -1
+        if source.startswith("<!--", stop):
+            if source.startswith((">", "->"), stop + 4):
+                end = t.after(stop)
+            else:
+                close = _COMMENT_END.search(source, stop + 4)
+                end = close.end() if close else n
+        elif source.startswith(("<!", "<?"), stop):
+            end = t.after(stop)
+        elif m:
+            end = t.after(m.end()) if source[stop + 1] == "/" else t.tag_end(m.end()) + 1
+        if stop < n and end <= stop:  # a < that begins no markup is text
+            look = stop + 1
+            continue
         if stop > pos:
             s = source[pos:stop]
             b.text(entities.unescape(s) if "&" in s else s)
-        if not m:
+        if stop == n:
             break
-        pos = m.end()
-        if m[1] is not None:
-            b.end(m[1].lower())
+        pos = look = end
+        if not m:
             continue
-        name = m[2] if m[2] is not None else m[4]
-        if name is None:
+        tag = m[1].lower()
+        if source[stop + 1] == "/":
+            b.end(tag)
             continue
-        tag, attrs = name.lower(), _attributes(m[3] if m[2] is not None else m[5])
+        attrs = _attributes(source[m.end() : end - 1])
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, pos) if tag != "plaintext" else None
             end, after = (close.start(), close.end()) if close else (n, n)
@@ -257,8 +334,8 @@ def parse(source: str) -> Builder:
             elif tag in ("textarea", "plaintext", "xmp"):
                 b.start(tag, attrs)
                 b.open[-1].kids.append(entities.unescape(raw) if tag == "textarea" else raw)
-                b.open.pop()
-            pos = after
+                b.pop()
+            pos = look = after
             continue
         b.start(tag, attrs)
     return b
@@ -356,6 +433,7 @@ class Styles:
     def __init__(self, sheets: list[str]) -> None:
         #: (tag, classes, ids, specificity, layered, property -> (value, important)), in order
         self.rules: list[tuple[str, set[str], set[str], tuple[int, int, int], bool, dict[str, tuple[str, bool]]]] = []
+        self.by_key: dict[str, list[int]] = {}  # places of rules by an id, a class, or the tag that they ask for
         for sheet in sheets:
             self._read(_COMMENT.sub(" ", sheet).replace("<!--", " ").replace("-->", " "))
 
@@ -409,6 +487,8 @@ class Styles:
                 classes, ids = ({p[1:] for p in parts if p[0] == sign} for sign in ".#")
                 tag = (s[1] or "*").lower()
                 n = sum(p[0] == "#" for p in parts)
+                key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+                self.by_key.setdefault(key, []).append(len(self.rules))
                 self.rules.append((tag, classes, ids, (n, len(parts) - n, int(tag != "*")), layered, found))
         return None
 
@@ -419,7 +499,9 @@ class Styles:
             return {k: v for k, (v, _) in inline.items()}
         classes, ident = set(node.attrs.get("class", "").split()), {node.attrs.get("id", "")}
         best: dict[str, tuple] = {}
-        for order, (tag, cls, ids, weight, layered, found) in enumerate(self.rules):
+        keys = ("*", node.tag, *(f".{c}" for c in classes), *(f"#{i}" for i in ident))
+        for order in (i for k in keys for i in self.by_key.get(k, ())):
+            tag, cls, ids, weight, layered, found = self.rules[order]
             if tag in ("*", node.tag) and cls <= classes and ids <= ident:
                 for k, (v, important) in found.items():
                     key = (important, False, layered == important, weight, order, v)
@@ -446,6 +528,10 @@ def visibility(node: Node, styles: Styles, parent_seen: bool) -> tuple[bool, boo
     return True, True if seen in ("visible", "initial") else False if seen in ("hidden", "collapse") else parent_seen
 
 
+#: Columns that nested lists and quotes indent at most; what is nested deeper stands below one another.
+INDENT = 240
+
+
 class Lines:
     """Text being laid out: collapses white space, keeps at most one blank line between blocks."""
 
@@ -501,17 +587,18 @@ class Lines:
 def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table: cells (text, colspan, rowspan) padded to common column widths."""
     place: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    spanned: list[tuple[int, int, int]] = []  # (first column, column behind, last row) of cells that reach further down
     for r, row in enumerate(rows):
-        c, here = 0, {}
+        spanned = sorted(x for x in spanned if x[2] >= r)
+        c, k, here, more = 0, 0, {}, []
         for text, across, down in row:
-            while (r, c) in taken:
-                c += 1
+            while k < len(spanned) and spanned[k][0] <= c:
+                c, k = max(c, spanned[k][1]), k + 1
             here[c] = (text.split("\n"), across)
-            for i in range(1, down):
-                for j in range(across):
-                    taken[r + i, c + j] = True
+            if down > 1:
+                more.append((c, c + across, r + down - 1))
             c += across
+        spanned += more
         place.append(here)
     width: dict[int, int] = {}
     for here in place:
@@ -523,11 +610,9 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             if across > 1:
                 have = sum(width.get(c + j, 0) for j in range(across)) + 2 * (across - 1)
                 width[c + across - 1] = width.get(c + across - 1, 0) + max(0, max(map(len, lines)) - have)
-    columns = range(max(width, default=-1) + 1)
-    at, pos = {}, 0
-    for c in columns:
-        at[c] = pos
-        pos += width.get(c, 0) + (2 if width.get(c, 0) else 0)
+    filled = [c for c in sorted(width) if width[c]]
+    ends = [0, *itertools.accumulate(width[c] + 2 for c in filled)]
+    at = {c: ends[bisect.bisect_left(filled, c)] for c in {c for here in place for c in here}}
     out = []
     for here in place:
         for i in range(max((len(lines) for lines, _ in here.values()), default=0)):
@@ -535,7 +620,7 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             for c in sorted(here):
                 lines = here[c][0]
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(at.get(c, len(line))) + lines[i]
+                    line = line.ljust(at[c]) + lines[i]
             out.append(line.rstrip())
     return out
 
@@ -570,9 +655,7 @@ def render(source: str | None) -> str:
             continue
         tag = item.tag
         if tag == "br":
-            lines.line = lines.line or [""]
-            s = "".join(lines.line)
-            lines.flush() if s else None
+            lines.flush()
             continue
         if tag == "hr":
             lines.block(True)
@@ -599,7 +682,7 @@ def render(source: str | None) -> str:
                 lists[-1][1] += 1
             mark = f"{number}. " if ordered else "- "
             before = lines.indent
-            lines.indent, lines.mark = before + " " * len(mark), mark
+            lines.indent, lines.mark = before + " " * len(mark) * (len(before) < INDENT), mark
 
             def done(before=before):
                 lines.block(False)
@@ -607,7 +690,7 @@ def render(source: str | None) -> str:
         elif tag == "dd" or tag == "blockquote":
             lines.block(spaced)
             before = lines.indent
-            lines.indent = before + "    "
+            lines.indent = before + "    " * (len(before) < INDENT)
 
             def done(before=before, spaced=spaced):
                 lines.block(spaced)
@@ -656,8 +739,10 @@ def html_to_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null and empty pages have an empty text; so has a page that shows nothing.
     Blocks are runs of lines between blank lines.  Malformed markup never fails:
-    unclosed elements end with the page, stray end tags are ignored.  Extra
-    columns are not read; repeated rows stay.
+    unclosed elements end with the page, stray end tags are ignored.  Time grows
+    in proportion to a page whatever is nested or left open in it; lists and
+    quotes indent up to INDENT columns.  Extra columns are not read; repeated
+    rows stay.
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))

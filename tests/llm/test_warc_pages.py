@@ -1,5 +1,7 @@
 import random
+import time
 from datetime import datetime, timedelta
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
@@ -157,3 +159,100 @@ def test_inline_style_and_attribute_in_the_cascade():
     assert pt.render("<style>.n{display:none}</style><p class=n style='display:block'>a</p>") == "a"
     assert pt.render("<style>.n{display:none!important}</style><p class=n style='display:block'>a</p>") == ""
     assert pt.render("<style>.n{display:block}</style><p class=n hidden>a</p><p hidden>b</p>") == "a"
+
+
+class Plain(HTMLParser):
+    """Brute force for a few tags, well-formed: Python's own parser, one list of (blank line before, indent, mark, words)."""
+
+    SPACED, BROKEN = {"p", "h1", "blockquote"}, {"div", "section", "li"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.words, self.blank, self.stack, self.hidden, self.mark = [], "", False, [], 0, ""
+
+    def cut(self, spaced):
+        if self.words.split():
+            indent = sum(2 if t == "li" else 4 for t in self.stack if t in ("li", "blockquote"))
+            self.rows.append((self.blank and bool(self.rows), indent - len(self.mark), self.mark, " ".join(self.words.split())))
+            self.blank, self.mark = False, ""
+        self.words, self.blank = "", self.blank or spaced
+
+    def edge(self, tag):
+        if tag in self.SPACED or tag in self.BROKEN or tag == "ul":
+            self.cut(tag in self.SPACED or (tag == "ul" and "ul" not in self.stack))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            return None if self.hidden else self.cut(False)
+        if not self.hidden and "hidden" not in dict(attrs):
+            self.edge(tag)
+            self.mark = "- " if tag == "li" else self.mark
+        else:
+            self.hidden += 1
+        return self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            self.stack.pop()
+            self.hidden -= 1
+            return
+        if tag in ("li", "blockquote"):
+            self.cut(False)
+            self.stack.pop()
+            self.edge(tag)
+            self.mark = "" if tag == "li" else self.mark
+            return
+        if tag == "ul":
+            self.stack.pop()
+        self.edge(tag)
+        if tag != "ul":
+            self.stack.pop()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data
+
+    def text(self):
+        self.cut(False)
+        return "\n".join("\n" * blank + " " * indent + mark + words for blank, indent, mark, words in self.rows)
+
+
+def made_page(r, depth=0, inline=False):
+    out = []
+    for _ in range(r.randint(1, 4)):
+        kind = r.random()
+        if kind < 0.4 or depth > 4:
+            out.append(r.choice(["word ", " two words", "a &amp; b", "é\n x", " ", "&lt;p&gt;", "<!-- no <p> -->", "<br>"]))
+        elif kind < 0.6 or inline:
+            tag = r.choice(["b", "i", "span"])
+            out.append(f"<{tag}{r.choice(['', ' hidden', ' title="a > b"'])}>{made_page(r, depth + 1, True)}</{tag}>")
+        elif kind < 0.7:
+            out.append(f"<{'p'}>{made_page(r, depth + 1, True)}</p>")
+        elif kind < 0.85:
+            out.append("<ul>" + "".join(f"<li>{made_page(r, depth + 1)}</li>" for _ in range(r.randint(1, 3))) + "</ul>")
+        else:
+            tag = r.choice(["div", "section", "h1", "blockquote"])
+            out.append(f"<{tag}>{made_page(r, depth + 1, tag == 'h1')}</{tag}>")
+    return "".join(out)
+
+
+def test_layout_equals_brute_force():
+    r = random.Random(6)
+    for _ in range(3000):
+        page = made_page(r)
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert pt.render(page) == plain.text(), page
+
+
+def test_hostile_pages_take_seconds():
+    pages = {
+        "divs": "<div>" * 200_000, "quotes": '<a "' * 250_000, "hidden ends": '<a ">"' * 160_000, "lists": "<ul><li>x" * 20_000, "crossed": "<b><div>" * 10_000 + "</b>" * 10_000,
+        "cells": "<table>" + "<tr><td colspan=1000 rowspan=1000>x" * 5_000, "columns": "<table><tr>" + "<td colspan=1000>x" * 20_000, "buttons": "<p><button>" + "<div>" * 60_000,
+        "rules": "<style>" + "".join(f".c{i}{{display:none}}" for i in range(20_000)) + "</style>" + "".join(f"<i class=c{i}>x</i>" for i in range(20_000)),
+    }
+    for name, page in pages.items():
+        began = time.time()
+        pt.render(page)
+        assert time.time() - began < 10, name
