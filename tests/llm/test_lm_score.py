@@ -31,10 +31,12 @@ def brute(rows, train, order, mu, kappa):
 TEXTS = ["The cat sat on the mat", "the CAT sat\ton\x0bthe mat", "", None, "a dog É é", "unseen words here", "the cat sat on", "x " * 3000, "the cat sat on the mat", "  "]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_equals_brute_force_over_several_blocks(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 120)
-    monkeypatch.setattr(lm, "RANGE_BYTES", 500)
+    monkeypatch.setattr(lm, "UNIT_BYTES", 300)
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 900)
+    monkeypatch.setattr(lm, "PIECE", 7)
     rows = list(enumerate(TEXTS * 2))
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
     assert not all(train)
