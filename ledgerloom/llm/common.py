@@ -37,33 +37,47 @@ def give_back() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset one of our own, in local mode only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:
-    """Intermediate tables as compressed Parquet in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables as compressed Parquet in the shared folder: they cut lineage and survive lost executors.
+
+    What is not dropped before is deleted when the application ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}", 0
+        self.spark, self.root = spark, f"{shared_folder(spark)}/loom-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+        path, fs = self._place(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _place(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._loom_path = path
+        name = f"{self.root}/{len(self.kept)}"
+        df.write.option("compression", "zstd").parquet(name)
+        out = self.spark.read.schema(df.schema).parquet(name)
+        self.kept.append((out, name))
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that keep() returned and that nothing reads any more."""
         for t in tables:
-            if t is not None:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(t._loom_path)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            for kept, name in self.kept:
+                if t is kept:
+                    path, fs = self._place(name)
+                    fs.delete(path, True)
 
     def free(self) -> None:
         """Let Spark delete the shuffle files of finished jobs that nothing refers to."""
