@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, fresh, small_batches, table
 
-#: Labelled documents that a model is learned from: those of least hash. The lexicon and the weights come from them alone.
+#: Labelled documents that a model is learned from: those of least hash. The lexicon and the weights come from them alone,
+#: so this bounds what the driver and a model hold; nothing else does.
 SAMPLE = 12_000
-#: Learned entries at most, by strength of evidence.
-ENTRIES = 2_000
 #: Natural logarithm of how much commoner a term must be in toxic texts.
 STRENGTH = 3.0
 #: Toxic documents that must hold a learned term.
@@ -117,6 +116,8 @@ class Trie:
 
 
 FEATURES = ("hits", "rate", "strongest", "fuzzy", "length")
+#: Intercept and weights that labels move: with few labels, or none, a model stays near them.
+PRIOR = (-4.0, 1.5, 1.0, 0.5, 0.5, 0.0)
 
 
 @dataclass
@@ -124,7 +125,7 @@ class Model:
     terms: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
     known: frozenset = frozenset()  # clean words near a term
-    coef: tuple[float, ...] = (-4.0, 1.5, 1.0, 0.5, 0.5, 0.0)
+    coef: tuple[float, ...] = PRIOR
 
     def trie(self) -> Trie:
         return Trie([t for t in self.terms if len(t) >= FUZZY_LENGTH])
@@ -190,15 +191,20 @@ def held_out(id_col: str):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of at most SAMPLE labelled documents that aren't held out; nulls are left out, labels of an id that disagree count as toxic."""
+    """(text, toxic) of at most SAMPLE labelled documents that aren't held out, one row each.
+
+    Null ids, labels and texts are left out; labels of an id that disagree count
+    as toxic; of several texts of an id, the one of least hash stands for it.
+    """
     ids = labels.select(F.col(id_col).alias("id"), "toxic").where("id is not null and toxic is not null").where(~held_out("id"))
     ids = ids.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return own.join(F.broadcast(checkpointed(ids)), "id").select("text", "toxic")
+    own = own.join(F.broadcast(checkpointed(ids)), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s"), F.max("toxic").alias("toxic"))
+    return checkpointed(own.select("s.text", "toxic"))
 
 
 def _lexicon(sample: DataFrame) -> tuple[dict, dict, frozenset]:
-    """Learned terms, stems, and clean words near a term, from word counts in the sample."""
+    """Terms, stems, and clean words near a term, from word counts in the sample: all that are strong enough."""
     w = sample.select("toxic", F.monotonically_increasing_id().alias("r"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("w"))
     w = w.groupBy("r", "w").agg(F.max("toxic").alias("x"), F.count("*").alias("n"))
     w = w.groupBy("w").agg(F.sum(F.when(F.col("x") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("x") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.col("x").cast("long")).alias("docs"))
@@ -209,8 +215,7 @@ def _lexicon(sample: DataFrame) -> tuple[dict, dict, frozenset]:
     stems = w.select(F.explode(F.transform(F.array(*(F.lit(k) for k in STEM_LENGTHS)), lambda k: F.when(F.length("w") > k, F.substring("w", 1, k)))).alias("p"), "w", "t", "c", "docs").where("p is not null")
     stems = stems.groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("docs").alias("docs"), F.sum((F.col("docs") > 0).cast("int")).alias("words"))
     stems = stems.where((F.col("docs") >= 4 * SUPPORT) & (F.col("words") >= STEM_WORDS)).withColumn("s", strength).where(F.col("s") >= STRENGTH)
-    first = lambda df, c: {r[c]: float(r["s"]) for r in df.orderBy(F.desc(F.col("s") * F.log1p(F.col("docs").cast("double"))), c).limit(ENTRIES).collect()}
-    learned, stem = first(terms, "w"), first(stems, "p")
+    learned, stem = ({r[c]: float(r["s"]) for r in df.select(c, "s").collect()} for df, c in ((terms, "w"), (stems, "p")))
     every = dict.fromkeys(SEED, STRENGTH) | learned
     trie = Trie([t for t in every if len(t) >= FUZZY_LENGTH])
 
@@ -218,19 +223,19 @@ def _lexicon(sample: DataFrame) -> tuple[dict, dict, frozenset]:
         for pdf in batches:
             yield pdf[[len(x) >= FUZZY_LENGTH - 1 and x not in every and bool(trie.within_one(x)) for x in pdf["w"]]]
 
-    common = w.where((F.col("c") > 0) & (F.col("c") >= F.col("t"))).select("w", "c").mapInPandas(near, "w string, c long")
-    known = frozenset(r["w"] for r in common.orderBy(F.desc("c"), "w").limit(10 * ENTRIES).collect())
+    common = w.where((F.col("c") > 0) & (F.col("c") >= F.col("t"))).select("w").mapInPandas(near, "w string")
+    known = frozenset(r["w"] for r in common.collect())
     return every, stem, known
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
-    a = np.c_[np.ones(len(x)), x]
-    b = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * x.shape[1])
-    for _ in range(40):
+    """Logistic regression by Newton steps, from PRIOR and held near it by a ridge."""
+    a, prior = np.c_[np.ones(len(x)), x], np.array(PRIOR)
+    b = prior.copy()
+    penalty = np.diag([ridge / 100] + [ridge] * x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (y - p) - penalty @ b
+        g = a.T @ (y - p) - penalty @ (b - prior)
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, g)
         b += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
@@ -239,17 +244,14 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labels; with fewer than 20 labelled texts of either kind, the seed terms and fixed weights.
+    """A model from the labels; what they don't tell stays as the seed terms and PRIOR have it.
 
     Only labels outside the held-out quarter are read.  Counts are by word over
-    at most SAMPLE documents; the driver gets ENTRIES terms and SAMPLE rows of
-    five numbers at most.
+    at most SAMPLE documents; the driver gets the strong words of these and
+    SAMPLE rows of five numbers.  Repeated rows and ids count once.
     """
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, id_col, text_col)
-    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < 20:
-        return Model(dict.fromkeys(SEED, STRENGTH))
     model = Model(*_lexicon(sample))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,9 +268,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The keep columns of docs and score (0 to 1). Null and empty texts have the score of no hits."""
+    """The keep columns of docs and score (0 to 1), a row for each row.
+
+    Null and empty texts have the score of no hits; texts of any length are read
+    whole; equal texts have equal scores.  A column score may not be kept; other
+    columns of docs are not read.
+    """
+    if "score" in {c.lower() for c in keep}:
+        raise ValueError("keep clashes with the result column score")
     small_batches(docs.sparkSession)
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
+    src = docs.select(*keep, F.col(text_col).alias(fresh(docs, "_text")))
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +291,10 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float = REJECT) -> DataFrame:
-    """docs without the rows whose score is at or above `at`; all columns pass through, no row is shuffled."""
+    """docs without the rows whose score is at or above `at`; all columns pass through whatever their names, no row is shuffled.
+
+    Null and empty texts stay, as no hit tells against them; repeated rows stay or go together.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 

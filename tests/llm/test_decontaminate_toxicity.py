@@ -1,4 +1,8 @@
+import math
 import random
+import re
+from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +63,15 @@ def test_string_ids(spark):
     assert tuple(dc.find_contained(docs, items).first()) == ("x", "q", 2, 2, 1.0)
 
 
+@pytest.mark.parametrize("kind, ident", [("smallint", 7), ("decimal(9,2)", Decimal("7.25")), ("date", date(2020, 1, 2)), ("boolean", True), ("binary", bytearray(b"k")), ("double", 2.5), ("int", None)])
+def test_ids_of_any_type(spark, kind, ident):
+    docs = spark.createDataFrame([(ident, "a b c d e f")], f"doc_id {kind}, text string")
+    items = spark.createDataFrame([(ident, "A, b c d e f!")], f"item_id {kind}, text string")
+    got = dc.find_contained(docs, items)
+    assert got.dtypes[:2] == [("doc_id", kind), ("item_id", kind)]
+    assert tuple(got.first()) == (ident, ident, 2, 2, 1.0)
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -132,6 +145,61 @@ def test_few_labels_fall_back_to_the_seed(spark):
     assert tx.score_toxicity(rows.limit(0), model).count() == 0
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_score(model, text):
+    """Brute force: every token against every term by the full table, windows by position, the logistic sum spelled out."""
+    words = re.findall(r'\w+|["“”„«»]', (text or "").lower())
+    exact = fuzzy = best = 0.0
+    for i, w in enumerate(words):
+        found = [s for t, s in model.terms.items() if t == w] + [s for t, s in model.stems.items() if w.startswith(t)]
+        near = not found and len(w) >= 4 and w not in model.known
+        if near:
+            found = [s for t, s in model.terms.items() if len(t) >= 5 and abs(len(t) - len(w)) <= 1 and levenshtein(t, w) <= 1]
+        if not found:
+            continue
+        before, after = words[max(0, i - 6) : i], words[i + 1 : i + 7]
+        weight = max(found)
+        if (set(before) & tx.QUOTES and set(after) & tx.QUOTES) or set(before[-3:]) & tx.REPORTING:
+            weight *= 0.4
+        elif set(before[-4:]) & tx.ADDRESS or set(after[:4]) & tx.ADDRESS:
+            weight *= 1.3
+        best = max(best, weight)
+        exact, fuzzy = (exact, fuzzy + weight) if near else (exact + weight, fuzzy)
+    n = max(len(words), 1)
+    f = [math.log(1 + exact), math.log(1 + 100 * exact / n), best / 4, math.log(1 + fuzzy), math.log(1 + n) / 5]
+    return 1 / (1 + math.exp(-(model.coef[0] + sum(a * b for a, b in zip(model.coef[1:], f, strict=True)))))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = made(spark)
+    model = tx.learn(docs, labels)
+    assert len(model.terms) > len(tx.SEED) and model.stems
+    r = random.Random(4)
+    words = [*model.terms, *(t + "z" for t in model.terms), *(t[1:] for t in model.terms), "wort1", "wort2", "you", "said", "“", "”", "flarpzz"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(60)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in tx.score_toxicity(rows, model, keep=("doc_id",)).collect():
+        assert x["score"] == pytest.approx(plain_score(model, texts[x["doc_id"]]), rel=1e-9)
+
+
+def test_repeated_ids_count_once_and_score_may_not_clash(spark):
+    docs, labels = made(spark)
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id = 0"))
+    a, b = tx.learn(docs, labels), tx.learn(again, labels.unionByName(labels))
+    assert a.terms == b.terms and a.stems == b.stems and a.known == b.known and a.coef == pytest.approx(b.coef, rel=1e-9)
+    with pytest.raises(ValueError, match="score"):
+        tx.score_toxicity(docs, a, keep=("doc_id", "score"))
+
+
 def test_short_items_are_never_missed():
     r = random.Random(7)
     seen = dc._Hashes()
