@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, table
 
@@ -104,9 +105,9 @@ def _probe(x: np.ndarray, probes: tuple, out: set[int]) -> None:
 
 @dataclass
 class Index:
-    """Items with their min-hashes by level."""
+    """Items with their min-hashes by level; numbers and texts only, so that a broadcast holds about twice the items' bytes."""
 
-    items: list[tuple]  # (id, set of shingles)
+    items: list[tuple]  # (id, text, sorted hashes of its distinct shingles)
     levels: dict  # u -> (bitmap, sorted min-hashes, item positions)
     short: tuple | None  # the same of the least shingles of items of up to BLOCK shingles
 
@@ -119,16 +120,15 @@ class Index:
             x = np.unique(_shingle_hashes(w, seen))
             if not len(x):
                 continue
-            own = shingles(w)
-            if len(own) <= BLOCK:
+            if len(x) <= BLOCK:
                 short.append((len(items), x[:1]))
-                items.append((ident, own))
+                items.append((ident, text, x))
                 continue
             u = BLOCK
             while u < len(w) - K + 1:
                 u *= 2
             by_level.setdefault(u, []).append((len(items), _ranks(x).min(axis=1)))
-            items.append((ident, own))
+            items.append((ident, text, x))
         return Index(items, {u: _probes(found) for u, found in sorted(by_level.items())}, _probes(short) if short else None)
 
     def candidates(self, x: np.ndarray) -> set[int]:
@@ -150,15 +150,21 @@ class Index:
     def hits(self, text: str | None, seen: _Hashes) -> list[tuple]:
         """(item id, shared shingles, item's shingles) of every item contained in a text."""
         w = words_of(text)
-        found = self.candidates(_shingle_hashes(w, seen))
+        x = _shingle_hashes(w, seen)
+        found = self.candidates(x)
         if not found:
             return []
-        own, out = shingles(w), []
+        # Equal shingles have equal hashes: what the hashes rule out is out, what they leave is decided by the words.
+        x, own, out = np.unique(x), None, []
         for i in sorted(found):
-            ident, item = self.items[i]
-            n = len(item & own)
-            if n >= CONTAINMENT * len(item):
-                out.append((ident, n, len(item)))
+            ident, item, hashes = self.items[i]
+            at = np.minimum(np.searchsorted(x, hashes), len(x) - 1)
+            if np.count_nonzero(x[at] == hashes) < CONTAINMENT * len(hashes):
+                continue
+            own, theirs = own or shingles(w), shingles(words_of(item))
+            n = len(theirs & own)
+            if n >= CONTAINMENT * len(theirs):
+                out.append((ident, n, len(theirs)))
         return out
 
 
@@ -193,6 +199,7 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = [src.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()]
+    kind = to_arrow_type(items.schema[item_id_col].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, shared long, item_shingles long, containment double"
 
     def make(batch: pa.RecordBatch, index: Index, seen: _Hashes) -> pa.RecordBatch:
@@ -202,7 +209,6 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                 at.append(i)
                 rows.append(hit)
         ids, n, q = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kinds[1])
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, kind), pa.array(n, pa.int64()), pa.array(q, pa.int64()), pa.array([a / b for a, b in zip(n, q, strict=True)], pa.float64())],
             names=["doc_id", "item_id", "shared", "item_shingles", "containment"],
