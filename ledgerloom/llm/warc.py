@@ -4,9 +4,10 @@ A revisit of a URL stands for the latest full response of the same canonical URL
 before it.  Its validators are checked against that response's, and the headers
 that a 304 may change are merged into the stored ones.
 
-Time is cut into slices: the join looks inside a (URL, slice) by a window, and
-earlier slices hand over one row each, so that even one URL with a third of all
-captures is spread over many tasks.
+Time is cut into slices of about equal numbers of captures: the join looks inside
+a (URL, slice) by a window, and earlier slices hand over one row each, so that even
+one URL with a third of all captures is spread over many tasks, and a capture dated
+centuries off moves no other one.
 """
 
 from __future__ import annotations
@@ -81,10 +82,11 @@ def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     c = captures.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "url", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind", lowered(F.col("headers")).alias("headers"), "digest"
     )
-    lo, hi = c.agg(F.min("us"), F.max("us")).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // slices + 1)
+    cuts = c.agg(F.percentile_approx("us", [i / slices for i in range(1, slices)], 1000)).first()[0] if slices > 1 else None
+    # A time's slice is the number of cuts up to it; captures of one time are in one slice.
+    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts or ())))).cast("array<long>")
     usable = F.col("canonical_url").isNotNull() & F.col("us").isNotNull()
-    c = c.withColumn("slice", F.floor((F.col("us") - F.lit(lo or 0)) / F.lit(width)).cast("int"))
+    c = c.withColumn("slice", F.size(F.filter(cuts, lambda x: x <= F.col("us"))))
     stored = F.struct("us", "record_id", "headers_text", "digest")
     # Maps can't be compared, so the response's headers travel as text behind the columns that decide.
     c = c.withColumn("headers_text", F.to_json("headers"))
@@ -111,26 +113,41 @@ def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """A capture log of pages: each one's full response, and a revisit of it a week later under another form of its URL.
+    """A capture log of pages: each one's full response and a revisit a week later under another form of its URL.
 
-    What the revisit carries as validators follows from the URL's hash: the same
-    entity tag, a weak one, only the date, nothing, or a stale tag.
+    Half the pages, by the URL's hash, have a second response after three days,
+    with another body, and a second revisit after two weeks.  What a revisit
+    carries as validators follows from that hash too: the entity tag of the
+    page's latest response, a weak one, only the date, nothing, or a stale tag.
     """
-    html = F.coalesce("html", F.lit(""))
-    h, case = F.md5(html), F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1)
-    tag = F.concat(F.lit('"'), F.substring(h, 1, 16), F.lit('"'))
-    date = F.concat(F.lit("version "), F.substring(h, 17, 4))
-    at = F.col("page_id") * 60
-    response = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(html).cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Date"), at.cast("string"))
-    week = at + 7 * 86400
-    revisit = F.map_filter(F.create_map(
-        F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), week.cast("string"),
-        F.lit("ETag"), F.when(case < "8", tag).when(case < "c", F.concat(F.lit("W/"), tag)).when(case == "f", F.lit('"stale"')),
-        F.lit("Last-Modified"), F.when(case < "e", date),
-    ), lambda _, v: v.isNotNull())
-    first = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.timestamp_seconds(at).alias("ts"), F.lit("response").alias("kind"), response.alias("headers"), h.alias("digest"))
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.timestamp_seconds(week).alias("ts"), F.lit("revisit").alias("kind"), revisit.alias("headers"), F.lit(None).cast("string").alias("digest"))
-    return first.unionByName(again)
+    html, name = F.coalesce("html", F.lit("")), F.md5(F.coalesce("url", F.lit("")))
+    case, twice = F.substring(name, 1, 1), F.substring(name, 2, 1) < "8"
+    at, day = F.col("page_id") * 60, 86400
+
+    def parts(body: Column) -> tuple[Column, Column, Column]:
+        h = F.md5(body)
+        return h, F.concat(F.lit('"'), F.substring(h, 1, 16), F.lit('"')), F.concat(F.lit("version "), F.substring(h, 17, 4))
+
+    def capture(k: int, kind: str, url: Column, when: Column, headers: Column, digest: Column) -> Column:
+        one = F.struct((F.col("page_id") * 4 + k).cast("long").alias("record_id"), url.alias("url"), F.timestamp_seconds(when).alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("digest"))
+        return one if k in (0, 2) else F.when(twice, one)
+
+    def response(k: int, body: Column, when: Column) -> Column:
+        h, tag, date = parts(body)
+        headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length(body).cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Date"), when.cast("string"))
+        return capture(k, "response", F.col("url"), when, headers, h)
+
+    def revisit(k: int, when: Column) -> Column:
+        _, tag, date = parts(F.concat(html, F.when(twice, F.lit("2")).otherwise("")))
+        headers = F.map_filter(F.create_map(
+            F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), when.cast("string"),
+            F.lit("ETag"), F.when(case < "8", tag).when(case < "c", F.concat(F.lit("W/"), tag)).when(case == "f", F.lit('"stale"')),
+            F.lit("Last-Modified"), F.when(case < "e", date),
+        ), lambda _, v: v.isNotNull())
+        return capture(k, "revisit", F.concat("url", F.lit("#again")), when, headers, F.lit(None).cast("string"))
+
+    each = F.array(response(0, html, at), response(1, F.concat(html, F.lit("2")), at + 3 * day), revisit(2, at + 7 * day), revisit(3, at + 14 * day))
+    return pages.select(F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,24 +162,28 @@ QUERIES = {"op3_warc_revisits": op3_warc_revisits}
 ORACLE_SQL = {
     "op3_warc_revisits": r"""
 WITH p AS (
-  SELECT page_id, url, md5(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n, substr(md5(coalesce(url, '')), 1, 1) AS k, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+  SELECT page_id, url, coalesce(html, '') AS html, substr(md5(coalesce(url, '')), 1, 1) AS k, substr(md5(coalesce(url, '')), 2, 1) < '8' AS twice, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
 c AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
     regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid|ref|sessionid|phpsessid)(=|$)'))) AS q FROM p),
 r AS (
-  SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END AS canonical_url,
-    '"' || substr(h, 1, 16) || '"' AS tag, 'version ' || substr(h, 17, 4) AS date FROM c),
+  SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END AS canonical_url FROM c),
+b AS (SELECT page_id * 4 AS record_id, canonical_url, page_id * 60 AS ts, html FROM r UNION ALL SELECT page_id * 4 + 1, canonical_url, page_id * 60 + 259200, html || '2' FROM r WHERE twice),
+s AS (SELECT record_id, canonical_url, ts, md5(html) AS h, octet_length(encode(html)) AS n, '"' || substr(md5(html), 1, 16) || '"' AS tag, 'version ' || substr(md5(html), 17, 4) AS date FROM b),
+x AS (
+  SELECT page_id * 4 + e AS record_id, canonical_url, page_id * 60 + 604800 * (e - 1) AS ts, k, md5(html || CASE WHEN twice THEN '2' ELSE '' END) AS h FROM r, (VALUES (2), (3)) AS t(e) WHERE e = 2 OR twice),
 v AS (
-  SELECT page_id, canonical_url, page_id * 60 + 604800 AS ts, CASE WHEN k < '8' THEN tag WHEN k < 'c' THEN 'W/' || tag WHEN k = 'f' THEN '"stale"' END AS vtag, CASE WHEN k < 'e' THEN date END AS vdate FROM r),
+  SELECT record_id, canonical_url, ts, CASE WHEN k < '8' THEN '"' || substr(h, 1, 16) || '"' WHEN k < 'c' THEN 'W/"' || substr(h, 1, 16) || '"' WHEN k = 'f' THEN '"stale"' END AS vtag,
+    CASE WHEN k < 'e' THEN 'version ' || substr(h, 17, 4) END AS vdate FROM x),
 j AS (
-  SELECT v.page_id * 2 + 1 AS record_id, v.canonical_url, v.ts, vtag, vdate, r.page_id AS found, r.n, r.h, r.tag, r.date,
-    row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
-  FROM v LEFT JOIN r ON v.canonical_url = r.canonical_url AND r.page_id * 60 < v.ts),
+  SELECT v.record_id, v.canonical_url, v.ts, vtag, vdate, s.record_id AS found, s.n, s.h, s.tag, s.date,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY s.ts DESC, s.record_id DESC) AS k
+  FROM v LEFT JOIN s ON v.canonical_url = s.canonical_url AND s.ts < v.ts),
 w AS (
   SELECT *, CASE WHEN found IS NULL THEN 'unresolved' WHEN vtag IS NOT NULL THEN CASE WHEN regexp_replace(vtag, '^W/', '') = tag THEN 'resolved' ELSE 'etag-mismatch' END
     WHEN vdate IS NOT NULL THEN CASE WHEN vdate = date THEN 'resolved' ELSE 'date-mismatch' END ELSE 'unverified' END AS verdict FROM j WHERE k = 1)
-SELECT record_id, canonical_url, found * 2 AS refers_to, verdict, CASE WHEN verdict IN ('resolved', 'unverified') THEN h END AS digest,
+SELECT record_id, canonical_url, found AS refers_to, verdict, CASE WHEN verdict IN ('resolved', 'unverified') THEN h END AS digest,
   'cache-control: max-age=60' || chr(10) || CASE WHEN verdict IN ('resolved', 'unverified')
     THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(vtag, tag) || chr(10) || 'last-modified: ' || coalesce(vdate, date)
     ELSE 'content-length: 0' || chr(10) || 'date: ' || ts || CASE WHEN vtag IS NOT NULL THEN chr(10) || 'etag: ' || vtag ELSE '' END || CASE WHEN vdate IS NOT NULL THEN chr(10) || 'last-modified: ' || vdate ELSE '' END END AS headers
