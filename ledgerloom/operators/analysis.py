@@ -12,6 +12,8 @@ from ..functions import dates as D
 from ..functions import text as T
 from . import retrieval as R
 from .extraction import PHASES
+from .graph import _settled
+from .pairs import found_in, similar_sets
 from .rules import clamp
 
 PHASE_RANK = {name: i for i, (name, _) in enumerate(PHASES)}
@@ -33,37 +35,52 @@ def phase_edges(reqs: DataFrame) -> DataFrame:
     """(src, dst, confidence): requirements of neighbouring phases on one matter.
 
     One matter: the same heading, the same document with an overlap of 0.12, or
-    an overlap of 0.28.  All three need a heading or a word in common, on which
-    the join is.
+    an overlap of 0.28.  Pairs come from a join on headings and from similar word
+    sets, of one document and of all.
     """
     rank = F.create_map(*(F.lit(x) for kv in PHASE_RANK.items() for x in kv))
-    r = reqs.where("phase <> 'general'").select("requirement_id", "document_id", T.normalized_key("heading").alias("h"), rank[F.col("phase")].alias("k"), long_words("statement").alias("w"))
-    keys = F.array_union(F.transform("w", lambda x: F.concat(F.lit("w:"), x)), F.array(F.concat(F.lit("h:"), "h")))
-    e = r.select("*", F.explode(keys).alias("key"))
-    a, b = e.select(*(F.col(c).alias(f"a_{c}") for c in r.columns), "key"), e.select(*(F.col(c).alias(f"b_{c}") for c in r.columns), "key")
-    p = a.join(b, (a["key"] == b["key"]) & (b["b_k"] == a["a_k"] + 1)).drop("key").dropDuplicates(["a_requirement_id", "b_requirement_id"])
-    o = overlap(F.col("a_w"), F.col("b_w"))
-    head, doc = (F.col("a_h") == F.col("b_h")) & (F.col("a_h") != ""), F.col("a_document_id") == F.col("b_document_id")
-    p = p.withColumns({"o": o, "head": head, "doc": doc}).where(F.col("head") | (F.col("doc") & (F.col("o") >= 0.12)) | (F.col("o") >= 0.28))
-    conf = T.rounded(100 * (0.45 + F.col("o") + 0.2 * F.col("head").cast("int") + 0.1 * F.col("doc").cast("int")))
-    return p.select(F.col("a_requirement_id").alias("src"), F.col("b_requirement_id").alias("dst"), F.least(conf, F.lit(100)).cast("int").alias("confidence"))
+    r = reqs.where("phase <> 'general'").select(F.col("requirement_id").alias("id"), "document_id", T.normalized_key("heading").alias("h"), rank[F.col("phase")].alias("k"), long_words("statement").alias("w"))
+    r = _settled(r)
+    after = F.col("b_k") == F.col("a_k") + 1
+    a, b = (r.select(F.col("id").alias(f"{x}_id"), F.col("k").alias(f"{x}_k"), "h") for x in "ab")
+    pairs = a.join(b, "h").where(after & (F.col("h") != "")).select("a_id", "b_id")
+    for least, same in ((0.12, ("document_id",)), (0.28, ())):
+        pairs = pairs.unionByName(similar_sets(r, F.col("w"), least, measure="larger", keep=("k",), same=same, apart=after).select("a_id", "b_id"))
+    p = pairs.distinct()
+    for x in "ab":
+        p = p.join(r.select(*(F.col(c).alias(f"{x}_{c}") for c in r.columns)), f"{x}_id")
+    p = p.withColumn("o", overlap(F.col("a_w"), F.col("b_w")))
+    head, doc = (F.col("a_h") == F.col("b_h")) & (F.col("a_h") != ""), F.coalesce(F.col("a_document_id") == F.col("b_document_id"), F.lit(False))
+    conf = T.rounded(100 * (0.45 + F.col("o") + 0.2 * head.cast("int") + 0.1 * doc.cast("int")))
+    return p.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.least(conf, F.lit(100)).cast("int").alias("confidence"))
+
+
+def _clause_score(p: DataFrame) -> DataFrame:
+    phase = F.when((F.col("p") == F.col("phase")) & (F.col("p") != "general"), 0.25).otherwise(0.0)
+    return p.withColumn("score", overlap(F.col("w"), F.col("rw")) + phase + F.when((F.col("h") != "") & F.col("c").contains(F.col("h")), 0.25).otherwise(0.0))
+
+
+def _clause_sides(clauses: DataFrame, reqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    c = clauses.select("clause_id", "own", T.normalized_key("clause").alias("c"), long_words("clause").alias("w"), T.ladder(T.normalized_key("clause"), PHASES, "general").alias("p"))
+    return c, reqs.select("requirement_id", "phase", T.normalized_key("heading").alias("h"), long_words("statement").alias("rw"))
 
 
 def clause_matches(clauses: DataFrame, reqs: DataFrame, at: float = 0.28, most: int = 5) -> DataFrame:
     """(clause_id, requirement_id, score, place): the requirements a clause speaks of: overlap, 0.25 for its phase, 0.25 for its heading.
 
-    clauses: clause_id, own (the requirement it comes from), clause.  A score of
-    0.28 needs a word in common, a phase word or the heading; words and headings
-    make the join, phase words alone are worth less than the threshold.
+    clauses: clause_id, own (the requirement it comes from), clause.  Beyond 0.25
+    a pair needs a word in common or a heading that stands in the clause,
+    wherever and however short.
     """
-    c = clauses.select("clause_id", "own", T.normalized_key("clause").alias("c"), long_words("clause").alias("w"), T.ladder(T.normalized_key("clause"), PHASES, "general").alias("p"))
-    r = reqs.select("requirement_id", "phase", T.normalized_key("heading").alias("h"), long_words("statement").alias("rw"), long_words("heading").alias("hw"))
-    e1 = c.select("clause_id", F.explode("w").alias("x"))
-    e2 = r.select("requirement_id", F.explode(F.array_union("rw", "hw")).alias("x"))
-    p = e1.join(e2, "x").select("clause_id", "requirement_id").distinct().join(c, "clause_id").join(r, "requirement_id").where("own <> requirement_id")
-    score = overlap(F.col("w"), F.col("rw")) + F.when((F.col("p") == F.col("phase")) & (F.col("p") != "general"), 0.25).otherwise(0.0) + F.when((F.col("h") != "") & F.col("c").contains(F.col("h")), 0.25).otherwise(0.0)
+    if at <= 0.25:
+        raise ValueError("a threshold of 0.25 or less can be met by the phase alone")
+    c, r = (_settled(x) for x in _clause_sides(clauses, reqs))
+    by_word = c.select("clause_id", F.explode("w").alias("x")).join(r.select("requirement_id", F.explode("rw").alias("x")), "x").select("clause_id", "requirement_id")
+    hits = found_in(r.select(F.col("h").alias("term")), c.select(F.col("clause_id").alias("id"), F.col("c").alias("n")))
+    by_head = r.select("requirement_id", F.col("h").alias("term")).join(hits, "term").select(F.col("id").alias("clause_id"), "requirement_id")
+    p = by_word.unionByName(by_head).distinct().join(c, "clause_id").join(r, "requirement_id").where("own <> requirement_id")
     w = Window.partitionBy("clause_id").orderBy(F.desc("score"), "requirement_id")
-    return p.withColumn("score", score).where(F.col("score") >= at).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("clause_id", "requirement_id", "score", "place")
+    return _clause_score(p).where(F.col("score") >= at).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("clause_id", "requirement_id", "score", "place")
 
 
 def workflow_by_phase(reqs: DataFrame) -> DataFrame:
@@ -77,10 +94,8 @@ def workflow_by_phase(reqs: DataFrame) -> DataFrame:
 
 def timeline_conflicts(events: DataFrame, at: float = 0.35) -> DataFrame:
     """(a, b, kind, gap, severity): events on one topic whose dates or durations differ by a day or more. events: id, text, day, days."""
-    e = events.select("id", "day", "days", long_words("text").alias("w"))
-    x = e.select("*", F.explode("w").alias("k"))
-    p = x.alias("x").join(x.alias("y"), "k").where("x.id < y.id").select(*(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in ("id", "day", "days", "w"))).dropDuplicates(["x_id", "y_id"])
-    p = p.where(overlap(F.col("x_w"), F.col("y_w")) >= at)
+    p = similar_sets(events.select("id", "day", "days", "text"), long_words("text"), at, measure="larger", keep=("day", "days"))
+    p = p.select(*(F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in (("a", "x"), ("b", "y")) for c in ("id", "day", "days")))
     gap, dur = F.abs(F.datediff("x_day", "y_day")).cast("double"), F.abs(F.col("x_days") - F.col("y_days"))
     row = lambda kind, g, sev: p.where(g >= 1).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.lit(kind).alias("kind"), g.alias("gap"), sev.alias("severity"))
     return row("date-discrepancy", gap, F.when(gap > 30, "high").when(gap > 7, "medium").otherwise("low")).unionByName(row("duration-discrepancy", dur, F.when(dur > 30, "high").otherwise("medium")))
@@ -108,21 +123,44 @@ def anchored(durations: DataFrame, anchors: DataFrame) -> DataFrame:
 
 # --- evidence --------------------------------------------------------------------------------------
 
+def _link_score(p: DataFrame) -> DataFrame:
+    yes = lambda c, v: F.when(c, v).otherwise(0.0)
+    s = 0.45 * T.jaccard(F.col("w"), F.col("ew")) + yes(F.col("document_id") == F.col("e_doc"), 0.18) + yes(F.col("section") == F.col("e_sec"), 0.17) + yes(F.col("links_to") == F.col("requirement_id"), 0.5)
+    return p.withColumn("score", clamp(s + yes(F.col("needs_type") == F.col("e_type"), 0.25) + yes(F.col("party") == F.col("e_party"), 0.08)))
+
+
+def _link_sides(reqs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    r = reqs.select("requirement_id", "document_id", "section", "party", "needs_type", T.stem_set("statement").alias("w"))
+    return r, evidence.select("evidence_id", F.col("document_id").alias("e_doc"), F.col("section").alias("e_sec"), F.col("party").alias("e_party"), F.col("type").alias("e_type"), "links_to", T.stem_set("text").alias("ew"))
+
+
 def evidence_links(reqs: DataFrame, evidence: DataFrame, at: float = 0.32) -> DataFrame:
     """(requirement_id, evidence_id, score): by words, place, an explicit link, the required type and party.
 
-    A link needs 0.32: an explicit link, or words or a section in common.
+    What can make 0.32 without a word: an explicit link, document and section, or
+    the required type with the document, the section or the party.  Any other
+    link needs a similarity of the words of 2/15 at least, as what else is equal
+    then makes 0.26 at most.
     """
-    r = reqs.select("requirement_id", "document_id", "section", "party", "needs_type", T.stem_set("statement").alias("w"))
-    e = evidence.select("evidence_id", F.col("document_id").alias("e_doc"), F.col("section").alias("e_sec"), F.col("party").alias("e_party"), F.col("type").alias("e_type"), "links_to", T.stem_set("text").alias("ew"))
-    keys = lambda w, sec, own: F.array_union(F.transform(w, lambda x: F.concat(F.lit("w:"), x)), F.array_compact(F.array(F.concat(F.lit("s:"), sec), F.concat(F.lit("l:"), own))))
-    a = r.select("requirement_id", F.explode(keys(F.col("w"), F.col("section"), F.col("requirement_id"))).alias("k"))
-    b = e.select("evidence_id", F.explode(keys(F.col("ew"), F.col("e_sec"), F.col("links_to"))).alias("k"))
-    p = a.join(b, "k").select("requirement_id", "evidence_id").distinct().join(r, "requirement_id").join(e, "evidence_id")
-    yes = lambda c, v: F.when(c, v).otherwise(0.0)
-    s = 0.45 * T.jaccard(F.col("w"), F.col("ew")) + yes(F.col("document_id") == F.col("e_doc"), 0.18) + yes(F.col("section") == F.col("e_sec"), 0.17) + yes(F.col("links_to") == F.col("requirement_id"), 0.5)
-    s = s + yes(F.col("needs_type") == F.col("e_type"), 0.25) + yes(F.col("party") == F.col("e_party"), 0.08)
-    return p.withColumn("score", clamp(s)).where(F.col("score") >= at).select("requirement_id", "evidence_id", "score")
+    if at < 0.32:
+        raise ValueError("pairs below 0.32 are not looked for")
+    r, e = (_settled(x) for x in _link_sides(reqs, evidence))
+    keys = [
+        (["requirement_id"], ["links_to"]), (["document_id", "section"], ["e_doc", "e_sec"]),
+        *(([other, "needs_type"], [same, "e_type"]) for other, same in (("document_id", "e_doc"), ("section", "e_sec"), ("party", "e_party"))),
+    ]
+    pairs = None
+    for own, theirs in keys:
+        a = r.select("requirement_id", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(own)))
+        b = e.select("evidence_id", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(theirs)))
+        some = a.join(b, [f"_k{i}" for i in range(len(own))]).select("requirement_id", "evidence_id")
+        pairs = some if pairs is None else pairs.unionByName(some)
+    sides = r.select(F.struct(F.lit(0).alias("side"), F.col("requirement_id").cast("string").alias("name")).alias("id"), "w").unionByName(e.select(F.struct(F.lit(1).alias("side"), F.col("evidence_id").cast("string").alias("name")).alias("id"), F.col("ew").alias("w")))
+    sides = sides.select(F.to_json("id").alias("id"), F.col("id.side").alias("side"), F.col("id.name").alias("name"), "w")
+    alike = similar_sets(sides, F.col("w"), 2 / 15 - 1e-9, keep=("side", "name"), apart=F.col("a_side") < F.col("b_side"))
+    alike = alike.select(F.col("a_name").cast(r.schema["requirement_id"].dataType).alias("requirement_id"), F.col("b_name").cast(e.schema["evidence_id"].dataType).alias("evidence_id"))
+    p = pairs.unionByName(alike).distinct().join(r, "requirement_id").join(e, "evidence_id")
+    return _link_score(p).where(F.col("score") >= at).select("requirement_id", "evidence_id", "score")
 
 
 def evidence_pairs(evidence: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .graph import _settled
+from .pairs import found_in, similar_sets
 
 # Phases, checklist categories, evidence types and owner actions, first match wins.
 PHASES = [
@@ -140,28 +142,37 @@ def definitions(hits: DataFrame) -> DataFrame:
     return s.where(x.rlike(p)).select("id", "document_id", "pos", term.alias("term"), F.regexp_replace(F.trim(F.regexp_extract(x, p, 2)), r"[.;]+$", "").alias("meaning"))
 
 
+def _evidence_score(p: DataFrame) -> DataFrame:
+    """Pairs of requirement and evidence columns with their score."""
+    found = F.size(F.filter("evidence_terms", lambda x: F.col("n").contains(x))) / F.greatest(F.lit(1), F.size("evidence_terms"))
+    some = lambda c: F.when(F.exists(c, lambda x: F.col("n").contains(x)), 0.25).otherwise(0.0)
+    score = F.when(F.size("evidence_terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), found * 0.45 + T.jaccard(F.col("rs"), F.col("es")) * 0.25 + some("refs") + some("dels")))
+    return p.withColumn("score", score)
+
+
+def _evidence_sides(reqs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    whole = F.concat_ws(" ", "heading", F.array_join("path", " "), "text")
+    e = evidence.select(F.col("id").alias("evidence_id"), T.normalized_key(whole).alias("n"), T.stem_set(whole).alias("es"))
+    words = lambda c: F.filter(F.transform(F.col(c), lambda x: T.normalized_key(x)), lambda x: x != "")
+    return reqs.select("requirement_id", F.col("id").alias("own"), "evidence_terms", words("references").alias("refs"), words("deliverables").alias("dels"), T.stem_set("statement").alias("rs")), e
+
+
 def evidence_matches(reqs: DataFrame, evidence: DataFrame, at: float = EVIDENCE_AT, most: int = EVIDENCE_MOST) -> DataFrame:
     """(requirement_id, evidence_id, score, rank): the best evidence sections of each requirement.
 
     Score: 0.45 of the share of its terms found, 0.25 of the word similarity,
-    0.25 for a reference and for a deliverable found.  A score of 0.42 needs one
-    of these words to occur, and so its first four characters: pairs come from an
-    equi join on such grams, not from a cross join.
+    0.25 for a reference and for a deliverable found.  Beyond 0.25 one of these
+    must be found as a part of the evidence's text, whatever its length, which
+    pairs.found_in tells without a cross join.
     """
     if at <= 0.25:
-        raise ValueError("a threshold of 0.25 or less can be met without a word in common")
-    e = evidence.select(F.col("id").alias("evidence_id"), T.normalized_key(F.concat_ws(" ", "heading", F.array_join("path", " "), "text")).alias("n"), T.stem_set(F.concat_ws(" ", "heading", F.array_join("path", " "), "text")).alias("es"))
-    grams = F.when(F.length("n") >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - 3), lambda i: F.substring(F.col("n"), i, F.lit(4)))))
-    words = lambda c: F.filter(F.transform(F.col(c), lambda x: T.normalized_key(x)), lambda x: x != "")
-    r = reqs.select("requirement_id", F.col("id").alias("own"), "evidence_terms", words("references").alias("refs"), words("deliverables").alias("dels"), T.stem_set("statement").alias("rs"))
-    heads = F.array_distinct(F.transform(F.concat("evidence_terms", "refs", "dels"), lambda x: F.substring(x, 1, 4)))
-    short = r.select("*", F.explode(heads).alias("g"))
-    pairs = short.join(e.select("evidence_id", F.explode(grams).alias("g")), "g").where("own <> evidence_id").select("requirement_id", "evidence_id").distinct()
-    p = pairs.join(r, "requirement_id").join(e, "evidence_id")
-    found = F.size(F.filter("evidence_terms", lambda x: F.col("n").contains(x))) / F.greatest(F.lit(1), F.size("evidence_terms"))
-    some = lambda c: F.when(F.exists(c, lambda x: F.col("n").contains(x)), 0.25).otherwise(0.0)
-    score = F.when(F.size("evidence_terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), found * 0.45 + T.jaccard(F.col("rs"), F.col("es")) * 0.25 + some("refs") + some("dels")))
-    p = p.withColumn("score", score).where(F.col("score") >= at)
+        raise ValueError("a threshold of 0.25 or less can be met without a term found")
+    r, e = _evidence_sides(reqs, evidence)
+    r, e = _settled(r.where("size(evidence_terms) > 0")), _settled(e)
+    terms = r.select("requirement_id", "own", F.explode(F.array_distinct(F.concat("evidence_terms", "refs", "dels"))).alias("term"))
+    hits = found_in(terms, e.select(F.col("evidence_id").alias("id"), "n"))
+    pairs = terms.join(hits, "term").where("own <> id").select("requirement_id", F.col("id").alias("evidence_id")).distinct()
+    p = _evidence_score(pairs.join(r, "requirement_id").join(e, "evidence_id")).where(F.col("score") >= at)
     w = Window.partitionBy("requirement_id").orderBy(F.desc("score"), "evidence_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("requirement_id", "evidence_id", "score", "rank")
 
@@ -204,28 +215,29 @@ def owner_actions(reqs: DataFrame) -> DataFrame:
 def opposing_sources(hits: DataFrame, most: int = 6) -> DataFrame:
     """Pairs of sections of different documents on common matter that say opposite things, the surest first.
 
-    Matter in common is three shared long stems or a similarity of 0.2; both
-    need one shared stem, on which the join is.
+    Matter in common is three shared long stems or a similarity of 0.2.
     """
     both = F.concat_ws(" ", "heading", "text")
     s = hits.select("id", "document_id", T.polarity(both).alias("pol"), T.stem_set(both).alias("s"), T.matches(both, L.EXCEPTION).alias("exc")).where("pol <> 'neutral'")
-    e = s.select("*", F.explode("s").alias("t"))
-    x, y = e.select(*(F.col(c).alias(f"a_{c}") for c in s.columns), "t"), e.select(*(F.col(c).alias(f"b_{c}") for c in s.columns), "t")
-    p = x.join(y, "t").where((F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id"))).drop("t").dropDuplicates(["a_id", "b_id"])
+    s = _settled(s)
+    against = (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id")) & ((F.col("a_pol") != F.col("b_pol")) | (F.col("a_exc") != F.col("b_exc")))
+    few = s.drop("s").columns
+    near = similar_sets(s, F.col("s"), 0.2, keep=tuple(few[1:]), apart=against).select("a_id", "b_id")
+    long = similar_sets(s, F.filter("s", lambda w: F.length(w) >= 4), None, 3, keep=tuple(few[1:]), apart=against).select("a_id", "b_id")
+    p = near.unionByName(long).distinct()
+    for x in "ab":
+        p = p.join(s.select(F.col("id").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")), f"{x}_id")
     shared = F.size(F.filter(F.array_intersect("a_s", "b_s"), lambda w: F.length(w) >= 4))
-    sim = T.jaccard(F.col("a_s"), F.col("b_s"))
-    p = p.withColumns({"shared": shared, "similarity": sim}).where(((F.col("shared") >= 3) | (F.col("similarity") >= 0.2)) & ((F.col("a_pol") != F.col("b_pol")) | (F.col("a_exc") != F.col("b_exc"))))
+    p = p.withColumns({"shared": shared, "similarity": T.jaccard(F.col("a_s"), F.col("b_s"))})
     conf = F.greatest(F.lit(50), F.least(F.lit(95), T.rounded(45 + F.col("similarity") * 100 + F.least(F.lit(20), F.col("shared") * 3)))).cast("int")
     return p.select(F.col("a_id").alias("source_a"), F.col("b_id").alias("source_b"), conf.alias("confidence"), "shared").orderBy(F.desc("confidence"), "source_a", "source_b").limit(most)
 
 
 def source_agreement(hits: DataFrame) -> DataFrame:
-    """Pairs of sections that agree (similarity 0.28 or more) or differ (0.08 or more)."""
-    s = hits.select("id", "document_id", T.stem_set("text").alias("s"))
-    e = s.select("*", F.explode("s").alias("t"))
-    p = e.alias("x").join(e.alias("y"), "t").where("x.id < y.id and x.document_id <> y.document_id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.s").alias("sa"), F.col("y.s").alias("sb")).dropDuplicates(["a", "b"])
-    p = p.withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb"))).where("similarity >= 0.08")
-    return p.select("a", "b", "similarity", F.when(F.col("similarity") >= 0.28, "agree").otherwise("differ").alias("verdict"))
+    """Pairs of sections of different documents that agree (similarity 0.28 or more) or differ (0.08 or more)."""
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id"))
+    p = similar_sets(hits.select("id", "document_id", "text"), T.stem_set("text"), 0.08, keep=("document_id",), apart=apart)
+    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity", F.when(F.col("similarity") >= 0.28, "agree").otherwise("differ").alias("verdict"))
 
 
 def requirement_graph(reqs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,96 +1,140 @@
 """Property graphs as edge tables: traversal, paths, cycles, order, components, influence and critical path.
 
 edges has src and dst, and where asked weight and confidence.  Iterative
-operators write each round to the shared checkpoint folder and stop when nothing
-changes or after their stated number of rounds.
+operators write each round to the shared checkpoint folder and go on until
+nothing changes; a bound on steps holds only where the caller gives one.
 """
 
 from __future__ import annotations
 
 import tempfile
-import uuid
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH, MAX_PATHS = 12, 1000
+#: Rounds after which the pieces that rounds have added to a table are written as one.
+COMPACT = 16
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df read back from the checkpoint folder that all executors share."""
+def shared_folder(df: DataFrame) -> None:
+    """Make sure of a checkpoint folder that all executors share; one of our own only in local mode."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-graph-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-graph-"))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df read back from the checkpoint folder that all executors share."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
-def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
-    """A query over DataFrames given by name."""
-    own = {}
-    for name, df in views.items():
-        own[name] = f"v_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(own[name])
-    return spark.sql(text.format(**own))
+def _steps(most: int | None):
+    return count(1) if most is None else range(1, most + 1)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(seed, node, depth): nodes within `depth` steps of each seed (a column `node`), the seed not among them unless on a cycle.
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, node, depth): nodes that each seed (a column `node`) reaches, within `depth` steps if given, the seed not among them unless on a cycle.
 
     Breadth first: a round extends the frontier by one join and drops what is
     known, so cycles end it.
     """
-    e = edges.select("src", "dst").distinct()
-    frontier = seeds.select(F.col("node").alias("seed"), F.col("node"))
-    known = None
-    for d in range(1, depth + 1):
+    e = _settled(edges.select("src", "dst").distinct())
+    frontier = seeds.select(F.col("node").alias("seed"), F.col("node")).distinct()
+    known = frontier.withColumn("depth", F.lit(0)).limit(0)
+    for d in _steps(depth):
         step = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        if known is not None:
+        if d > 1:
             step = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
         step = _settled(step.withColumn("depth", F.lit(d)))
         if step.isEmpty():
             break
-        known = step if known is None else known.unionByName(step)
+        known = step if d == 1 else known.unionByName(step)
+        known = _settled(known) if d % COMPACT == 0 else known
         frontier = step.select("seed", "node")
-    return known if known is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
+    return known
 
 
-def simple_paths(edges: DataFrame, start: str, end: str | None = None, depth: int = MAX_DEPTH, most: int = MAX_PATHS) -> DataFrame:
-    """(path, length, cost): paths without a repeated node from start (to end), shortest first, at most `most`."""
-    spark = edges.sparkSession
-    w = "weight" if "weight" in edges.columns else "1.0"
-    out = _sql(spark, f"""WITH RECURSIVE p AS (SELECT CAST('{start}' AS STRING) AS node, array('{start}') AS path, 0 AS length, CAST(0.0 AS DOUBLE) AS cost
-        UNION ALL SELECT e.dst, concat(p.path, array(e.dst)), p.length + 1, p.cost + CAST({w} AS DOUBLE) FROM p JOIN {{e}} e ON e.src = p.node WHERE p.length < {depth} AND NOT array_contains(p.path, e.dst))
-        SELECT * FROM p WHERE length > 0""", e=edges)
-    if end is not None:
-        out = out.where(F.col("node") == end)
-    return out.select(F.array_join("path", ">").alias("path"), "length", "cost").orderBy("length", "path").limit(most)
+def _costed(edges: DataFrame, cost: Column | None = None) -> DataFrame:
+    """(src, dst, c): the cheapest of parallel edges; 1 each without a weight."""
+    c = cost if cost is not None else F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    e = _settled(edges.select("src", "dst", c.cast("double").alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c")))
+    if not e.where("c < 0 or c is null or isnan(c)").isEmpty():
+        raise ValueError("costs must be numbers and not negative")
+    return e
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """The path of fewest steps, of equal ones the first by name; no row if there is none."""
-    return simple_paths(edges, start, end, depth, 1).select("path", "length")
+def simple_paths(edges: DataFrame, start: str, end: str | None = None, depth: int | None = None, most: int | None = None) -> DataFrame:
+    """(path, length, cost): all paths without a repeated node from start (to end), of at most `depth` steps if given; shortest first, the first `most` if given.
 
-
-def weighted_distances(edges: DataFrame, start: str, cost: Column | None = None, rounds: int = 64) -> DataFrame:
-    """(node, distance) from start by rounds of relaxation; costs must not be negative."""
-    c = cost if cost is not None else F.col("weight")
-    e = edges.select("src", "dst", c.cast("double").alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c"))
-    d = _settled(edges.sparkSession.createDataFrame([(start, 0.0)], "node string, distance double"))
-    last = None
-    for _ in range(rounds):
-        more = d.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("c")).alias("distance"))
-        d = _settled(d.unionByName(more).groupBy("node").agg(F.min("distance").alias("distance")))
-        now = d.agg(F.count("*"), F.sum("distance")).first()
-        if now == last:
+    There can be exponentially many; each round extends all open ones by a step.
+    """
+    e = _costed(edges)
+    open_paths = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("nodes"), F.lit(0.0).alias("cost"))
+    out = open_paths.limit(0)
+    for _ in _steps(depth):
+        more = open_paths.join(e, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        open_paths = _settled(more.select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"), (F.col("cost") + F.col("c")).alias("cost")))
+        if open_paths.isEmpty():
             break
-        last = now
-    return d
+        out = out.unionByName(open_paths)
+        if end is not None:
+            open_paths = open_paths.where(F.col("node") != end)
+    out = out if end is None else out.where(F.col("node") == end)
+    out = out.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("length"), "cost").orderBy("length", "path")
+    return out if most is None else out.limit(most)
 
 
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(path, length): the path of fewest steps, of equal ones the first by the names of its nodes in turn; no row if there is none.
+
+    Breadth first without a bound: every node is reached once, by the least of
+    the paths to it of that many steps.
+    """
+    e = _settled(edges.select("src", "dst").distinct())
+    frontier = _settled(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("nodes")))
+    known = frontier.select("node")
+    for d in count(1):
+        found = frontier.where(F.col("node") == end)
+        if not found.isEmpty():
+            return found.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("length"))
+        step = frontier.join(e, F.col("node") == F.col("src")).join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
+        frontier = _settled(step.groupBy("dst").agg(F.min("nodes").alias("nodes")).select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes")))
+        if frontier.isEmpty():
+            return frontier.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).alias("length"))
+        known = known.unionByName(frontier.select("node"))
+        known = _settled(known) if d % COMPACT == 0 else known
+    raise AssertionError
+
+
+def weighted_paths(edges: DataFrame, start: str, cost: Column | None = None) -> DataFrame:
+    """(node, distance, path): the cheapest way from start to every node it reaches, of equal ones that of fewest steps, then the first by names.
+
+    Rounds of relaxation from the nodes that the last one improved, until none is.
+    """
+    e = _costed(edges, cost)
+    best = _settled(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("steps"), F.array(F.lit(start)).alias("nodes")).alias("b")))
+    moved = best
+    while not moved.isEmpty():
+        way = F.struct((F.col("b.distance") + F.col("c")).alias("distance"), (F.col("b.steps") + 1).alias("steps"), F.array_append("b.nodes", F.col("dst")).alias("nodes"))
+        more = moved.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), way.alias("w")).groupBy("node").agg(F.min("w").alias("w"))
+        both = _settled(best.join(more, "node", "full").select("node", F.col("b").alias("was"), F.least("b", "w").alias("b")))
+        best = both.select("node", "b")
+        moved = both.where(F.col("was").isNull() | (F.col("b") < F.col("was"))).select("node", "b")
+    return best.select("node", "b.distance", F.array_join("b.nodes", ">").alias("path"))
+
+
+def weighted_distances(edges: DataFrame, start: str, cost: Column | None = None) -> DataFrame:
+    """(node, distance) of weighted_paths."""
+    return weighted_paths(edges, start, cost).select("node", "distance")
 
 
 def edge_cost(kind: str) -> Column:
@@ -98,14 +142,33 @@ def edge_cost(kind: str) -> Column:
     return {"weight": F.coalesce(F.col("weight"), F.lit(1.0)), "doubt": doubt, "weighted-doubt": F.coalesce(F.col("weight"), F.lit(1.0)) * doubt}[kind]
 
 
-def directed_cycles(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(cycle, length): every simple cycle once, written from its least node."""
-    return _sql(edges.sparkSession, f"""WITH RECURSIVE p AS (SELECT src AS first, dst AS node, array(src) AS path, 1 AS length FROM {{e}}
-        UNION ALL SELECT p.first, e.dst, concat(p.path, array(p.node)), p.length + 1 FROM p JOIN {{e}} e ON e.src = p.node WHERE p.length < {depth} AND p.node > p.first AND NOT array_contains(p.path, p.node))
-        SELECT DISTINCT concat_ws('>', path) AS cycle, length FROM p WHERE node = first""", e=edges.select("src", "dst").distinct())
+def directed_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(cycle, length): every simple cycle once, written from its least node; of at most `depth` steps if given.
+
+    Nodes that no cycle passes are taken away first; a path goes on through nodes
+    above its first one only, so that the rounds end.
+    """
+    e = _settled(edges.select("src", "dst").distinct())
+    while True:  # an edge on a cycle has one before it and one behind it
+        inner = _settled(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if inner.count() == e.count():
+            break
+        e = inner
+    paths = e.where("dst >= src").select(F.col("src").alias("first"), F.col("dst").alias("node"), F.array("src").alias("nodes"))
+    out = None
+    for _ in _steps(depth):
+        paths = _settled(paths)
+        if paths.isEmpty():
+            break
+        closed = paths.where("node = first").select("nodes")
+        out = closed if out is None else out.unionByName(closed)
+        more = paths.where("node > first").join(e, F.col("node") == F.col("src")).where(F.col("dst") >= F.col("first"))
+        paths = more.where(~F.array_contains("nodes", F.col("node"))).select("first", F.col("dst").alias("node"), F.array_append("nodes", F.col("node")).alias("nodes"))
+    out = paths.limit(0).select("nodes") if out is None else out
+    return out.select(F.array_join("nodes", ">").alias("cycle"), F.size("nodes").alias("length"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest predecessor; nodes on or behind a cycle have null.
 
     Each round takes the nodes all of whose predecessors have a level.
@@ -114,7 +177,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -
     left = nodes.select("node").distinct()
     done = _settled(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
     left = _settled(left.join(done, "node", "left_anti"))
-    for _ in range(rounds):
+    while True:
         pred = e.join(left, e["dst"] == left["node"]).select("node", "src").join(done.select(F.col("node").alias("src"), F.col("level").alias("l")), "src", "left")
         ready = _settled(pred.groupBy("node").agg((F.max("l") + 1).cast("int").alias("level"), F.count_if(F.col("l").isNull()).alias("open")).where("open = 0").drop("open"))
         if ready.isEmpty():
@@ -124,7 +187,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -
     return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): weakly connected, named by the least node.
 
     Labels take the least label of a neighbour, then the label of their label,
@@ -132,7 +195,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFram
     """
     both = _settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     lab = _settled(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(rounds):
+    while True:
         near = both.join(lab.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         step = lab.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -143,11 +206,47 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFram
     return lab
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, component): the least node that a node reaches and is reached by."""
-    r = reachable(edges, nodes, depth).select(F.col("seed").alias("a"), F.col("node").alias("b"))
-    mutual = r.join(r.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    return nodes.select("node").distinct().join(mutual, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach one another, named by the least of them.
+
+    By colours: every node takes the least node that reaches it; those of a colour
+    that also reach the colour's node are a component.  They are taken away with
+    all edges between colours, and the rest goes on.  Tables stay as large as the
+    graph, whatever reaches what.
+    """
+    left = _settled(nodes.select("node").distinct())
+    e = _settled(edges.select("src", "dst").where("src <> dst").distinct())
+    e = _settled(e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    out = None
+    while True:
+        inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+        alone = left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))  # no edge in or none out
+        out = alone if out is None else out.unionByName(alone)
+        out = _settled(out)
+        left = _settled(left.join(inner, "node", "left_semi"))
+        if left.isEmpty():
+            return out
+        e = _settled(e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        colour, moved = left.select("node", F.col("node").alias("c")), left.select("node", F.col("node").alias("c"))
+        while not moved.isEmpty():
+            near = moved.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+            new = _settled(colour.join(near, "node", "left").select("node", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c")))
+            colour, moved = new.select("node", "c"), new.where("c <> was").select("node", "c")
+        src, dst = (colour.select(F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("src", "dst"))
+        e = _settled(e.join(src, "src").join(dst, "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")))
+        back = _settled(colour.where("node = c"))
+        found = back
+        for k in count(1):
+            back = back.join(e.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node"), "c").distinct().join(found.select("node"), "node", "left_anti")
+            back = _settled(back)
+            if back.isEmpty():
+                break
+            found = found.unionByName(back)
+            found = _settled(found) if k % COMPACT == 0 else found
+        out = out.unionByName(found.select("node", F.col("c").alias("component")))
+        left = _settled(left.join(found.select("node"), "node", "left_anti"))
+        e = e.select("src", "dst").join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+        e = _settled(e)
 
 
 def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -177,12 +276,12 @@ def influence(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return rank.select("node", "score")
 
 
-def critical_path(edges: DataFrame, durations: DataFrame, rounds: int = 1000) -> DataFrame:
+def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
     """(node, start, finish, slack) of an acyclic graph: earliest times and how much a node may slip; critical ones have none.
 
     durations: (node, duration).  Levels give the order, one round each.
     """
-    lev = topological_levels(edges, durations, rounds)
+    lev = topological_levels(edges, durations)
     e = _settled(edges.select("src", "dst").distinct())
     top = lev.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     base = _settled(lev.where("level is not null").join(durations, "node"))

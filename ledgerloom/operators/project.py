@@ -53,17 +53,21 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 # --- states ----------------------------------------------------------------------------------------
 
-def state_history(log: DataFrame) -> DataFrame:
-    """(state_id, moment, was, state): every change of the log (category, scope, state, moment, seq); repeats of a state are no change."""
+def _changes(log: DataFrame) -> DataFrame:
     sid = F.concat_ws(":", F.lit("STATE"), F.regexp_replace(F.lower("category"), "[^a-z]", ""), F.regexp_replace(F.lower(T.folded("scope")), "[^a-z0-9]", ""))
     w = Window.partitionBy("state_id").orderBy("moment", "seq")
     s = log.withColumn("state_id", sid).withColumn("was", F.lag("state").over(w))
-    return s.where("was is null or was <> state").select("state_id", "moment", "was", "state")
+    return s.where("was is null or was <> state")
+
+
+def state_history(log: DataFrame) -> DataFrame:
+    """(state_id, moment, was, state): every change of the log (category, scope, state, moment, seq); repeats of a state are no change."""
+    return _changes(log).select("state_id", "moment", "was", "state")
 
 
 def current_states(log: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """(state_id, state, since, changes, stale) of the latest entry of every state."""
-    h = state_history(log).groupBy("state_id").agg(F.max_by("state", "moment").alias("state"), F.max("moment").alias("since"), (F.count("*") - 1).alias("changes"))
+    h = _changes(log).groupBy("state_id").agg(F.max_by("state", F.struct("moment", "seq")).alias("state"), F.max("moment").alias("since"), (F.count("*") - 1).alias("changes"))
     return h.withColumn("stale", F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("since") > hours * 3600)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import _settled
 
 
 def unique_lookup(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, right_id: str, prefix: str = "match") -> DataFrame:
@@ -50,21 +51,19 @@ def waterfall_match(old: DataFrame, new: DataFrame, rules: Sequence[tuple[str, C
     of a side share is ambiguous: its rows are taken, without a match, and fall
     through to no further rule.
     """
-    o, n, out = old, new, []
-    for name, key in rules:
-        ok = o.select(F.col(id_col).alias("old_id"), key.alias("k")).where("k is not null and k <> ''")
-        nk = n.select(F.col(id_col).alias("new_id"), key.alias("k")).where("k is not null and k <> ''")
-        j = ok.groupBy("k").agg(F.count("*").alias("no"), F.collect_set("old_id").alias("os")).join(nk.groupBy("k").agg(F.count("*").alias("nn"), F.collect_set("new_id").alias("ns")), "k")
-        one = j.where("no = 1 and nn = 1").select(F.element_at("os", 1).alias("old_id"), F.element_at("ns", 1).alias("new_id"), F.lit(name).alias("rule"))
-        several = j.where("no > 1 or nn > 1")
-        out += [one, several.select(F.explode("os").alias("old_id"), F.lit(None).cast(one.schema["new_id"].dataType).alias("new_id"), F.lit("ambiguous").alias("rule")),
-                several.select(F.lit(None).cast(one.schema["old_id"].dataType).alias("old_id"), F.explode("ns").alias("new_id"), F.lit("ambiguous").alias("rule"))]
-        taken_o = j.select(F.explode("os").alias(id_col))
-        taken_n = j.select(F.explode("ns").alias(id_col))
-        o, n = o.join(taken_o, id_col, "left_anti"), n.join(taken_n, id_col, "left_anti")
-    rest_o = o.select(F.col(id_col).alias("old_id"), F.lit(None).cast(n.schema[id_col].dataType).alias("new_id"), F.lit("removed").alias("rule"))
-    rest_n = n.select(F.lit(None).cast(o.schema[id_col].dataType).alias("old_id"), F.col(id_col).alias("new_id"), F.lit("added").alias("rule"))
-    return reduce(DataFrame.unionByName, [*out, rest_o, rest_n])
+    names = [f"_k{i}" for i in range(len(rules))]
+    keys = [F.when(key != "", key).alias(k) for k, (_, key) in zip(names, rules, strict=True)]
+    o, n = (_settled(df.select(F.col(id_col).alias(name), *keys)) for df, name in ((old, "old_id"), (new, "new_id")))
+    none_o, none_n = (F.lit(None).cast(df.schema[c].dataType).alias(c) for df, c in ((o, "old_id"), (n, "new_id")))
+    out = []
+    for k, (name, _) in zip(names, rules, strict=True):
+        count = lambda df, c, m: df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias(m), F.min(c).alias(c))  # noqa: B023, E731
+        both = _settled(count(o, "old_id", "no").join(count(n, "new_id", "nn"), k))
+        several = both.where("no > 1 or nn > 1").select(k)
+        out += [both.where("no = 1 and nn = 1").select("old_id", "new_id", F.lit(name).alias("rule")),
+                o.join(several, k).select("old_id", none_n, F.lit("ambiguous").alias("rule")), n.join(several, k).select(none_o, "new_id", F.lit("ambiguous").alias("rule"))]
+        o, n = (_settled(df.join(both.select(k), k, "left_anti")) for df in (o, n))
+    return reduce(DataFrame.unionByName, [*out, o.select("old_id", none_n, F.lit("removed").alias("rule")), n.select(none_o, "new_id", F.lit("added").alias("rule"))])
 
 
 def revision_changes(old: DataFrame, new: DataFrame, matched: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pairs import similar_sets
 
 # Ranks and weights of severities, and penalties of scores.
 SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
@@ -36,12 +37,8 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 def pairs_on_words(df: DataFrame, words: str, keep: list[str], least: float) -> DataFrame:
     """Pairs a < b of rows whose word sets have a Jaccard similarity of `least` > 0 or more: columns a_*, b_* and similarity."""
-    if least <= 0:
-        raise ValueError("pairs must have a word in common")
-    e = df.select("id", *keep, F.col(words).alias("_w"), F.explode(words).alias("_t"))
-    x, y = (e.select(*(F.col(c).alias(f"{p}_{c.lstrip('_')}") for c in ("id", *keep, "_w")), "_t") for p in "ab")
-    p = x.join(y, "_t").where("a_id < b_id").drop("_t").dropDuplicates(["a_id", "b_id"])
-    return p.withColumn("similarity", T.jaccard(F.col("a_w"), F.col("b_w"))).where(F.col("similarity") >= least).drop("a_w", "b_w")
+    p = similar_sets(df.select("id", *(F.col(c).alias(c.lstrip("_")) for c in keep), F.col(words).alias("_words")), F.col("_words"), least, keep=tuple(c.lstrip("_") for c in keep))
+    return p.drop("shared")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

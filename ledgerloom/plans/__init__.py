@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .corpus import Session
+
 MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources", "drawings", "project", "analysis", "services"]
 
 
@@ -16,7 +18,8 @@ def flagship(spark, sf_dir):
 
 
 def queries():
-    return {name: fn for name, (fn, _) in _all().items()}
+    """Queries by name; each takes (spark, folder of the tables)."""
+    return {name: (lambda spark, folder, fn=fn: fn(Session(spark, folder), folder)) for name, (fn, _) in _all().items()}
 
 
 def oracle_sql():

@@ -8,27 +8,54 @@ from ..operators import analysis as A
 from ..operators import extraction as X
 from ..operators import retrieval as R
 from . import sqltext as S
-from .corpus import SECTIONS_SQL, frame, sections, values
+from .corpus import Rows, SECTIONS_SQL, frame, sections, values
 from .extraction import NK, REQ, SENT, reqs
 from .graph import ESQL, E_SCHEMA, EDGES
 
 CLAUSE_SCHEMA = "clause_id string, own string, clause string"
-CLAUSES = [("c1", "s1#0", "before acceptance testing of site work"), ("c2", "s3#1", "after the commissioning report is approved by the engineer"), ("c3", "s2#0", "1.2 contractor qc"), ("c4", "s2#0", "")]
+CLAUSES = Rows([("c1", "s1#0", "before acceptance testing of site work"), ("c2", "s3#1", "after the commissioning report is approved by the engineer"), ("c3", "s2#0", "1.2 contractor qc"), ("c4", "s2#0", "")], """
+SELECT 'cn' || CAST(n_nationkey AS STRING), 'n' || CAST(n_nationkey AS STRING) || '#0', CASE n_nationkey % 3 WHEN 0 THEN
+'before the owner accepts the schedule of ' || n_name WHEN 1 THEN '1.' || CAST(n_nationkey AS STRING) || ' ' || n_name || ' after testing' ELSE
+'upon delivery of the test report' END FROM {nation}
+""")
 EV_SCHEMA = "id string, text string, day date, days double, priority int"
-EVENTS = [("e1", "final acceptance testing of pumps", "2026-03-01", 10.0, 50), ("e2", "final acceptance testing pumps", "2026-04-15", 12.0, 60), ("e3", "delivery of steel", None, None, 10), ("e4", "notice to proceed", None, 3.0, 90), ("e5", "pumps testing", "2026-03-05", None, 20)]
+EVENTS = Rows([("e1", "final acceptance testing of pumps", "2026-03-01", 10.0, 50), ("e2", "final acceptance testing pumps", "2026-04-15", 12.0, 60), ("e3", "delivery of steel", None, None, 10), ("e4", "notice to proceed", None, 3.0, 90), ("e5", "pumps testing", "2026-03-05", None, 20)], """
+SELECT 'ev' || CAST(s_suppkey AS STRING), CASE s_suppkey % 3 WHEN 0 THEN 'final acceptance' WHEN 1 THEN 'delivery of goods' ELSE 'testing' END ||
+' for ' || n_name, CASE WHEN s_suppkey % 4 > 0 THEN DATE '2026-02-01' + CAST(s_suppkey % 60 AS INT) END, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey %
+20 + 0.0 END, CAST(s_suppkey % 100 AS INT) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 DUR_SCHEMA = "id string, anchor string, relation string, days double"
-DURS = [("d1", "ntp", "after", 14.0), ("d2", "ntp", "before", 2.5), ("d3", "unknown", "after", 1.0)]
-ANCHORS = [("ntp", "2026-01-31")]
+DURS = Rows([("d1", "ntp", "after", 14.0), ("d2", "ntp", "before", 2.5), ("d3", "unknown", "after", 1.0)], """
+SELECT 'l' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING), 'o' || CAST(l_orderkey AS STRING), CASE l_linenumber % 2 WHEN 0 THEN
+'before' ELSE 'after' END, (l_orderkey % 60) / 4.0 FROM {lineitem}
+""")
+ANCHORS = Rows([("ntp", "2026-01-31")], """
+SELECT 'o' || CAST(o_orderkey AS STRING), CAST(o_orderdate AS DATE) FROM {orders} WHERE o_orderkey % 5 > 0
+""")
 RQ_SCHEMA = "requirement_id string, document_id string, section string, party string, needs_type string, statement string"
-RQS = [("r1", "d1", "01 45 00", "contractor", "report", "Contractor shall submit the test report"), ("r2", "d2", "02 10 00", None, None, "Owner inspects the roof"), ("r3", "d3", None, "owner", "photo", "Take photographs")]
+RQS = Rows([("r1", "d1", "01 45 00", "contractor", "report", "Contractor shall submit the test report"), ("r2", "d2", "02 10 00", None, None, "Owner inspects the roof"), ("r3", "d3", None, "owner", "photo", "Take photographs")], """
+SELECT 'rs' || CAST(s_suppkey AS STRING), 'doc' || CAST(n_regionkey AS STRING), CASE s_suppkey % 3 WHEN 0 THEN '01 45 00' WHEN 1 THEN '02 10 00' ELSE
+'03 30 00' END, CASE s_suppkey % 2 WHEN 0 THEN 'contractor' ELSE 'owner' END, CASE s_suppkey % 4 WHEN 0 THEN 'report' WHEN 1 THEN 'photo' END,
+'Contractor shall submit the report of ' || n_name || ' goods' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 EE_SCHEMA = "evidence_id string, document_id string, section string, party string, type string, links_to string, text string, result string"
-EES = [("v1", "d1", "01 45 00", "contractor", "report", None, "Pump test report", "pass"), ("v2", "d9", "02 10 00", "owner", "photo", "r3", "Roof photographs", "fail"), ("v3", "d8", "01 45 00", None, "report", None, "Pump test report.", "fail"), ("v4", "d8", "01 45 00", None, "report", None, "Pump test report", "fail")]
+EES = Rows([("v1", "d1", "01 45 00", "contractor", "report", None, "Pump test report", "pass"), ("v2", "d9", "02 10 00", "owner", "photo", "r3", "Roof photographs", "fail"), ("v3", "d8", "01 45 00", None, "report", None, "Pump test report.", "fail"), ("v4", "d8", "01 45 00", None, "report", None, "Pump test report", "fail")], """
+SELECT 'vs' || CAST(s_suppkey AS STRING), 'doc' || CAST(s_suppkey % 9 AS STRING), CASE s_suppkey % 4 WHEN 0 THEN '01 45 00' WHEN 1 THEN '02 10 00'
+WHEN 2 THEN '03 30 00' ELSE '09 99 00' END, CASE s_suppkey % 3 WHEN 0 THEN 'contractor' WHEN 1 THEN 'owner' ELSE 'engineer' END, CASE s_suppkey % 3
+WHEN 0 THEN 'report' WHEN 1 THEN 'photo' ELSE 'log' END, CASE WHEN s_suppkey % 10 = 0 THEN 'rs' || CAST(s_suppkey AS STRING) END, n_name || ' goods '
+|| CASE s_suppkey % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'photographs' ELSE 'delivered' END, CASE s_suppkey % 2 WHEN 0 THEN 'pass' ELSE 'fail' END FROM
+{supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 LN_SCHEMA = "page int, line int, text string"
 LINES = [(1, 1, "SECTION 01 10 00 SUMMARY .......... 3"), (1, 2, "SECTION 01 20 00 PRICE 5"), (3, 1, "SECTION 01 10 00 - SUMMARY"), (5, 1, "SECTION 012000"), (5, 2, "PRICE AND PAYMENT"), (7, 1, "SECTION 03 30 00: CONCRETE"), (8, 1, "section 03 30 00 CONCRETE"), (9, 1, "End")]
 SP_SCHEMA = "number string, title string, body string"
-SPECS = [("01 32 16", "Construction schedule", "Milestone and completion dates"), ("03 30 00", "Concrete", "Schedule of mixes and curing duration"), ("01 45 00", "Quality control", "Inspection"), ("23 21 23", "Hydronic pumps", None)]
+SPECS = Rows([("01 32 16", "Construction schedule", "Milestone and completion dates"), ("03 30 00", "Concrete", "Schedule of mixes and curing duration"), ("01 45 00", "Quality control", "Inspection"), ("23 21 23", "Hydronic pumps", None)], """
+SELECT '0' || CAST(p_partkey % 9 AS STRING) || ' ' || CAST(10 + p_partkey % 80 AS STRING) || ' 00', p_name || ' schedule', p_type FROM {part}
+""")
 VO_SCHEMA = "term string, scope string"
-VOCAB = [("Work", ""), ("Punch List", "closeout"), ("final acceptance", None), ("Owner QC", "inspection")]
+VOCAB = Rows([("Work", ""), ("Punch List", "closeout"), ("final acceptance", None), ("Owner QC", "inspection")], """
+SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'schedule' ELSE '' END FROM {nation}
+""")
 HIT_SCHEMA = "source_number int, id string, document_id string, heading string, text string"
 HITS = [(2, "s2", "d1", "Owner QC", "Owner shall inspect. It may test."), (1, "s1", "d1", "Quality", "Contractor shall test. Then report. Then test and report again. Nothing else."), (3, "s5", "d2", "Records", None)]
 TEXTS = [("t1", "Room 101a has AHU-1; see 01 45 00 by 2026-01-05. The Owner and contractor agree."), ("t2", None), ("t3", "room 7 ahu-1 AHU-1")]

@@ -6,25 +6,51 @@ from pyspark.sql import functions as F
 
 from ..operators import drawings as D
 from . import sqltext as S
-from .corpus import frame, values
+from .corpus import Rows, frame, values
 
 SH_SCHEMA = "sheet_id string, document_id string, page int, number string, title string, discipline string, types array<string>"
-SHEETS = [("h1", "d", 1, "A-101", "First floor plan", "Architectural", ["Plan"]), ("h2", "d", 2, "M-201", "Equipment schedule", "Mechanical", ["Schedule"]), ("h3", "d", 3, "E-301", "Riser details", "Electrical", ["Riser", "Detail"]), ("h4", "d", 4, "A-102", "Roof plan", "Architectural", ["Plan"]), ("h5", "d", 5, "A102", "List of drawings", "General", ["Index"])]
+SHEETS = Rows([("h1", "d", 1, "A-101", "First floor plan", "Architectural", ["Plan"]), ("h2", "d", 2, "M-201", "Equipment schedule", "Mechanical", ["Schedule"]), ("h3", "d", 3, "E-301", "Riser details", "Electrical", ["Riser", "Detail"]), ("h4", "d", 4, "A-102", "Roof plan", "Architectural", ["Plan"]), ("h5", "d", 5, "A102", "List of drawings", "General", ["Index"])], """
+SELECT 'pt' || CAST(p_partkey AS STRING), 'd' || CAST(p_partkey % 10 AS STRING), CAST(p_partkey AS INT) + 10, CASE p_partkey % 4 WHEN 0 THEN 'A-' WHEN
+1 THEN 'M-' WHEN 2 THEN 'E-' ELSE 'P-' END || CAST(100 + p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN 'Floor plan' WHEN 1 THEN 'Roof plan'
+WHEN 2 THEN 'Equipment schedule' WHEN 3 THEN 'Riser diagram' ELSE 'Section' END || ' ' || CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN
+'Architectural' WHEN 1 THEN 'Mechanical' WHEN 2 THEN 'Electrical' ELSE 'Plumbing' END, CASE p_partkey % 5 WHEN 2 THEN LIST['Schedule'] WHEN 3 THEN
+LIST['Riser', 'Diagram'] WHEN 4 THEN LIST['Section'] ELSE LIST['Plan'] END FROM {part}
+""")
 IT_SCHEMA = "sheet_id string, page int, item int, text string, x double, y double, w double, h double"
-ITEMS = [
+ITEMS = Rows([
     ("h1", 1, 1, "ROOM 101", 0.1, 0.1, 0.1, 0.02), ("h1", 1, 2, "102", 0.3, 0.1, 0.05, 0.02), ("h1", 1, 3, "AHU-1", 0.5, 0.5, 0.1, 0.02), ("h1", 1, 4, "3/A-501", 0.6, 0.6, 0.1, 0.02), ("h1", 1, 5, "ROOM 101", 0.1, 0.9, 0.1, 0.02),
     ("h2", 2, 6, "AHU 1 supply fan", 0.2, 0.2, 0.2, 0.02), ("h2", 2, 7, "VAV-12", 0.2, 0.3, 0.1, 0.02), ("h3", 3, 8, "SHEET TITLE:", 0.7, 0.9, 0.1, 0.02), ("h3", 3, 9, "Riser details", 0.7, 0.92, 0.2, 0.02), ("h3", 3, 10, "DRAWING NUMBER", 0.7, 0.95, 0.1, 0.02), ("h3", 3, 11, "E-301", 0.71, 0.97, 0.1, 0.02),
     ("h4", 4, 12, "ROOM 101", 0.2, 0.2, 0.1, 0.02), ("h4", 4, 13, "no ids here 1234567", 0.2, 0.4, 0.1, 0.02),
-]
-TITLES = [("1A-101", "First floor plan"), ("M201", "Mechanical SCHEDULES"), ("QX", "Penthouse riser"), (None, None), ("FA-01", "Section and detail"), ("T100", "List of drawings")]
-ASKS = [("q1", "where is room 102"), ("q2", "open the schedule on M-201"), ("q3", "show Room 101"), ("q4", "find VAV 12"), ("q5", "coordinate risers"), ("q6", "A-102 please"), ("q7", "hello")]
-ROWS = [("k1", 1, "Tag", "AHU-1"), ("k1", 1, "Serves", "Room 101"), ("k1", 2, "Tag", "VAV-12"), ("k2", 1, "Mark", "EF-3"), ("k2", 2, "Mark", "VAV 12")]
+], """
+SELECT 'pt' || CAST(p_partkey AS STRING), CAST(p_partkey AS INT) + 10, CAST(p_partkey AS INT) + 1000, CASE p_partkey % 5 WHEN 0 THEN 'ROOM ' ||
+CAST(100 + p_partkey % 300 AS STRING) WHEN 1 THEN CAST(200 + p_partkey % 70 AS STRING) WHEN 2 THEN 'AHU-' || CAST(p_partkey AS STRING) WHEN 3 THEN
+'2/A-' || CAST(500 + p_partkey % 40 AS STRING) ELSE p_name END, (p_partkey % 10) / 10.0, (p_partkey % 7) / 10.0, 0.1, 0.02 FROM {part}
+""")
+TITLES = Rows([("1A-101", "First floor plan"), ("M201", "Mechanical SCHEDULES"), ("QX", "Penthouse riser"), (None, None), ("FA-01", "Section and detail"), ("T100", "List of drawings")], """
+SELECT CASE p_partkey % 6 WHEN 0 THEN 'A-' WHEN 1 THEN 'M' WHEN 2 THEN 'E-' WHEN 3 THEN 'FP-' WHEN 4 THEN 'C' ELSE 'X' END || CAST(100 + p_partkey AS
+STRING), CASE p_partkey % 5 WHEN 0 THEN 'First floor plan' WHEN 1 THEN 'Equipment schedule' WHEN 2 THEN 'Riser' WHEN 3 THEN 'Details' ELSE 'Roof' END
+|| ' ' || p_name FROM {part}
+""")
+ASKS = Rows([("q1", "where is room 102"), ("q2", "open the schedule on M-201"), ("q3", "show Room 101"), ("q4", "find VAV 12"), ("q5", "coordinate risers"), ("q6", "A-102 please"), ("q7", "hello")], """
+SELECT 't' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING), text FROM {conversations}
+""")
+ROWS = Rows([("k1", 1, "Tag", "AHU-1"), ("k1", 1, "Serves", "Room 101"), ("k1", 2, "Tag", "VAV-12"), ("k2", 1, "Mark", "EF-3"), ("k2", 2, "Mark", "VAV 12")], """
+SELECT 'order' || CAST(l_orderkey AS STRING), CAST(l_linenumber AS INT), CASE l_linenumber % 2 WHEN 0 THEN 'Tag' ELSE 'Mark' END, 'AHU-' ||
+CAST(l_partkey AS STRING) FROM {lineitem}
+""")
 TAGS = [("AHU 1",), ("VAV12",), ("UPS-9",)]
 PT = "array<struct<x:double,y:double>>"
 LEGEND = [("duplex", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), ("switch", [(0.0, 0.0), (0.0, 2.0)])]
 SYMBOLS = [("s1", [(5.0, 5.0), (7.0, 5.0), (7.0, 7.0)]), ("s2", [(3.0, 1.0), (3.0, 9.0)]), ("s3", [(0.0, 0.0), (1.0, 2.0)])]
-INDEX = [("e1", "A-101", "x"), ("e2", "A102", ""), ("e3", "Z-1", "Equipment Schedule"), ("e4", "Z-2", "none")]
-PAGES = [(1, "See 01 45 00 and 99 99 99.", "Mechanical"), (2, "pump and valve", "Mechanical"), (3, "nothing", "Electrical"), (4, None, "Civil")]
+INDEX = Rows([("e1", "A-101", "x"), ("e2", "A102", ""), ("e3", "Z-1", "Equipment Schedule"), ("e4", "Z-2", "none")], """
+SELECT 'x' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 3 > 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'E' ELSE 'P'
+END || CAST(100 + p_partkey AS STRING) ELSE 'none' END, CASE p_partkey % 5 WHEN 0 THEN 'Floor plan' WHEN 1 THEN 'Roof plan' WHEN 2 THEN
+'Equipment schedule' WHEN 3 THEN 'Riser diagram' ELSE 'Section' END || ' ' || CAST(p_partkey AS STRING) FROM {part}
+""")
+PAGES = Rows([(1, "See 01 45 00 and 99 99 99.", "Mechanical"), (2, "pump and valve", "Mechanical"), (3, "nothing", "Electrical"), (4, None, "Civil")], """
+SELECT CAST(p_partkey AS INT) + 10, CASE p_partkey % 4 WHEN 0 THEN 'See 01 45 00 for ' || p_name WHEN 1 THEN 'pump for ' || p_name WHEN 2 THEN p_name
+END, CASE p_partkey % 3 WHEN 0 THEN 'Mechanical' WHEN 1 THEN 'Electrical' ELSE 'Civil' END FROM {part}
+""")
 SPECS = [("01 45 00",), ("23 21 23",), ("26 05 00",), ("23 05 00",)]
 VOCAB = [("pump", "23 21 23"), ("valve", "23 05 00"), ("pump", "23 21 23")]
 DIVS = [("Mechanical", "23"), ("Electrical", "26")]

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .corpus import frame, values
+from .corpus import Rows, frame, values
 
+# Regions, nations and suppliers as a tree; each supplier also follows on the region, which makes ways of two lengths.
+TREE = """(SELECT r_name AS src, n_name AS dst, 1.0 + n_nationkey % 4 AS weight, CASE WHEN n_nationkey % 5 > 0 THEN (5 + n_nationkey % 5) / 10.0 END AS confidence FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_name, s_name, 1.0 + s_suppkey % 7, (1 + s_suppkey % 9) / 10.0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+  UNION ALL SELECT r_name, s_name, 3.0 + s_suppkey % 5, 0.5 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) AS tree"""
 E_SCHEMA = "src string, dst string, weight double, confidence double"
-EDGES = [("a", "b", 2.0, 0.9), ("a", "c", 4.0, 0.8), ("b", "c", 1.0, 0.5), ("b", "d", 7.0, 1.0), ("c", "e", 3.0, 0.7), ("d", "f", 1.0, 0.9), ("e", "d", 2.0, 0.6), ("e", "f", 5.0, None), ("g", "h", 1.0, 1.0)]
-CYCLIC = [*EDGES, ("f", "b", 1.0, 0.4), ("h", "g", 1.0, 0.2), ("h", "h", 1.0, 1.0)]
+EDGES = Rows([("a", "b", 2.0, 0.9), ("a", "c", 4.0, 0.8), ("b", "c", 1.0, 0.5), ("b", "d", 7.0, 1.0), ("c", "e", 3.0, 0.7), ("d", "f", 1.0, 0.9), ("e", "d", 2.0, 0.6), ("e", "f", 5.0, None), ("g", "h", 1.0, 1.0)], f"SELECT src, dst, weight, confidence FROM {TREE}")
+CYCLIC = Rows([*EDGES, ("f", "b", 1.0, 0.4), ("h", "g", 1.0, 0.2), ("h", "h", 1.0, 1.0)], f"SELECT src, dst, weight, confidence FROM {TREE} UNION ALL SELECT s_name, r_name, 2.0, 0.5 FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey WHERE s_suppkey % 3 = 0")
 N_SCHEMA = "node string, duration double, status string, type string, has_timing boolean, n_deliverables int, n_references int"
-NODES = [("a", 2.0, "complete", "mandatory", True, 1, 0), ("b", 3.0, "open", "prohibited", False, 0, 2), ("c", 1.0, None, "mandatory", True, 2, 9), ("d", 4.0, "approved", "permitted", False, 0, 0), ("e", 2.0, "closed", "advisory", False, 1, 1),
-         ("f", 1.0, "open", "mandatory", False, 0, 0), ("g", 5.0, "open", "mandatory", True, 0, 1), ("h", 1.0, "complete", "permitted", False, 0, 0), ("i", 1.0, None, "mandatory", False, 0, 0)]
+NODES = Rows([("a", 2.0, "complete", "mandatory", True, 1, 0), ("b", 3.0, "open", "prohibited", False, 0, 2), ("c", 1.0, None, "mandatory", True, 2, 9), ("d", 4.0, "approved", "permitted", False, 0, 0), ("e", 2.0, "closed", "advisory", False, 1, 1),
+         ("f", 1.0, "open", "mandatory", False, 0, 0), ("g", 5.0, "open", "mandatory", True, 0, 1), ("h", 1.0, "complete", "permitted", False, 0, 0), ("i", 1.0, None, "mandatory", False, 0, 0)], """SELECT r_name, 1.0 + r_regionkey, 'complete', 'mandatory', r_regionkey % 2 = 0, r_regionkey % 3, r_regionkey FROM {region}
+  UNION ALL SELECT n_name, 2.0 + n_nationkey % 6, CASE n_nationkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'approved' WHEN 2 THEN 'closed' END, CASE n_nationkey % 3 WHEN 0 THEN 'prohibited' WHEN 1 THEN 'mandatory' ELSE 'advisory' END, n_nationkey % 2 = 0, n_nationkey % 3, n_nationkey FROM {nation}
+  UNION ALL SELECT s_name, 1.0 + s_suppkey % 9, CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'complete' END, CASE s_suppkey % 4 WHEN 0 THEN 'prohibited' WHEN 1 THEN 'mandatory' WHEN 2 THEN 'permitted' ELSE 'advisory' END, s_suppkey % 5 = 0, s_suppkey % 2, s_suppkey % 11 FROM {supplier}""")
 ESQL, CSQL, NSQL = values(EDGES, E_SCHEMA), values(CYCLIC, E_SCHEMA), values(NODES, N_SCHEMA)
 DONE = ["supported", "controlled", "complete", "approved", "accepted", "closed"]
 
 
+SEEDS = Rows([("a",), ("g",)], "SELECT r_name FROM {region}")
+SEEDSQL = values(SEEDS, "node string")
+LEAVES = Rows([("f",)], "SELECT s_name FROM {supplier}")
+
+
 def edges(s):
     return frame(s, EDGES, E_SCHEMA)
 
@@ -30,7 +41,7 @@ def nodes(s):
 
 
 def seeds(s):
-    return frame(s, [("a",), ("g",)], "node string")
+    return frame(s, SEEDS, "node string")
 
 
 def places(s, f):
@@ -78,9 +89,9 @@ CPM = f"""WITH RECURSIVE f AS (SELECT node, duration, 0.0::DOUBLE AS start, dura
   SELECT m.node, m.start, m.finish, min(b.due) - any_value(m.finish) AS slack, abs(min(b.due) - any_value(m.finish)) < 1e-9 AS critical FROM m JOIN b USING (node) GROUP BY m.node, m.start, m.finish"""
 
 QUERIES = {
-    "graph_descendants": (lambda s, f: G.reachable(edges(s), seeds(s)), REACH.format(e=ESQL, s="('a', 'g')")),
-    "graph_ancestors": (lambda s, f: G.reachable(G.reversed_edges(edges(s)), frame(s, [("f",)], "node string")), REACH.format(e=f"(SELECT dst AS src, src AS dst FROM {ESQL})", s="('f')")),
-    "graph_reach_with_cycles": (lambda s, f: G.reachable(cyclic(s), seeds(s)), REACH.format(e=CSQL, s="('a', 'g')")),
+    "graph_descendants": (lambda s, f: G.reachable(edges(s), seeds(s)), REACH.format(e=ESQL, s=SEEDSQL)),
+    "graph_ancestors": (lambda s, f: G.reachable(G.reversed_edges(edges(s)), frame(s, LEAVES, "node string")), REACH.format(e=f"(SELECT dst AS src, src AS dst FROM {ESQL})", s=values(LEAVES, "node string"))),
+    "graph_reach_with_cycles": (lambda s, f: G.reachable(cyclic(s), seeds(s)), REACH.format(e=CSQL, s=SEEDSQL)),
     "place_hierarchy": (lambda s, f: G.reachable(places(s, f), s.read.parquet(f"{f}/region.parquet").select(F.col("r_name").alias("node"))), REACH.format(e=PLACES, s="(SELECT r_name FROM region)")),
     "graph_shortest_path": (lambda s, f: G.shortest_path(edges(s), "a", "f"), f"SELECT path, length FROM ({PATHS.format(e=ESQL)}) ORDER BY length, path LIMIT 1"),
     "graph_simple_paths": (lambda s, f: G.simple_paths(edges(s), "a", "f"), PATHS.format(e=ESQL)),

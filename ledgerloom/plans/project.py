@@ -5,33 +5,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import project as P
-from .corpus import frame, values
+from .corpus import Rows, frame, values
 
 FACT_SCHEMA = "fact_id string, subject string, predicate string, object string, state string, moment timestamp, source string"
-FACTS = [
+FACTS = Rows([
     ("f1", "pump", "located-in", "room 1", "suggested", "2026-01-01 00:00:00", "a"), ("f1", "pump", "located-in", "room 1", "verified", "2026-01-03 00:00:00", "a"), ("f2", "pump", "located-in", "room 2", "suggested", "2026-01-02 00:00:00", "b"),
     ("f3", "fan", "served-by", "panel", "suggested", "2026-01-01 00:00:00", "a"), ("f4", "fan", "served-by", "panel", "suggested", "2026-01-02 00:00:00", "c"), ("f5", "fan", "served-by", "ups", "rejected", "2026-01-04 00:00:00", "d"),
-]
+], """
+SELECT 'f' || CAST(user_id AS STRING) || event_type, 'user' || CAST(user_id AS STRING), event_type, 'thing ' || CAST(event_id % 3 AS STRING), CASE
+event_id % 3 WHEN 0 THEN 'suggested' WHEN 1 THEN 'verified' ELSE 'rejected' END, ts, 'src' || CAST(event_id % 4 AS STRING) FROM {events}
+""")
 LOG_SCHEMA = "category string, scope string, state string, moment timestamp, seq int"
-LOG = [("Building Readiness", "B-61", "open", "2026-01-01 00:00:00", 1), ("Building Readiness", "B-61", "open", "2026-01-02 00:00:00", 2), ("Building Readiness", "B-61", "ready", "2026-01-03 12:00:00", 3), ("safety", None, "watch", "2026-01-01 00:00:00", 1), ("safety", None, "clear", "2026-01-01 00:00:00", 2)]
+LOG = Rows([("Building Readiness", "B-61", "open", "2026-01-01 00:00:00", 1), ("Building Readiness", "B-61", "open", "2026-01-02 00:00:00", 2), ("Building Readiness", "B-61", "ready", "2026-01-03 12:00:00", 3), ("safety", None, "watch", "2026-01-01 00:00:00", 1), ("safety", None, "clear", "2026-01-01 00:00:00", 2)], """
+SELECT event_type, 'user ' || CAST(user_id % 50 AS STRING), CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'ready' ELSE 'watch' END, ts, event_id
+FROM {events}
+""")
 REL_SCHEMA = "src string, dst string, kind string"
-RELS = [("pump", "A-101", "appears-on"), ("fan", "A-101", "appears-on"), ("pump", "23 21 23", "governed-by"), ("fan", "23 34 00", "governed-by"), ("valve", "A-102", "appears-on"), ("pump", "S-1", "submitted-as"), ("room 1", "B-61", "part-of")]
-PARENTS = [("motor", "pump"), ("seal", "pump")]
+RELS = Rows([("pump", "A-101", "appears-on"), ("fan", "A-101", "appears-on"), ("pump", "23 21 23", "governed-by"), ("fan", "23 34 00", "governed-by"), ("valve", "A-102", "appears-on"), ("pump", "S-1", "submitted-as"), ("room 1", "B-61", "part-of")], """
+SELECT DISTINCT 'part' || CAST(l_partkey AS STRING), 'supp' || CAST(l_suppkey AS STRING), CASE l_suppkey % 3 WHEN 0 THEN 'submitted-as' WHEN 1 THEN
+'governed-by' ELSE 'supplied-by' END FROM {lineitem}
+""")
+PARENTS = Rows([("motor", "pump"), ("seal", "pump")], """
+SELECT 'kit' || CAST(p_partkey AS STRING), 'part' || CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 4 = 0
+""")
 OBJECTS = [("pump", True), ("fan", False), ("valve", True), ("motor", False)]
 NEED_SCHEMA = "id string, need_type string, status string"
-NEEDS = [("pump", "submittal review", "approved"), ("pump", "inspection final", "open"), ("fan", "submittal review", "blocked"), ("fan", "test report", None), ("valve", "inspection", "passed")]
+NEEDS = Rows([("pump", "submittal review", "approved"), ("pump", "inspection final", "open"), ("fan", "submittal review", "blocked"), ("fan", "test report", None), ("valve", "inspection", "passed")], """
+SELECT 'order' || CAST(l_orderkey AS STRING), CASE l_linenumber % 3 WHEN 0 THEN 'submittal review' WHEN 1 THEN 'inspection final' ELSE 'test report'
+END, CASE l_returnflag WHEN 'R' THEN 'blocked' WHEN 'A' THEN 'approved' ELSE 'open' END FROM {lineitem}
+""")
 DEF_SCHEMA = "object string, status string"
-DEFICIENCIES = [("pump", "open")] * 6 + [("fan", "open"), ("fan", "closed"), ("valve", "resolved")]
+DEFICIENCIES = Rows([("pump", "open")] * 6 + [("fan", "open"), ("fan", "closed"), ("valve", "resolved")], """
+SELECT 'part' || CAST(l_partkey AS STRING), CASE l_returnflag WHEN 'R' THEN 'open' WHEN 'A' THEN 'closed' ELSE 'resolved' END FROM {lineitem}
+""")
 INSPECTIONS = [("pump", "i1", "2026-01-01"), ("valve", "i2", "2026-01-09"), ("fan", "i3", "2025-12-01")]
-NAMES = [("AHU-01",), ("AHU 1",), ("ahu1",), ("Panel 7",), ("",), ("RM-100",)]
+NAMES = Rows([("AHU-01",), ("AHU 1",), ("ahu1",), ("Panel 7",), ("",), ("RM-100",)], """
+SELECT c_name FROM {customer} UNION ALL SELECT s_name FROM {supplier} UNION ALL SELECT upper(s_name) FROM {supplier}
+""")
 PAIRS = [("AHU 1", "ahu-1"), ("Main panel", "panel"), ("abc", "cab"), ("", "x"), ("xyz", "abcd")]
-TEXTS = [("t1", "85 %"), ("t2", "0.85"), ("t3", "120"), ("t4", "n/a"), ("t5", None), ("t6", "1,000")]
-PRIO = [("a", "Safety", 0.5), ("b", "schedule", 3.0), ("c", "other", 2.0)]
-MODEL_A, MODEL_B = [("room", "1"), ("room", "2"), ("tag", "x")], [("room", "2"), ("room", "3"), ("spec", "s")]
+TEXTS = Rows([("t1", "85 %"), ("t2", "0.85"), ("t3", "120"), ("t4", "n/a"), ("t5", None), ("t6", "1,000")], """
+SELECT 'o' || CAST(o_orderkey AS STRING), CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 150 AS STRING) || ' %' WHEN 1 THEN '0.' || CAST(o_orderkey
+% 100 + 1 AS STRING) ELSE o_orderstatus END FROM {orders}
+""")
+PRIO = Rows([("a", "Safety", 0.5), ("b", "schedule", 3.0), ("c", "other", 2.0)], """
+SELECT 'o' || CAST(o_orderkey AS STRING), CASE o_orderkey % 3 WHEN 0 THEN 'Safety' WHEN 1 THEN 'Schedule' ELSE 'Cost' END, (o_orderkey % 40) / 10.0
+FROM {orders}
+""")
+MODEL_A, MODEL_B = Rows([("room", "1"), ("room", "2"), ("tag", "x")], """
+SELECT 'part', CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 3 > 0 UNION ALL SELECT 'customer', CAST(c_custkey AS STRING) FROM {customer}
+"""), Rows([("room", "2"), ("room", "3"), ("spec", "s")], """
+SELECT 'part', CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 2 > 0 UNION ALL SELECT 'supplier', CAST(s_suppkey AS STRING) FROM {supplier}
+""")
 FSQL, LSQL, RSQL = values(FACTS, FACT_SCHEMA), values(LOG, LOG_SCHEMA), values(RELS, REL_SCHEMA)
 DONE = "('complete', 'completed', 'passed', 'approved', 'accepted', 'closed', 'resolved')"
 LATEST = f"(SELECT * FROM {FSQL} QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY moment DESC, state DESC) = 1)"
-HIST = f"(SELECT state_id, moment, was, state FROM (SELECT *, lag(state) OVER (PARTITION BY state_id ORDER BY moment, seq) AS was FROM (SELECT *, 'STATE:' || regexp_replace(lower(category), '[^a-z]', '', 'g') || ':' || regexp_replace(lower(coalesce(scope, '')), '[^a-z0-9]', '', 'g') AS state_id FROM {LSQL})) WHERE was IS NULL OR was <> state)"
+HIST = f"(SELECT state_id, moment, seq, was, state FROM (SELECT *, lag(state) OVER (PARTITION BY state_id ORDER BY moment, seq) AS was FROM (SELECT *, 'STATE:' || regexp_replace(lower(category), '[^a-z]', '', 'g') || ':' || regexp_replace(lower(coalesce(scope, '')), '[^a-z0-9]', '', 'g') AS state_id FROM {LSQL})) WHERE was IS NULL OR was <> state)"
 
 
 def t(s, f, name):
@@ -112,8 +140,8 @@ QUERIES = {
     "evidence_confidence": (lambda s, f: P.evidence_confidence(facts(s)), f"SELECT subject, predicate, object, count(DISTINCT source) AS sources, least(1.0, count(DISTINCT source) * 0.25)::DOUBLE AS confidence FROM {FSQL} GROUP BY ALL"),
     "identities": (lambda s, f: P.identities(frame(s, NAMES, "name string")), f"SELECT regexp_replace(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), '([A-Z])0+(\\d)', '\\1\\2', 'g') AS canonical, count(*) AS n, min(name) AS best FROM {values(NAMES, 'name string')} WHERE name <> '' GROUP BY 1"),
     "name_similarity": (lambda s, f: frame(s, PAIRS, "a string, b string").select("a", "b", F.round(P.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity")), "SELECT * FROM (VALUES ('AHU 1', 'ahu-1', 1.0::DOUBLE), ('Main panel', 'panel', 0.8), ('abc', 'cab', 1.0), ('', 'x', 0.0), ('xyz', 'abcd', 0.0)) t(a, b, similarity)"),
-    "state_history": (lambda s, f: P.state_history(log(s)), f"SELECT * FROM {HIST}"),
-    "current_states": (lambda s, f: P.current_states(log(s), F.lit("2026-01-04 00:00:00")), f"SELECT state_id, arg_max(state, (moment, state = 'clear')) AS state, max(moment) AS since, count(*) - 1 AS changes, TIMESTAMP '2026-01-04' - max(moment) > INTERVAL 24 HOUR AS stale FROM {HIST} GROUP BY 1"),
+    "state_history": (lambda s, f: P.state_history(log(s)), f"SELECT state_id, moment, was, state FROM {HIST}"),
+    "current_states": (lambda s, f: P.current_states(log(s), F.lit("2026-01-04 00:00:00")), f"SELECT state_id, arg_max(state, (moment, seq)) AS state, max(moment) AS since, count(*) - 1 AS changes, TIMESTAMP '2026-01-04' - max(moment) > INTERVAL 24 HOUR AS stale FROM {HIST} GROUP BY 1"),
     "event_state_log": (lambda s, f: P.kept_history(t(s, f, "events").select("user_id", F.col("ts").alias("moment"), F.col("event_id").alias("seq"), "event_type"), "user_id", 3), "SELECT user_id, ts AS moment, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3"),
     "missing_submittals": (lambda s, f: P.missing_relation(objects(s), rels(s), "submitted-as"), f"SELECT * FROM {values(OBJECTS, 'id string, has_spec boolean')} WHERE id NOT IN (SELECT src FROM {RSQL} WHERE kind = 'submitted-as')"),
     "inherited_relations": (lambda s, f: P.inherited_relations(rels(s), frame(s, PARENTS, "child string, parent string"), ["governed-by", "appears-on"]), f"SELECT *, 'stated' AS origin FROM {RSQL} UNION ALL SELECT DISTINCT child, dst, kind, 'inherited' FROM {RSQL} JOIN {values(PARENTS, 'child string, parent string')} ON parent = src WHERE kind IN ('governed-by', 'appears-on')"),

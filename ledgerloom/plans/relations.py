@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relations as R
-from .corpus import SECTION_SCHEMA, SECTIONS, SECTIONS_SQL, frame, sections, values
+from .corpus import Rows, SECTION_SCHEMA, SECTIONS, SECTIONS_SQL, frame, sections, values
 
-NEW = [
+SECTION_NAMES = ", ".join(c.split()[0] for c in SECTION_SCHEMA.split(", "))
+NEW = Rows([
     ("s1", *SECTIONS[0][1:10], "The Contractor shall maintain quality control.", ["01 91 00", "02 10 00"]),
     ("n2", "d1", "s1", "1.1 Owner QC", ["Quality Control", "Owner QC"], "01 45 01", 2, 2, 10, 10, SECTIONS[1][10], ["01 91 00"]),
     ("n3", "d1", "s1", "moved", ["Quality Control", "Moved"], "01 45 02", 2, 9, 10, 11, SECTIONS[2][10], []),
     ("n5", "d2", None, "Other title", ["Other title"], "01 91 00", 1, 1, 11, 13, "New words.", []),
     ("n6", "d2", "n5", "x", ["x"], "", 2, 2, 12, 12, "Same.", []), ("n7", "d2", "n5", "y", ["y"], "", 2, 3, 12, 12, "Same.", []),
-]
-OLD = [*SECTIONS[:5], ("o8", "d2", "s5", "z", ["z"], "", 2, 8, 12, 12, "Same.", []), ("o9", "d2", "s5", "gone", ["gone"], "77 00 00", 2, 9, 1, 1, "Gone.", [])]
+], f"""SELECT CASE WHEN ord % 5 = 1 THEN 'x' || id ELSE id END, document_id, parent_id, heading, path, section_number, level, ord, page_start, page_end, CASE WHEN ord % 4 = 0 THEN text || ' Revised.' ELSE text END, cross_references
+FROM ({SECTIONS.more}) AS old({SECTION_NAMES}) WHERE ord % 10 <> 3""")
+OLD = Rows([*SECTIONS[:5], ("o8", "d2", "s5", "z", ["z"], "", 2, 8, 12, 12, "Same.", []), ("o9", "d2", "s5", "gone", ["gone"], "77 00 00", 2, 9, 1, 1, "Gone.", [])], SECTIONS.more)
 
 
 def rules():
@@ -56,12 +58,23 @@ def latest_order(spark, sf):
     return R.upsert(o, x, "k", "moment")
 
 
-LINEAGE = [("a1", "A", 1), ("a2", "A", 2), ("a3", "A", 2), ("b1", "B", 1)]
-SHEETS_A = [("1", "A-101", "Plan"), ("2", "A-102", "Roof"), ("3", "A-103", None)]
-SHEETS_B = [("1", "A-101", "Plan"), ("2", "A-102", "Roof plan"), ("3", "A-103", "Section"), ("4", "A-104", "Detail")]
+LINEAGE = Rows([("a1", "A", 1), ("a2", "A", 2), ("a3", "A", 2), ("b1", "B", 1)], """
+SELECT 'o' || CAST(o_orderkey AS STRING), 'cust' || CAST(o_custkey AS STRING), CAST(o_orderkey % 3 AS INT) FROM {orders}
+""")
+SHEETS_A = Rows([("1", "A-101", "Plan"), ("2", "A-102", "Roof"), ("3", "A-103", None)], """
+SELECT CAST(1000000 + p_partkey AS STRING), 'P-' || CAST(p_partkey AS STRING), p_name FROM {part}
+""")
+SHEETS_B = Rows([("1", "A-101", "Plan"), ("2", "A-102", "Roof plan"), ("3", "A-103", "Section"), ("4", "A-104", "Detail")], """
+SELECT CAST(1000000 + p_partkey AS STRING), 'P-' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name END FROM {part}
+WHERE p_partkey % 50 > 0
+""")
 SHEET_SCHEMA = "pos string, number string, title string"
-STARTS = [("s1", "d1", 3), ("s2", "d1", 3), ("s3", "d1", 7), ("s4", "d2", 1)]
-RECORDS = [("r1", "due", "2026-01-01", None), ("r2", "due", "2026-01-02", "2026-02-02"), ("r3", "status", "open", None)]
+STARTS = Rows([("s1", "d1", 3), ("s2", "d1", 3), ("s3", "d1", 7), ("s4", "d2", 1)], """
+SELECT s_name, n_name, CAST(s_suppkey % 30 AS INT) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
+RECORDS = Rows([("r1", "due", "2026-01-01", None), ("r2", "due", "2026-01-02", "2026-02-02"), ("r3", "status", "open", None)], """
+SELECT 'o' || CAST(o_orderkey AS STRING), 'status', o_orderstatus, CASE WHEN o_orderkey % 9 = 0 THEN 'checked' END FROM {orders}
+""")
 
 
 def effective(spark, sf):

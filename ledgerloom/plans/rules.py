@@ -8,34 +8,71 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..operators import rules as R
 from . import sqltext as S
-from .corpus import frame, values
+from .corpus import Rows, frame, values
 from .graph import CYCLIC, E_SCHEMA, N_SCHEMA, NODES, cyclic, nodes
 
 ST_SCHEMA = "id string, party string, action string, object string, negated boolean, exclusive boolean, confidence double"
-STATEMENTS = [
+STATEMENTS = Rows([
     ("r1", "contractor", "install", "fire alarm panel equipment", False, False, 0.8), ("r2", "owner", "install", "fire alarm panel equipment", False, False, 0.6), ("r3", "contractor", "install", "fire alarm panel equipment", True, False, 0.9),
     ("r4", "vendor", "furnish", "chilled water pumps", False, True, 0.7), ("r5", "contractor", "furnish", "chilled water pumps", False, False, 0.7), ("r6", "engineer", "review", "pump submittals", False, False, 0.9),
     ("r7", "owner", "approve", "pump submittals", False, False, 0.9), ("r8", "engineer", "accept", "pump submittals", False, False, 0.5), ("r9", "owner", "inspect", "roof", False, False, 0.5),
-]
+], """
+SELECT 'st' || CAST(s_suppkey AS STRING), CASE s_suppkey % 4 WHEN 0 THEN 'contractor' WHEN 1 THEN 'owner' WHEN 2 THEN 'engineer' ELSE 'vendor' END,
+CASE s_suppkey % 7 WHEN 0 THEN 'install' WHEN 1 THEN 'review' WHEN 2 THEN 'approve' WHEN 3 THEN 'inspect' WHEN 4 THEN 'accept' WHEN 5 THEN 'test' ELSE
+'verify' END, n_name || ' goods ' || CASE s_suppkey % 2 WHEN 0 THEN 'pumps' ELSE 'panels' END, s_suppkey % 6 = 0, s_suppkey % 5 = 0, (3 + s_suppkey %
+5) / 10.0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 DEF_SCHEMA = "id string, term string, meaning string, confidence double"
-DEFS = [("d1", "Work", "construction required by the contract documents", 0.8), ("d2", "work", "construction required by the contract documents", 0.6), ("d3", "Work", "labor and equipment furnished on site", 0.7), ("d4", "Owner", "the agency", 0.9)]
-USES = [("u1", "Work"), ("u2", "Substantial Completion"), ("u3", "owner")]
+DEFS = Rows([("d1", "Work", "construction required by the contract documents", 0.8), ("d2", "work", "construction required by the contract documents", 0.6), ("d3", "Work", "labor and equipment furnished on site", 0.7), ("d4", "Owner", "the agency", 0.9)], """
+SELECT 'dn' || CAST(n_nationkey AS STRING), r_name, CASE n_nationkey % 3 WHEN 0 THEN 'all nations of one region' WHEN 1 THEN 'the market around ' ||
+n_name ELSE 'goods shipped between harbours' END, (5 + n_nationkey % 4) / 10.0 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+""")
+USES = Rows([("u1", "Work"), ("u2", "Substantial Completion"), ("u3", "owner")], """
+SELECT 'un' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END FROM {nation} JOIN {region} ON n_regionkey =
+r_regionkey
+""")
 ACC_SCHEMA = "id string, subject string, party string, threshold double, confidence double"
-CRITERIA = [("c1", "pump flow test", "owner", 10.0, 0.5), ("c2", "pump flow test", "owner", 12.0, 0.7), ("c3", "pump flow", "engineer", 10.0, 0.9), ("c4", "roof leak", "owner", 1.0, 0.5)]
+CRITERIA = Rows([("c1", "pump flow test", "owner", 10.0, 0.5), ("c2", "pump flow test", "owner", 12.0, 0.7), ("c3", "pump flow", "engineer", 10.0, 0.9), ("c4", "roof leak", "owner", 1.0, 0.5)], """
+SELECT 'cr' || CAST(s_suppkey AS STRING), n_name || ' flow', CASE s_suppkey % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'engineer' ELSE 'contractor' END, 10.0
++ s_suppkey % 4, (5 + s_suppkey % 5) / 10.0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 DOC_SCHEMA = "id string, scope string, rank int, revision int, issued date, approved boolean, supersedes string"
-DOCS = [("p1", "s", 100, 1, "2026-01-01", True, None), ("p2", "s", 100, 2, "2026-01-01", True, None), ("p3", "s", 500, 1, "2026-01-01", False, None), ("p4", "t", 1, 1, "2026-01-02", False, "p5"), ("p5", "t", 9, 9, "2026-01-09", True, None), ("p6", "t", 1, 1, "2026-01-03", False, None)]
+DOCS = Rows([("p1", "s", 100, 1, "2026-01-01", True, None), ("p2", "s", 100, 2, "2026-01-01", True, None), ("p3", "s", 500, 1, "2026-01-01", False, None), ("p4", "t", 1, 1, "2026-01-02", False, "p5"), ("p5", "t", 9, 9, "2026-01-09", True, None), ("p6", "t", 1, 1, "2026-01-03", False, None)], """
+SELECT 'o' || CAST(o_orderkey AS STRING), 'cust' || CAST(o_custkey AS STRING), CAST(o_orderkey % 4 AS INT) * 100, CAST(o_orderkey % 3 AS INT),
+CAST(o_orderdate AS DATE), o_orderstatus = 'F', CASE WHEN o_orderkey % 9 = 0 THEN 'o' || CAST(o_orderkey - 1 AS STRING) END FROM {orders}
+""")
 ACT_SCHEMA = "id string, title string, planned_start date, planned_finish date, actual_start date, actual_finish date, total_float double, constraint_type string, constraint_date date, milestone boolean"
-ACTS = [
+ACTS = Rows([
     ("A", "Install pumps", "2026-01-01", "2026-01-10", None, "2026-01-12", -3.0, None, None, False), ("B", "Test pumps", "2026-01-11", "2026-01-15", None, None, 0.0, "start-no-earlier-than", "2026-01-12", False),
     ("C", "Accept pumps", "2026-01-16", "2026-01-14", None, None, None, "must-finish-on", "2026-01-14", False), ("M", "Final acceptance", None, "2026-03-01", None, None, None, None, None, True),
     ("N", "Final acceptance", None, "2026-03-31", None, None, None, None, None, True), ("D", "Install pumps", "2026-01-01", "2026-01-10", None, "2026-01-12", 2.0, None, None, False),
-]
+], """
+SELECT 'act' || CAST(s_suppkey AS STRING), CASE s_suppkey % 3 WHEN 0 THEN 'Deliver goods' WHEN 1 THEN 'Test goods' ELSE 'Final acceptance' END || ' '
+|| n_name, DATE '2026-01-01' + CAST(s_suppkey % 50 AS INT), DATE '2026-01-05' + CAST(s_suppkey % 47 AS INT), CASE WHEN s_suppkey % 4 = 0 THEN DATE
+'2026-01-03' + CAST(s_suppkey % 50 AS INT) END, CAST(NULL AS DATE), s_suppkey % 7 - 2.0, CASE s_suppkey % 6 WHEN 0 THEN 'must-start-on' WHEN 1 THEN
+'finish-no-later-than' END, DATE '2026-01-20', s_suppkey % 10 = 0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 LINK_SCHEMA = "src string, dst string, kind string"
-LINKS = [("A", "B", "FS"), ("B", "C", "SS"), ("A", "C", "FF"), ("B", "C", "SF")]
-FLOW = [("w1", "pump", "submit"), ("w2", "pump", "install"), ("w3", "pump", "accept"), ("w4", "roof", "test"), ("w5", "roof", "closeout"), ("w6", "fan", "approve"), ("w7", "fan", "install")]
+LINKS = Rows([("A", "B", "FS"), ("B", "C", "SS"), ("A", "C", "FF"), ("B", "C", "SF")], """
+SELECT 'act' || CAST(s_suppkey AS STRING), 'act' || CAST(s_suppkey + 1 AS STRING), CASE s_suppkey % 4 WHEN 0 THEN 'FS' WHEN 1 THEN 'SS' WHEN 2 THEN
+'FF' ELSE 'SF' END FROM {supplier} WHERE s_suppkey % 5 > 0
+""")
+FLOW = Rows([("w1", "pump", "submit"), ("w2", "pump", "install"), ("w3", "pump", "accept"), ("w4", "roof", "test"), ("w5", "roof", "closeout"), ("w6", "fan", "approve"), ("w7", "fan", "install")], """
+SELECT 'l' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING), 'order' || CAST(l_orderkey AS STRING), CASE (l_orderkey +
+l_linenumber * 3) % 9 WHEN 0 THEN 'submit' WHEN 1 THEN 'review' WHEN 2 THEN 'approve' WHEN 3 THEN 'deliver' WHEN 4 THEN 'install' WHEN 5 THEN 'test'
+WHEN 6 THEN 'inspect' WHEN 7 THEN 'accept' ELSE 'closeout' END FROM {lineitem}
+""")
 ORDER = ["submit", "review", "approve", "deliver", "install", "test", "inspect", "accept", "closeout"]
-TIMED = [("t1", "Submit within 10 business days after notice and at least 2 weeks before testing."), ("t2", "Complete by March 5, 2026 or 4/6/26, until 2026-05-01."), ("t3", None), ("t4", "Notify 1.5 hours or 3 months or 12 working days when ready.")]
-RAW_DATES = [("x1", "09/08/26"), ("x2", "2026-09-08"), ("x3", "September 8, 2026"), ("x4", "8-Sep-2026"), ("x5", "soon"), ("x6", None), ("x7", "13/45/2026")]
+TIMED = Rows([("t1", "Submit within 10 business days after notice and at least 2 weeks before testing."), ("t2", "Complete by March 5, 2026 or 4/6/26, until 2026-05-01."), ("t3", None), ("t4", "Notify 1.5 hours or 3 months or 12 working days when ready.")], """
+SELECT 'o' || CAST(o_orderkey AS STRING), CASE o_orderkey % 3 WHEN 0 THEN 'Ship within ' || CAST(o_orderkey % 20 + 1 AS STRING) ||
+' business days after approval.' WHEN 1 THEN 'Deliver before ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ' or at least ' || CAST(o_orderkey % 6
++ 1 AS STRING) || ' weeks after the order.' ELSE 'Priority ' || o_orderpriority || ' when ready.' END FROM {orders}
+""")
+RAW_DATES = Rows([("x1", "09/08/26"), ("x2", "2026-09-08"), ("x3", "September 8, 2026"), ("x4", "8-Sep-2026"), ("x5", "soon"), ("x6", None), ("x7", "13/45/2026")], """
+SELECT 'o' || CAST(o_orderkey AS STRING), CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN
+substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) || '/' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) || '/' ||
+substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) ELSE o_orderpriority END FROM {orders}
+""")
 AS_OF = "1998-06-01"
 COLS = "rule, type, severity, node_a, node_b, confidence"
 

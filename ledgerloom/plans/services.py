@@ -6,26 +6,52 @@ from pyspark.sql import functions as F
 
 from ..operators import services as V
 from . import sqltext as S
-from .corpus import SECTIONS_SQL, frame, sections, values
+from .corpus import Rows, SECTIONS_SQL, frame, sections, values
 from .extraction import REQ, reqs
 from .project import DEFICIENCIES, DEF_SCHEMA
 
 FILE_SCHEMA = "id string, name string, kind string, project string, confidence double, error string"
-FILES = [("f1", "a.pdf", "drawing", "p", 0.9, None), ("f2", "b", None, "p", 0.1, None), ("f3", "c", "report", "p", 0.5, None), ("f4", "d", "x", "p", 1.0, "bad file"), ("f5", "e", None, None, 0.9, None), ("f6", "f", "spec", "p", 0.3, None)]
+FILES = Rows([("f1", "a.pdf", "drawing", "p", 0.9, None), ("f2", "b", None, "p", 0.1, None), ("f3", "c", "report", "p", 0.5, None), ("f4", "d", "x", "p", 1.0, "bad file"), ("f5", "e", None, None, 0.9, None), ("f6", "f", "spec", "p", 0.3, None)], """
+SELECT 'o' || CAST(o_orderkey AS STRING), 'order ' || CAST(o_orderkey AS STRING), CASE o_orderkey % 4 WHEN 0 THEN 'drawing' WHEN 1 THEN 'report' WHEN
+2 THEN 'spec' END, CASE WHEN o_orderkey % 5 > 0 THEN 'p' || CAST(o_custkey % 7 AS STRING) END, (o_orderkey % 11) / 10.0, CASE WHEN o_orderkey % 13 = 0
+THEN 'bad file' END FROM {orders}
+""")
 FIX = [("f2", "spec", None), ("f6", None, "q")]
 LINK_SCHEMA = "src string, dst string, confidence double"
-LINKS = [("a", "1", 0.5), ("a", "2", 0.7), ("b", "1", 0.9)]
+LINKS = Rows([("a", "1", 0.5), ("a", "2", 0.7), ("b", "1", 0.9)], """
+SELECT n_name, s_name, (1 + s_suppkey % 9) / 10.0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""")
 DEC_SCHEMA = "src string, dst string, decision string, seq int"
-DECISIONS = [("a", "1", "confirm", 1), ("a", "2", "confirm", 1), ("a", "2", "reject", 2), ("c", "9", "add", 1), ("z", "9", "confirm", 1)]
-ASKS = [("q1", "What blocks the pump?"), ("q2", "Is building 61 ready?"), ("q3", "why is it late"), ("q4", "Which records prove it"), ("q5", "hello"), ("q6", None)]
+DECISIONS = Rows([("a", "1", "confirm", 1), ("a", "2", "confirm", 1), ("a", "2", "reject", 2), ("c", "9", "add", 1), ("z", "9", "confirm", 1)], """
+SELECT n_name, s_name, CASE s_suppkey % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' ELSE 'add' END, 1 FROM {supplier} JOIN {nation} ON s_nationkey =
+n_nationkey WHERE s_suppkey % 2 = 0
+""")
+ASKS = Rows([("q1", "What blocks the pump?"), ("q2", "Is building 61 ready?"), ("q3", "why is it late"), ("q4", "Which records prove it"), ("q5", "hello"), ("q6", None)], """
+SELECT 't' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING), text FROM {conversations}
+""")
 NODE_SCHEMA = "node string, type string, state string, source string"
-NODES = [("n1", "room", "verified", None), ("n2", "thing", "suggested", None), ("n3", "room", "verified", "s")]
+NODES = Rows([("n1", "room", "verified", None), ("n2", "thing", "suggested", None), ("n3", "room", "verified", "s")], """
+SELECT s_name, CASE s_suppkey % 3 WHEN 0 THEN 'room' WHEN 1 THEN 'room' ELSE 'thing' END, CASE s_suppkey % 2 WHEN 0 THEN 'verified' ELSE 'suggested'
+END, CASE WHEN s_suppkey % 5 > 0 THEN 's' END FROM {supplier} UNION ALL SELECT n_name, 'room', 'suggested', 's' FROM {nation} WHERE n_nationkey < 20
+""")
 EDGE_SCHEMA = "src string, dst string, kind string"
-EDGES = [("n1", "n2", "contains"), ("n1", "nx", "contains"), ("n2", "n3", "odd")]
-INS = [("pump", "passed"), ("fan", "open"), ("valve", None)]
-REPORT = [("Building 1", 1.0), ("B-61", 0.5), ("Total", 9.0), (None, 1.0), ("B-62", None), ("Notes: x", 1.0)]
-HITS = [("d1", 0.9), ("d1", 0.4), ("d2", 0.2)]
-SHEETS = [("Plan", "Mechanical"), ("Index", "General"), ("Detail", "Architectural"), ("Schedule", "Electrical")]
+EDGES = Rows([("n1", "n2", "contains"), ("n1", "nx", "contains"), ("n2", "n3", "odd")], """
+SELECT n_name, s_name, CASE s_suppkey % 4 WHEN 0 THEN 'contains' WHEN 1 THEN 'contains' WHEN 2 THEN 'contains' ELSE 'odd' END FROM {supplier} JOIN
+{nation} ON s_nationkey = n_nationkey
+""")
+INS = Rows([("pump", "passed"), ("fan", "open"), ("valve", None)], """
+SELECT s_name, CASE s_suppkey % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'open' END FROM {supplier}
+""")
+REPORT = Rows([("Building 1", 1.0), ("B-61", 0.5), ("Total", 9.0), (None, 1.0), ("B-62", None), ("Notes: x", 1.0)], """
+SELECT CASE WHEN c_custkey % 20 = 0 THEN 'Total of ' || c_name ELSE c_name END, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END FROM {customer}
+""")
+HITS = Rows([("d1", 0.9), ("d1", 0.4), ("d2", 0.2)], """
+SELECT 'doc' || CAST(doc_id AS STRING), (doc_id % 10) / 10.0 FROM {documents}
+""")
+SHEETS = Rows([("Plan", "Mechanical"), ("Index", "General"), ("Detail", "Architectural"), ("Schedule", "Electrical")], """
+SELECT CASE p_partkey % 5 WHEN 0 THEN 'Plan' WHEN 1 THEN 'Index' WHEN 2 THEN 'Cover' WHEN 3 THEN 'Detail' ELSE 'Schedule' END, CASE p_partkey % 4 WHEN
+0 THEN 'Architectural' WHEN 1 THEN 'Mechanical' WHEN 2 THEN 'Civil' ELSE 'Electrical' END FROM {part}
+""")
 
 
 def t(s, f, name):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import streaming as E
+from ..operators.graph import shared_folder
 from ..sources import files as R
 from ..sources import segment as G
 from ..sources import store as St
@@ -32,10 +31,8 @@ ITEM_SCHEMA = "page int, item int, text string, x double, y double"
 
 
 def shared(spark) -> str:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-stream-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    shared_folder(spark.range(0))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def plain_pages(s, f):

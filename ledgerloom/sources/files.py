@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_KINDS = ("txt", "md", "csv", "json", "log", "xml", "html", "htm")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -27,10 +28,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Records of delimited files: quotes are honoured, all columns are strings, broken rows go to `_corrupt`."""
-    head = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    names = [c if c and not c.startswith("_c") else f"Column {i + 1}" for i, c in enumerate(head.columns)]
-    return head.toDF(*names)
+    """Records of delimited files: quotes are honoured, all columns are strings; `_corrupt` has the line of a row with too few or too many fields, else null."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
+    head = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", True).schema(schema).csv(path)
+    return head.toDF(*(c if c and not c.startswith("_c") else f"Column {i + 1}" for i, c in enumerate(names)), "_corrupt")
 
 
 def docx_text(data: bytes) -> str:

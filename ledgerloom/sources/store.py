@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ TABLES = {"documents": "id", "sections": "id", "records": "id"}
 class Store:
     """Tables below one folder, partitioned by project.
 
-    A write goes to a new version folder first; the pointer file is replaced
-    last, so that readers see the old or the new version and a lost job leaves
+    A write goes to a new version folder first.  What points to it is a file
+    whose name is a number one above the last and that holds the folders of all
+    tables; it is made last, complete and by one rename that fails if another
+    writer was faster.  Readers take the file of the greatest number: they see
+    the old or the new version of every table, never none, and a lost job leaves
     the old one in place.
     """
 
@@ -26,11 +30,17 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _current(self) -> tuple[int, dict[str, str]]:
+        """(number, table -> version) of the last commit."""
+        fs, p = self._fs(f"{self.root}/_commits")
+        names = [str(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(self.spark.read.text(f"{self.root}/_commits/{max(numbers):012d}", wholetext=True).first()[0])
+
     def _version(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(str(p), wholetext=True).first()[0].strip()
+        return self._current()[1].get(table)
 
     def read(self, table: str, project: str | None = None) -> DataFrame | None:
         v = self._version(table)
@@ -41,16 +51,25 @@ class Store:
 
     def write(self, table: str, df: DataFrame) -> None:
         """Replace a table by df, in one step for its readers."""
+        self.write_all({table: df})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """Replace several tables, in one step for their readers; fails if another writer committed meanwhile."""
+        number, known = self._current()
         v = uuid.uuid4().hex
-        df.write.partitionBy("project_id").parquet(f"{self.root}/{table}/{v}")
-        fs, tmp = self._fs(f"{self.root}/{table}/CURRENT.{v}")
+        for table, df in tables.items():
+            df.write.partitionBy("project_id").parquet(f"{self.root}/{table}/{v}")
+        fs, folder = self._fs(f"{self.root}/_commits")
+        fs.mkdirs(folder)
+        _, tmp = self._fs(f"{self.root}/_commits/.{v}")
         out = fs.create(tmp, True)
-        out.write(bytearray(v.encode()))
+        out.write(bytearray(json.dumps(known | dict.fromkeys(tables, v)).encode()))
         out.close()
-        _, now = self._fs(f"{self.root}/{table}/CURRENT")
-        if fs.exists(now):
-            fs.delete(now, False)
-        fs.rename(tmp, now)
+        _, now = self._fs(f"{self.root}/_commits/{number + 1:012d}")
+        # A plain rename onto a file that exists is false or an error, depending on the file system.
+        if fs.exists(now) or not fs.rename(tmp, now):
+            fs.delete(tmp, False)
+            raise RuntimeError(f"{self.root} was written by another job; read it again")
 
     def put(self, table: str, rows: DataFrame) -> None:
         """Insert rows or replace those of equal key."""
@@ -58,14 +77,15 @@ class Store:
         self.write(table, rows if old is None else rows.unionByName(old.join(rows.select(key), key, "left_anti"), allowMissingColumns=True))
 
     def remove_documents(self, ids: DataFrame) -> None:
-        """Delete documents and all that belongs to them."""
-        gone = ids.select("id").distinct()
+        """Delete documents and all that belongs to them, in one step."""
+        gone, left = ids.select("id").distinct(), {}
         for table in TABLES:
             t = self.read(table)
-            if t is not None:
-                col = "id" if table == "documents" else "document_id"
-                if col in t.columns:
-                    self.write(table, t.join(gone.withColumnRenamed("id", col), col, "left_anti"))
+            col = "id" if table == "documents" else "document_id"
+            if t is not None and col in t.columns:
+                left[table] = t.join(gone.withColumnRenamed("id", col), col, "left_anti")
+        if left:
+            self.write_all(left)
 
 
 def with_fingerprint(files: DataFrame, content_col: str = "content") -> DataFrame:
