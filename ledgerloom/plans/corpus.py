@@ -34,6 +34,7 @@ class Rows(list):
 def _tables(query: str, spell) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: spell(m[1]), query)
 
+
 SECTION_SCHEMA = (
     "id string, document_id string, parent_id string, heading string, path array<string>, section_number string, level int, ord int, page_start int, page_end int, text string, cross_references array<string>"
 )
@@ -91,22 +92,22 @@ def values(rows: list[tuple], schema: str) -> str:
     return f"({own})"
 
 
-def frame(spark: Session, rows: list[tuple], schema: str) -> DataFrame:
-    """The rows as a DataFrame, those of the tables too; dates and timestamps are given as text."""
+def frame(spark: SparkSession | Session, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows as a DataFrame; dates and timestamps are given as text.  A `Session` adds those of the tables."""
     plain = ", ".join(c.replace(" date", " string").replace(" timestamp", " string") for c in schema.split(", "))
     df = spark.createDataFrame(rows, plain)
     for c in schema.split(", "):
         name, kind = c.split()
         if kind in ("date", "timestamp"):
             df = df.withColumn(name, df[name].cast(kind))
-    if isinstance(rows, Rows):
+    if isinstance(rows, Rows) and isinstance(spark, Session):
         query = re.sub(r"LIST\[([^\]]*)\]", r"array(\1)", _tables(rows.more, lambda t: f"parquet.`{spark.folder}/{t}.parquet`"))
         more = spark.sql(query).toDF(*df.columns)
         df = df.unionByName(more.select(*(more[f.name].cast(f.dataType) for f in df.schema)))
     return df
 
 
-def sections(spark: Session) -> DataFrame:
+def sections(spark: SparkSession | Session) -> DataFrame:
     return frame(spark, SECTIONS, SECTION_SCHEMA)
 
 
