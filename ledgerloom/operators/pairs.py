@@ -26,8 +26,8 @@ def hashed(words: Column) -> Column:
 
 
 def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: list[str]) -> DataFrame:
-    """(id, n, i, t, *same): the words of each set, of n, that decide; i is the place in the order."""
-    counts = rows.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
+    """(id, *same, __n, __i, __t): the words __t of each set, of __n, that decide; __i is the place in the order."""
+    counts = rows.select(F.explode("__set").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
     top = counts.orderBy(F.desc("m"), "t").limit(FREQUENT).collect()
     known = sorted((r["t"], r["m"]) for r in top)
     sent = rows.sparkSession.sparkContext.broadcast((np.array([t for t, _ in known], np.int64), np.array([m for _, m in known], np.int64)))
@@ -38,8 +38,8 @@ def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: li
         for pdf in batches:
             if not len(pdf):
                 continue
-            n = pdf["s"].map(len).to_numpy()
-            t, row = np.concatenate(pdf["s"].to_numpy()), np.repeat(np.arange(len(n)), n)
+            n = pdf["__set"].map(len).to_numpy()
+            t, row = np.concatenate(pdf["__set"].to_numpy()), np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
             m = np.where(words[at] == t, number[at], 0) if len(words) else np.zeros(len(t), np.int64)
             order = np.lexsort((t, m, row))
@@ -49,10 +49,10 @@ def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: li
             first = n - np.maximum(np.minimum.reduce(needs), 1).astype(np.int64) + 1
             on = place < np.repeat(first, n)
             out = pdf[cols].iloc[row[on]].reset_index(drop=True)
-            yield out.assign(n=n[row[on]].astype(np.int32), i=place[on].astype(np.int32), t=t[order][on])
+            yield out.assign(__n=n[row[on]].astype(np.int32), __i=place[on].astype(np.int32), __t=t[order][on])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema.fields)
-    return rows.select(*cols, "s").mapInPandas(run, f"{kinds}, n int, i int, t long")
+    return rows.select(*cols, "__set").mapInPandas(run, f"{kinds}, __n int, __i int, __t long")
 
 
 def similar_sets(df: DataFrame, words: Column, least: float | None, common: int | None = None, measure: str = "union", keep: tuple[str, ...] = (), same: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
@@ -67,20 +67,20 @@ def similar_sets(df: DataFrame, words: Column, least: float | None, common: int
     if (least is not None and least <= 0) or (common is not None and common <= 0) or (least is None and common is None):
         raise ValueError("pairs must have a word in common")
     held = list(dict.fromkeys([*keep, *same]))
-    rows = _settled(df.select("id", *held, hashed(words).alias("s")).where("size(s) > 0"))
+    rows = _settled(df.select("id", *held, hashed(words).alias("__set")).where("size(__set) > 0"))
     prefix = _prefixes(rows, least, common, held)
-    a, b = (prefix.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "i", *held)), "t", *(F.col(c).alias(f"_{c}") for c in same)) for x in "ab")
-    near = a.join(b, ["t", *(f"_{c}" for c in same)]).where(F.col("a_id") < F.col("b_id") if apart is None else apart)
+    a, b = (prefix.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "__n", "__i", *held)), "__t", *(F.col(c).alias(f"__same_{c}") for c in same)) for x in "ab")
+    near = a.join(b, ["__t", *(f"__same_{c}" for c in same)]).where(F.col("a_id") < F.col("b_id") if apart is None else apart)
     if common is None:  # what a common word at places i and j leaves, at most
-        most = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-        union, larger = (F.col("a_n") + F.col("b_n")) * (least / (1 + least)), F.greatest("a_n", "b_n") * least
+        most = F.least("a___i", "b___i") + F.least(F.col("a___n") - F.col("a___i"), F.col("b___n") - F.col("b___i"))
+        union, larger = (F.col("a___n") + F.col("b___n")) * (least / (1 + least)), F.greatest("a___n", "b___n") * least
         near = near.where(most >= (union if measure == "union" else larger) - 1e-6)
     pairs = near.select("a_id", "b_id").distinct()
     for x in "ab":
-        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", *held, "s"))), f"{x}_id")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
-    of = F.size("a_s") + F.size("b_s") - F.col("shared") if measure == "union" else F.greatest(F.size("a_s"), F.size("b_s"))
-    pairs = pairs.withColumn("similarity", F.col("shared") / of).drop("a_s", "b_s")
+        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", *held, "__set"))), f"{x}_id")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("a___set", "b___set")))
+    of = F.size("a___set") + F.size("b___set") - F.col("shared") if measure == "union" else F.greatest(F.size("a___set"), F.size("b___set"))
+    pairs = pairs.withColumn("similarity", F.col("shared") / of).drop("a___set", "b___set")
     enough = [F.col("similarity") >= least] if least is not None else []
     enough += [F.col("shared") >= common] if common is not None else []
     return pairs.where(enough[0] if len(enough) == 1 else enough[0] | enough[1])

@@ -37,6 +37,8 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 def pairs_on_words(df: DataFrame, words: str, keep: list[str], least: float) -> DataFrame:
     """Pairs a < b of rows whose word sets have a Jaccard similarity of `least` > 0 or more: columns a_*, b_* and similarity."""
+    if least <= 0:
+        raise ValueError("pairs must have a word in common")
     p = similar_sets(df.select("id", *(F.col(c).alias(c.lstrip("_")) for c in keep), F.col(words).alias("_words")), F.col("_words"), least, keep=tuple(c.lstrip("_") for c in keep))
     return p.drop("shared")
 

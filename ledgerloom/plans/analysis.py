@@ -104,7 +104,7 @@ def _rank_sql(question: str) -> str:
     f = lambda c, t: f"contains(lower(coalesce({c}, '')), '{t}')"
     pts = " + ".join(f"CASE WHEN {f('number', t)} THEN 10 ELSE 0 END + CASE WHEN {f('title', t)} THEN 5 ELSE 0 END + CASE WHEN {f('body', t)} THEN 2 ELSE 0 END" for t in terms)
     hit = " + ".join(f"({f('number', t)} OR {f('title', t)} OR {f('body', t)})::INTEGER" for t in terms)
-    return f"WITH s AS (SELECT number, {pts} + CASE WHEN number LIKE '01%' THEN 12 ELSE -4 END AS points, {hit} AS matched FROM {values(SPECS, SP_SCHEMA)}), k AS (SELECT * FROM s WHERE matched >= {2 if len(terms) > 3 else 1}) SELECT number, points::INTEGER AS points, matched::INTEGER AS matched FROM k WHERE number LIKE '01%' OR NOT EXISTS (SELECT 1 FROM k WHERE number LIKE '01%')"
+    return f"WITH s AS (SELECT number, {pts} + CASE WHEN number LIKE '01%' THEN 12 ELSE -4 END AS points, {hit} AS matched FROM {values(SPECS, SP_SCHEMA)}), k AS (SELECT * FROM s WHERE matched >= {2 if len(terms) > 3 else 1}) SELECT number, points::INTEGER AS points, matched::INTEGER AS matched FROM k WHERE number LIKE '01%' OR NOT EXISTS (SELECT 1 FROM k WHERE number LIKE '01%') ORDER BY points DESC, matched DESC, number LIMIT 5"
 
 
 _Q = "when is the completion milestone in the schedule"

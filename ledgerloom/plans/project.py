@@ -29,6 +29,8 @@ PARENTS = Rows([("motor", "pump"), ("seal", "pump")], """
 SELECT 'kit' || CAST(p_partkey AS STRING), 'part' || CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 4 = 0
 """)
 OBJECTS = [("pump", True), ("fan", False), ("valve", True), ("motor", False)]
+#: Work items: the objects, and every order.
+WORK = Rows(OBJECTS, "SELECT 'order' || CAST(o_orderkey AS STRING), o_orderkey % 2 = 0 FROM {orders}")
 NEED_SCHEMA = "id string, need_type string, status string"
 NEEDS = Rows([("pump", "submittal review", "approved"), ("pump", "inspection final", "open"), ("fan", "submittal review", "blocked"), ("fan", "test report", None), ("valve", "inspection", "passed")], """
 SELECT 'order' || CAST(l_orderkey AS STRING), CASE l_linenumber % 3 WHEN 0 THEN 'submittal review' WHEN 1 THEN 'inspection final' ELSE 'test report'
@@ -143,14 +145,14 @@ QUERIES = {
     "state_history": (lambda s, f: P.state_history(log(s)), f"SELECT state_id, moment, was, state FROM {HIST}"),
     "current_states": (lambda s, f: P.current_states(log(s), F.lit("2026-01-04 00:00:00")), f"SELECT state_id, arg_max(state, (moment, seq)) AS state, max(moment) AS since, count(*) - 1 AS changes, TIMESTAMP '2026-01-04' - max(moment) > INTERVAL 24 HOUR AS stale FROM {HIST} GROUP BY 1"),
     "event_state_log": (lambda s, f: P.kept_history(t(s, f, "events").select("user_id", F.col("ts").alias("moment"), F.col("event_id").alias("seq"), "event_type"), "user_id", 3), "SELECT user_id, ts AS moment, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3"),
-    "missing_submittals": (lambda s, f: P.missing_relation(objects(s), rels(s), "submitted-as"), f"SELECT * FROM {values(OBJECTS, 'id string, has_spec boolean')} WHERE id NOT IN (SELECT src FROM {RSQL} WHERE kind = 'submitted-as')"),
+    "missing_submittals": (lambda s, f: P.missing_relation(frame(s, WORK, "id string, has_spec boolean"), rels(s), "submitted-as"), f"SELECT * FROM {values(WORK, 'id string, has_spec boolean')} WHERE id NOT IN (SELECT src FROM {RSQL} WHERE kind = 'submitted-as')"),
     "inherited_relations": (lambda s, f: P.inherited_relations(rels(s), frame(s, PARENTS, "child string, parent string"), ["governed-by", "appears-on"]), f"SELECT *, 'stated' AS origin FROM {RSQL} UNION ALL SELECT DISTINCT child, dst, kind, 'inherited' FROM {RSQL} JOIN {values(PARENTS, 'child string, parent string')} ON parent = src WHERE kind IN ('governed-by', 'appears-on')"),
     "readiness": (lambda s, f: P.readiness(frame(s, NEEDS, NEED_SCHEMA), ["submittal", "inspection", "test-reports"], frame(s, [("fan", "inspection", "waived")], "id string, dimension string, state string")),
                   f"WITH n AS {values(NEEDS, NEED_SCHEMA)}, d AS (SELECT * FROM (VALUES ('submittal', 'submittal'), ('inspection', 'inspection'), ('test-reports', 'test')) t(dimension, word)), r AS (SELECT i.id, d.dimension, max(CASE WHEN status = 'blocked' THEN 3 WHEN status IN {DONE} THEN 1 ELSE 2 END) FILTER (n.id IS NOT NULL) AS r FROM (SELECT DISTINCT id FROM n) i CROSS JOIN d LEFT JOIN n ON n.id = i.id AND contains(need_type, word) GROUP BY ALL) SELECT id, dimension, CASE WHEN id = 'fan' AND dimension = 'inspection' THEN 'waived' WHEN r = 3 THEN 'blocked' WHEN r = 2 THEN 'incomplete' WHEN r = 1 THEN 'ready' ELSE 'unknown' END AS state FROM r"),
     "change_impacts": (lambda s, f: P.impacts(rels(s).select("src", "dst"), "room 1"), "SELECT 'B-61' AS node, 1 AS depth"),
-    "blocked_work": (lambda s, f: P.blocked(objects(s), frame(s, NEEDS, NEED_SCHEMA)), f"SELECT id, count(*) AS open_needs FROM {values(NEEDS, NEED_SCHEMA)} WHERE coalesce(status, '') NOT IN {DONE} GROUP BY 1"),
+    "blocked_work": (lambda s, f: P.blocked(frame(s, WORK, "id string, has_spec boolean"), frame(s, NEEDS, NEED_SCHEMA)), f"SELECT id, count(*) AS open_needs FROM {values(NEEDS, NEED_SCHEMA)} WHERE coalesce(status, '') NOT IN {DONE} AND id IN (SELECT id FROM {values(WORK, 'id string, has_spec boolean')}) GROUP BY 1"),
     "schedule_impact": (lambda s, f: P.schedule_impact(defs(s)), f"SELECT object, count(*) AS open FROM {values(DEFICIENCIES, DEF_SCHEMA)} WHERE status NOT IN {DONE} GROUP BY 1 HAVING count(*) > 5"),
-    "priorities": (lambda s, f: P.priorities(frame(s, PRIO, "id string, category string, value double")), f"SELECT id, least(1.0, CASE lower(category) WHEN 'safety' THEN 10.0 WHEN 'schedule' THEN 7.0 ELSE 1.0 END * value / 10)::DOUBLE AS priority FROM {values(PRIO, 'id string, category string, value double')}"),
+    "priorities": (lambda s, f: P.priorities(frame(s, PRIO, "id string, category string, value double")), f"SELECT id, least(1.0, CASE lower(category) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in P.PRIORITY_WEIGHTS.items())} ELSE 1.0 END * value / 10)::DOUBLE AS priority FROM {values(PRIO, 'id string, category string, value double')}"),
     "project_health": (lambda s, f: P.health(buildings(s, f).agg(F.avg("readiness").alias("a"), F.max("readiness").alias("b"), F.lit(None).cast("double").alias("c")), ["a", "b", "c"]), f"SELECT 2::BIGINT AS n, floor(1000 * (avg(readiness) + max(readiness)) / 2 + 0.5) / 10 AS health FROM {BUILD}"),
     "inspection_plan": (lambda s, f: P.inspection_plan(objects(s), defs(s), inspections(s), F.lit("2026-01-10").cast("date"), 90), f"WITH o AS {values(OBJECTS, 'id string, has_spec boolean')}, p AS (SELECT id AS object, CASE WHEN id IN ('pump', 'fan') THEN 'open-deficiency' ELSE 'not-inspected' END AS reason, CASE WHEN id IN ('pump', 'fan') THEN 30 ELSE 15 END AS minutes, CASE WHEN has_spec THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM o WHERE id <> 'valve'), w AS (SELECT row_number() OVER (ORDER BY minutes DESC, object)::INTEGER AS step, *, sum(minutes) OVER (ORDER BY minutes DESC, object) AS total FROM p) SELECT step, object, reason, minutes, confidence FROM w WHERE total <= 90"),
     "percent_parsing": (lambda s, f: frame(s, TEXTS, "id string, t string").select("id", P.percent("t").alias("share")), f"WITH v AS (SELECT id, try_cast(regexp_replace(t, '[%,\\s]', '', 'g') AS DOUBLE) AS v FROM {values(TEXTS, 'id string, t string')}) SELECT id, CASE WHEN v > 1.5 THEN v / 100 ELSE v END AS share FROM v"),

@@ -58,7 +58,7 @@ SELECT 'act' || CAST(s_suppkey AS STRING), 'act' || CAST(s_suppkey + 1 AS STRING
 'FF' ELSE 'SF' END FROM {supplier} WHERE s_suppkey % 5 > 0
 """)
 FLOW = Rows([("w1", "pump", "submit"), ("w2", "pump", "install"), ("w3", "pump", "accept"), ("w4", "roof", "test"), ("w5", "roof", "closeout"), ("w6", "fan", "approve"), ("w7", "fan", "install")], """
-SELECT 'l' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING), 'order' || CAST(l_orderkey AS STRING), CASE (l_orderkey +
+SELECT DISTINCT 'l' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING), 'order' || CAST(l_orderkey AS STRING), CASE (l_orderkey +
 l_linenumber * 3) % 9 WHEN 0 THEN 'submit' WHEN 1 THEN 'review' WHEN 2 THEN 'approve' WHEN 3 THEN 'deliver' WHEN 4 THEN 'install' WHEN 5 THEN 'test'
 WHEN 6 THEN 'inspect' WHEN 7 THEN 'accept' ELSE 'closeout' END FROM {lineitem}
 """)
@@ -131,7 +131,8 @@ SCHED = " UNION ALL ".join([
 NEEDS = values([(a, n) for a, ns in R.PREREQUISITES.items() for n in ns], "action string, need string")
 FLOWSQL = values(FLOW, "id string, object string, action string")
 GAPS = f"SELECT 'workflow' AS rule, 'missing-prerequisite' AS type, 'high' AS severity, id AS node_a, NULL::VARCHAR AS node_b, 0.72::DOUBLE AS confidence FROM {FLOWSQL} a WHERE action IN (SELECT action FROM {NEEDS}) AND NOT EXISTS (SELECT 1 FROM {NEEDS} n JOIN {FLOWSQL} b ON b.action = n.need WHERE n.action = a.action AND b.object = a.object)"
-TERMS = f"SELECT 'definition' AS rule, 'undefined-term' AS type, 'medium' AS severity, id AS node_a, lower(term) AS node_b, 0.7::DOUBLE AS confidence FROM {values(USES, 'id string, term string')} WHERE lower(term) NOT IN (SELECT lower(term) FROM {values(DEFS, DEF_SCHEMA)})"
+_KEY = "trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g'))"
+TERMS = f"SELECT 'definition' AS rule, 'undefined-term' AS type, 'medium' AS severity, id AS node_a, {_KEY} AS node_b, 0.7::DOUBLE AS confidence FROM {values(USES, 'id string, term string')} WHERE {_KEY} NOT IN (SELECT {_KEY} FROM {values(DEFS, DEF_SCHEMA)})"
 EVERY = "(" + " UNION ALL ".join(f"SELECT {COLS} FROM ({x})" for x in (ORPHAN, RESP, DEFC, ACC, SCHED, VIOL, GAPS, TERMS)) + ")"
 RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 PREC = f"""WITH d AS {values(DOCS, DOC_SCHEMA)} SELECT x.id AS a, y.id AS b,

@@ -83,9 +83,10 @@ def test_text_delimited_and_catalog_readers(spark, tmp_path):
     (tmp_path / "t" / "a.MD").write_text("# x\ny")
     r = R.read_texts(spark, str(tmp_path / "t")).first()
     assert (r["name"], r["extension"], r["text"]) == ("a.MD", "md", "# x\ny")
-    (tmp_path / "c.csv").write_text('Submittal No,,Note\n1,a,"x, ""y""\nz"\n')
+    (tmp_path / "c.csv").write_text('Submittal No,,Note\n1,a,"x, ""y""\nz"\n2,b\n')
     c = R.read_delimited(spark, str(tmp_path / "c.csv"))
-    assert c.columns == ["Submittal No", "Column 2", "Note"] and c.first()["Note"] == 'x, "y"\nz'
+    assert c.columns == ["Submittal No", "Column 2", "Note", "_corrupt"] and c.first()["Note"] == 'x, "y"\nz' and c.first()["_corrupt"] is None
+    assert [(r["Column 2"], r["Note"], r["_corrupt"]) for r in c.where("`Submittal No` = '2'").collect()] == [("b", None, "2,b")]
     (tmp_path / "k.json").write_text(json.dumps({"drawingSetId": "s", "buildingId": "b", "sheets": [{"sheetNumber": "A-1", "pdfPageNumber": 3}, {"sheetNumber": "A-2", "pdfPageNumber": 4}]}))
     assert [(r["drawingSetId"], r["sheetNumber"]) for r in R.read_catalogs(spark, str(tmp_path / "k.json")).orderBy("sheetNumber").collect()] == [("s", "A-1"), ("s", "A-2")]
 
