@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .pairs import similar_sets
+from . import graph as G
+from .pairs import found_in, similar_sets
 
 # Ranks and weights of severities, and penalties of scores.
 SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 COMPLIANCE_WEIGHT = {"critical": 25, "high": 14, "medium": 7, "low": 3, "info": 1}
 AUTHORITY = ["approve", "accept", "verify"]
+ISSUERS = {
+    "modification": ["contracting_officer", "owner"], "change_order": ["contracting_officer", "owner"], "addendum": ["contracting_officer", "designer", "owner"], "amendment": ["contracting_officer", "owner"],
+    "field_order": ["contracting_officer", "cor", "owner"], "directive": ["contracting_officer", "cor", "owner"], "asi": ["architect", "engineer", "designer"], "rfi": ["architect", "engineer", "designer", "owner", "cor"],
+}
 PREREQUISITES = {"install": ["submit", "approve", "deliver"], "test": ["install"], "inspect": ["install"], "accept": ["test", "inspect"], "commission": ["test"], "closeout": ["accept"]}
 
 
@@ -89,6 +94,56 @@ def undefined_terms(uses: DataFrame, defs: DataFrame) -> DataFrame:
     return uses.withColumn("k", T.normalized_key("term")).join(d, "k", "left_anti").select(*finding("definition", "undefined-term", "medium", "id", "k", 0.7))
 
 
+def circular(rule: str, kind: str, edges: DataFrame, confidence: float = 0.99, severity: str = "critical") -> DataFrame:
+    """One finding for each set of nodes that lead back to one another: its least and its greatest node; a loop has one node.
+
+    Cycles are found as strong components, so the tables stay as large as the graph however many cycles cross.
+    """
+    e = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).distinct()
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    loops = e.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("loop"))
+    c = G.strong_components(e, nodes).join(loops, "node", "left").groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("last"), F.max("loop").alias("loop"))
+    c = c.where("n > 1 or loop = 1").withColumn("last", F.when(F.col("n") > 1, F.col("last")))
+    return c.select(*finding(rule, kind, severity, "component", "last", confidence))
+
+
+def definition_links(defs: DataFrame) -> DataFrame:
+    """(src, dst): a defined term and another one that its meaning names."""
+    d = defs.select(T.normalized_key("term").alias("src"), F.monotonically_increasing_id().alias("_row"), T.normalized_key("meaning").alias("n"))
+    texts = d.groupBy("n").agg(F.min("_row").cast("string").alias("id"))
+    held = found_in(d.select(F.col("src").alias("term")), texts).join(texts, "id").select("n", F.col("term").alias("dst"))
+    return d.where("src <> ''").join(held, "n").where("src <> dst").select("src", "dst").distinct()
+
+
+def supersession_links(docs: DataFrame) -> DataFrame:
+    """(src, dst, reference): each document (id, supersedes) with the one it names as superseded, letter case aside; dst is null if there is none."""
+    known = docs.select(F.lower("id").alias("_k"), F.col("id").alias("dst")).groupBy("_k").agg(F.min("dst").alias("dst"))
+    named = docs.where("supersedes is not null").select(F.col("id").alias("src"), F.col("supersedes").alias("reference"), F.lower("supersedes").alias("_k"))
+    return named.join(known, "_k", "left").select("src", "dst", "reference")
+
+
+def precedence_findings(docs: DataFrame) -> DataFrame:
+    """Circular supersession, superseded documents that are missing, who governs whom in one scope, and pairs that nothing decides."""
+    links = supersession_links(docs)
+    p = precedence(docs)
+    other = F.when(F.col("governing") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    kind = F.when(F.col("reason") == "supersedes", "superseded-document").otherwise("governing-document")
+    return (
+        circular("precedence", "circular-supersession", links.where("dst is not null"))
+        .unionByName(links.where("dst is null").select(*finding("precedence", "missing-base-document", "high", "src", "reference", 0.91)))
+        .unionByName(p.where("governing is not null").withColumn("other", other).select(*finding("precedence", kind, "info", "governing", "other", F.col("confidence"))))
+        .unionByName(p.where("governing is null").select(*finding("precedence", "equal-precedence-conflict", "high", "a", "b", 0.86)))
+    )
+
+
+def unauthorized_overrides(docs: DataFrame) -> DataFrame:
+    """Documents (id, type, authority) whose issuer may not issue that type; an unknown type or no authority is let pass."""
+    m = F.create_map(*(x for k, v in ISSUERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    issuer = F.regexp_replace(T.normalized_key("authority"), " ", "_")
+    known = F.try_element_at(m, F.lower("type"))
+    return docs.where((issuer != "") & ~F.exists(known, lambda r: F.contains(issuer, r))).select(*finding("precedence", "unauthorized-override", "high", "id", None, 0.88))
+
+
 def acceptance_conflicts(criteria: DataFrame, least: float = 0.4) -> DataFrame:
     """Criteria on one subject with different parties or thresholds."""
     p = pairs_on_words(criteria.withColumn("w", T.stem_set("subject")), "w", ["party", "threshold", "confidence"], least)
@@ -125,7 +180,7 @@ def schedule_violations(activities: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def schedule_findings(activities: DataFrame, links: DataFrame) -> DataFrame:
-    """Single-activity detectors: reversed dates, negative float, constraints, open ends, loose milestones; and duplicates."""
+    """Single-activity detectors: reversed dates, negative float, constraints, missing dates, open ends, loose milestones; duplicates; and circles of links."""
     a = activities
     start, finish = F.coalesce("actual_start", "planned_start"), F.coalesce("actual_finish", "planned_finish")
     a = a.withColumns({"_s": start, "_f": finish})
@@ -135,6 +190,8 @@ def schedule_findings(activities: DataFrame, links: DataFrame) -> DataFrame:
     broken = (F.when(c == "must-start-on", F.col("_s") != d).when(c == "must-finish-on", F.col("_f") != d).when(c == "start-no-earlier-than", F.col("_s") < d).when(c == "start-no-later-than", F.col("_s") > d)
               .when(c == "finish-no-earlier-than", F.col("_f") < d).when(c == "finish-no-later-than", F.col("_f") > d))
     out.append(a.where(broken).select(*finding("schedule", "constraint-violation", "high", "id", None, 0.94)))
+    out.append(a.where("not milestone and (_s is null or _f is null)").select(*finding("schedule", "open-ended-activity", "low", "id", None, 0.66)))
+    out.append(circular("schedule", "circular-dependency", links))
     preds, succs = links.select(F.col("dst").alias("id")).distinct(), links.select(F.col("src").alias("id")).distinct()
     out.append(a.where("_s is not null and not milestone").join(preds, "id", "left_anti").select(*finding("schedule", "missing-predecessor", "low", "id", None, 0.62)))
     out.append(a.where("_f is not null and not milestone").join(succs, "id", "left_anti").select(*finding("schedule", "missing-successor", "low", "id", None, 0.58)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import rules as R
+from ..operators import workflow as W
 from . import sqltext as S
 from .corpus import Rows, frame, values
 from .graph import CYCLIC, E_SCHEMA, N_SCHEMA, NODES, cyclic, nodes
@@ -121,9 +122,19 @@ VIOL = f"""SELECT 'schedule' AS rule, 'dependency-' || lower(kind) AS type, 'hig
 _one = lambda kind, sev, conf, where: f"SELECT 'schedule' AS rule, '{kind}' AS type, '{sev}' AS severity, id AS node_a, NULL::VARCHAR AS node_b, round(({conf})::DOUBLE, 6) AS confidence FROM {A} WHERE {where}"
 _two = lambda kind, sev, conf, where: f"SELECT 'schedule', '{kind}', '{sev}', x.id, y.id, round(({conf})::DOUBLE, 6) FROM {A} x JOIN {A} y ON x.id < y.id WHERE {where}"
 JJ = S.jaccard("x.w", "y.w")
+
+
+def _circles(rule: str, kind: str, edges: str, confidence: float = 0.99, severity: str = "critical") -> str:
+    reach = f"SELECT DISTINCT src AS a, dst AS b FROM {edges} WHERE dst IS NOT NULL UNION SELECT r.a, e.dst FROM r JOIN {edges} e ON e.src = r.b WHERE e.dst IS NOT NULL"
+    least = "SELECT x.a AS node, min(x.b) AS c FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a"
+    return f"""SELECT '{rule}' AS rule, '{kind}' AS type, '{severity}' AS severity, c AS node_a, CASE WHEN count(*) > 1 THEN max(node) END AS node_b, {confidence}::DOUBLE AS confidence
+  FROM (WITH RECURSIVE r AS ({reach}) {least}) GROUP BY c"""
+
+
 SCHED = " UNION ALL ".join([
     _one("reversed-dates", "critical", "0.98", "f < s"), _one("negative-float", "high", "0.75 + least(abs(total_float) / 30, 0.2)", "total_float < 0"),
     _one("constraint-violation", "high", "0.94", "CASE constraint_type WHEN 'must-start-on' THEN s <> constraint_date WHEN 'must-finish-on' THEN f <> constraint_date WHEN 'start-no-earlier-than' THEN s < constraint_date WHEN 'start-no-later-than' THEN s > constraint_date WHEN 'finish-no-earlier-than' THEN f < constraint_date WHEN 'finish-no-later-than' THEN f > constraint_date END"),
+    _one("open-ended-activity", "low", "0.66", "NOT milestone AND (s IS NULL OR f IS NULL)"), _circles("schedule", "circular-dependency", L),
     _one("missing-predecessor", "low", "0.62", f"s IS NOT NULL AND NOT milestone AND id NOT IN (SELECT dst FROM {L})"), _one("missing-successor", "low", "0.58", f"f IS NOT NULL AND NOT milestone AND id NOT IN (SELECT src FROM {L})"),
     _one("unlinked-milestone", "medium", "0.78", f"milestone AND id NOT IN (SELECT src FROM {L} UNION SELECT dst FROM {L})"),
     _two("duplicate-activity", "medium", "0.8", f"{JJ} >= 0.82 AND x.s IS NOT DISTINCT FROM y.s AND x.f IS NOT DISTINCT FROM y.f"), _two("milestone-conflict", "high", f"least(1.0, 0.7 + 0.15 * {JJ} + least(abs(x.f - y.f) / 60.0, 0.14))", f"{JJ} >= 0.7 AND x.milestone AND y.milestone AND abs(x.f - y.f) >= 1"),
@@ -170,6 +181,65 @@ def late_lines(s, f):
     return x.join(o, x["l_orderkey"] == o["o_orderkey"]).groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(d).alias("days"), F.max(d).alias("longest"), F.count_if(d < 0).alias("reversed"))
 
 
+TERM_SCHEMA = "id string, term string, meaning string"
+GLOSSARY = Rows([("g1", "Work", "what the Contract Documents require"), ("g2", "Contract Documents", "papers that describe the work"), ("g3", "Owner", "the agency"), ("g4", "Site", "where the Owner keeps the Work"), ("g5", None, "nothing"), ("g6", "Float", None)], """
+SELECT 'gn' || CAST(n_nationkey AS STRING), n_name, CASE n_nationkey % 3 WHEN 0 THEN 'a nation of ' || r_name ELSE 'a member' END FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT 'gr' || CAST(r_regionkey AS STRING), r_name, 'all with ' || n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+""")
+GLOSS = f"(SELECT {_KEY} AS term, trim(regexp_replace(lower(meaning), '[^a-z0-9]+', ' ', 'g')) AS n FROM {values(GLOSSARY, TERM_SCHEMA)})"
+TERM_LINKS = f"(SELECT DISTINCT x.term AS src, y.term AS dst FROM {GLOSS} x JOIN {GLOSS} y ON y.term <> '' AND x.term <> '' AND x.term <> y.term AND contains(x.n, y.term))"
+DOC_LINKS = f"(SELECT x.id AS src, min(y.id) AS dst, x.supersedes AS reference FROM {values(DOCS, DOC_SCHEMA)} x LEFT JOIN {values(DOCS, DOC_SCHEMA)} y ON lower(y.id) = lower(x.supersedes) WHERE x.supersedes IS NOT NULL GROUP BY x.id, x.supersedes)"
+PRECF = f"""SELECT {COLS} FROM ({_circles('precedence', 'circular-supersession', DOC_LINKS)}) UNION ALL SELECT 'precedence', 'missing-base-document', 'high', src, reference, 0.91::DOUBLE FROM {DOC_LINKS} WHERE dst IS NULL
+  UNION ALL SELECT 'precedence', CASE WHEN governing IS NULL THEN 'equal-precedence-conflict' WHEN reason = 'supersedes' THEN 'superseded-document' ELSE 'governing-document' END, CASE WHEN governing IS NULL THEN 'high' ELSE 'info' END,
+    coalesce(governing, a), CASE WHEN governing = b THEN a ELSE b END, CASE WHEN governing IS NULL THEN 0.86 ELSE confidence END FROM ({PREC})"""
+ISSUED_SCHEMA = "id string, type string, authority string"
+ISSUED = Rows([("i1", "change_order", "Owner"), ("i2", "change_order", "Architect"), ("i3", "RFI", "Structural Engineer"), ("i4", "rfi", "Vendor"), ("i5", "letter", "Vendor"), ("i6", "addendum", None), ("i7", None, "Owner"), ("i8", "directive", "Contracting Officer")], """
+SELECT 'c' || CAST(c_custkey AS STRING), CASE c_custkey % 3 WHEN 0 THEN 'amendment' WHEN 1 THEN 'asi' ELSE 'memo' END, CASE c_custkey % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'engineer' WHEN 2 THEN 'vendor' END FROM {customer}
+""")
+ISSUERSQL = values([(k, r) for k, v in R.ISSUERS.items() for r in v], "type string, role string")
+OVERRIDES = f"""SELECT 'precedence' AS rule, 'unauthorized-override' AS type, 'high' AS severity, id AS node_a, NULL::VARCHAR AS node_b, 0.88::DOUBLE AS confidence FROM {values(ISSUED, ISSUED_SCHEMA)} d
+  WHERE authority IS NOT NULL AND lower(type) IN (SELECT type FROM {ISSUERSQL}) AND NOT EXISTS (SELECT 1 FROM {ISSUERSQL} r WHERE r.type = lower(d.type) AND contains(replace(lower(d.authority), ' ', '_'), r.role))"""
+JOB_SCHEMA = "id string, document string, section string, action string, object string, party string, status string, evidence array<string>, approval boolean, confidence double"
+JOBS = Rows([
+    ("k01", "d1", "1", "submit", "pump", "contractor", "open", [], False, 0.8), ("k02", "d1", "1", "approve", "Pump", None, "open", [], False, 0.8), ("k03", "d1", "2", "install", "chilled pump", "contractor", "blocked", [], False, 0.8),
+    ("k04", "d1", "2", "install", "chilled  Pump", None, "open", ["report"], False, 0.9), ("k05", "d1", "3", "accept", "roof", None, None, None, False, 0.7), ("k06", "d2", "1", "procure", "fan", "owner", "open", None, True, 0.7),
+    ("k07", "d2", "1", "paint", "fan", None, "open", None, None, 0.7), ("k08", "d2", "2", "review", None, None, "open", None, False, 0.7), ("k09", None, None, "test", "fan", "owner", "open", ["certificate", "report"], False, 0.7),
+    ("k10", "d3", "1", "inspect", "big roof fan", "owner", "open", ["report"], False, 0.7), ("k11", "d3", "1", "commission", "roof fan", "owner", "open", ["report"], False, 0.7), ("k12", "d3", "1", "closeout", "fan", "owner", "open", ["report"], False, 0.7), ("k13", "d4", "1", None, "fan", None, None, None, None, None),
+], """
+SELECT DISTINCT 'l' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING), 'order' || CAST(l_orderkey AS STRING), CAST(l_linenumber % 2 AS STRING), CASE (l_orderkey + l_linenumber * 5) % 11 WHEN 0 THEN 'submit' WHEN 1 THEN 'review' WHEN 2 THEN 'approve'
+WHEN 3 THEN 'deliver' WHEN 4 THEN 'install' WHEN 5 THEN 'test' WHEN 6 THEN 'inspect' WHEN 7 THEN 'accept' WHEN 8 THEN 'procure' WHEN 9 THEN 'coordinate' ELSE 'closeout' END, CASE l_partkey % 5 WHEN 0 THEN 'pump' WHEN 1 THEN 'chilled pump' WHEN 2 THEN 'roof fan'
+WHEN 3 THEN 'fan' END, CASE WHEN l_suppkey % 3 > 0 THEN 'contractor' END, CASE WHEN l_returnflag = 'R' THEN 'blocked' ELSE 'open' END, CASE WHEN l_linestatus = 'F' THEN LIST['report'] END, l_suppkey % 7 = 0, 0.8 FROM {lineitem}
+""")
+_SQUEEZE = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_ANY = lambda *names: "coalesce(bool_or(action IN (" + ", ".join(f"'{x}'" for x in names) + ")), FALSE)"
+_IN = lambda names: "action IN (" + ", ".join(f"'{x}'" for x in names) + ")"
+NEEDANY = values([(a, n) for a, ns in W.ALTERNATIVES.items() for n in ns], "action string, need string")
+JOBSQL = f"""WITH raw AS (SELECT *, coalesce(document, '') AS doc, {_SQUEEZE('section')} AS sec, lower(action) AS act, nullif({_SQUEEZE('object')}, '') AS obj FROM {values(JOBS, JOB_SCHEMA)}),
+  m AS (SELECT doc AS document, sec, act AS action, obj AS object, min(id) AS id, max(id) AS last_id, count(*) AS n, bool_and(party IS NULL) AS nobody, arg_min(coalesce(status, '-'), id) AS status, coalesce(sum(len(evidence)), 0) AS evidence, coalesce(bool_or(approval), FALSE) AS approval FROM raw GROUP BY ALL),
+  r AS (SELECT *, list_position({W.SEQUENCE}, action) AS k FROM m),
+  x AS (SELECT a.id, b.id AS other, b.k, b.action AS did, a.k AS own FROM r a JOIN r b ON a.document = b.document AND a.id <> b.id AND (a.object IS NULL OR b.object IS NULL OR contains(' ' || a.object || ' ', ' ' || b.object || ' ') OR contains(' ' || b.object || ' ', ' ' || a.object || ' '))),
+  s AS (SELECT id, other FROM x WHERE own IS NOT NULL AND k > own QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, other) = 1),
+  f AS (SELECT document, count(*) AS size, min(id) AS first, min(CASE WHEN action = 'accept' THEN id END) AS accept, min(CASE WHEN {_IN(['commission', 'accept'])} THEN id END) AS handed, {_ANY('coordinate', 'submit', 'approve', 'install')} AS starts, {_ANY(*W.TERMINAL)} AS ends, {_ANY('inspect')} AS inspected, {_ANY('test')} AS tested FROM m GROUP BY document),
+  a AS (SELECT r.*, f.size, NOT EXISTS (SELECT 1 FROM s WHERE s.id = r.id) AS lone, EXISTS (SELECT 1 FROM s WHERE s.other = r.id) AS follows FROM r JOIN f USING (document)),
+  every AS (SELECT document, 'duplicate-activity' AS type, 'low' AS severity, id AS node_a, last_id AS node_b, 0.9 AS confidence FROM a WHERE n > 1
+  UNION ALL SELECT document, 'missing-prerequisite', CASE WHEN {_IN(W.GATED)} THEN 'high' ELSE 'medium' END, id, NULL, 0.88 FROM a WHERE action IN (SELECT action FROM {NEEDANY}) AND NOT EXISTS (SELECT 1 FROM {NEEDANY} q JOIN m ON m.action = q.need WHERE q.action = a.action AND m.document = a.document)
+  UNION ALL SELECT document, 'missing-approval', 'high', id, NULL, 0.9 FROM a WHERE {_IN(W.NEEDS_APPROVAL)} AND NOT approval AND NOT EXISTS (SELECT 1 FROM x WHERE x.id = a.id AND x.did = 'approve')
+  UNION ALL SELECT document, 'missing-evidence', CASE WHEN action = 'accept' THEN 'high' ELSE 'medium' END, id, NULL, 0.8 FROM a WHERE {_IN(W.NEEDS_EVIDENCE)} AND evidence = 0
+  UNION ALL SELECT document, 'ambiguous-responsibility', 'medium', id, NULL, 0.78 FROM a WHERE {_IN(W.GATED)} AND nobody
+  UNION ALL SELECT document, 'blocked-activity', 'high', id, NULL, 0.96 FROM a WHERE status = 'blocked'
+  UNION ALL SELECT document, 'dead-end', 'medium', id, NULL, 0.84 FROM a WHERE size >= 2 AND lone AND NOT {_IN(W.TERMINAL)}
+  UNION ALL SELECT document, 'orphan-activity', 'low', id, NULL, 0.76 FROM a WHERE size >= 3 AND lone AND NOT follows AND action NOT IN ('coordinate', 'submit')
+  UNION ALL SELECT document, 'missing-inspection', 'high', accept, NULL, 0.93 FROM f WHERE accept IS NOT NULL AND NOT inspected
+  UNION ALL SELECT document, 'missing-test', 'high', handed, NULL, 0.93 FROM f WHERE handed IS NOT NULL AND NOT tested
+  UNION ALL SELECT document, 'incomplete-workflow', 'medium', first, NULL, 0.86 FROM f WHERE starts AND NOT ends AND size >= 3)"""
+JOB_SCORES = JOBSQL + """, w AS (SELECT document, severity, CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 14 WHEN 'medium' THEN 7 WHEN 'low' THEN 3 ELSE 1 END * greatest(0.25, least(1.0, confidence)) AS loss FROM every)
+  SELECT document, count(*) AS n, greatest(0, floor(100 - round(sum(loss), 6) + 0.5))::BIGINT AS score, CASE WHEN bool_or(severity = 'high') THEN 'attention_required' ELSE 'review_required' END AS status FROM w GROUP BY document"""
+
+
+def jobs(s):
+    return frame(s, JOBS, JOB_SCHEMA)
+
+
 DURS = f"(SELECT id, lower(coalesce(t, '')) AS s FROM {values(TIMED, 'id string, t string')})"
 
 QUERIES = {
@@ -190,6 +260,14 @@ QUERIES = {
     "finding_ranking": (lambda s, f: R.ranked(all_findings(s), 10), f"SELECT {COLS} FROM {EVERY} ORDER BY {RANK} DESC, confidence DESC, type, node_a, node_b NULLS FIRST LIMIT 10"),
     "finding_summary": (lambda s, f: R.finding_summary(all_findings(s)), f"WITH e AS {EVERY}, u AS (SELECT 'severity' AS dimension, severity AS value, confidence FROM e UNION ALL SELECT 'type', type, confidence FROM e UNION ALL SELECT 'rule', rule, confidence FROM e UNION ALL SELECT 'all', 'all', confidence FROM e) SELECT dimension, value, count(*) AS n, round(avg(confidence), 6) AS confidence FROM u GROUP BY ALL"),
     "compliance_score": (lambda s, f: R.compliance_score(all_findings(s).where("rule = 'schedule'")), f"WITH e AS (SELECT * FROM {EVERY} WHERE rule = 'schedule'), x AS (SELECT greatest(0.0, 100 - sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 14 WHEN 'medium' THEN 7 WHEN 'low' THEN 3 ELSE 1 END * greatest(0.25, least(1.0, confidence)))) AS score, max({RANK}) AS worst FROM e) SELECT round(score, 4) AS score, CASE WHEN worst = 4 THEN 'non_compliant' WHEN worst >= 2 THEN 'partial' WHEN score >= 95 THEN 'compliant' ELSE 'pending' END AS status FROM x"),
+    "circular_definitions": (lambda s, f: R.circular("definition", "circular-definition", R.definition_links(frame(s, GLOSSARY, TERM_SCHEMA)), 0.94, "high"), _circles("definition", "circular-definition", TERM_LINKS, 0.94, "high")),
+    "definition_links": (lambda s, f: R.definition_links(frame(s, GLOSSARY, TERM_SCHEMA)), f"SELECT * FROM {TERM_LINKS}"),
+    "supersession_links": (lambda s, f: R.supersession_links(frame(s, DOCS, DOC_SCHEMA)), f"SELECT * FROM {DOC_LINKS}"),
+    "precedence_findings": (lambda s, f: R.precedence_findings(frame(s, DOCS, DOC_SCHEMA)), PRECF),
+    "unauthorized_overrides": (lambda s, f: R.unauthorized_overrides(frame(s, ISSUED, ISSUED_SCHEMA)), OVERRIDES),
+    "merged_activities": (lambda s, f: W.merged_activities(jobs(s)).select("document", "section", "action", "object", "id", "last_id", "n", F.size("evidence").alias("n_evidence"), "confidence"), JOBSQL + " SELECT doc AS document, sec AS section, act AS action, obj AS object, min(id) AS id, max(id) AS last_id, count(*) AS n, len(list_distinct(flatten(coalesce(list(evidence) FILTER (evidence IS NOT NULL), []))))::INTEGER AS n_evidence, max(confidence) AS confidence FROM raw GROUP BY ALL"),
+    "workflow_findings": (lambda s, f: W.workflow_findings(jobs(s)), JOBSQL + " SELECT document, 'workflow' AS rule, type, severity, node_a, node_b, confidence::DOUBLE AS confidence FROM every"),
+    "workflow_scores": (lambda s, f: W.workflow_scores(W.workflow_findings(jobs(s))), JOB_SCORES),
     "due_orders": (due_orders, _DUE),
     "shipping_delay": (late_lines, "SELECT l_linestatus, count(*) AS n, sum(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5))::BIGINT AS days, max(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5))::BIGINT AS longest, count(*) FILTER (floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5) < 0) AS reversed FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "durations": (lambda s, f: frame(s, TIMED, "id string, t string").select("id", F.posexplode(D.durations("t")).alias("pos", "d")).select("id", "pos", "d.amount", "d.unit", "d.modifier", F.round("d.days", 6).alias("days")),
