@@ -64,11 +64,11 @@ def workflow_context(merged: DataFrame) -> DataFrame:
     inside, whole = (lambda c: F.concat(F.lit("in:"), c)), (lambda c: F.concat(F.lit("is:"), c))
     shown = F.when(named, F.concat(F.transform(runs, inside), F.array(whole(F.col("object")), F.lit("any")))).otherwise(F.array(F.lit("none"), F.lit("any")))
     sought = F.when(named, F.concat(F.transform(runs, whole), F.array(inside(F.col("object")), F.lit("none")))).otherwise(F.array(F.lit("any")))
-    firsts = F.array(*(F.min(F.when(F.col("rank") == r, F.col("id"))) for r in range(len(SEQUENCE))))
-    index = a.where("rank is not null").select("id", "document", "rank", F.explode(shown).alias("key")).groupBy("document", "key").agg(firsts.alias("firsts"))
-    later = F.filter(F.transform("firsts", lambda v, r: F.struct(r.alias("rank"), v.alias("id"))), lambda e: e["id"].isNotNull() & (e["rank"] > F.col("rank")))
+    firsts = F.array_sort(F.collect_list(F.struct("rank", "id")))
+    index = a.where("rank is not null").select("id", "document", "rank", F.explode(shown).alias("key")).groupBy("document", "key", "rank").agg(F.min("id").alias("id")).groupBy("document", "key").agg(firsts.alias("firsts"))
+    later = F.filter("firsts", lambda e: e["rank"] > F.col("rank"))
     j = a.select("id", "document", "rank", F.explode(sought).alias("key")).join(index, ["document", "key"], "left")
-    got = j.groupBy("id").agg(F.min(F.try_element_at(later, F.lit(1)))["id"].alias("successor"), F.max(F.coalesce(F.col("firsts")[SEQUENCE.index("approve")].isNotNull(), F.lit(False))).alias("approved"))
+    got = j.groupBy("id").agg(F.min(F.try_element_at(later, F.lit(1)))["id"].alias("successor"), F.max(F.coalesce(F.exists("firsts", lambda e: e["rank"] == SEQUENCE.index("approve")), F.lit(False))).alias("approved"))
     return got
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..operators import compliance as C
 from ..operators import rules as R
 from ..operators import workflow as W
 from . import sqltext as S
@@ -236,6 +237,53 @@ JOB_SCORES = JOBSQL + """, w AS (SELECT document, severity, CASE severity WHEN '
   SELECT document, count(*) AS n, greatest(0, floor(100 - round(sum(loss), 6) + 0.5))::BIGINT AS score, CASE WHEN bool_or(severity = 'high') THEN 'attention_required' ELSE 'review_required' END AS status FROM w GROUP BY document"""
 
 
+DUTY_SCHEMA = "id string, text string, level string, status string, party string, authority string, required array<string>"
+DUTIES = Rows([
+    ("r1", "Contractor shall test the pumps.", "shall", None, "contractor", None, ["test_report"]), ("r2", "Work must be accepted by the owner.", "must", None, None, "owner", ["approval", "certificate"]), ("r3", "Smoking is prohibited.", "prohibited", None, None, None, None),
+    ("r4", "Acceptance is required.", "required", "waived", "owner", None, []), ("r5", "Training should be held.", "should", "not_applicable", None, None, ["training", "photo"]), ("r6", None, "may", None, None, None, None), ("r7", "Pumps will run.", "will", None, None, None, []),
+], """
+SELECT 'rs' || CAST(s_suppkey AS STRING), 'Goods of ' || s_name || CASE s_suppkey % 3 WHEN 0 THEN ' shall be approved' ELSE ' are to be tested' END, CASE s_suppkey % 6 WHEN 0 THEN 'shall' WHEN 1 THEN 'must' WHEN 2 THEN 'required' WHEN 3 THEN 'should' WHEN 4 THEN 'may'
+ELSE 'prohibited' END, CASE s_suppkey % 8 WHEN 0 THEN 'waived' WHEN 1 THEN 'not_applicable' END, CASE WHEN s_suppkey % 2 = 0 THEN 'contractor' END, CASE WHEN s_suppkey % 4 = 0 THEN 'owner' END, CASE s_suppkey % 3 WHEN 0 THEN LIST['test_report'] WHEN 1 THEN LIST['approval', 'closeout'] END FROM {supplier}
+""")
+PROOF_SCHEMA = "id string, type string, outcome string, document string, section string, day date, author string, description string"
+PROOFS = Rows([
+    ("e1", "test_report", "pass", "d1", "1", "2026-01-01", "contractor", "Pump test passed at full flow"), ("e2", "test_report", "pass", "D1", "1", None, None, "Pump tests passed at full flow"), ("e3", "inspection_report", "fail", "d1", "2", "2026-01-02", "owner", "Pump leaks"),
+    ("e4", "approval", "waived", None, "2", "2026-01-03", "", "Waiver granted"), ("e5", None, None, None, None, None, None, None), ("e6", "certificate", "pass", "d2", "2", "2026-01-04", "owner", "Certificate of the owner"),
+], """
+SELECT 'ep' || CAST(p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN 'test_report' WHEN 1 THEN 'approval' WHEN 2 THEN 'certificate' WHEN 3 THEN 'closeout' ELSE 'record' END, CASE p_partkey % 7 WHEN 0 THEN 'fail' WHEN 1 THEN 'waived' WHEN 2 THEN 'unknown' ELSE 'pass' END,
+'doc' || CAST(p_size AS STRING), p_brand, CASE WHEN p_partkey % 6 > 0 THEN DATE '2026-01-01' END, CASE WHEN p_partkey % 9 > 0 THEN p_type END, p_name || ' ' || p_type FROM {part}
+""")
+PROOF_LINKS = Rows([("r1", "e1"), ("r1", "e3"), ("r1", "e1"), ("r2", "e6"), ("r3", "e1"), ("r4", "e4"), ("r7", "e2"), ("r7", "nowhere"), ("nobody", "e2")], """
+SELECT DISTINCT 'rs' || CAST(l_suppkey AS STRING), 'ep' || CAST(l_partkey AS STRING) FROM {lineitem} WHERE l_partkey % 4 > 0
+""")
+DUTYSQL, PROOFSQL, LINKSQL = values(DUTIES, DUTY_SCHEMA), values(PROOFS, PROOF_SCHEMA), values(PROOF_LINKS, "requirement_id string, evidence_id string")
+_LEVEL = "CASE WHEN level = 'prohibited' THEN 'critical' WHEN level IN ('shall', 'must', 'required') THEN 'high' WHEN level IN ('will', 'should') THEN 'medium' ELSE 'low' END"
+_LACK = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.MISSING.items()) + " ELSE 'missing-evidence' END"
+DUTY_CTE = f"""WITH j AS (SELECT DISTINCT requirement_id AS id, evidence_id, e.type, e.outcome FROM {LINKSQL} l JOIN {PROOFSQL} e ON e.id = l.evidence_id),
+  g AS (SELECT id, count(*) AS n_evidence, bool_or(outcome = 'fail') AS failed, bool_or(coalesce(outcome, '') <> 'waived') AS counted, bool_or(outcome = 'waived' OR type = 'approval') AS released FROM j GROUP BY id),
+  r AS (SELECT d.*, coalesce(n_evidence, 0) AS n_evidence, coalesce(failed, FALSE) AS failed, coalesce(counted, FALSE) AS counted, coalesce(released, FALSE) AS released FROM {DUTYSQL} d LEFT JOIN g USING (id)),
+  f AS (SELECT 'prohibited-condition' AS type, 'critical' AS severity, id AS node_a, NULL::VARCHAR AS node_b, 0.96 AS confidence FROM r WHERE level = 'prohibited' AND counted UNION ALL SELECT 'missing-evidence', {_LEVEL}, id, NULL, 0.96 FROM r WHERE n_evidence = 0
+  UNION ALL SELECT 'non-compliant', 'critical', id, NULL, 0.98 FROM r WHERE failed UNION ALL SELECT 'missing-responsible-party', 'medium', id, NULL, 0.8 FROM r WHERE party IS NULL AND level IN ('shall', 'must', 'required')
+  UNION ALL SELECT 'missing-acceptance-authority', 'medium', id, NULL, 0.82 FROM r WHERE authority IS NULL AND regexp_matches(lower(text), '\\b(approve(d|al)?|accept(ed|ance)?)\\b') UNION ALL SELECT 'waiver-not-documented', 'high', id, NULL, 0.9 FROM r WHERE status = 'waived' AND NOT released
+  UNION ALL SELECT {_LACK}, {_LEVEL}, id, t, 0.92 FROM (SELECT id, level, unnest(list_distinct(required)) AS t FROM r) q WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.id = q.id AND j.type = q.t))"""
+_PROOF = f"(SELECT id, coalesce(type, '') AS type, lower(coalesce(document, '')) AS document, lower(coalesce(section, '')) AS section, {S.stem_set('description')} AS w FROM {PROOFSQL})"
+PROOF_FINDINGS = f"""WITH s AS (SELECT id, outcome, unnest(['document ' || lower(document), 'section ' || lower(section)]) AS scope FROM {PROOFSQL} WHERE outcome IN ('pass', 'fail')),
+  g AS (SELECT DISTINCT a, b FROM (SELECT min(id) FILTER (outcome = 'pass') AS a, min(id) FILTER (outcome = 'fail') AS b FROM s WHERE scope IS NOT NULL GROUP BY scope) WHERE a IS NOT NULL AND b IS NOT NULL),
+  e AS (SELECT 'orphan-evidence' AS type, 'low' AS severity, id AS node_a, NULL::VARCHAR AS node_b, 0.78::DOUBLE AS confidence FROM {PROOFSQL} WHERE id NOT IN (SELECT evidence_id FROM {LINKSQL}) UNION ALL SELECT 'undated-evidence', 'low', id, NULL, 0.8 FROM {PROOFSQL} WHERE day IS NULL
+  UNION ALL SELECT 'unattributed-evidence', 'low', id, NULL, 0.76 FROM {PROOFSQL} WHERE coalesce(author, '') = '' UNION ALL SELECT 'conflicting-evidence', 'critical', a, b, 0.8 FROM g
+  UNION ALL SELECT 'duplicate-evidence', 'low', x.id, y.id, round({JJ}, 6) FROM {_PROOF} x JOIN {_PROOF} y ON x.id < y.id AND x.type = y.type AND x.document = y.document AND x.section = y.section WHERE len(x.w) > 0 AND {JJ} >= 0.9)
+  SELECT 'compliance' AS rule, type, severity, node_a, node_b, confidence::DOUBLE AS confidence FROM e"""
+DUTY_FINDINGS = DUTY_CTE + " SELECT 'compliance' AS rule, type, severity, node_a, node_b, confidence::DOUBLE AS confidence FROM f"
+DUTY_STATUS = DUTY_CTE + f""", w AS (SELECT node_a AS id, max({RANK}) AS worst, list_sort(list_distinct(list(type))) AS findings FROM f GROUP BY node_a)
+  SELECT id, level, CASE WHEN status IN ('not_applicable', 'waived') THEN status WHEN worst = 4 THEN 'non_compliant' WHEN worst >= 2 THEN 'partial' WHEN n_evidence > 0 THEN 'compliant' ELSE 'pending' END AS status, n_evidence, coalesce(findings, []) AS findings FROM r LEFT JOIN w USING (id)"""
+DUTY_SUMMARY = f"""WITH e AS (SELECT * FROM ({DUTY_FINDINGS}) UNION ALL SELECT * FROM ({PROOF_FINDINGS})), s AS (SELECT count(*) AS findings, greatest(0, floor(100 - round(sum(CASE severity WHEN 'critical' THEN 18 WHEN 'high' THEN 9 WHEN 'medium' THEN 4 WHEN 'low' THEN 1.5 ELSE 0.5 END * greatest(0.25, least(1.0, confidence))), 6) + 0.5))::BIGINT AS score, max({RANK}) AS worst FROM e)
+  SELECT findings, score, CASE WHEN worst = 4 OR score < 70 THEN 'non_compliant' WHEN score < 95 THEN 'partial' ELSE 'compliant' END AS outcome, CASE worst WHEN 4 THEN 'critical' WHEN 3 THEN 'attention_required' ELSE 'review_required' END AS status FROM s"""
+
+
+def duties(s):
+    return frame(s, DUTIES, DUTY_SCHEMA), frame(s, PROOFS, PROOF_SCHEMA), frame(s, PROOF_LINKS, "requirement_id string, evidence_id string")
+
+
 def jobs(s):
     return frame(s, JOBS, JOB_SCHEMA)
 
@@ -268,6 +316,10 @@ QUERIES = {
     "merged_activities": (lambda s, f: W.merged_activities(jobs(s)).select("document", "section", "action", "object", "id", "last_id", "n", F.size("evidence").alias("n_evidence"), "confidence"), JOBSQL + " SELECT doc AS document, sec AS section, act AS action, obj AS object, min(id) AS id, max(id) AS last_id, count(*) AS n, len(list_distinct(flatten(coalesce(list(evidence) FILTER (evidence IS NOT NULL), []))))::INTEGER AS n_evidence, max(confidence) AS confidence FROM raw GROUP BY ALL"),
     "workflow_findings": (lambda s, f: W.workflow_findings(jobs(s)), JOBSQL + " SELECT document, 'workflow' AS rule, type, severity, node_a, node_b, confidence::DOUBLE AS confidence FROM every"),
     "workflow_scores": (lambda s, f: W.workflow_scores(W.workflow_findings(jobs(s))), JOB_SCORES),
+    "requirement_findings": (lambda s, f: C.requirement_findings(*duties(s)), DUTY_FINDINGS),
+    "evidence_findings": (lambda s, f: C.evidence_findings(*duties(s)[1:]), PROOF_FINDINGS),
+    "requirement_statuses": (lambda s, f: C.requirement_statuses(*duties(s)), DUTY_STATUS),
+    "evidence_compliance": (lambda s, f: C.compliance_summary(C.requirement_findings(*duties(s)).unionByName(C.evidence_findings(*duties(s)[1:]))), DUTY_SUMMARY),
     "due_orders": (due_orders, _DUE),
     "shipping_delay": (late_lines, "SELECT l_linestatus, count(*) AS n, sum(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5))::BIGINT AS days, max(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5))::BIGINT AS longest, count(*) FILTER (floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 + 0.5) < 0) AS reversed FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "durations": (lambda s, f: frame(s, TIMED, "id string, t string").select("id", F.posexplode(D.durations("t")).alias("pos", "d")).select("id", "pos", "d.amount", "d.unit", "d.modifier", F.round("d.days", 6).alias("days")),
