@@ -18,21 +18,60 @@ SHEET_NUMBER = r"\b(?:\d{1,4})?[A-Z]{1,3}[-.]?\d{3,4}[A-Z]?\b"
 ROOM = r"(?i)\b(?:ROOM\s*)?(\d{2,5}[A-Z]?)\b"
 TAG = r"(?i)\b((?:AHU|RTU|VAV|FCU|CU|EF|SF|HP|P|PANEL|XFMR|UPS|RACK|PP|FACP|FAAP|TGB|TMGB|TS|CUH|UH)[- ]?\d{1,4}[A-Z]?)\b"
 CALLOUT = r"(?i)\b(\d{1,3}[A-Z]?)\s*/\s*([A-Z]{1,4}[-.]?\d{2,4}[A-Z]?)\b"
-DISCIPLINES = [("Architectural", "^A"), ("Structural", "^S"), ("Mechanical", "^M"), ("Plumbing", "^P"), ("Electrical", "^E"), ("Fire", "^F"), ("Telecommunications", "^T"), ("Civil", "^C"), ("General", "^G")]
-TYPES = [("Schedule", r"\bschedules?\b"), ("Detail", r"\bdetails?\b"), ("Riser", r"\brisers?\b"), ("Elevation", r"\belevations?\b"), ("Section", r"\bsections?\b"), ("Index", r"\b(index|list of drawings)\b"), ("Plan", r"\bplans?\b")]
+DISCIPLINES = [
+    ("Fire Alarm", "^FA$"), ("Fire Protection", "^FP$"), ("Plumbing", "^P$"), ("Mechanical", "^M$"), ("Electrical", "^E$"), ("Telecommunications", "^(T|TC)$"), ("Security", "^SEC$"), ("Architectural", "^A$"), ("Interiors", "^I$"), ("Hazardous Materials", "^H$"),
+    ("General", "^G$"), ("Reference", "^R$"),
+]
+TITLE_DISCIPLINES = [
+    ("Fire Alarm", "fire alarm"), ("Fire Protection", "fire protection|sprinkler"), ("Plumbing", "plumbing"), ("Mechanical", "mechanical|hvac"), ("Electrical", "electrical|lighting|power"), ("Telecommunications", "telecommunications?|structured cabling"),
+    ("Security", "security|access control"), ("Architectural", "architectural"), ("Interiors", "interior"), ("General", "general|cover sheet"), ("Reference", "reference|existing photo"),
+]
+TYPES = [
+    ("Cover", r"\bcover( sheet)?\b"), ("Drawing Index", "drawing index|sheet index"), ("General Notes", r"\bgeneral( project| infection control| indoor air quality)? notes?\b"), ("Symbols and Abbreviations", r"\b(symbols?|abbreviations?)\b"),
+    ("Fire Alarm", r"\bfire alarm\b"), ("Enlarged Plan", "enlarged.*plan"), ("Plan", r"\bplan\b"), ("Detail", r"\bdetails?\b"), ("Schedule", r"\bschedules?\b"), ("Controls", r"\bcontrols?\b"), ("One Line", r"\bone[- ]line\b"), ("Riser", r"\briser\b"),
+    ("Diagram", r"\bdiagram\b"), ("Rack Elevation", r"\brack\b.*\belevations?\b"), ("Elevation", r"\belevations?\b"), ("Inventory", r"\binventory\b"), ("Cut Sheet", r"\bcut sheet\b"),
+    ("Photo Reference", r"\bphoto(graph)?s?\b.*\breferences?\b|\breferences?\b.*\bphoto(graph)?s?\b"), ("Reference", r"\breference\b"),
+]
+PRIMARY = ["Cover", "Drawing Index", "General Notes", "Symbols and Abbreviations", "Enlarged Plan", "Plan", "Fire Alarm", "Schedule", "Rack Elevation", "Detail", "Controls", "One Line", "Riser", "Diagram", "Inventory", "Cut Sheet", "Photo Reference", "Notes", "Elevation", "Reference"]
 FLOORS = [("BASEMENT", r"\bbasement\b"), ("GROUND", r"\bground\b"), ("FIRST", r"\bfirst\b"), ("SECOND", r"\bsecond\b"), ("THIRD", r"\bthird\b"), ("ROOF", r"\broof\b"), ("PENTHOUSE", r"\bpenthouse\b")]
 INTENTS = [
-    ("open schedule", r"\bschedule\b"), ("open detail", r"\bdetail\b"), ("open riser", r"\briser\b"), ("open rack elevation", r"\brack\b"), ("inspect", r"\b(inspect|inspection|punch)\b"), ("install", r"\b(install|rough.?in)\b"),
-    ("coordinate", r"\b(coordinate|conflict|clash)\b"), ("locate", r"\b(where|locate|find|show)\b"),
+    ("risk", r"\b(why|delay|delayed|risk|concern|blocked|issue|problem)\b"), ("location", r"\b(where|which rooms?|what rooms?|location|located|rooms? receive|building|floor|level)\b"), ("scope-of-work", r"\b(scope|work|affects|what is included|involved)\b"),
+    ("means-and-methods", r"\b(how|install|installed|installation|methods?|details?|procedures?)\b"), ("schedule", r"\b(when|schedule|milestone|rough-in|start|finish|deadline|time)\b"), ("sequence", r"\b(sequence|before|after|order|phasing|prior to|followed by)\b"),
+    ("inspection", r"\b(inspections?|inspect|test|testing|witness)\b"), ("commissioning", r"\b(commission|commissioning|start-up|startup)\b"), ("equipment", r"\b(equipment|tag|device|unit|fan|pump|panel|rack|ahu|vav|fcu|rtu)\b"), ("room", r"\broom\b"),
+    ("building", r"\b(building|bldg|tower|wing)\b"), ("drawing", r"\b(drawing|sheet|plan|elevation|detail|riser|section)\b"), ("specification", r"\b(spec|specification|section)\b"), ("rfi", r"\b(rfi|request for information)\b"),
+    ("submittal", r"\b(submittals?|shop drawing)\b"), ("deficiency", r"\b(deficiency|punch list|snag|issue|problem)\b"), ("existing-condition", r"\b(existing|as-built|site condition|field condition)\b"), ("coordination", r"\b(coordination|clash|interface|trade|between trades|interdisciplinary)\b"),
 ]
-
-
-def discipline(number: Column | str) -> Column:
-    return T.ladder(F.regexp_replace(T.folded(number), r"^\d+", ""), DISCIPLINES, "Unknown")
+SOURCES = {
+    "risk": ["rfis", "deficiencies", "schedule", "pmis", "meeting-records"], "location": ["drawings", "legends", "schedules", "room-observations", "specifications"], "scope-of-work": ["drawings", "specifications", "schedules", "rfis", "submittals"],
+    "means-and-methods": ["specifications", "submittals", "details", "drawings"], "schedule": ["schedule", "current-work", "pmis", "contractor-updates", "drawings"], "sequence": ["schedule", "sequence-details", "specifications", "rfis"],
+    "inspection": ["inspection-records", "specifications", "rfis", "drawings"], "commissioning": ["commissioning-records", "schedule", "specifications", "inspections"], "equipment": ["drawings", "schedules", "specifications", "submittals"],
+    "room": ["drawings", "room-observations", "schedules", "specifications"], "building": ["drawings", "legends", "schedules", "specifications"], "drawing": ["drawings", "legends", "schedules"], "specification": ["specifications", "submittals", "drawings"],
+    "rfi": ["rfis", "schedule", "drawings", "deficiencies"], "submittal": ["submittals", "specifications", "rfis", "drawings"], "deficiency": ["deficiencies", "rfis", "inspections", "schedule"], "existing-condition": ["drawings", "rfis", "inspections", "specifications"],
+    "coordination": ["rfis", "drawings", "submittals", "schedule"],
+}
+
+
+def discipline(number: Column | str, title: Column | str | None = None, indexed: Column | str | None = None) -> Column:
+    """Of a sheet: as the drawing index says, else by the letters of its number, else by its title."""
+    letters = F.regexp_extract(F.upper(T.folded(number)), r"^\d*([A-Z]{1,3})[-.]?\d", 1)
+    rungs = [T.ladder(letters, DISCIPLINES)]
+    if indexed is not None:
+        said = F.trim(F.col(indexed) if isinstance(indexed, str) else indexed)
+        rungs.insert(0, F.when((said != "") & (said != "Unknown"), said))
+    if title is not None:
+        rungs.append(T.ladder(title, TITLE_DISCIPLINES))
+    return F.coalesce(*rungs, F.lit("Unknown"))
+
+
+def sheet_types(title: Column | str) -> Column:
+    """All types that a title names; `Unknown` if none."""
+    held = F.array_compact(F.array(*(F.when(T.matches(title, p), n) for n, p in TYPES)))
+    return F.when(F.size(held) > 0, held).otherwise(F.array(F.lit("Unknown")))
 
 
 def sheet_type(title: Column | str) -> Column:
-    return T.ladder(title, TYPES, "Other")
+    """The first of its types in the order of importance."""
+    return T.ladder(title, sorted(TYPES, key=lambda t: PRIMARY.index(t[0])), "Unknown")
 
 
 def floor(title: Column | str) -> Column:
@@ -43,6 +82,12 @@ def construction_intent(question: Column | str) -> Column:
     return T.ladder(question, INTENTS, "general")
 
 
+def intent_sources(intent: Column) -> Column:
+    """Where an answer to a question of that intent is looked for, in order; none for others."""
+    m = F.create_map(*(x for k, v in SOURCES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(F.try_element_at(m, intent), F.array().cast("array<string>"))
+
+
 def observations(items: DataFrame) -> DataFrame:
     """(sheet_id, item, kind, value, confidence): rooms, tags and callouts in positioned texts, each value once a sheet and kind."""
     t = F.col("text")

@@ -31,6 +31,11 @@ SELECT CASE p_partkey % 6 WHEN 0 THEN 'A-' WHEN 1 THEN 'M' WHEN 2 THEN 'E-' WHEN
 STRING), CASE p_partkey % 5 WHEN 0 THEN 'First floor plan' WHEN 1 THEN 'Equipment schedule' WHEN 2 THEN 'Riser' WHEN 3 THEN 'Details' ELSE 'Roof' END
 || ' ' || p_name FROM {part}
 """)
+_LETTERS = "regexp_extract(upper(coalesce(number, '')), '^[0-9]*([A-Z]{1,3})[-.]?[0-9]', 1)"
+_BY_TITLE = S.ladder("title", D.TITLE_DISCIPLINES, "Unknown")
+_KINDS = "list_filter([" + ", ".join(f"CASE WHEN {S.has('title', p)} THEN '{n}' END" for n, p in D.TYPES) + "], lambda x: x IS NOT NULL)"
+SHEET_CLASSES = f"""WITH t AS (SELECT number, title, {S.ladder(_LETTERS, D.DISCIPLINES, '?')} AS d, {_KINDS} AS k FROM {values(TITLES, 'number string, title string')})
+  SELECT number, title, CASE WHEN d <> '?' THEN d ELSE {_BY_TITLE} END AS discipline, CASE WHEN len(k) > 0 THEN k ELSE ['Unknown'] END AS kinds, CASE {" ".join(f"WHEN list_contains(k, '{n}') THEN '{n}'" for n in D.PRIMARY)} ELSE 'Unknown' END AS kind, {S.ladder('title', D.FLOORS, '')} AS floor FROM t"""
 ASKS = Rows([("q1", "where is room 102"), ("q2", "open the schedule on M-201"), ("q3", "show Room 101"), ("q4", "find VAV 12"), ("q5", "coordinate risers"), ("q6", "A-102 please"), ("q7", "hello")], """
 SELECT 't' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING), text FROM {conversations}
 """)
@@ -95,9 +100,9 @@ def _search_sql(n: str) -> str:
 
 
 QUERIES = {
-    "sheet_classes": (lambda s, f: frame(s, TITLES, "number string, title string").select("number", "title", D.discipline("number").alias("discipline"), D.sheet_type("title").alias("kind"), D.floor("title").alias("floor")),
-                      f"SELECT number, title, {S.ladder(chr(114) + 'egexp_replace(coalesce(number, ' + S.q('') + '), ' + S.q('^[0-9]+') + ', ' + S.q('') + ')', D.DISCIPLINES, 'Unknown')} AS discipline, {S.ladder('title', D.TYPES, 'Other')} AS kind, {S.ladder('title', D.FLOORS, '')} AS floor FROM {values(TITLES, 'number string, title string')}"),
-    "construction_intents": (lambda s, f: frame(s, ASKS, "question_id string, question string").select("question_id", D.construction_intent("question").alias("intent")), f"SELECT question_id, {S.ladder('question', D.INTENTS, 'general')} AS intent FROM {values(ASKS, 'question_id string, question string')}"),
+    "sheet_classes": (lambda s, f: frame(s, TITLES, "number string, title string").select("number", "title", D.discipline("number", "title").alias("discipline"), D.sheet_types("title").alias("kinds"), D.sheet_type("title").alias("kind"), D.floor("title").alias("floor")), SHEET_CLASSES),
+    "construction_intents": (lambda s, f: frame(s, ASKS, "question_id string, question string").select("question_id", D.construction_intent("question").alias("intent"), F.array_join(D.intent_sources(D.construction_intent("question")), ">").alias("sources")),
+                             f"WITH a AS (SELECT question_id, {S.ladder('question', D.INTENTS, 'general')} AS intent FROM {values(ASKS, 'question_id string, question string')}) SELECT question_id, intent, CASE intent " + " ".join(f"WHEN '{k}' THEN '{'>'.join(v)}'" for k, v in D.SOURCES.items()) + " ELSE '' END AS sources FROM a"),
     "drawing_observations": (lambda s, f: obs(s), f"SELECT * FROM {OBS}"),
     "corrected_observations": (lambda s, f: D.corrected(obs(s), frame(s, FIX, "sheet_id string, kind string, value string, status string, corrected_value string")), f"SELECT o.sheet_id, o.kind, CASE WHEN status = 'Corrected' THEN corrected_value ELSE o.value END AS value, coalesce(status, 'Unverified') AS status FROM {OBS} o LEFT JOIN {values(FIX, 'sheet_id string, kind string, value string, status string, corrected_value string')} c ON c.sheet_id = o.sheet_id AND c.kind = o.kind AND c.value = o.value"),
     "sheet_search": (lambda s, f: D.search_sheets(sheets(s), obs(s), items(s), "10"), _search_sql("10")),

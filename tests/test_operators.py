@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as D
 from ledgerloom.functions import text as T
+from ledgerloom.operators import compliance as M
 from ledgerloom.operators import drawings as W
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import graph as G
@@ -14,6 +15,7 @@ from ledgerloom.operators import project as P
 from ledgerloom.operators import relations as R
 from ledgerloom.operators import retrieval as Q
 from ledgerloom.operators import rules as C
+from ledgerloom.operators import workflow as K
 from ledgerloom.plans.corpus import sections
 
 
@@ -124,4 +126,42 @@ def test_dates_and_states(spark):
     assert one(D.stale(F.lit("2026-01-01").cast("timestamp"), F.lit("2026-01-03").cast("timestamp"))) is True
     assert one(P.posture(F.lit(0), F.lit(1), F.lit(0.9))) == "Monitor" and one(P.percent(F.lit("85 %"))) == 0.85
     assert one(T.section_number(F.lit("01-45.00"))) == "01 45 00" and one(T.escaped(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
-    assert one(W.sheet_type(F.lit(None).cast("string"))) == "Other" and one(T.rounded(F.lit(-2.5))) == -2
+    assert one(W.sheet_type(F.lit(None).cast("string"))) == "Unknown" and one(T.rounded(F.lit(-2.5))) == -2
+
+
+def test_sheet_and_intent_ladders(spark):
+    rows = [("FA-101", "Enlarged plan and details", None), ("FP201", None, None), ("77SEC-1", "Cover sheet", "Unknown"), ("QX", "Fire sprinkler riser", ""), (None, None, "Civil")]
+    df = spark.createDataFrame(rows, "number string, title string, indexed string")
+    got = df.select(W.discipline("number", "title", "indexed").alias("d"), W.sheet_types("title").alias("t"), W.sheet_type("title").alias("p")).collect()
+    assert [r["d"] for r in got] == ["Fire Alarm", "Fire Protection", "Security", "Fire Protection", "Civil"]
+    assert got[0]["t"] == ["Enlarged Plan", "Plan", "Detail"] and [r["p"] for r in got] == ["Enlarged Plan", "Unknown", "Cover", "Riser", "Unknown"]
+    asked = spark.createDataFrame([("Why is it late?",), ("Which rooms?",), (None,), ("",)], "q string").select(W.construction_intent("q").alias("i")).withColumn("s", W.intent_sources(F.col("i"))).collect()
+    assert [r["i"] for r in asked] == ["risk", "location", "general", "general"] and asked[0]["s"][0] == "rfis" and asked[2]["s"] == []
+
+
+def test_workflow_against_its_rules(spark):
+    schema = "id string, document string, section string, action string, object string, party string, status string, evidence array<string>, approval boolean, confidence double"
+    rows = [("a", "d", "1", "submit", "pump", "x", "open", [], False, 0.5), ("b", "d", "1", "approve", "big pump", "x", "open", [], False, 0.5), ("c", "d", "1", "install", "pump", None, "open", [], False, 0.5), ("c2", "d", "1", "Install", "Pump", "y", "open", ["r"], False, 0.9)]
+    df = spark.createDataFrame(rows, schema)
+    m = {r["id"]: r for r in K.merged_activities(df).collect()}
+    assert set(m) == {"a", "b", "c"} and (m["c"]["n"], m["c"]["party"], m["c"]["evidence"], m["c"]["confidence"]) == (2, "y", ["r"], 0.9)
+    ctx = {r["id"]: (r["successor"], r["approved"]) for r in K.workflow_context(K.merged_activities(df)).collect()}
+    assert ctx == {"a": ("b", True), "b": ("c", True), "c": (None, True)}
+    assert {(r["type"], r["node_a"]) for r in K.workflow_findings(df).collect()} == {("duplicate-activity", "c"), ("dead-end", "c"), ("incomplete-workflow", "a")}
+    assert K.workflow_findings(df.limit(0)).count() == 0 and K.workflow_scores(K.workflow_findings(df)).first()["status"] == "review_required"
+
+
+def test_circles_and_links(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "d"), ("a", "b"), (None, "a")], "src string, dst string").where("src is not null")
+    assert {(r["node_a"], r["node_b"]) for r in C.circular("x", "circle", e).collect()} == {("a", "b"), ("d", None)}
+    docs = spark.createDataFrame([("A", "b"), ("B", None), ("C", "nowhere")], "id string, supersedes string")
+    assert {tuple(r) for r in C.supersession_links(docs).collect()} == {("A", "B", "b"), ("C", None, "nowhere")}
+
+
+def test_compliance_of_no_rows(spark):
+    r = spark.createDataFrame([], "id string, text string, level string, status string, party string, authority string, required array<string>")
+    e = spark.createDataFrame([], "id string, type string, outcome string, document string, section string, day date, author string, description string")
+    n = spark.createDataFrame([], "requirement_id string, evidence_id string")
+    found = M.requirement_findings(r, e, n).unionByName(M.evidence_findings(e, n))
+    assert found.count() == 0 and M.requirement_statuses(r, e, n).count() == 0
+    assert tuple(M.compliance_summary(found).first()) == (0, 100, "compliant", "healthy")
