@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and their registered queries.
+"""Training-data operators: thirteen corpus operators and their registered queries.
 
 Nothing else in the library imports this subpackage.  Its modules are imported
 when their queries are asked for, so that a Python worker loads only what its
@@ -7,7 +7,7 @@ function needs.
 
 from importlib import import_module
 
-_MODULES = ("near_dedup", "sharding", "warc", "decontaminate", "secrets", "media", "toxicity", "pages_text", "mixing", "lm_score")
+_MODULES = ("near_dedup", "sharding", "warc", "decontaminate", "secrets", "media", "toxicity", "pages_text", "mixing", "lm_score", "simhash", "lexical_search", "centroids")
 
 
 def _each():

@@ -107,3 +107,21 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_or_empty(c: Column | str = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+#: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_on_hot_key(rows: DataFrame, values: DataFrame, key: list[str], count: str) -> DataFrame:
+    """rows with the columns of values, which has one row a key and in count the number of its rows; both must be kept tables.
+
+    Keys with more than one in HOT of all rows, fewer than HOT by this bound, are
+    broadcast, so that their rows stay where they are; the others are shuffled.
+    Rows whose key values lacks, and null keys, go.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = values.where(F.col(count) * HOT > total)
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(values.where(F.col(count) * HOT <= total), key)
+    )
