@@ -106,12 +106,19 @@ A = f"(SELECT *, {S.stem_set('title')} AS w, coalesce(actual_start, planned_star
 L = values(LINKS, LINK_SCHEMA)
 F1 = lambda rule, kind, sev, a, b, c: f"'{rule}' AS rule, {kind} AS type, {sev} AS severity, {a} AS node_a, {b} AS node_b, round({c}, 6) AS confidence"
 ORPHAN = f"SELECT {F1('orphan', chr(39) + 'orphan-requirement' + chr(39), chr(39) + 'medium' + chr(39), 'node', 'NULL::VARCHAR', '0.8::DOUBLE')} FROM {values(NODES, N_SCHEMA)} WHERE node NOT IN (SELECT src FROM {values(CYCLIC, E_SCHEMA)} UNION SELECT dst FROM {values(CYCLIC, E_SCHEMA)})"
-RESP = f"""WITH s AS (SELECT *, {S.stem_set('object')} AS w FROM {values(STATEMENTS, ST_SCHEMA)}), p AS (SELECT a.*, b.id AS bid, b.party AS bparty, b.action AS baction, b.negated AS bneg, b.exclusive AS bex, least(a.confidence, b.confidence) AS low, {S.jaccard('a.w', 'b.w')} AS sim FROM s a, s b WHERE a.id < b.id),
-  k AS (SELECT *, CASE WHEN action = baction AND party = bparty AND negated <> bneg THEN 'contradiction' WHEN action = baction AND party <> bparty AND (exclusive OR bex) THEN 'exclusive-assignment' WHEN action = baction AND party <> bparty THEN 'double-assignment'
-    WHEN list_sort([action, baction]) = ['approve', 'review'] THEN 'review-approval-split' WHEN list_sort([action, baction]) = ['accept', 'inspect'] THEN 'inspection-acceptance-split' WHEN list_sort([action, baction]) = ['test', 'verify'] THEN 'test-verification-split'
-    WHEN action IN ('approve', 'accept', 'verify') AND baction IN ('approve', 'accept', 'verify') AND party <> bparty THEN 'authority-mismatch' END AS k FROM p WHERE sim >= 0.45)
-  SELECT 'responsibility' AS rule, k AS type, CASE WHEN k LIKE '%split' THEN 'info' WHEN k = 'double-assignment' THEN 'medium' ELSE 'high' END AS severity, id AS node_a, bid AS node_b, round(greatest(0.0, least(1.0,
-    CASE k WHEN 'contradiction' THEN 0.65 + 0.2 * sim + 0.1 * low WHEN 'exclusive-assignment' THEN 0.6 + 0.2 * sim + 0.15 * low WHEN 'double-assignment' THEN 0.45 + 0.25 * sim + 0.15 * low WHEN 'test-verification-split' THEN 0.68 + 0.2 * sim WHEN 'authority-mismatch' THEN 0.55 + 0.25 * sim + 0.1 * low ELSE 0.7 + 0.2 * sim END)), 6) AS confidence FROM k WHERE k IS NOT NULL"""
+
+
+def responsibility_sql(statements: str, more: bool = False) -> str:
+    """Conflicts between statements; more: the SQL goes on after CTEs of its own."""
+    return ("," if more else "WITH") + f""" s AS (SELECT *, {S.stem_set('object')} AS w FROM {statements}), p AS (SELECT a.*, b.id AS bid, b.party AS bparty, b.action AS baction, b.negated AS bneg, b.exclusive AS bex, least(a.confidence, b.confidence) AS low, {S.jaccard('a.w', 'b.w')} AS sim FROM s a, s b WHERE a.id < b.id),
+    k AS (SELECT *, CASE WHEN action = baction AND party = bparty AND negated <> bneg THEN 'contradiction' WHEN action = baction AND party <> bparty AND (exclusive OR bex) THEN 'exclusive-assignment' WHEN action = baction AND party <> bparty THEN 'double-assignment'
+      WHEN list_sort([action, baction]) = ['approve', 'review'] THEN 'review-approval-split' WHEN list_sort([action, baction]) = ['accept', 'inspect'] THEN 'inspection-acceptance-split' WHEN list_sort([action, baction]) = ['test', 'verify'] THEN 'test-verification-split'
+      WHEN action IN ('approve', 'accept', 'verify') AND baction IN ('approve', 'accept', 'verify') AND party <> bparty THEN 'authority-mismatch' END AS k FROM p WHERE sim >= 0.45)
+    SELECT 'responsibility' AS rule, k AS type, CASE WHEN k LIKE '%split' THEN 'info' WHEN k = 'double-assignment' THEN 'medium' ELSE 'high' END AS severity, id AS node_a, bid AS node_b, round(greatest(0.0, least(1.0,
+      CASE k WHEN 'contradiction' THEN 0.65 + 0.2 * sim + 0.1 * low WHEN 'exclusive-assignment' THEN 0.6 + 0.2 * sim + 0.15 * low WHEN 'double-assignment' THEN 0.45 + 0.25 * sim + 0.15 * low WHEN 'test-verification-split' THEN 0.68 + 0.2 * sim WHEN 'authority-mismatch' THEN 0.55 + 0.25 * sim + 0.1 * low ELSE 0.7 + 0.2 * sim END)), 6) AS confidence FROM k WHERE k IS NOT NULL"""
+
+
+RESP = responsibility_sql(values(STATEMENTS, ST_SCHEMA))
 DEFC = f"""WITH d AS (SELECT id, trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS term, {S.stem_set('meaning')} AS w, confidence FROM {values(DEFS, DEF_SCHEMA)}),
   p AS (SELECT a.id, b.id AS bid, least(a.confidence, b.confidence) AS low, {S.jaccard('a.w', 'b.w')} AS sim, len(list_intersect(a.w, b.w)) / greatest(1, least(len(a.w), len(b.w)))::DOUBLE AS held FROM d a JOIN d b ON a.term = b.term AND a.id < b.id)
   SELECT 'definition' AS rule, CASE WHEN sim >= 0.88 THEN 'duplicate-definition' ELSE 'contradictory-definition' END AS type, CASE WHEN sim >= 0.88 THEN 'low' ELSE 'high' END AS severity, id AS node_a, bid AS node_b,
