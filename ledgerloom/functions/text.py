@@ -215,3 +215,11 @@ def escaped(c: Column | str) -> Column:
     for ch, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         s = F.replace(s, F.lit(ch), F.lit(e))
     return s
+
+
+def stable_key(c: Column | str) -> Column:
+    """A hash of a JSON text that does not depend on the order of fields, at any depth, nor on spaces; null if it is no JSON.
+
+    A variant keeps the fields of an object in the order of their names.
+    """
+    return F.md5(F.to_json(F.try_parse_json(F.col(c) if isinstance(c, str) else c)).cast("binary"))

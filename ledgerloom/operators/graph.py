@@ -10,11 +10,13 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Rounds after which the pieces that rounds have added to a table are written as one.
 COMPACT = 16
+#: Nodes without a way in or out are taken away round by round while a round takes one in so many.
+TRIM = 16
 
 
 def shared_folder(df: DataFrame) -> None:
@@ -33,6 +35,27 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """df settled, and how many of its rows there are, or for how many `what` holds; counted while it is written."""
+    seen = Observation()
+    out = _settled(df.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
+    return out, seen.get["n"]
+
+
+class _Pieces:
+    """A table that rounds add to; what they add is written as one every COMPACT pieces, so that nothing is rewritten each round."""
+
+    def __init__(self) -> None:
+        self.table: DataFrame | None = None
+        self.loose = 0
+
+    def add(self, piece: DataFrame) -> None:
+        self.table = piece if self.table is None else self.table.unionByName(piece)
+        self.loose += 1
+        if self.loose == COMPACT:
+            self.table, self.loose = _settled(self.table), 0
+
+
 def _steps(most: int | None):
     return count(1) if most is None else range(1, most + 1)
 
@@ -121,14 +144,17 @@ def weighted_paths(edges: DataFrame, start: str, cost: Column | None = None) ->
     Rounds of relaxation from the nodes that the last one improved, until none is.
     """
     e = _costed(edges, cost)
-    best = _settled(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("steps"), F.array(F.lit(start)).alias("nodes")).alias("b")))
-    moved = best
-    while not moved.isEmpty():
+    first = F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("steps"), F.array(F.lit(start)).alias("nodes"))
+    moved, n = _settled(edges.sparkSession.range(1).select(F.lit(start).alias("node"), first.alias("b"))), 1
+    found = _Pieces()
+    while n:
+        found.add(moved)
         way = F.struct((F.col("b.distance") + F.col("c")).alias("distance"), (F.col("b.steps") + 1).alias("steps"), F.array_append("b.nodes", F.col("dst")).alias("nodes"))
         more = moved.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), way.alias("w")).groupBy("node").agg(F.min("w").alias("w"))
-        both = _settled(best.join(more, "node", "full").select("node", F.col("b").alias("was"), F.least("b", "w").alias("b")))
-        best = both.select("node", "b")
-        moved = both.where(F.col("was").isNull() | (F.col("b") < F.col("was"))).select("node", "b")
+        best = found.table.groupBy("node").agg(F.min("b").alias("b"))
+        better = more.join(best, "node", "left").where(F.col("b").isNull() | (F.col("w") < F.col("b")))
+        moved, n = _counted(better.select("node", F.col("w").alias("b")))
+    best = found.table.groupBy("node").agg(F.min("b").alias("b"))
     return best.select("node", "b.distance", F.array_join("b.nodes", ">").alias("path"))
 
 
@@ -171,20 +197,20 @@ def directed_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest predecessor; nodes on or behind a cycle have null.
 
-    Each round takes the nodes all of whose predecessors have a level.
+    Each round takes the nodes whose predecessors all have gone in earlier ones, so
+    that a node's level is its round; edges that are done with leave the table.
     """
     e = _settled(edges.select("src", "dst").distinct())
-    left = nodes.select("node").distinct()
-    done = _settled(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
-    left = _settled(left.join(done, "node", "left_anti"))
-    while True:
-        pred = e.join(left, e["dst"] == left["node"]).select("node", "src").join(done.select(F.col("node").alias("src"), F.col("level").alias("l")), "src", "left")
-        ready = _settled(pred.groupBy("node").agg((F.max("l") + 1).cast("int").alias("level"), F.count_if(F.col("l").isNull()).alias("open")).where("open = 0").drop("open"))
-        if ready.isEmpty():
-            break
-        done = _settled(done.unionByName(ready))
+    left = _settled(nodes.select("node").distinct())
+    done = _Pieces()
+    for level in count(0):
+        ready, n = _counted(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        done.add(ready.withColumn("level", F.lit(level)))
+        if not n:
+            return done.table.unionByName(left.withColumn("level", F.lit(None).cast("int")))
         left = _settled(left.join(ready, "node", "left_anti"))
-    return done.unionByName(left.withColumn("level", F.lit(None).cast("int")))
+        e = _settled(e.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+    raise AssertionError
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,47 +232,58 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lab
 
 
+def _least_reaching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, c): for nodes (node, c: a struct that ends in node) the least c among those that lead to it, its own included.
+
+    A node also takes what the node behind its c has found, so that long ways halve each round.
+    """
+    colour = nodes
+    while True:
+        near = colour.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+        step = colour.join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
+        jump = step.select(F.col("node").alias("to"), F.col("c").alias("further"))
+        new, moved = _counted(step.join(jump, F.col("c.node") == F.col("to")).select("node", F.least("c", "further").alias("c"), "was"), F.col("c") != F.col("was"))
+        colour = new.drop("was")
+        if not moved:
+            return colour
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): nodes that reach one another, named by the least of them.
 
-    By colours: every node takes the least node that reaches it; those of a colour
-    that also reach the colour's node are a component.  They are taken away with
-    all edges between colours, and the rest goes on.  Tables stay as large as the
-    graph, whatever reaches what.
+    Nodes that no edge enters or leaves are alone and go, as long as that takes many.  Then every
+    node takes the first of those that reach it, in an order by hash; those that also reach
+    that one are its component and go, with all edges between different firsts.  By the random order
+    a chain falls into pieces of like size, so rounds grow with the logarithm of its length.
+    Tables stay as large as the graph, whatever reaches what.
     """
-    left = _settled(nodes.select("node").distinct())
-    e = _settled(edges.select("src", "dst").where("src <> dst").distinct())
-    e = _settled(e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    out = None
-    while True:
-        inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-        alone = left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))  # no edge in or none out
-        out = alone if out is None else out.unionByName(alone)
-        out = _settled(out)
-        left = _settled(left.join(inner, "node", "left_semi"))
-        if left.isEmpty():
-            return out
-        e = _settled(e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        colour, moved = left.select("node", F.col("node").alias("c")), left.select("node", F.col("node").alias("c"))
-        while not moved.isEmpty():
-            near = moved.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-            new = _settled(colour.join(near, "node", "left").select("node", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c")))
-            colour, moved = new.select("node", "c"), new.where("c <> was").select("node", "c")
-        src, dst = (colour.select(F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("src", "dst"))
-        e = _settled(e.join(src, "src").join(dst, "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")))
-        back = _settled(colour.where("node = c"))
-        found = back
-        for k in count(1):
-            back = back.join(e.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node"), "c").distinct().join(found.select("node"), "node", "left_anti")
-            back = _settled(back)
-            if back.isEmpty():
+    left, n = _counted(nodes.select("node").distinct())
+    within = lambda e, keep: e.join(keep.select(F.col("node").alias("src")), "src", "left_semi").join(keep.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    e, m = _counted(within(edges.select("src", "dst").where("src <> dst").distinct(), left))
+    out = _Pieces()
+    for turn in count(0):
+        while m:
+            inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+            kept, k = _counted(inner)
+            out.add(left.join(kept, "node", "left_anti").select("node", F.col("node").alias("root")))
+            gone, left, n = n - k, kept, k
+            e, m = _counted(within(e, left))
+            if gone * TRIM < n:
                 break
-            found = found.unionByName(back)
-            found = _settled(found) if k % COMPACT == 0 else found
-        out = out.unionByName(found.select("node", F.col("c").alias("component")))
-        left = _settled(left.join(found.select("node"), "node", "left_anti"))
-        e = e.select("src", "dst").join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
-        e = _settled(e)
+        if not m:
+            out.add(left.select("node", F.col("node").alias("root")))
+            break
+        order = _settled(left.select("node", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node")).alias("c")))
+        colour = _least_reaching(e, order)
+        src, dst = (colour.select(F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("src", "dst"))
+        e = _settled(e.join(src, "src").join(dst, "dst").where("c_src = c_dst").select("src", "dst"))
+        back = _least_reaching(reversed_edges(e), order)
+        found = _settled(colour.join(back.select("node", F.col("c").alias("b")), "node").where("c = b").select("node", F.col("c.node").alias("root")))
+        out.add(found)
+        left, n = _counted(left.join(found, "node", "left_anti"))
+        e, m = _counted(within(e, left))
+    named = out.table.groupBy("root").agg(F.min("node").alias("component"))
+    return _settled(out.table.join(named, "root").select("node", "component"))
 
 
 def condensation(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -285,22 +322,23 @@ def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
     e = _settled(edges.select("src", "dst").distinct())
     top = lev.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     base = _settled(lev.where("level is not null").join(durations, "node"))
-    times = base.where("level = 0").select("node", F.lit(0.0).alias("start"), F.col("duration").cast("double").alias("finish"))
+    times = _Pieces()
+    times.add(base.where("level = 0").select("node", F.lit(0.0).alias("start"), F.col("duration").cast("double").alias("finish")))
     for k in range(1, top + 1):
         here = base.where(F.col("level") == k)
-        s = here.join(e, here["node"] == e["dst"]).join(times.select(F.col("node").alias("src"), "finish"), "src").groupBy("node", "duration").agg(F.max("finish").alias("start"))
-        times = _settled(times.unionByName(s.select("node", "start", (F.col("start") + F.col("duration")).alias("finish"))))
-    end = times.agg(F.max("finish")).first()[0]
-    late = None
+        s = here.join(e, here["node"] == e["dst"]).join(times.table.select(F.col("node").alias("src"), "finish"), "src").groupBy("node", "duration").agg(F.max("finish").alias("start"))
+        times.add(_settled(s.select("node", "start", (F.col("start") + F.col("duration")).alias("finish"))))
+    end = times.table.agg(F.max("finish")).first()[0]
+    late = _Pieces()
     for k in range(top, -1, -1):
         here = base.where(F.col("level") == k).select("node", "duration")
-        if late is None:
+        if late.table is None:
             step = here.select("node", F.lit(end).cast("double").alias("by"), "duration")
         else:
-            nxt = here.join(e, here["node"] == e["src"], "left").join(late.select(F.col("node").alias("dst"), (F.col("by") - F.col("duration")).alias("ls")), "dst", "left")
+            nxt = here.join(e, here["node"] == e["src"], "left").join(late.table.select(F.col("node").alias("dst"), (F.col("by") - F.col("duration")).alias("ls")), "dst", "left")
             step = nxt.groupBy("node", "duration").agg(F.coalesce(F.min("ls"), F.lit(end)).alias("by")).select("node", "by", "duration")
-        late = _settled(step if late is None else late.unionByName(step))
-    j = times.join(late.select("node", "by"), "node")
+        late.add(_settled(step))
+    j = times.table.join(late.table.select("node", "by"), "node")
     return j.select("node", "start", "finish", (F.col("by") - F.col("finish")).alias("slack"), (F.abs(F.col("by") - F.col("finish")) < 1e-9).alias("critical"))
 
 

@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dictionary import held_terms
 from .graph import _settled
 
 #: The commonest words that the order knows by their counts; the driver holds as many numbers. Any order is exact.
 FREQUENT = 20_000
+#: Sets with a word in common that one task compares; the sets of a commoner word are dealt to several.
+MEET = 4096
 
 
 def hashed(words: Column) -> Column:
@@ -25,8 +28,8 @@ def hashed(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))))
 
 
-def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: list[str]) -> DataFrame:
-    """(id, *same, __n, __i, __t): the words __t of each set, of __n, that decide; __i is the place in the order."""
+def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: list[str]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(id, *same, __n, __i, __t): the words __t of each set, of __n, that decide; __i is the place in the order. And the hot words with the number of their parts."""
     counts = rows.select(F.explode("__set").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
     top = counts.orderBy(F.desc("m"), "t").limit(FREQUENT).collect()
     known = sorted((r["t"], r["m"]) for r in top)
@@ -52,7 +55,19 @@ def _prefixes(rows: DataFrame, least: float | None, common: int | None, same: li
             yield out.assign(__n=n[row[on]].astype(np.int32), __i=place[on].astype(np.int32), __t=t[order][on])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema.fields)
-    return rows.select(*cols, "__set").mapInPandas(run, f"{kinds}, __n int, __i int, __t long")
+    hot = [(t, -(-m // MEET)) for t, m in known if m > MEET]
+    return rows.select(*cols, "__set").mapInPandas(run, f"{kinds}, __n int, __i int, __t long"), hot
+
+
+def _met(a: DataFrame, a_id: str, b: DataFrame, hot: list[tuple[int, int]], on: list[str]) -> DataFrame:
+    """a joined with b on columns among which is the word __t; the rows of a hot word in a are dealt to parts, each of which meets all of b's."""
+    if not hot:
+        return a.join(b, on)
+    parts = F.broadcast(a.sparkSession.createDataFrame(hot, "__t long, __parts int"))  # at most FREQUENT rows
+    one = F.coalesce("__parts", F.lit(1))
+    a = a.join(parts, "__t", "left").withColumn("__part", F.pmod(F.xxhash64(a_id), one).cast("int")).drop("__parts")
+    b = b.join(parts, "__t", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), one - 1))).drop("__parts")
+    return a.join(b, [*on, "__part"]).drop("__part")
 
 
 def similar_sets(df: DataFrame, words: Column, least: float | None, common: int | None = None, measure: str = "union", keep: tuple[str, ...] = (), same: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
@@ -68,9 +83,9 @@ def similar_sets(df: DataFrame, words: Column, least: float | None, common: int
         raise ValueError("pairs must have a word in common")
     held = list(dict.fromkeys([*keep, *same]))
     rows = _settled(df.select("id", *held, hashed(words).alias("__set")).where("size(__set) > 0"))
-    prefix = _prefixes(rows, least, common, held)
+    prefix, hot = _prefixes(rows, least, common, held)
     a, b = (prefix.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", "__n", "__i", *held)), "__t", *(F.col(c).alias(f"__same_{c}") for c in same)) for x in "ab")
-    near = a.join(b, ["__t", *(f"__same_{c}" for c in same)]).where(F.col("a_id") < F.col("b_id") if apart is None else apart)
+    near = _met(a, "a_id", b, hot, ["__t", *(f"__same_{c}" for c in same)]).where(F.col("a_id") < F.col("b_id") if apart is None else apart)
     if common is None:  # what a common word at places i and j leaves, at most
         most = F.least("a___i", "b___i") + F.least(F.col("a___n") - F.col("a___i"), F.col("b___n") - F.col("b___i"))
         union, larger = (F.col("a___n") + F.col("b___n")) * (least / (1 + least)), F.greatest("a___n", "b___n") * least
@@ -86,18 +101,32 @@ def similar_sets(df: DataFrame, words: Column, least: float | None, common: int
     return pairs.where(enough[0] if len(enough) == 1 else enough[0] | enough[1])
 
 
+def contained_sets(df: DataFrame, words: Column, least: float, keep: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
+    """(a_id, b_id, a_*, b_*, shared, containment) for a_id < b_id, and where `apart` holds of the a_ and b_ columns.
+
+    containment is the number of words in common over that of the smaller set, `least` or more.
+    The smaller set then has one of its rarest n - need + 1 words in common with
+    the larger one, whichever word that is there: prefixes meet whole sets.  df has a column id, unique; rows without words are in no pair.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("pairs must have a word in common")
+    rows = _settled(df.select("id", *keep, hashed(words).alias("__set")).where("size(__set) > 0"))
+    prefix, hot = _prefixes(rows, least, None, [])
+    small = prefix.select(F.col("id").alias("s_id"), F.col("__n").alias("s_n"), "__t")
+    whole = rows.select(F.col("id").alias("l_id"), F.size("__set").alias("l_n"), F.explode("__set").alias("__t"))
+    near = _met(whole, "l_id", small, hot, ["__t"]).where((F.col("s_n") <= F.col("l_n")) & (F.col("s_id") != F.col("l_id")))
+    pairs = near.select(F.least("s_id", "l_id").alias("a_id"), F.greatest("s_id", "l_id").alias("b_id")).distinct()
+    for x in "ab":
+        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", *keep, "__set"))), f"{x}_id")
+    pairs = pairs if apart is None else pairs.where(apart)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("a___set", "b___set")))
+    pairs = pairs.withColumn("containment", F.col("shared") / F.least(F.size("a___set"), F.size("b___set"))).drop("a___set", "b___set")
+    return pairs.where(F.col("containment") >= least)
+
+
 def found_in(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, id): which texts (id, n) hold which distinct terms (term) as a part, wherever it stands.
 
-    A term is looked for by the rarest of its runs of four characters, or by
-    itself if it is shorter; one with a run that no text has is in none.
+    One automaton of all terms reads each text once; see dictionary.held_terms.
     """
-    terms = terms.select("term").where("term <> ''").distinct()
-    runs = lambda c, k: F.when(F.length(c) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))))
-    wanted = terms.select("term", F.explode(runs("term", 4)).alias("g")).unionByName(terms.where("length(term) < 4").select("term", F.col("term").alias("g")))
-    wanted = _settled(wanted)
-    every = F.concat(*(F.coalesce(runs("n", k), F.array().cast("array<string>")) for k in (1, 2, 3, 4)))
-    grams = _settled(texts.where("n <> ''").select("id", F.explode(F.array_distinct(every)).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("m"))
-    rarest = wanted.join(counts, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "g")).alias("r")).where("r.m > 0").select("term", "r.g")
-    return rarest.join(grams, "g").join(texts.select("id", "n"), "id").where(F.col("n").contains(F.col("term"))).select("term", "id")
+    return held_terms(terms, texts)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .corpus import Session
 
-MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources", "drawings", "project", "analysis", "services", "statements"]
+MODULES = ["retrieval", "extraction", "relations", "graph", "rules", "sources", "drawings", "project", "analysis", "services", "statements", "matching"]
 
 
 def _all():
