@@ -74,14 +74,175 @@ DISPLAYS = frozenset(
     "table-column-group table-caption list-item contents flow flow-root run-in ruby math inherit initial unset revert revert-layer -webkit-box -webkit-flex -webkit-inline-box -ms-flexbox".split()
 )
 VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert revert-layer".split())
-_SELECTOR = re.compile(r"^([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+NO_PARTS: frozenset[int] = frozenset()
+_SIMPLE = re.compile(
+    r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>(?:[\w-]|[^\x00-\x7F])+)|\.(?P<cls>(?:[\w-]|[^\x00-\x7F])+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?P<val>"[^"]*"|'[^']*'|[^\]\s]+)\s*(?P<flag>[isIS])?\s*)?\]|(?P<pseudo>::?)(?P<name>[\w-]+)(?P<open>\()?"""
+)
+_COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+_NTH = re.compile(r"^\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n\s*(?:(?P<sign>[+-])\s*(?P<b>\d+))?|(?P<only>[+-]?\d+))\s*$")
+#: Pseudo-classes that nothing on a page which is only read has, and what a few others ask of an element.
+NEVER = frozenset("hover active focus focus-visible focus-within visited target indeterminate fullscreen modal popover-open playing paused autofill user-valid user-invalid current past future".split())
+LEGACY_ELEMENTS = frozenset("before after first-line first-letter".split())
+STATES = {
+    "root": lambda n: n.parent is None, "empty": lambda n: not any(k if isinstance(k, str) else True for k in n.kids), "link": lambda n: n.tag in ("a", "area") and "href" in n.attrs, "any-link": lambda n: n.tag in ("a", "area") and "href" in n.attrs,
+    "checked": lambda n: "checked" in n.attrs or "selected" in n.attrs, "disabled": lambda n: "disabled" in n.attrs, "enabled": lambda n: n.tag in FIELDS and "disabled" not in n.attrs, "required": lambda n: "required" in n.attrs,
+    "optional": lambda n: n.tag in FIELDS and "required" not in n.attrs, "open": lambda n: "open" in n.attrs, "defined": lambda n: True,
+}
+FIELDS = frozenset("button input select textarea option optgroup fieldset".split())
+
+
+class _Invalid(Exception):
+    """A selector that is not understood."""
+
+
+def _attribute_test(m: re.Match):
+    name, op, value, fold = m["attr"].lower(), m["op"], m["val"] or "", (m["flag"] or "").lower() == "i"
+    value = value[1:-1] if value[:1] in "\"'" and len(value) > 1 else value
+    value = value.lower() if fold else value
+    holds = {
+        "=": lambda v: v == value, "~=": lambda v: value in v.split() and " " not in value, "|=": lambda v: v == value or v.startswith(value + "-"),
+        "^=": lambda v: bool(value) and v.startswith(value), "$=": lambda v: bool(value) and v.endswith(value), "*=": lambda v: bool(value) and value in v,
+    }.get(op, lambda v: True)
+    return lambda n: name in n.attrs and holds(n.attrs[name].lower() if fold else n.attrs[name])
+
+
+def _place_test(name: str, arg: str | None):
+    """Tests of an element's place among its siblings, or among those of its tag; None for other names."""
+    kind = name.removesuffix("-of-type") if name.endswith("-of-type") else name.removesuffix("-child") if name.endswith("-child") else None
+    if kind not in ("first", "last", "only", "nth", "nth-last") or (arg is not None) != kind.startswith("nth"):
+        return None
+    a, b = 0, 1
+    if arg is not None:
+        m = _NTH.match(arg.lower())
+        if not m:
+            raise _Invalid
+        a = 2 if m["word"] else 0 if m["only"] else int(m["a"] + "1" if m["a"] in ("", "+", "-") else m["a"])
+        b = (1 if m["word"] == "odd" else 0) if m["word"] else int(m["only"]) if m["only"] else int((m["sign"] or "+") + (m["b"] or "0"))
+
+    def among(n: Node) -> tuple[int, int]:
+        """(1-based place, number) of the siblings that count."""
+        if name.endswith("-of-type"):
+            return n.typed[0], n.typed[1][0]
+        return n.place + 1, len(n.parent.elements) if n.parent else 1
+
+    def test(n: Node) -> bool:
+        at, of = among(n)
+        if kind == "only":
+            return of == 1
+        at = of - at + 1 if "last" in kind else at
+        return at == b if a == 0 else (at - b) % a == 0 and (at - b) // a >= 0
+
+    return test
+
+
+class Compound:
+    """Simple selectors that one element must meet: tag, classes, ids, and tests of attributes, place and state."""
+
+    __slots__ = ("tag", "classes", "ids", "tests", "weight", "never")
+
+    def __init__(self, s: str) -> None:
+        self.tag, self.classes, self.ids, self.tests, self.never = "*", set(), set(), [], False
+        ids = classes = tags = at = 0
+        while at < len(s):
+            m = _SIMPLE.match(s, at)
+            if not m or (m["tag"] and at):
+                raise _Invalid
+            at = m.end()
+            if m["tag"]:
+                self.tag, tags = m["tag"].lower(), int(m["tag"] != "*")
+            elif m["id"]:
+                self.ids.add(m["id"])
+                ids += 1
+            elif m["cls"]:
+                self.classes.add(m["cls"])
+                classes += 1
+            elif m["attr"]:
+                self.tests.append(_attribute_test(m))
+                classes += 1
+            else:
+                name, arg = m["name"].lower(), None
+                if m["open"]:
+                    depth, end = 1, at
+                    while end < len(s) and depth:
+                        depth += {"(": 1, ")": -1}.get(s[end], 0)
+                        end += 1
+                    if depth:
+                        raise _Invalid
+                    arg, at = s[at : end - 1], end
+                if m["pseudo"] == "::" or name in LEGACY_ELEMENTS:
+                    self.never, tags = True, tags + 1  # a part of an element, not the element
+                    continue
+                more = (0, 1, 0)
+                if name in ("not", "is", "where", "matches") and arg is not None:
+                    inner = [Compound(x.strip()) for x in _COMMA.split(arg) if x.strip()]
+                    if not inner:
+                        raise _Invalid
+                    wanted = name != "not"
+                    self.tests.append(lambda n, inner=inner, wanted=wanted: any(c.meets(n) for c in inner) == wanted)
+                    more = (0, 0, 0) if name == "where" else max(c.weight for c in inner)
+                elif test := _place_test(name, arg):
+                    self.tests.append(test)
+                elif name in NEVER and arg is None:
+                    self.never = True
+                elif name in STATES and arg is None:
+                    self.tests.append(STATES[name])
+                else:
+                    raise _Invalid
+                ids, classes, tags = ids + more[0], classes + more[1], tags + more[2]
+        if not s:
+            raise _Invalid
+        self.weight = (ids, classes, tags)
+
+    def meets(self, n: Node) -> bool:
+        return (
+            not self.never and self.tag in ("*", n.tag) and (not self.classes or self.classes <= set(n.attrs.get("class", "").split())) and (not self.ids or self.ids <= {n.attrs.get("id", "")})
+            and all(t(n) for t in self.tests)
+        )
+
+
+def selector_parts(s: str) -> list[tuple[str, Compound]]:
+    """The compounds of a selector from left to right, each with the combinator before it ('' for the first, ' ' for descendants)."""
+    out, start, at, depth, sign, quote = [], 0, 0, 0, "", ""
+    while at < len(s):
+        c = s[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif not depth and (m := _COMBINATOR.match(s, at)):
+            out.append((sign, Compound(s[start:at])))
+            sign, start = m[1] or " ", m.end()
+            at = start
+            continue
+        at += 1
+    return [*out, (sign, Compound(s[start:]))]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "parent", "place", "typed", "elements", "matched", "above", "sofar")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.kids = tag, attrs, []
+        # What selectors ask for, set on the way down: place among the parent's elements and among those of its tag (with their number), the
+        # parts of selectors that end here, those that end in an element around this one, and those that end in an element in it so far.
+        self.parent: Node | None = None
+        self.place, self.typed, self.elements = 0, (1, [1]), [self]
+        self.matched = self.above = NO_PARTS
+        self.sofar: set[int] = set()
+
+    def enter(self) -> None:
+        """Tell the elements in this one where they are."""
+        self.elements = [k for k in self.kids if isinstance(k, Node)]
+        above = self.above if self.matched <= self.above else self.above | self.matched
+        tags: dict[str, list[int]] = {}
+        for i, k in enumerate(self.elements):
+            count = tags.setdefault(k.tag, [0])
+            count[0] += 1
+            k.parent, k.place, k.typed, k.above = self, i, (count[0], count), above
 
 
 def _attributes(s: str) -> dict[str, str]:
@@ -423,17 +584,20 @@ def _declared(body: str) -> dict[str, tuple[str, bool]]:
 
 
 class Styles:
-    """Display and visibility by rules of style sheets with a simple selector (tag, .class, #id and their combinations).
+    """Display and visibility by the rules of style sheets.
 
     Of the rules that apply to a screen the cascade decides: importance, layers,
     specificity, then order.  At-rules whose condition doesn't hold or isn't
-    understood are skipped with all they hold.
+    understood are skipped with all they hold, and so are rules with a selector that isn't.
+    Selectors are met from left to right on the way down the tree: an element keeps which of their parts end in it,
+    and hands down those that end in it or around it, so no selector walks up.
     """
 
     def __init__(self, sheets: list[str]) -> None:
-        #: (tag, classes, ids, specificity, layered, property -> (value, important)), in order
-        self.rules: list[tuple[str, set[str], set[str], tuple[int, int, int], bool, dict[str, tuple[str, bool]]]] = []
-        self.by_key: dict[str, list[int]] = {}  # places of rules by an id, a class, or the tag that they ask for
+        #: Parts of selectors, one selector after the other: (combinator, compound, the rule it ends or None).
+        self.parts: list[tuple[str, Compound, tuple | None]] = []
+        self.by_key: dict[str, list[int]] = {}  # places of parts by an id, a class, or the tag that they ask for
+        self.rules = 0
         for sheet in sheets:
             self._read(_COMMENT.sub(" ", sheet).replace("<!--", " ").replace("-->", " "))
 
@@ -480,32 +644,50 @@ class Styles:
                     start = m.end() if not depth else start
             body = "".join(parts) + (body[start:] if not depth else "")
         found = _declared(body)
-        for selector in _COMMA.split(head) if found else ():
-            s = _SELECTOR.match(selector.strip())
-            if s and (s[1] or s[2]):
-                parts = re.findall(r"[.#][\w-]+", s[2])
-                classes, ids = ({p[1:] for p in parts if p[0] == sign} for sign in ".#")
-                tag = (s[1] or "*").lower()
-                n = sum(p[0] == "#" for p in parts)
-                key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
-                self.by_key.setdefault(key, []).append(len(self.rules))
-                self.rules.append((tag, classes, ids, (n, len(parts) - n, int(tag != "*")), layered, found))
+        if not found:
+            return None
+        try:
+            selectors = [selector_parts(x.strip()) for x in _COMMA.split(head)]
+        except _Invalid:  # one selector that is not understood takes its whole rule with it
+            return None
+        for own in selectors:
+            weight = tuple(map(sum, zip(*(c.weight for _, c in own))))
+            for k, (sign, c) in enumerate(own):
+                key = "#" + min(c.ids) if c.ids else "." + min(c.classes) if c.classes else c.tag
+                self.by_key.setdefault(key, []).append(len(self.parts))
+                self.parts.append((sign, c, (weight, self.rules, layered, found) if k == len(own) - 1 else None))
+            self.rules += 1
         return None
 
     def of(self, node: Node) -> dict[str, str]:
-        """The display and visibility that style sheets and the style attribute give an element."""
+        """The display and visibility that style sheets and the style attribute give an element; those around and before it come first."""
         inline = _declared(node.attrs["style"]) if node.attrs.get("style") else {}
         if not self.rules:
             return {k: v for k, (v, _) in inline.items()}
-        classes, ident = set(node.attrs.get("class", "").split()), {node.attrs.get("id", "")}
         best: dict[str, tuple] = {}
-        keys = ("*", node.tag, *(f".{c}" for c in classes), *(f"#{i}" for i in ident))
-        for order in (i for k in keys for i in self.by_key.get(k, ())):
-            tag, cls, ids, weight, layered, found = self.rules[order]
-            if tag in ("*", node.tag) and cls <= classes and ids <= ident:
-                for k, (v, important) in found.items():
-                    key = (important, False, layered == important, weight, order, v)
-                    best[k] = max(best.get(k, key), key)
+        parent, matched = node.parent, []
+        keys = {"*", node.tag, *(f".{c}" for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")}
+        for number in (i for k in keys for i in self.by_key.get(k, ())):
+            sign, compound, rule = self.parts[number]
+            if sign and parent is None:
+                continue
+            if sign == " " and number - 1 not in node.above or sign == ">" and number - 1 not in parent.matched or sign == "~" and number - 1 not in parent.sofar:
+                continue
+            if sign == "+" and not (node.place and number - 1 in parent.elements[node.place - 1].matched):
+                continue
+            if not compound.meets(node):
+                continue
+            if rule is None:
+                matched.append(number)
+                continue
+            weight, order, layered, found = rule
+            for k, (v, important) in found.items():
+                key = (important, False, layered == important, weight, order, v)
+                best[k] = max(best.get(k, key), key)
+        if matched:
+            node.matched = frozenset(matched)
+            if parent is not None:
+                parent.sofar.update(matched)
         for k, (v, important) in inline.items():
             key = (important, True, True, (0, 0, 0), 0, v)
             best[k] = max(best.get(k, key), key)
@@ -515,9 +697,9 @@ class Styles:
 def visibility(node: Node, styles: Styles, parent_seen: bool) -> tuple[bool, bool]:
     """(rendered at all, its own text seen)."""
     a = node.attrs
+    style = styles.of(node)  # of hidden ones too: they stand before others
     if node.tag in HIDDEN or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False, False
-    style = styles.of(node)
     # A rule of the page goes before the browser's own for the attribute and for closed dialogs.
     display = style.get("display", "")
     if display in ("", "revert", "revert-layer"):
@@ -653,6 +835,8 @@ def render(source: str | None) -> str:
         shown, seen = visibility(item, styles, seen)
         if not shown:
             continue
+        if styles.rules:
+            item.enter()
         tag = item.tag
         if tag == "br":
             lines.flush()

@@ -256,3 +256,80 @@ def test_hostile_pages_take_seconds():
         began = time.time()
         pt.render(page)
         assert time.time() - began < 10, name
+
+
+@pytest.mark.parametrize("css, want", [
+    (".nav a{display:none}", "b - c d"), ("ul>li.x{display:none}", "a b d"), ("[x]{display:none}", "a b - c"), ("nav > a{display:none}", "a b - c d"), ("nav > b > a{display:none}", "b - c d"), ("nav + b ~ p{display:none}", "a b - c"),
+])
+def test_selectors_with_combinators_and_attributes(css, want):
+    assert pt.render(f"<style>{css}</style><nav class=nav><b><a>a</a></b></nav><b>b</b><ul><li class=x>c</ul><p x>d</p>").split() == want.split()
+
+
+def plainly(node, parts, up):
+    """Whether the parts of a selector lead to node, by trying every way up; up: node -> (parent, earlier siblings)."""
+    *rest, (sign, compound) = parts
+    if not compound.meets(node):
+        return False
+    parent, before = up[id(node)]
+    if not rest:
+        return True
+    around = []
+    x = parent
+    while x is not None:
+        around.append(x)
+        x = up[id(x)][0]
+    where = {" ": around, ">": around[:1], "+": before[-1:], "~": before}[sign]
+    return any(plainly(x, rest, up) for x in where)
+
+
+def test_selectors_equal_trying_every_way_up():
+    r = random.Random(12)
+    simple = ["i", "b", "u", "*", ".p", ".q", "#k", "[t]", "[t=v]", "[t~=w]", "[t^=v]", "[t$=x]", "[t*='w']", "[t|=v]", "[t=V i]", ":first-child", ":last-child", ":only-child", ":nth-child(2n+1)", ":nth-child(odd)", ":nth-child(-n+2)", ":nth-last-child(2)",
+              ":first-of-type", ":last-of-type", ":nth-of-type(2)", ":only-of-type", ":not(.p)", ":not(i, .q)", ":is(b, .p)", ":where(#k)", ":empty", ":hover", ":root"]
+
+    def compound():
+        tag = r.choice(["", "", "i", "b", "u", "*"])
+        more = "".join(r.sample(simple[4:], r.randrange(1 if not tag else 0, 3)))
+        return tag + more
+
+    def tree(depth):
+        out = ""
+        for _ in range(r.randrange(1, 4)):
+            tag = r.choice("ibu")
+            attrs = "".join(x for x in (" class=p", " class='q p'", " id=k", " t=v", " t='v-w x'", " t='w v'") if r.random() < 0.2)
+            out += f"<{tag}{attrs}>" + f"w{r.randrange(10**6)} " + (tree(depth - 1) if depth and r.random() < 0.7 else "") + f"</{tag}>"
+        return out
+
+    for _ in range(150):
+        selectors = [r.choice([" ", ">", "+", "~", " "]).join(compound() for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 4))]
+        page = "<style>" + ", ".join(selectors) + "{display:none}</style><div>" + tree(3) + "</div>"
+        root = pt.parse(page).root
+        up, words = {id(root): (None, [])}, []
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            n.enter()
+            for i, k in enumerate(n.elements):
+                up[id(k)] = (n, n.elements[:i])
+            todo += n.elements
+        parsed = [pt.selector_parts(s) for s in selectors]
+
+        def walk(n):
+            if n.tag in pt.HIDDEN or any(plainly(n, p, up) for p in parsed):
+                return
+            for k in n.kids:
+                words.extend(k.split()) if isinstance(k, str) else walk(k)
+
+        walk(root)
+        assert pt.render(page).split() == words, page
+
+
+@pytest.mark.parametrize("css", ["p:unheard{display:none}", "p, :unheard(x){display:none}", "p[{display:none}", "p:not({display:none}", "> p{display:none}", "p > {display:none}", "p::before{display:none}", ":hover p{display:none}", "p:nth-child(x){display:none}"])
+def test_selectors_that_hide_nothing(css):
+    assert pt.render(f"<style>{css}</style><p>text</p>") == "text"
+
+
+def test_selectors_weigh_by_their_parts():
+    assert pt.render("<style>div p.n{display:none} p.n{display:block}</style><div><p class=n>a</p></div>") == ""
+    assert pt.render("<style>div p.n{display:none} :is(#x, div) p{display:block}</style><div><p class=n>a</p></div>") == "a"
+    assert pt.render("<style>div p.n{display:none} :where(#x, div) p{display:block}</style><div><p class=n>a</p></div>") == ""
