@@ -205,10 +205,18 @@ def schedule_findings(activities: DataFrame, links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def overlapping(spans: DataFrame, group: str) -> DataFrame:
-    """(group, a, b): spans (id, start, finish) of one group that share a day, ends included."""
-    x, y = spans.alias("x"), spans.alias("y")
-    return x.join(y, group).where("x.id < y.id and x.start <= y.finish and y.start <= x.finish").select(group, F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def overlapping(spans: DataFrame, group: str, days: int = 32) -> DataFrame:
+    """(group, a, b): spans (id, start, finish) of one group that share a day, ends included.
+
+    Spans meet in the bins of so many days that they touch, and a pair counts in the
+    bin where the later one starts.  A span that ends before it starts meets those that hold both its days; one without a start or finish meets none.
+    """
+    bin_ = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    touched = F.sequence(bin_(F.least("start", "finish")), bin_(F.greatest("start", "finish")))
+    s = spans.where("start is not null and finish is not null").select(group, "id", "start", "finish", F.explode(touched).alias("_bin"))
+    x, y = s.alias("x"), s.alias("y")
+    met = x.join(y, [group, "_bin"]).where("x.id < y.id and x.start <= y.finish and y.start <= x.finish")
+    return met.where(F.col("_bin") == bin_(F.greatest("x.start", "y.start"))).select(group, F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def workflow_gaps(activities: DataFrame, needs: dict[str, list[str]] = PREREQUISITES) -> DataFrame:
@@ -221,12 +229,15 @@ def workflow_gaps(activities: DataFrame, needs: dict[str, list[str]] = PREREQUIS
 
 
 def workflow_sequence(activities: DataFrame, order: list[str]) -> DataFrame:
-    """(src, dst): every activity with the first later step on the same object."""
+    """(src, dst): every activity with the first later step on the same object.
+
+    An object has one row with the first activity of each of its ranks, so a row grows with the order only.
+    """
     rank = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("action"))
     a = activities.withColumn("r", rank).where("r > 0")
-    p = a.alias("x").join(a.alias("y"), "object").where("y.r > x.r").select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), F.col("y.r").alias("r"))
-    w = Window.partitionBy("src").orderBy("r", "dst")
-    return p.withColumn("n", F.row_number().over(w)).where("n = 1").select("src", "dst")
+    firsts = a.groupBy("object", "r").agg(F.min("id").alias("dst")).groupBy("object").agg(F.array_sort(F.collect_list(F.struct("r", "dst"))).alias("_steps"))
+    later = F.try_element_at(F.filter("_steps", lambda s: s["r"] > F.col("r")), F.lit(1))["dst"]
+    return a.join(firsts, "object").select(F.col("id").alias("src"), later.alias("dst")).where("dst is not null")
 
 
 def run_rules(rules: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
