@@ -172,9 +172,10 @@ _PIECES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?;]
 REQUIRED_SQL = f"""rq AS (SELECT concat_ws('#', id, pos) AS requirement_id, id, document, section, text, {_LEVEL} AS level, {Q.ladder('text', L.COMPLIANCE_STATUS, 'unknown')} AS status, {names_sql('text', L.COMPLIANCE_PARTIES)}[1] AS party, {names_sql('text', L.COMPLIANCE_AUTHORITIES)}[1] AS authority,
   list_sort({_CALLS}) AS required, round(least(1.0, best + CASE WHEN len({_CALLS}) > 0 THEN 0.01 ELSE 0 END), 6)::DOUBLE AS confidence
   FROM (SELECT *, {_BEST} AS best FROM (SELECT id, document, section, unnest({_PIECES}) AS text, generate_subscripts({_PIECES}, 1) - 1 AS pos FROM {NODES_SQL} WHERE text <> '')) WHERE best >= 0.7)"""
+_DAY = r"\b(20\d{2}[-/][01]?\d[-/][0-3]?\d|[01]?\d[-/][0-3]?\d[-/]20\d{2})\b"
 _TYPES = names_sql("text", L.COMPLIANCE_EVIDENCE)
-EVIDENCE_SQL = f"""ev AS (SELECT concat_ws('#', id, type) AS evidence_id, id, document, section, type, CASE WHEN p AND f THEN 'conflicting' WHEN f THEN 'fail' WHEN p THEN 'pass' WHEN w THEN 'waived' ELSE 'unknown' END AS outcome, CASE WHEN type = 'other' THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence
-  FROM (SELECT *, unnest(CASE WHEN len({_TYPES}) > 0 THEN {_TYPES} WHEN p OR f THEN ['other'] ELSE []::VARCHAR[] END) AS type FROM (SELECT *, {Q.has('text', L.OUTCOME_PASS)} AS p, {Q.has('text', L.OUTCOME_FAIL)} AS f, {Q.has('text', L.OUTCOME_WAIVER)} AS w FROM {NODES_SQL} WHERE text <> '')))"""
+EVIDENCE_SQL = f"""ev AS (SELECT concat_ws('#', id, type) AS evidence_id, id, document, section, type, CASE WHEN p AND f THEN 'conflicting' WHEN f THEN 'fail' WHEN p THEN 'pass' WHEN w THEN 'waived' ELSE 'unknown' END AS outcome, CASE WHEN type = 'other' THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence,
+  text AS description, nullif(regexp_extract(text, {Q.q(_DAY)}, 1), '') AS day FROM (SELECT *, unnest(CASE WHEN len({_TYPES}) > 0 THEN {_TYPES} WHEN p OR f THEN ['other'] ELSE []::VARCHAR[] END) AS type FROM (SELECT *, {Q.has('text', L.OUTCOME_PASS)} AS p, {Q.has('text', L.OUTCOME_FAIL)} AS f, {Q.has('text', L.OUTCOME_WAIVER)} AS w FROM {NODES_SQL} WHERE text <> '')))"""
 
 
 def section_requirements(s, f):
@@ -226,6 +227,12 @@ def section_workflow(s, f):
     return W.workflow_findings(S.workflow_activities(section_nodes(s)).withColumn("id", F.col("activity_id")))
 
 
+WORKFLOW_SQL = rules.JOBSQL.replace(values(rules.JOBS, rules.JOB_SCHEMA), f"(SELECT * EXCLUDE (id), activity_id AS id FROM (WITH {ACTIVITIES_SQL}))") + " SELECT document, 'workflow' AS rule, type, severity, node_a, node_b, confidence::DOUBLE AS confidence FROM every"
+_DUTIES, _PROOFS = f"(SELECT requirement_id AS id, * EXCLUDE (id, requirement_id) FROM (WITH {REQUIRED_SQL} SELECT * FROM rq))", f"(SELECT evidence_id AS id, NULL::VARCHAR AS author, * EXCLUDE (id, evidence_id) FROM (WITH {EVIDENCE_SQL} SELECT * FROM ev))"
+_LINKED = f"(SELECT d.id AS requirement_id, e.id AS evidence_id FROM (SELECT id, document, section, unnest(required) AS type FROM {_DUTIES}) d JOIN {_PROOFS} e USING (document, section, type))"
+_FILLED = [x.replace(rules.DUTYSQL, _DUTIES).replace(rules.PROOFSQL, _PROOFS).replace(rules.LINKSQL, _LINKED) for x in (rules.DUTY_FINDINGS, rules.PROOF_FINDINGS)]
+COMPLIANCE_SQL = f"SELECT * FROM ({_FILLED[0]}) UNION ALL SELECT * FROM ({_FILLED[1]})"
+
 QUERIES = {
     "section_clauses": (section_clauses, f"WITH {clauses_sql(NODES_SQL, C.RESPONSIBILITY)} SELECT * FROM c"),
     "document_clauses": (document_clauses, f"WITH {clauses_sql(DOCUMENTS_SQL, PROSE_SQL)} SELECT * FROM c"),
@@ -236,8 +243,8 @@ QUERIES = {
     "section_criteria": (section_criteria, f"WITH {CRITERIA_SQL} SELECT * EXCLUDE (needs), list_sort(list_distinct(needs)) AS prerequisites FROM cr"),
     "section_acceptance": (section_acceptance, ACCEPTANCE_SQL),
     "section_requirements": (section_requirements, f"WITH {REQUIRED_SQL} SELECT * FROM rq"),
-    "section_evidence": (section_evidence, f"WITH {EVIDENCE_SQL} SELECT * FROM ev"),
-    "section_compliance": (section_compliance, None),
+    "section_evidence": (section_evidence, f"WITH {EVIDENCE_SQL} SELECT * EXCLUDE (description, day) FROM ev"),
+    "section_compliance": (section_compliance, COMPLIANCE_SQL),
     "section_activities": (section_activities, f"WITH {ACTIVITIES_SQL}"),
-    "section_workflow": (section_workflow, None),
+    "section_workflow": (section_workflow, WORKFLOW_SQL),
 }
