@@ -57,7 +57,9 @@ VOCAB = Rows([("Work", ""), ("Punch List", "closeout"), ("final acceptance", Non
 SELECT n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'schedule' ELSE '' END FROM {nation}
 """)
 HIT_SCHEMA = "source_number int, id string, document_id string, heading string, text string"
-HITS = [(2, "s2", "d1", "Owner QC", "Owner shall inspect. It may test."), (1, "s1", "d1", "Quality", "Contractor shall test. Then report. Then test and report again. Nothing else."), (3, "s5", "d2", "Records", None)]
+HITS = Rows([(2, "s2", "d1", "Owner QC", "Owner shall inspect. It may test."), (1, "s1", "d1", "Quality", "Contractor shall test. Then report. Then test and report again. Nothing else."), (3, "s5", "d2", "Records", None)], """
+SELECT CAST(doc_id + 100 AS INT), 'doc' || CAST(doc_id AS STRING), source, lang, text FROM {documents}
+""")
 TEXTS = [("t1", "Room 101a has AHU-1; see 01 45 00 by 2026-01-05. The Owner and contractor agree."), ("t2", None), ("t3", "room 7 ahu-1 AHU-1")]
 FI = [("a",), ("f",), ("e",), ("zz",)]
 OVER = lambda a, b: f"(len(list_intersect({a}, {b})) / greatest(1, len({a}), len({b}))::DOUBLE)"
@@ -119,7 +121,7 @@ QUERIES = {
     "anchored_durations": (lambda s, f: A.anchored(frame(s, DURS, DUR_SCHEMA), frame(s, ANCHORS, "anchor string, day date")), f"SELECT id, CASE WHEN relation = 'before' THEN day - ceil(days)::INTEGER ELSE day + ceil(days)::INTEGER END AS due FROM {values(DURS, DUR_SCHEMA)} LEFT JOIN {values(ANCHORS, 'anchor string, day date')} USING (anchor)"),
     "evidence_links": (lambda s, f: A.evidence_links(frame(s, RQS, RQ_SCHEMA), evid(s)).withColumn("score", F.round("score", 6)), _LINKS),
     "evidence_pairs": (lambda s, f: A.evidence_pairs(evid(s)), f"WITH e AS (SELECT *, {S.stem_set('text')} AS w FROM {values(EES, EE_SCHEMA)}) SELECT x.evidence_id AS a, y.evidence_id AS b, CASE WHEN list_sort([x.result, y.result]) = ['fail', 'pass'] THEN 'conflicting' ELSE 'duplicate' END AS kind FROM e x JOIN e y ON x.type = y.type AND x.section = y.section AND x.evidence_id < y.evidence_id WHERE list_sort([x.result, y.result]) = ['fail', 'pass'] OR {S.jaccard('x.w', 'y.w')} >= 0.9"),
-    "answer_context": (lambda s, f: A.context(hits(s)), f"SELECT string_agg('[S' || source_number || '] ' || heading || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY source_number) AS context, count(*) AS sources FROM {values(HITS, HIT_SCHEMA)}"),
+    "answer_context": (lambda s, f: A.context(hits(s)), f"SELECT string_agg('[S' || source_number || '] ' || heading || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY source_number) AS context, count(*) AS sources FROM {values(HITS, HIT_SCHEMA)} WHERE source_number <= 12"),
     "best_sentences": (lambda s, f: A.best_sentences(hits(s), _WORDS, 2), f"WITH x AS (SELECT id, unnest(s) AS sentence, unnest(range(len(s)))::INTEGER AS pos FROM (SELECT id, {S.sentences('text')} AS s FROM {values(HITS, HIT_SCHEMA)})), y AS (SELECT *, len(list_intersect({S.stem_set('sentence')}, ['test', 'report'])) AS k FROM x) SELECT id, pos, sentence FROM y WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, pos) <= 2"),
     "assisted_retrieval": (lambda s, f: A.expanded_retrieval(sections(s), ["owner inspection", "commissioning records"]).withColumn("score", F.round("score", 6)), None),
     "retrieval_session": (lambda s, f: A.session_audit(hits(s), frame(s, [(1,), (1,), (3,)], "source_number int")), f"SELECT count(*) AS found, count(*) FILTER (source_number IN (1, 3)) AS used, count(*) FILTER (source_number NOT IN (1, 3)) AS unused, count(DISTINCT document_id) AS documents, floor(100.0 * count(*) FILTER (source_number IN (1, 3)) / count(*) + 0.5) AS percent FROM {values(HITS, HIT_SCHEMA)}"),

@@ -84,6 +84,18 @@ def points(s, rows, name):
     return s.createDataFrame(rows, f"{name} string, points {PT}")
 
 
+#: Corners of a supplier's zone around its balance in two hundreds and two for each nation: a dented hexagon.
+ZONE = [(-9.0, 0.0), (-4.0, 7.0), (5.0, 7.0), (2.0, 0.5), (5.0, -7.0), (-4.0, -7.0)]
+
+
+def polygons_at_a_point(s, f):
+    """Whether one point lies in a few shapes and in every supplier's zone."""
+    z = s.read.parquet(f"{f}/supplier.parquet")
+    corners = F.array(*(F.struct((F.col("s_acctbal") / 200 + x).alias("x"), (F.col("s_nationkey") * 2.0 + y).alias("y")) for x, y in ZONE))
+    shapes = points(s, [*LEGEND, ("square", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])], "name").unionByName(z.select(F.col("s_name").alias("name"), corners.cast(PT).alias("points")))
+    return shapes.select("name", D.contains_point(F.col("points"), 0.9, 0.3).alias("inside"))
+
+
 def links(s):
     return D.specification_links(frame(s, PAGES, "page int, text string, discipline string"), frame(s, SPECS, "number string"), frame(s, VOCAB, "term string, number string"), frame(s, DIVS, "discipline string, division string"))
 
@@ -109,7 +121,8 @@ QUERIES = {
     "sheet_search_words": (lambda s, f: D.search_sheets(sheets(s), obs(s), items(s), "Riser"), _search_sql("riser")),
     "plan_constraints": (lambda s, f: D.constrained(sheets(s), obs(s), discipline="Architectural", room="101", kind="Plan").select("sheet_id"), f"SELECT sheet_id FROM {SHS} WHERE discipline = 'Architectural' AND list_contains(types, 'Plan') AND sheet_id IN (SELECT sheet_id FROM {OBS} WHERE value = '101')"),
     "visible_overlays": (lambda s, f: D.visible(items(s), 0.15, 0.05, 0.55, 0.55).select("item"), f"SELECT item FROM {ITS} WHERE x < 0.55 AND x + w > 0.15 AND y < 0.55 AND y + h > 0.05"),
-    "points_in_polygons": (lambda s, f: points(s, [*LEGEND, ("square", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])], "name").select("name", D.contains_point(F.col("points"), 0.9, 0.3).alias("inside")), "SELECT * FROM (VALUES ('duplex', true), ('switch', false), ('square', true)) t(name, inside)"),
+    "points_in_polygons": (polygons_at_a_point, "SELECT * FROM (VALUES ('duplex', true), ('switch', false), ('square', true)) t(name, inside) UNION ALL SELECT name, len(list_filter(range(1, 7), lambda i: ((c[i].y > 0.3) <> (c[i % 6 + 1].y > 0.3) AND 0.9 < (c[i % 6 + 1].x - c[i].x) * (0.3 - c[i].y) / (c[i % 6 + 1].y - c[i].y) + c[i].x))) % 2 = 1 FROM (SELECT s_name AS name, ["
+        + ", ".join(f"{{'x': s_acctbal / 200 + ({x}), 'y': s_nationkey * 2.0::DOUBLE + ({y})}}" for x, y in ZONE) + "] AS c FROM supplier)"),
     "title_block": (lambda s, f: D.title_block(items(s), ["SHEET TITLE", "DRAWING NUMBER"]), f"WITH i AS (SELECT *, upper(regexp_replace(trim(text), ':$', '')) AS k FROM {ITS}), p AS (SELECT l.sheet_id, l.k AS label, v.text AS value, row_number() OVER (PARTITION BY l.sheet_id, l.item ORDER BY 4 * abs(v.x - l.x) + abs(v.y - l.y), v.item) AS n FROM i l JOIN i v ON v.sheet_id = l.sheet_id AND v.x >= l.x - 0.02 AND v.y >= l.y - 0.01 WHERE l.k IN ('SHEET TITLE', 'DRAWING NUMBER') AND v.k NOT IN ('SHEET TITLE', 'DRAWING NUMBER')) SELECT sheet_id, label, value FROM p WHERE n = 1"),
     "schedule_tag_column": (lambda s, f: D.tag_column(frame(s, ROWS, "schedule_id string, row int, field string, value string")), f"WITH g AS (SELECT schedule_id, field, count(*) AS n FROM {values(ROWS, 'schedule_id string, r int, field string, value string')} WHERE regexp_matches(value, {RX(D.TAG)}) GROUP BY ALL) SELECT schedule_id, arg_max(field, (n, field)) AS tag_column FROM g GROUP BY 1"),
     "schedule_rows_by_tag": (lambda s, f: D.schedule_rows_by_tag(frame(s, ROWS, "schedule_id string, row int, field string, value string"), frame(s, TAGS, "tag string")), f"WITH g AS (SELECT upper(regexp_replace(value, '[- ]', '', 'g')) AS k, count(DISTINCT (schedule_id, r)) AS n, min(schedule_id) AS schedule_id, min(r) AS r FROM {values(ROWS, 'schedule_id string, r int, c string, value string')} GROUP BY 1) SELECT tag, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'unavailable' END AS state, CASE WHEN n = 1 THEN schedule_id END AS schedule_id, CASE WHEN n = 1 THEN r END AS row FROM {values(TAGS, 'tag string')} t LEFT JOIN g ON g.k = upper(regexp_replace(tag, '[- ]', '', 'g'))"),

@@ -44,7 +44,12 @@ INSPECTIONS = [("pump", "i1", "2026-01-01"), ("valve", "i2", "2026-01-09"), ("fa
 NAMES = Rows([("AHU-01",), ("AHU 1",), ("ahu1",), ("Panel 7",), ("",), ("RM-100",)], """
 SELECT c_name FROM {customer} UNION ALL SELECT s_name FROM {supplier} UNION ALL SELECT upper(s_name) FROM {supplier}
 """)
-PAIRS = [("AHU 1", "ahu-1"), ("Main panel", "panel"), ("abc", "cab"), ("", "x"), ("xyz", "abcd")]
+PAIRS = Rows([("AHU 1", "ahu-1"), ("Main panel", "panel"), ("abc", "cab"), ("", "x"), ("xyz", "abcd")], """
+SELECT c_name || ' ' || c_mktsegment, CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN n_name || ' ' || c_name ELSE n_name END FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+""")
+_PK = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_PAIRSQL = f"""WITH k AS (SELECT a, b, {_PK('a')} AS x, {_PK('b')} AS y FROM {values(PAIRS, 'a string, b string')}), l AS (SELECT *, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS l, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS s FROM k)
+SELECT a, b, round(CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(l, s) THEN 0.8 ELSE len(list_filter(string_split(s, ''), lambda c: c <> '' AND contains(l, c))) / greatest(length(l), 1)::DOUBLE END, 6)::DOUBLE AS similarity FROM l"""
 TEXTS = Rows([("t1", "85 %"), ("t2", "0.85"), ("t3", "120"), ("t4", "n/a"), ("t5", None), ("t6", "1,000")], """
 SELECT 'o' || CAST(o_orderkey AS STRING), CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 150 AS STRING) || ' %' WHEN 1 THEN '0.' || CAST(o_orderkey
 % 100 + 1 AS STRING) ELSE o_orderstatus END FROM {orders}
@@ -141,7 +146,7 @@ QUERIES = {
     "fact_conflicts": (lambda s, f: P.fact_conflicts(P.latest_facts(facts(s))), f"SELECT subject, predicate, count(DISTINCT object) AS objects, min(object) AS first, max(object) AS last FROM {LATEST} WHERE state IN ('suggested', 'verified') GROUP BY ALL HAVING count(DISTINCT object) > 1"),
     "evidence_confidence": (lambda s, f: P.evidence_confidence(facts(s)), f"SELECT subject, predicate, object, count(DISTINCT source) AS sources, least(1.0, count(DISTINCT source) * 0.25)::DOUBLE AS confidence FROM {FSQL} GROUP BY ALL"),
     "identities": (lambda s, f: P.identities(frame(s, NAMES, "name string")), f"SELECT regexp_replace(regexp_replace(upper(name), '[^A-Z0-9]', '', 'g'), '([A-Z])0+(\\d)', '\\1\\2', 'g') AS canonical, count(*) AS n, min(name) AS best FROM {values(NAMES, 'name string')} WHERE name <> '' GROUP BY 1"),
-    "name_similarity": (lambda s, f: frame(s, PAIRS, "a string, b string").select("a", "b", F.round(P.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity")), "SELECT * FROM (VALUES ('AHU 1', 'ahu-1', 1.0::DOUBLE), ('Main panel', 'panel', 0.8), ('abc', 'cab', 1.0), ('', 'x', 0.0), ('xyz', 'abcd', 0.0)) t(a, b, similarity)"),
+    "name_similarity": (lambda s, f: frame(s, PAIRS, "a string, b string").select("a", "b", F.round(P.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity")), _PAIRSQL),
     "state_history": (lambda s, f: P.state_history(log(s)), f"SELECT state_id, moment, was, state FROM {HIST}"),
     "current_states": (lambda s, f: P.current_states(log(s), F.lit("2026-01-04 00:00:00")), f"SELECT state_id, arg_max(state, (moment, seq)) AS state, max(moment) AS since, count(*) - 1 AS changes, TIMESTAMP '2026-01-04' - max(moment) > INTERVAL 24 HOUR AS stale FROM {HIST} GROUP BY 1"),
     "event_state_log": (lambda s, f: P.kept_history(t(s, f, "events").select("user_id", F.col("ts").alias("moment"), F.col("event_id").alias("seq"), "event_type"), "user_id", 3), "SELECT user_id, ts AS moment, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3"),

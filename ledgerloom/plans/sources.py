@@ -10,7 +10,7 @@ from ..sources import files as R
 from ..sources import segment as G
 from ..sources import store as St
 from . import sqltext as S
-from .corpus import frame, values
+from .corpus import Rows, frame, values
 
 SPEC = """PAGE 10
 DIVISION 01 – GENERAL REQUIREMENTS
@@ -24,9 +24,14 @@ PAGE 11
 019100 General Commissioning Requirements
 Commissioning records are required. Per Section 01.45.00.
 """
-NAMES = [("1", "A-101 floor plan.pdf", "", ""), ("2", "033000 spec.docx", None, None), ("3", "x.xlsx", "Shop drawings", ""), ("4", "notes.txt", "", "minutes"), ("5", "readme", "", None)]
+NAMES = Rows([("1", "A-101 floor plan.pdf", "", ""), ("2", "033000 spec.docx", None, None), ("3", "x.xlsx", "Shop drawings", ""), ("4", "notes.txt", "", "minutes"), ("5", "readme", "", None)], """
+SELECT 'p' || CAST(p_partkey AS STRING), p_name || CASE p_size % 4 WHEN 0 THEN ' floor plan.pdf' WHEN 1 THEN ' spec.docx' WHEN 2 THEN ' schedule.xlsx' ELSE '.txt' END, CASE WHEN p_partkey % 3 = 0 THEN 'Shop drawings' ELSE p_type END,
+CASE WHEN p_partkey % 7 = 0 THEN 'minutes' END FROM {part}
+""")
 NAME_SCHEMA = "id string, name string, category string, explicit string"
-ITEMS = [(1, 0, "Sheet", 10.0, 700.0), (1, 1, "A-101", 60.0, 699.5), (1, 2, "Scale", 10.0, 650.0), (1, 3, "1:50", 60.0, 650.0), (2, 4, "Alone", 5.0, 20.0)]
+ITEMS = Rows([(1, 0, "Sheet", 10.0, 700.0), (1, 1, "A-101", 60.0, 699.5), (1, 2, "Scale", 10.0, 650.0), (1, 3, "1:50", 60.0, 650.0), (2, 4, "Alone", 5.0, 20.0)], """
+SELECT CAST(l_orderkey + 10 AS INT), l_linenumber, l_returnflag || CAST(l_partkey AS STRING), l_quantity, l_discount * 30 + 500 FROM {lineitem}
+""")
 ITEM_SCHEMA = "page int, item int, text string, x double, y double"
 
 
@@ -115,7 +120,7 @@ QUERIES = {
     "document_roles": (lambda s, f: frame(s, NAMES, NAME_SCHEMA).select("id", St.document_role(F.col("name"), F.col("category"), F.col("explicit")).alias("role")),
                        f"SELECT id, coalesce(CASE WHEN explicit <> '' THEN explicit END, {S.ladder('category', St.DOCUMENT_ROLES, 'X').replace(chr(39) + 'X' + chr(39), 'NULL')}, {S.ladder('name', St.DOCUMENT_ROLES, 'document')}) AS role FROM {values(NAMES, NAME_SCHEMA)}"),
     "positioned_lines": (lambda s, f: R.lines_of(frame(s, ITEMS, ITEM_SCHEMA), ["page"], 1.0), f"""WITH n AS (SELECT *, CASE WHEN lag(y) OVER w - y > 1.0 THEN 1 ELSE 0 END AS n FROM {values(ITEMS, ITEM_SCHEMA)} WINDOW w AS (PARTITION BY page ORDER BY y DESC, x, item)), l AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY y DESC, x, item)::INTEGER AS line FROM n)
-      SELECT page, line, string_agg(text, ' ' ORDER BY x, item) AS text, max(y) AS y FROM l GROUP BY page, line"""),
+      SELECT page, line, string_agg(text, ' ' ORDER BY x, item, text) AS text, max(y) AS y FROM l GROUP BY page, line"""),
     "event_activity": (lambda s, f: rounded(E.activity(events(s, f)), "total"), ACTIVITY),
     "event_sessions": (lambda s, f: E.sessions(events(s, f)), SESSIONS),
     "event_latest_states": (lambda s, f: E.latest_states(events(s, f)), LATEST),
