@@ -101,23 +101,27 @@ def similar_sets(df: DataFrame, words: Column, least: float | None, common: int
     return pairs.where(enough[0] if len(enough) == 1 else enough[0] | enough[1])
 
 
-def contained_sets(df: DataFrame, words: Column, least: float, keep: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
+def contained_sets(df: DataFrame, words: Column, least: float, keep: tuple[str, ...] = (), same: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
     """(a_id, b_id, a_*, b_*, shared, containment) for a_id < b_id, and where `apart` holds of the a_ and b_ columns.
 
+    Columns in `same` must be equal and not null.
+
     containment is the number of words in common over that of the smaller set, `least` or more.
     The smaller set then has one of its rarest n - need + 1 words in common with
     the larger one, whichever word that is there: prefixes meet whole sets.  df has a column id, unique; rows without words are in no pair.
     """
     if not 0 < least <= 1:
         raise ValueError("pairs must have a word in common")
-    rows = _settled(df.select("id", *keep, hashed(words).alias("__set")).where("size(__set) > 0"))
-    prefix, hot = _prefixes(rows, least, None, [])
-    small = prefix.select(F.col("id").alias("s_id"), F.col("__n").alias("s_n"), "__t")
-    whole = rows.select(F.col("id").alias("l_id"), F.size("__set").alias("l_n"), F.explode("__set").alias("__t"))
-    near = _met(whole, "l_id", small, hot, ["__t"]).where((F.col("s_n") <= F.col("l_n")) & (F.col("s_id") != F.col("l_id")))
+    held = list(dict.fromkeys([*keep, *same]))
+    rows = _settled(df.select("id", *held, hashed(words).alias("__set")).where("size(__set) > 0"))
+    prefix, hot = _prefixes(rows, least, None, list(same))
+    equal = [F.col(c).alias(f"__same_{c}") for c in same]
+    small = prefix.select(F.col("id").alias("s_id"), F.col("__n").alias("s_n"), "__t", *equal)
+    whole = rows.select(F.col("id").alias("l_id"), F.size("__set").alias("l_n"), F.explode("__set").alias("__t"), *equal)
+    near = _met(whole, "l_id", small, hot, ["__t", *(f"__same_{c}" for c in same)]).where((F.col("s_n") <= F.col("l_n")) & (F.col("s_id") != F.col("l_id")))
     pairs = near.select(F.least("s_id", "l_id").alias("a_id"), F.greatest("s_id", "l_id").alias("b_id")).distinct()
     for x in "ab":
-        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", *keep, "__set"))), f"{x}_id")
+        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("id", *held, "__set"))), f"{x}_id")
     pairs = pairs if apart is None else pairs.where(apart)
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("a___set", "b___set")))
     pairs = pairs.withColumn("containment", F.col("shared") / F.least(F.size("a___set"), F.size("b___set"))).drop("a___set", "b___set")

@@ -24,7 +24,8 @@ def test_contained_sets_equal_all_pairs(spark, monkeypatch, meet, least):
     monkeypatch.setattr(P, "MEET", meet)
     rows = sets(random.Random(int(least * 10)), 70, 40, 12)
     df = spark.createDataFrame([(i, w, i % 3) for i, w in rows], "id int, w array<string>, keep int")
-    got = {(r["a_id"], r["b_id"]): (r["shared"], round(r["containment"], 9)) for r in P.contained_sets(df, F.col("w"), least, keep=("keep",), apart=F.col("a_keep") == F.col("b_keep")).collect()}
+    got = {(r["a_id"], r["b_id"]): (r["shared"], round(r["containment"], 9)) for r in P.contained_sets(df, F.col("w"), least, same=("keep",)).collect()}
+    assert got == {(r["a_id"], r["b_id"]): (r["shared"], round(r["containment"], 9)) for r in P.contained_sets(df, F.col("w"), least, keep=("keep",), apart=F.col("a_keep") == F.col("b_keep")).collect()}
     want = {}
     for i, a in rows:
         for j, b in rows:
