@@ -25,6 +25,11 @@ def test_flat_empty_and_null_documents():
     assert [(x["heading"], x["text"]) for x in G.segment("just some words\nmore of them.")] == [("Document beginning", "just some words\nmore of them.")]
 
 
+def test_headings_below_the_beginning_of_a_document():
+    n = G.segment("just some words\n1.2.3 Deep Point\nmore\n#### Deeper")
+    assert [(x["heading"], x["level"], x["parent"]) for x in n] == [("Document beginning", 4, None), ("1.2.3 Deep Point", 5, 0), ("Deeper", 6, 1)]
+
+
 def test_long_sections_are_cut_at_blank_lines(spark):
     text = "PART 1 GENERAL\n" + "\n\n".join("word " * 300 for _ in range(12))
     p = G.parts("\n\n".join("x" * 3000 for _ in range(5)))
