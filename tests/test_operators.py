@@ -139,6 +139,12 @@ def test_sheet_and_intent_ladders(spark):
     assert [r["i"] for r in asked] == ["risk", "location", "general", "general"] and asked[0]["s"][0] == "rfis" and asked[2]["s"] == []
 
 
+def test_words_end_before_letters_outside_ascii(spark):
+    x = spark.createDataFrame([("der testä und",), ("the test.",), ("ätest_",), ("testing ä",)], "q string").select(W.construction_intent("q").alias("i"))
+    assert [r["i"] for r in x.collect()] == ["inspection", "inspection", "general", "inspection"]
+    assert T.ascii_bounds(r"\\b") == r"\\b"
+
+
 def test_workflow_against_its_rules(spark):
     schema = "id string, document string, section string, action string, object string, party string, status string, evidence array<string>, approval boolean, confidence double"
     rows = [("a", "d", "1", "submit", "pump", "x", "open", [], False, 0.5), ("b", "d", "1", "approve", "big pump", "x", "open", [], False, 0.5), ("c", "d", "1", "install", "pump", None, "open", [], False, 0.5), ("c2", "d", "1", "Install", "Pump", "y", "open", ["r"], False, 0.9)]
