@@ -169,3 +169,22 @@ def test_stable_key(spark):
     rows = ['{"a": 1, "b": {"d": [1, {"y": 2, "x": null}], "c": "t"}}', '{"b":{"c":"t","d":[1,{"x":null,"y":2}]},"a":1}', '{"a": 1, "b": {"d": [{"y": 2, "x": null}, 1], "c": "t"}}', "not", None]
     got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p string").orderBy("i").select(T.stable_key("p")).collect()]
     assert got[0] == got[1] is not None and got[2] not in (None, got[0]) and got[3] is None and got[4] is None
+
+
+@pytest.mark.parametrize("carry", [0, 1000])
+def test_pairs_of_equal_sets_go_as_one_and_are_not_shuffled(spark, monkeypatch, carry):
+    monkeypatch.setattr(P, "MEMBERS", 3)
+    monkeypatch.setattr(P, "MEET", 4)
+    monkeypatch.setattr(P, "CARRY", carry)
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice("xy") if i % 9 else None, [f"w{k}" for k in rnd.sample(range(7), rnd.randint(1, 5))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k string, w array<string>")
+    for same in ((), ("k",)):
+        fit = [(a, b, len(set(v) & set(w)), v, w) for a, x, v in rows for b, y, w in rows if a < b and set(v) & set(w) and (not same or x == y is not None)]
+        p = P.similar_sets(df, F.col("w"), 0.5, same=same)
+        want = {(a, b, s) for a, b, s, v, w in fit if s / len({*v, *w}) >= 0.5}
+        assert sorted((r.a_id, r.b_id, r.shared) for r in p.collect()) == sorted(want)
+        c = P.contained_sets(df, F.col("w"), 0.6, same=same)
+        assert sorted((r.a_id, r.b_id, r.shared) for r in c.collect()) == sorted((a, b, s) for a, b, s, v, w in fit if s / min(len(v), len(w)) >= 0.6)
+        if carry:
+            assert all("Aggregate" not in x._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0] for x in (p, c))  # no distinct of pairs
