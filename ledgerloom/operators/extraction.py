@@ -221,16 +221,16 @@ def opposing_sources(hits: DataFrame, most: int = 6) -> DataFrame:
     s = hits.select("id", "document_id", T.polarity(both).alias("pol"), T.stem_set(both).alias("s"), T.matches(both, L.EXCEPTION).alias("exc")).where("pol <> 'neutral'")
     s = _settled(s)
     against = (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id")) & ((F.col("a_pol") != F.col("b_pol")) | (F.col("a_exc") != F.col("b_exc")))
-    few = s.drop("s").columns
-    near = similar_sets(s, F.col("s"), 0.2, keep=tuple(few[1:]), apart=against).select("a_id", "b_id")
-    long = similar_sets(s, F.filter("s", lambda w: F.length(w) >= 4), None, 3, keep=tuple(few[1:]), apart=against).select("a_id", "b_id")
-    p = near.unionByName(long).distinct()
-    for x in "ab":
-        p = p.join(s.select(F.col("id").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")), f"{x}_id")
+    keep = tuple(s.columns[1:])
+    near = similar_sets(s, F.col("s"), 0.2, keep=keep, apart=against)
+    long = similar_sets(s, F.filter("s", lambda w: F.length(w) >= 4), None, 3, keep=keep, apart=against)
+    p = near.select(*(cols := [c for c in near.columns if c not in ("shared", "similarity")])).unionByName(long.select(*cols))
     shared = F.size(F.filter(F.array_intersect("a_s", "b_s"), lambda w: F.length(w) >= 4))
     p = p.withColumns({"shared": shared, "similarity": T.jaccard(F.col("a_s"), F.col("b_s"))})
     conf = F.greatest(F.lit(50), F.least(F.lit(95), T.rounded(45 + F.col("similarity") * 100 + F.least(F.lit(20), F.col("shared") * 3)))).cast("int")
-    return p.select(F.col("a_id").alias("source_a"), F.col("b_id").alias("source_b"), conf.alias("confidence"), "shared").orderBy(F.desc("confidence"), "source_a", "source_b").limit(most)
+    order = (F.desc("confidence"), "source_a", "source_b")
+    found = p.select(F.col("a_id").alias("source_a"), F.col("b_id").alias("source_b"), conf.alias("confidence"), "shared").orderBy(*order)
+    return found.limit(2 * most).distinct().orderBy(*order).limit(most)  # either way finds a pair once
 
 
 def source_agreement(hits: DataFrame) -> DataFrame:
