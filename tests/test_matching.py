@@ -188,3 +188,11 @@ def test_pairs_of_equal_sets_go_as_one_and_are_not_shuffled(spark, monkeypatch,
         assert sorted((r.a_id, r.b_id, r.shared) for r in c.collect()) == sorted((a, b, s) for a, b, s, v, w in fit if s / min(len(v), len(w)) >= 0.6)
         if carry:
             assert all("Aggregate" not in x._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0] for x in (p, c))  # no distinct of pairs
+
+
+def test_pairs_of_one_large_set_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "MEMBERS", 4)
+    df = spark.createDataFrame([(i, i % 3, ["w"]) for i in range(60)], "id long, k int, w array<string>")
+    p = P.similar_sets(df, F.col("w"), 0.5, keep=("k",), apart=(F.col("a_id") < F.col("b_id")) & F.col("same"), also={"same": F.col("a_k") == F.col("b_k")})
+    made = [r["n"] for r in p.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(made) == 3 * 20 * 19 // 2 and max(made) < sum(made) // 2
