@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from .graph import _settled
-from .pairs import found_in, similar_sets
+from .graph import _counted, _settled
+from .pairs import FREQUENT, found_in, similar_sets
 
 # Phases, checklist categories, evidence types and owner actions, first match wins.
 PHASES = [
@@ -45,6 +45,8 @@ OWNER_ACTIONS = [
     ("review", r"\b(review|submittal|shop drawing)\b"), ("receive", r"\b(deliver|submit|provide|turnover)\b"),
 ]
 EVIDENCE_AT, EVIDENCE_MOST = 0.42, 5
+#: Texts that may hold a term or stem before it is common: pairs are made of what is rarer, classes of what is common.
+RARE = 64
 
 
 def sentence_rows(hits: DataFrame) -> DataFrame:
@@ -163,20 +165,62 @@ def evidence_matches(reqs: DataFrame, evidence: DataFrame, at: float = EVIDENCE_
     Score: 0.45 of the share of its terms found, 0.25 of the word similarity,
     0.25 for a reference and for a deliverable found.  Beyond 0.25 one of these
     must be found as a part of the evidence's text, whatever its length, which
-    pairs.found_in tells without a cross join.
+    pairs.found_in tells without a cross join.  Pairs are scored that share what is
+    rare (in RARE texts at most), and the best by what is common.
     """
     if at <= 0.25:
         raise ValueError("a threshold of 0.25 or less can be met without a term found")
     r, e = _evidence_sides(reqs, evidence)
     r, e = _settled(r.where("size(evidence_terms) > 0")), _settled(e)
-    terms = r.select("requirement_id", "own", F.explode(F.array_distinct(F.concat("evidence_terms", "refs", "dels"))).alias("term"))
-    hits = found_in(terms, e.select(F.col("evidence_id").alias("id"), "n"))
-    pairs = terms.join(hits, "term").where("own <> id").select("requirement_id", F.col("id").alias("evidence_id")).distinct()
-    p = _evidence_score(pairs.join(r, "requirement_id").join(e, "evidence_id")).where(F.col("score") >= at)
+    terms = r.select("requirement_id", F.explode(F.array_distinct(F.concat("evidence_terms", "refs", "dels"))).alias("x"))
+    hits = found_in(terms.select(F.col("x").alias("term")), e.select(F.col("evidence_id").alias("id"), "n")).select(F.lit(False).alias("stem"), F.col("term").alias("x"), F.col("id").alias("evidence_id"))
+    held = _settled(hits.unionByName(e.select(F.lit(True).alias("stem"), F.explode("es").alias("x"), "evidence_id")))
+    common, n = _counted(held.groupBy("stem", "x").agg(F.count("*").alias("m")).where(F.col("m") > RARE).select("stem", "x"))
+    common = F.broadcast(common) if n <= FREQUENT else common
+    asked = terms.select(F.lit(False).alias("stem"), "x", "requirement_id").unionByName(r.select(F.lit(True).alias("stem"), F.explode("rs").alias("x"), "requirement_id"))
+    few = asked.join(held.join(common, ["stem", "x"], "left_anti"), ["stem", "x"]).select("requirement_id", "evidence_id")
+    many = _class_matches(r, e, held, common, at, most + 1)  # one of them may be a requirement's own
+    pairs = few.unionByName(many).distinct().join(r, "requirement_id").where("own <> evidence_id")
+    p = _evidence_score(pairs.join(e, "evidence_id")).where(F.col("score") >= at)
     w = Window.partitionBy("requirement_id").orderBy(F.desc("score"), "evidence_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("requirement_id", "evidence_id", "score", "rank")
 
 
+def _class_matches(r: DataFrame, e: DataFrame, held: DataFrame, common: DataFrame, at: float, most: int) -> DataFrame:
+    """(requirement_id, evidence_id): the `most` best of each requirement by common terms and stems alone, the first of equal ones.
+
+    Requirements alike in these and in their sizes are a class, and so is evidence; classes are scored,
+    and of each the first rows by id stand for all.  What is rare can only raise a score, so that
+    whatever else is among a requirement's best shares something rare with it.
+    """
+    key = lambda *cs: F.struct(F.xxhash64(*cs).alias("h"), F.xxhash64(F.lit(1), *cs).alias("g"))
+    kinds = [("t", False, "evidence_terms"), ("r", False, "refs"), ("d", False, "dels"), ("s", True, "rs")]
+    tagged = lambda k, stem, c: F.transform(c, lambda x: F.struct(F.lit(stem).alias("stem"), F.lit(k).alias("kind"), x.alias("x")))
+    of = F.concat(*(tagged(*k) for k in kinds))
+    flat = lambda k: F.transform(F.filter("f", lambda s: s["kind"] == k), lambda s: s["x"])
+    rf = r.select("requirement_id", F.explode(of).alias("o")).select("requirement_id", "o.*").join(common, ["stem", "x"], "left_semi").groupBy("requirement_id").agg(F.array_sort(F.collect_list(F.struct("kind", "x"))).alias("f"))
+    rc = r.select("requirement_id", F.size("evidence_terms").alias("nt"), F.size("rs").alias("ns")).join(rf, "requirement_id").withColumn("rk", key("f", "nt", "ns"))
+    rc = _settled(rc)
+    rcl = rc.groupBy("rk").agg(F.first("f").alias("f"), F.first("nt").alias("nt"), F.first("ns").alias("ns")).select("rk", "nt", "ns", *(flat(k).alias(k) for k, _, _ in kinds))
+    ef = held.join(common, ["stem", "x"], "left_semi").groupBy("evidence_id").agg(F.array_sort(F.collect_set(F.struct("stem", "x"))).alias("f"))
+    ec = e.select("evidence_id", F.size("es").alias("ms")).join(ef, "evidence_id").withColumn("ek", key("f", "ms"))
+    first = Window.partitionBy("ek").orderBy("evidence_id")
+    ec = ec.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    told = lambda st: F.transform(F.filter("f", lambda s: s["stem"] == st), lambda s: s["x"])
+    ecl = ec.groupBy("ek").agg(F.first("f").alias("f"), F.first("ms").alias("ms"), F.collect_list("evidence_id").alias("firsts")).select("ms", "firsts", told(False).alias("et"), told(True).alias("es"))
+    named = F.array_distinct(F.concat("t", "r", "d"))
+    met = _settled(rcl).withColumn("named", named).select("*", F.explode("named").alias("x")).join(_settled(ecl).select("*", F.explode("et").alias("x")), "x")
+    met = met.where(F.element_at(F.array_intersect("named", "et"), 1) == F.col("x"))  # a pair counts at the first term that both have
+    some = lambda c: F.when(F.arrays_overlap(c, "et"), 0.25).otherwise(0.0)
+    n = F.size(F.array_intersect("s", "es"))
+    alike = F.when((F.col("ns") == 0) | (F.col("ms") == 0), 0.0).otherwise(n / (F.col("ns") + F.col("ms") - n))
+    found = F.size(F.filter("t", lambda x: F.array_contains("et", x))) / F.greatest(F.lit(1), F.col("nt"))
+    met = met.withColumn("score", F.least(F.lit(1.0), found * 0.45 + alike * 0.25 + some("r") + some("d"))).where(F.col("score") >= at)
+    best = Window.partitionBy("rk").orderBy(F.desc("score"), "evidence_id")
+    best = met.select("rk", "score", F.explode("firsts").alias("evidence_id")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    return rc.select("requirement_id", "rk").join(best.select("rk", "evidence_id"), "rk").select("requirement_id", "evidence_id")
+
+
 def compliance_matrix(reqs: DataFrame, matches: DataFrame) -> DataFrame:
     """Requirements with status and risk by whether evidence supports them."""
     best = matches.groupBy("requirement_id").agg(F.max("score").alias("best"), F.count("*").alias("n_evidence"))

@@ -171,3 +171,24 @@ def test_compliance_of_no_rows(spark):
     found = M.requirement_findings(r, e, n).unionByName(M.evidence_findings(e, n))
     assert found.count() == 0 and M.requirement_statuses(r, e, n).count() == 0
     assert tuple(M.compliance_summary(found).first()) == (0, 100, "compliant", "healthy")
+
+
+@pytest.mark.parametrize("rare", [0, 3, 64])
+def test_evidence_matches_score_few_pairs_and_equal_all(spark, monkeypatch, rare):
+    rnd = random.Random(rare)
+    words = ["test", "report", "pumps", "accepted", "owner", "01 45 00", "photo"]
+    reqs = [(f"q{i:02}", f"e{i % 50:02}", [*(w for w in rnd.choices(words, k=rnd.randint(0, 4)) if len(w) > 3), f"name{i % 40:03}"], ["01 45 00"] if i % 3 == 0 else [], ["photo"] if i % 4 == 0 else [], " ".join([*rnd.choices(words, k=3), f"name{i % 40:03}"])) for i in range(60)]
+    reqs = spark.createDataFrame(reqs, "requirement_id string, id string, evidence_terms array<string>, references array<string>, deliverables array<string>, statement string")
+    texts = [(f"e{i:02}", "Pumps" if i % 2 else None, [], " ".join([*rnd.choices(words, k=rnd.randint(0, 5)), f"name{i % 60:03}" if i % 3 else ""])) for i in range(120)]
+    texts = spark.createDataFrame(texts, "id string, heading string, path array<string>, text string")
+    scored, score = [], X._evidence_score
+    r, e = X._evidence_sides(reqs, texts)
+    every = score(r.crossJoin(e).where("own <> evidence_id")).where("score >= 0.42").collect()
+    want = set()
+    for q in {x.requirement_id for x in every}:
+        mine = sorted(((x.score, x.evidence_id) for x in every if x.requirement_id == q), key=lambda t: (-t[0], t[1]))[:5]
+        want |= {(q, i, s, k + 1) for k, (s, i) in enumerate(mine)}
+    monkeypatch.setattr(X, "RARE", rare)
+    monkeypatch.setattr(X, "_evidence_score", lambda p: scored.append(p.count()) or score(p))
+    assert {tuple(x) for x in X.evidence_matches(reqs, texts).collect()} == want and len(want) > 60
+    assert rare > 3 or max(scored) <= 60 * (6 + 3 * 8)
