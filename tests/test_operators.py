@@ -212,3 +212,16 @@ def test_evidence_links_score_rows_alike_once(spark, monkeypatch):
     monkeypatch.setattr(A, "_link_score", lambda p: scored.append(p.count()) or score(p))
     got = A.evidence_links(reqs, proofs).collect()
     assert {tuple(x) for x in got} == want and len(got) == 3000 and sum(scored) <= 6
+
+
+def test_sentences_of_one_file_go_to_all_tasks(spark):
+    """The grammar runs in as many tasks as there are, however few parts the documents come in; clauses have the same parts."""
+    from ledgerloom.operators import statements as N
+    from ledgerloom.operators.graph import task_count
+
+    docs = spark.createDataFrame([(str(i), "d", "s", f"The owner shall review plan {i}, unless late. Nothing else. The contractor must not install pumps and owner shall test.") for i in range(40)], "id string, document string, section string, text string").coalesce(1)
+    rows = N.clause_rows(N.sentence_nodes(docs))
+    assert rows.rdd.getNumPartitions() >= task_count(docs) > 1
+    got = {(r["id"], r["pos"]): (r["action"], r["actor"]["text"], r["object"], r["negated"], sorted(r["actors"])) for r in rows.where("id like '3#%'").collect()}
+    assert got[("3#0", 0)][1] == "owner"
+    assert [got[("3#2", k)][3] for k in (0, 1)] == [True, True] and got[("3#2", 1)][4] == ["contractor", "owner"] and ("3#1", 0) not in got
