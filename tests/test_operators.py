@@ -225,3 +225,27 @@ def test_sentences_of_one_file_go_to_all_tasks(spark):
     got = {(r["id"], r["pos"]): (r["action"], r["actor"]["text"], r["object"], r["negated"], sorted(r["actors"])) for r in rows.where("id like '3#%'").collect()}
     assert got[("3#0", 0)][1] == "owner"
     assert [got[("3#2", k)][3] for k in (0, 1)] == [True, True] and got[("3#2", 1)][4] == ["contractor", "owner"] and ("3#1", 0) not in got
+
+
+def test_findings_are_counted_once_and_pairs_not_sorted(spark):
+    """Summary without an expansion of all findings, findings on pairs kept out of the window, actions of one object needed row by row."""
+    rows = [("a", "x", "high", "n1", "n2", 0.5), ("a", "x", "high", "n2", "n1", 0.7), ("b", "y", "low", "n1", None, 0.9), ("b", "y", "low", None, None, None)]
+    schema = "rule string, type string, severity string, node_a string, node_b string, confidence double"
+    f, pairs = spark.createDataFrame(rows, schema), spark.createDataFrame([("p", "q", "low", "n1", "n2", 0.1)], schema)
+    assert sorted((r["type"], r["confidence"] or 0) for r in C.deduplicated(f, pairs).collect()) == [("q", 0.1), ("x", 0.7), ("y", 0.0), ("y", 0.9)]
+    got = {(r["dimension"], r["value"]): (r["n"], r["confidence"]) for r in C.finding_summary(f).collect()}
+    assert got[("all", "all")] == (4, 0.7) and got[("rule", "b")] == (2, 0.9) and got[("type", "x")] == (2, 0.6)
+    assert {tuple(r) for r in C.correlated(f).collect()} == {("n1", 3, 2), ("n2", 2, 1)}
+    assert not C.finding_summary(f.limit(0)).collect()
+    acts = spark.createDataFrame([("1", "o", "submit"), ("2", "o", "install"), ("3", "p", "test"), ("4", None, "closeout"), ("5", "o", "accept")], "id string, object string, action string")
+    assert sorted(r["node_a"] for r in C.workflow_gaps(acts).collect()) == ["3", "4", "5"]
+
+
+def test_sections_and_texts_of_one_file_go_to_all_tasks(spark):
+    from ledgerloom.operators.graph import task_count
+    from ledgerloom.plans import retrieval, statements
+    from ledgerloom.plans.corpus import Session
+
+    s, folder = Session(spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001"
+    for df in (statements.section_nodes(s), retrieval.text_features(s, folder)):
+        assert df.rdd.getNumPartitions() >= task_count(df)
