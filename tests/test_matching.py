@@ -196,3 +196,30 @@ def test_pairs_of_one_large_set_are_spread_over_tasks(spark, monkeypatch):
     p = P.similar_sets(df, F.col("w"), 0.5, keep=("k",), apart=(F.col("a_id") < F.col("b_id")) & F.col("same"), also={"same": F.col("a_k") == F.col("b_k")})
     made = [r["n"] for r in p.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
     assert sum(made) == 3 * 20 * 19 // 2 and max(made) < sum(made) // 2
+
+
+@pytest.mark.parametrize(("least", "measure"), [(0.6, "union"), (0.8, "union"), (0.8, "larger"), (1.0, "union")])
+def test_long_sets_meet_by_pieces_and_equal_all_pairs(spark, monkeypatch, least, measure):
+    """Sets of all sizes, with copies that are changed just so much; few pairs of sets that are not alike are compared."""
+    r = random.Random(int(least * 10))
+    rows = []
+    for i in range(90):
+        words = {f"w{int(r.paretovariate(0.6)) % 900}" for _ in range(r.choice([1, 2, 5, 30, 300, 900]))}
+        rows.append((len(rows), sorted(words), i % 2))
+        for _ in range(r.randrange(3)):
+            gone = r.sample(sorted(words), r.randrange(int(len(words) * (1 - least)) + 1))
+            rows.append((len(rows), sorted((words - set(gone)) | {f"n{r.random()}" for _ in range(r.randrange(len(gone) + 1))}), i % 2))
+    df = spark.createDataFrame(rows, "id int, w array<string>, k int")
+    want = {}
+    for i, a, k in rows:
+        for j, b, m in rows:
+            shared, larger = len(set(a) & set(b)), max(len(a), len(b))
+            similarity = shared / (larger if measure == "larger" else len(a) + len(b) - shared) if shared else 0
+            if i < j and k == m and similarity >= least:
+                want[i, j] = (shared, round(similarity, 9))
+    monkeypatch.setattr(P, "CARRY", 0)
+    seen, real = [], P._by_pieces
+    monkeypatch.setattr(P, "_by_pieces", lambda *a: (seen.append(real(*a)), seen[-1])[1])
+    got = {(x["a_id"], x["b_id"]): (x["shared"], round(x["similarity"], 9)) for x in P.similar_sets(df, F.col("w"), least, measure=measure, same=("k",)).collect()}
+    assert got == want
+    assert seen[0].count() <= len(want) + len(rows) ** 2 / 100
