@@ -249,3 +249,23 @@ def test_sections_and_texts_of_one_file_go_to_all_tasks(spark):
     s, folder = Session(spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001"
     for df in (statements.section_nodes(s), retrieval.text_features(s, folder)):
         assert df.rdd.getNumPartitions() >= task_count(df)
+
+
+def test_timeline_conflicts_meet_once(spark):
+    """Both kinds are told of a pair where it is made, and a pair is made one way only."""
+    from ledgerloom.operators import analysis as A
+
+    rows = [(f"e{i}", "final testing" if i % 3 else "testing of pumps", None if i % 7 == 0 else f"2026-0{1 + i % 9}-01", float(i % 5) if i % 4 else None) for i in range(60)]
+    e = spark.createDataFrame(rows, "id string, text string, day string, days double").withColumn("day", F.col("day").cast("date"))
+    got = A.timeline_conflicts(e)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString().split("Project")[0]
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("explode") <= 16
+    want = set()
+    for a, _, x, v in rows:
+        for b, _, y, w in rows:
+            if a < b and x and y and x != y:
+                want.add((a, b, "date-discrepancy"))
+            if a < b and v is not None and w is not None and v != w:
+                want.add((a, b, "duration-discrepancy"))
+    out = [(r["a"], r["b"], r["kind"]) for r in got.collect()]
+    assert set(out) == want and len(out) == len(want)
