@@ -269,3 +269,13 @@ def test_timeline_conflicts_meet_once(spark):
                 want.add((a, b, "duration-discrepancy"))
     out = [(r["a"], r["b"], r["kind"]) for r in got.collect()]
     assert set(out) == want and len(out) == len(want)
+
+
+def test_pairs_of_sets_with_few_rows_are_not_shuffled(spark):
+    """Sets of which nearly each is another: pairs are made where they meet."""
+    from ledgerloom.operators import pairs as P
+
+    df = spark.createDataFrame([(i, i % 3, ["goods", "from", "supplier", f"n{i}"]) for i in range(50)], "id int, k int, w array<string>")
+    p = P.similar_sets(df, F.col("w"), 0.4, keep=("k",))
+    assert "Repartition" not in p._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert sorted((r["a_id"], r["b_id"], r["a_k"], r["b_k"]) for r in p.collect()) == [(i, j, i % 3, j % 3) for i in range(50) for j in range(i + 1, 50)]
