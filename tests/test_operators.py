@@ -301,3 +301,16 @@ def test_phase_edges_are_told_where_they_are_made(spark):
                     want.add((a, b, min(100, int(100 * (0.45 + o + 0.2 * head + 0.1 * doc) + 0.5))))
     out = [tuple(x) for x in got.collect()]
     assert set(out) == want and len(out) == len(want) > 0
+
+
+def test_requirements_meet_evidence_by_its_place(spark):
+    """Links by columns of evidence say what links one by one say, without a row for each pair."""
+    from ledgerloom.operators import compliance as M
+
+    r = spark.createDataFrame([(f"r{i}", "shall", "required", "owner", None, "Approved", ["test_report", "submittal"][: i % 3]) for i in range(9)], "id string, level string, status string, party string, authority string, text string, required array<string>")
+    e = spark.createDataFrame([(f"e{i}", ("test_report", "submittal", "approval")[i % 3], ("pass", "fail", "waived", None)[i % 4], "d", f"s{i % 2}", None, None, f"report {i}") for i in range(12)], "id string, type string, outcome string, document string, section string, day string, author string, description string")
+    place = r.select(F.col("id").alias("requirement_id"), F.lit("d").alias("document"), F.lit("s1").alias("section"), F.explode("required").alias("type"))
+    each = place.join(e.withColumnRenamed("id", "evidence_id"), ["document", "section", "type"]).select("requirement_id", "evidence_id")
+    told = lambda n: sorted(map(str, M.requirement_findings(r, e, n).unionByName(M.evidence_findings(e, n)).collect()))
+    assert told(place) == told(each)
+    assert sorted(map(str, M._linked(r, e, place).select("id", "n_evidence").collect())) == sorted(map(str, M._linked(r, e, each).select("id", "n_evidence").collect()))
