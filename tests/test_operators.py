@@ -329,3 +329,16 @@ def test_evidence_pairs_of_one_scope_go_to_all_tasks(spark, monkeypatch):
     assert set(out) == want and len(out) == len(want)
     made = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
     assert max(made) < sum(made) // 2
+
+
+def test_schedule_findings_make_no_pairs_that_they_do_not_name(spark, monkeypatch):
+    acts = spark.createDataFrame([(f"a{i:02}", "Install pumps", f"2026-01-{1 + i % 20:02}", None if i % 3 else "2026-02-01", i % 10 == 0) for i in range(60)], "id string, title string, s string, f string, milestone boolean")
+    none = F.lit(None)
+    acts = acts.select("id", "title", F.col("s").cast("date").alias("planned_start"), F.col("f").cast("date").alias("planned_finish"), none.cast("date").alias("actual_start"), none.cast("date").alias("actual_finish"), none.cast("double").alias("total_float"), none.cast("string").alias("constraint_type"), none.cast("date").alias("constraint_date"), "milestone")
+    made, real = [], C.similar_sets
+    monkeypatch.setattr(C, "similar_sets", lambda *a, **b: (made.append(real(*a, **b)), made[-1])[1])
+    got = C.schedule_findings(acts, spark.createDataFrame([("a00", "a01", "FS")], "src string, dst string, kind string"))
+    rows = acts.collect()
+    twice = {(x["id"], y["id"]) for x in rows for y in rows if x["id"] < y["id"] and (x["planned_start"], x["planned_finish"]) == (y["planned_start"], y["planned_finish"])}
+    assert sorted((r["node_a"], r["node_b"]) for r in got.where("type = 'duplicate-activity'").collect()) == sorted(twice)
+    assert sum(p.count() for p in made) <= len(twice) + 15
