@@ -277,11 +277,12 @@ def opposing_sources(hits: DataFrame, most: int = 6) -> DataFrame:
     return found.limit(2 * most).distinct().orderBy(*order).limit(most)  # either way finds a pair once
 
 
-def source_agreement(hits: DataFrame) -> DataFrame:
-    """Pairs of sections of different documents that agree (similarity 0.28 or more) or differ (0.08 or more)."""
+def source_agreement(hits: DataFrame, digits: int | None = None) -> DataFrame:
+    """Pairs of sections of different documents that agree (similarity 0.28 or more) or differ (0.08 or more); the similarity to so many digits, if given."""
     apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id"))
-    p = similar_sets(hits.select("id", "document_id", "text"), T.stem_set("text"), 0.08, keep=("document_id",), apart=apart)
-    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity", F.when(F.col("similarity") >= 0.28, "agree").otherwise("differ").alias("verdict"))
+    also = {"verdict": F.when(F.col("similarity") >= 0.28, "agree").otherwise("differ")} | ({} if digits is None else {"similarity": F.round("similarity", digits)})
+    p = similar_sets(hits.select("id", "document_id", "text"), T.stem_set("text"), 0.08, keep=("document_id",), apart=apart, also=also, either=True)
+    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity", "verdict")
 
 
 def requirement_graph(reqs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import lexicons as L
 from ledgerloom.functions import text as T
 from ledgerloom.operators import dictionary as D
+from ledgerloom.operators import extraction as X
 from ledgerloom.operators import identity as I
 from ledgerloom.operators import pairs as P
 from ledgerloom.operators import sessions as N
@@ -223,3 +225,37 @@ def test_long_sets_meet_by_pieces_and_equal_all_pairs(spark, monkeypatch, least,
     got = {(x["a_id"], x["b_id"]): (x["shared"], round(x["similarity"], 9)) for x in P.similar_sets(df, F.col("w"), least, measure=measure, same=("k",)).collect()}
     assert got == want
     assert seen[0].count() <= len(want) + len(rows) ** 2 / 100
+
+
+def _hits(spark, n=90):
+    """Sections of a few texts, most with a number of their own, some with one that another has."""
+    says = ["Contractor shall perform testing of goods before acceptance", "The supplier may not deliver goods before testing and acceptance", "Owner must inspect the work unless the owner directs otherwise", "No testing of the work is required before acceptance"]
+    rows = [(f"s_{i}", f"d{i % 3}", f"1.{i % 4} Supplier {1000 + i}", f"{says[i % 4]} from Supplier {2000 + (i if i % 5 else i // 2)}.") for i in range(n)]
+    return spark.createDataFrame(rows, "id string, document_id string, heading string, text string")
+
+
+@pytest.mark.parametrize("least, common, measure", [(0.08, None, "union"), (0.45, None, "union"), (0.28, None, "larger"), (None, 3, "union"), (0.5, 4, "union")])
+def test_sets_that_differ_in_words_of_their_own_go_as_one(spark, monkeypatch, least, common, measure):
+    h = _hits(spark).withColumn("w", T.stem_set(F.concat_ws(" ", "heading", "text"))).select("id", F.col("document_id").alias("k"), "w").cache()
+    units, real = [], P._ordered
+    monkeypatch.setattr(P, "_ordered", lambda u, *more: (units.append(u.count()), real(u, *more))[1])
+    p = P.similar_sets(h, F.col("w"), least, common, measure, keep=("k",))
+    got = {(r["a_id"], r["b_id"]): (r["shared"], round(r["similarity"], 9)) for r in p.collect()}
+    sets, want = {r["id"]: set(r["w"]) for r in h.collect()}, {}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            sim = both / (len(sets[a] | sets[b]) if measure == "union" else max(len(sets[a]), len(sets[b])))
+            if a < b and both and ((least is not None and sim >= least) or (common is not None and both >= common)):
+                want[a, b] = (both, round(sim, 9))
+    assert got == want and want
+    assert units[0] <= 40 < len(sets)
+
+
+def test_source_agreement_equals_all_pairs(spark):
+    h = _hits(spark, 60)
+    sets = {r["id"]: (r["document_id"], set(r["s"])) for r in h.select("id", "document_id", T.stem_set("text").alias("s")).collect()}
+    sim = {(a, b): len(x & y) / len(x | y) for a, (d, x) in sets.items() for b, (e, y) in sets.items() if a < b and d != e}
+    want = {(a, b, round(v, 6), "agree" if v >= 0.28 else "differ") for (a, b), v in sim.items() if v >= 0.08}
+    got = [(r["a"], r["b"], round(r["similarity"], 6), r["verdict"]) for r in X.source_agreement(h, 6).collect()]
+    assert len(got) == len(want) and set(got) == want
