@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from .graph import _counted, _settled
-from .pairs import FREQUENT, found_in, similar_sets
+from .pairs import FREQUENT, found_in, hashed, similar_sets, with_common_words
 
 # Phases, checklist categories, evidence types and owner actions, first match wins.
 PHASES = [
@@ -259,21 +259,27 @@ def owner_actions(reqs: DataFrame) -> DataFrame:
 def opposing_sources(hits: DataFrame, most: int = 6) -> DataFrame:
     """Pairs of sections of different documents on common matter that say opposite things, the surest first.
 
-    Matter in common is three shared long stems or a similarity of 0.2.
+    Matter in common is three shared long stems or a similarity of 0.2.  Sections
+    of a document with equal stems, but for those that no other section has, and
+    equal in what else is asked of them, are alike to every other one: a pair among
+    the first `most` has none but the first `most` of them, so the others go.
     """
     both = F.concat_ws(" ", "heading", "text")
     s = hits.select("id", "document_id", T.polarity(both).alias("pol"), T.stem_set(both).alias("s"), T.matches(both, L.EXCEPTION).alias("exc")).where("pol <> 'neutral'")
-    s = _settled(s)
+    s = with_common_words(s, F.col("s"))
+    s = s.withColumn("long", F.array_intersect(hashed(F.filter("s", lambda w: F.length(w) >= 4)), "common"))
+    alike = Window.partitionBy("document_id", "pol", "exc", "n", "common", "long").orderBy("id")
+    s = _settled(s.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= most).drop("place"))
     against = (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id")) & ((F.col("a_pol") != F.col("b_pol")) | (F.col("a_exc") != F.col("b_exc")))
-    keep = tuple(s.columns[1:])
-    near = similar_sets(s, F.col("s"), 0.2, keep=keep, apart=against)
-    long = similar_sets(s, F.filter("s", lambda w: F.length(w) >= 4), None, 3, keep=keep, apart=against)
-    p = near.select(*(cols := [c for c in near.columns if c not in ("shared", "similarity")])).unionByName(long.select(*cols))
-    shared = F.size(F.filter(F.array_intersect("a_s", "b_s"), lambda w: F.length(w) >= 4))
-    p = p.withColumns({"shared": shared, "similarity": T.jaccard(F.col("a_s"), F.col("b_s"))})
+    shared = F.size(F.array_intersect("a_long", "b_long"))
+    alike = F.size(F.array_intersect("a_common", "b_common"))
     conf = F.greatest(F.lit(50), F.least(F.lit(95), T.rounded(45 + F.col("similarity") * 100 + F.least(F.lit(20), F.col("shared") * 3)))).cast("int")
+    how = {"keep": ("document_id", "pol", "exc", "n", "common", "long"), "apart": against, "either": True}
+    how["also"] = {"shared": shared, "similarity": alike / (F.col("a_n") + F.col("b_n") - alike), "confidence": conf}
+    near = similar_sets(s, F.col("s"), 0.2, **how)
+    far = similar_sets(s, F.filter("s", lambda w: F.length(w) >= 4), None, 3, **how)
     order = (F.desc("confidence"), "source_a", "source_b")
-    found = p.select(F.col("a_id").alias("source_a"), F.col("b_id").alias("source_b"), conf.alias("confidence"), "shared").orderBy(*order)
+    found = near.unionByName(far).select(F.col("a_id").alias("source_a"), F.col("b_id").alias("source_b"), "confidence", "shared").orderBy(*order)
     return found.limit(2 * most).distinct().orderBy(*order).limit(most)  # either way finds a pair once
 
 

@@ -252,6 +252,26 @@ def test_sets_that_differ_in_words_of_their_own_go_as_one(spark, monkeypatch, le
     assert units[0] <= 40 < len(sets)
 
 
+def test_opposing_sources_equal_all_pairs_and_send_few_rows(spark, monkeypatch):
+    h = _hits(spark, 160).cache()
+    both = F.concat_ws(" ", "heading", "text")
+    s = h.select("id", "document_id", T.polarity(both).alias("pol"), T.stem_set(both).alias("s"), T.matches(both, L.EXCEPTION).alias("exc")).collect()
+    want = []
+    for a in s:
+        for b in s:
+            common = set(a["s"]) & set(b["s"])
+            shared, sim = sum(len(w) >= 4 for w in common), len(common) / len(set(a["s"]) | set(b["s"]))
+            if a["id"] < b["id"] and a["document_id"] != b["document_id"] and "neutral" not in (a["pol"], b["pol"]) and (shared >= 3 or sim >= 0.2) and (a["pol"] != b["pol"] or a["exc"] != b["exc"]):
+                want.append((-max(50, min(95, int(45 + sim * 100 + min(20, shared * 3) + 0.5))), a["id"], b["id"], shared))
+    want.sort()
+    rows, real = [], X.similar_sets
+    monkeypatch.setattr(X, "similar_sets", lambda df, *more, **how: (rows.append(df.count()), real(df, *more, **how))[1])
+    for most in (2, 6, 40):
+        got = [(-r["confidence"], r["source_a"], r["source_b"], r["shared"]) for r in X.opposing_sources(h, most).collect()]
+        assert got == want[:most] and len(got) == most
+    assert rows[0] < len(s) / 2
+
+
 def test_source_agreement_equals_all_pairs(spark):
     h = _hits(spark, 60)
     sets = {r["id"]: (r["document_id"], set(r["s"])) for r in h.select("id", "document_id", T.stem_set("text").alias("s")).collect()}
