@@ -13,6 +13,7 @@ from ledgerloom.operators import dictionary as D
 from ledgerloom.operators import extraction as X
 from ledgerloom.operators import identity as I
 from ledgerloom.operators import pairs as P
+from ledgerloom.operators import rules as RU
 from ledgerloom.operators import sessions as N
 
 
@@ -299,3 +300,20 @@ def test_pairs_of_sets_whose_rows_do_not_fit_are_not_sent(spark, monkeypatch):
                 want.append((a[0], b[0], min(100, int(100 * (0.45 + o + 0.2 * (a[2] == b[2]) + 0.1 * (a[1] == b[1])) + 0.5))))
     assert sorted(got) == sorted(want) and want
     assert sum(sent, []) and all(b == a + 1 for a, b in sum(sent, []))
+
+
+def test_statements_on_things_of_their_own_go_as_one(spark, monkeypatch):
+    """Objects that differ in names that no other statement has: few sets, findings as of all pairs."""
+    rows = [(f"n{i:03d}", ["owner", "contractor"][i % 2], ["review", "approve"][i % 3 % 2], f"work goods of number{1000 + i}", i % 7 == 0, False, 0.5) for i in range(80)]
+    s = spark.createDataFrame(rows, "id string, party string, action string, object string, negated boolean, exclusive boolean, confidence double")
+    units, real = [], P._ordered
+    monkeypatch.setattr(P, "_ordered", lambda u, *more: (units.append(u.count()), real(u, *more))[1])
+    got = RU.responsibility_conflicts(s, 0.4).select("type", "node_a", "node_b").collect()
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                same, other = a[2] == b[2], a[1] != b[1]
+                kind = "contradiction" if same and not other and a[4] != b[4] else "double-assignment" if same and other else None if same else "review-approval-split"
+                want |= {(kind, a[0], b[0])} if kind else set()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and units == [1]
